@@ -1 +1,146 @@
-"""Registered queries beyond the snapshot family (filled per family)."""
+"""Registered queries beyond the snapshot family."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reposcope.functions import languages as L
+from reposcope.operators import enrich as EN
+from reposcope.operators import facets as FA
+from reposcope.operators import feed as FD
+from reposcope.operators import snapshots as S
+from reposcope.plans import params as P
+from reposcope.plans.catalog import ORDERS_ORDER, register
+from reposcope.sources import fixtures as FX
+from reposcope.sources import ingest as IN
+
+
+def enriched(spark, sf, ids=None):
+    return EN.enrich(FX.repos(spark, sf), FX.owners(spark, sf), FX.licenses(spark, sf),
+                     FX.tags(spark, sf), FX.topics(spark, sf), FX.langs(spark, sf), ids=ids)
+
+
+def trending_events(spark, sf):
+    return S.trending_growth(FX.stats(spark, sf), P.EVENTS_AS_OF, P.EVENTS_DAYS, P.TRENDING_LIMIT)
+
+
+def trending_orders(spark, sf):
+    return S.trending_growth(FX.stats_long(spark, sf), P.ORDERS_AS_OF, P.ORDERS_DAYS,
+                             P.TRENDING_LIMIT, order_cols=ORDERS_ORDER)
+
+
+def facets_kw(spark, sf):
+    return dict(langs=FX.langs(spark, sf), tags=FX.tags(spark, sf), topics=FX.topics(spark, sf),
+                languages=P.FACET_LANGUAGES, tag_names=P.FACET_TAGS, topic_names=P.FACET_TOPICS)
+
+
+def sessions(spark, sf):
+    return FX.views(spark, sf).select("session_id").distinct()
+
+
+FLAT = ["id", "name", "full_name", "owner_login", "license_name", "tags", "topics", "languages"]
+
+
+@register("repository_enriched")
+def q_repository_enriched(spark, sf):
+    return EN.flat(enriched(spark, sf))
+
+
+@register("repository_detail")
+def q_repository_detail(spark, sf):
+    ids = FX.views(spark, sf).select(F.col("repository_id").alias("id"))
+    e = enriched(spark, sf, ids=ids)
+    d = FD.repository_detail(e, FX.stats(spark, sf), ids)
+    return d.select(*[c for c in FLAT if c not in ("tags", "topics", "languages")],
+                    F.concat_ws(",", "tags").alias("tags"), F.concat_ws(",", "topics").alias("topics"),
+                    EN.languages_text(F.col("language_list")).alias("languages"), "language",
+                    "stargazers_count", "forks_count", "watchers_count", "open_issues_count",
+                    "pushed_at", "stat_time")
+
+
+@register("repositories_by_ids")
+def q_repositories_by_ids(spark, sf):
+    tr = trending_events(spark, sf)
+    e = EN.flat(enriched(spark, sf, ids=tr.select(F.col("repository_id").alias("id"))))
+    return EN.repositories_by_ids(e, tr).select("rank", *FLAT)
+
+
+@register("repository_ids_page")
+def q_repository_ids_page(spark, sf):
+    return EN.repository_ids_page(FX.repos(spark, sf), P.ID_PAGE_LIMIT, P.ID_PAGE_OFFSET)
+
+
+@register("crawled_since")
+def q_crawled_since(spark, sf):
+    return EN.crawled_since(FX.repos(spark, sf), P.CRAWLED_SINCE)
+
+
+@register("facet_filter")
+def q_facet_filter(spark, sf):
+    tr = trending_orders(spark, sf).select("repository_id", "rank")
+    return FA.facet_filter(tr, **facets_kw(spark, sf))
+
+
+@register("recent_crawled_list")
+def q_recent_crawled_list(spark, sf):
+    v = FX.views(spark, sf)
+    return FA.recent_crawled_list(FX.repos(spark, sf), seen=v, sessions=v, limit=P.RECENT_LIST_LIMIT,
+                                  **facets_kw(spark, sf))
+
+
+@register("parse_facets")
+def q_parse_facets(spark, sf):
+    r = FX.facet_requests(spark, sf)
+    parsed = FA.parse_facets(F.col("request"))
+    return r.select("id", F.concat_ws("|", parsed).alias("parsed"), F.size(parsed).cast("bigint").alias("n"))
+
+
+@register("feed_rows")
+def q_feed_rows(spark, sf):
+    tr = trending_events(spark, sf)
+    e = enriched(spark, sf, ids=tr.select(F.col("repository_id").alias("id")))
+    return FD.feed_rows(tr, e, FX.stats(spark, sf), stat="latest")
+
+
+@register("primary_language")
+def q_primary_language(spark, sf):
+    pl = L.primary_language(FX.langs(spark, sf)).withColumnRenamed("repository_id", "id")
+    return (FX.repos(spark, sf).select("id").join(pl, "id", "left")
+            .select("id", F.coalesce("language", F.lit("Unknown")).alias("language")))
+
+
+@register("language_share")
+def q_language_share(spark, sf):
+    return L.language_share(FX.langs(spark, sf)).withColumn("share", F.round("share", 6))
+
+
+@register("language_color")
+def q_language_color(spark, sf):
+    return FX.langs(spark, sf).select("repository_id", "language",
+                                      L.color_of(F.col("language")).alias("color"))
+
+
+@register("readme_candidates")
+def q_readme_candidates(spark, sf):
+    return IN.readme_candidates(FX.repos(spark, sf), FX.readme_probes(spark, sf), P.README_BASE)
+
+
+@register("session_views")
+def q_session_views(spark, sf):
+    return FD.session_views(FX.views(spark, sf))
+
+
+@register("session_history")
+def q_session_history(spark, sf):
+    return FD.session_history(FX.views(spark, sf), P.HISTORY_LIMIT)
+
+
+@register("session_seen")
+def q_session_seen(spark, sf):
+    return FD.session_seen(FX.views(spark, sf))
+
+
+@register("feed_trending")
+def q_feed_trending(spark, sf):
+    return FD.feed_trending(trending_orders(spark, sf), FX.views(spark, sf), sessions(spark, sf),
+                            page=0, page_size=P.PAGE_SIZE)

@@ -90,7 +90,7 @@ FIXTURE_SQL: dict[str, str] = {
         SELECT r.id, r.name, r.full_name, r.description, r.html_url, r.default_branch,
                r.created_at, r.last_crawled_at, o.login AS owner_login, li.name AS license_name,
                COALESCE(tg.tags, []) AS tags, COALESCE(tp.topics, []) AS topics,
-               COALESCE(lg.langs, []) AS langs
+               COALESCE(lg.langs, []) AS langs, COALESCE(pl.language, 'Unknown') AS language
         FROM f_repos r
         JOIN f_owners o ON r.owner_id = o.id
         LEFT JOIN f_licenses li ON r.license_key = li.key
@@ -98,8 +98,14 @@ FIXTURE_SQL: dict[str, str] = {
                ON r.id = tg.repository_id
         LEFT JOIN (SELECT repository_id, list(topic ORDER BY topic) AS topics FROM f_topics GROUP BY 1) tp
                ON r.id = tp.repository_id
-        LEFT JOIN (SELECT repository_id, list(language ORDER BY language) AS langs FROM f_langs GROUP BY 1) lg
-               ON r.id = lg.repository_id""",
+        LEFT JOIN (SELECT repository_id, list(language || ':' || CAST(size AS VARCHAR) ORDER BY language) AS langs
+                   FROM f_langs GROUP BY 1) lg
+               ON r.id = lg.repository_id
+        LEFT JOIN (SELECT repository_id, language FROM (
+                       SELECT *, row_number() OVER (PARTITION BY repository_id
+                                                    ORDER BY size DESC, language DESC) AS rn
+                       FROM f_langs) WHERE rn = 1) pl
+               ON r.id = pl.repository_id""",
 }
 
 # Which fixture views each view needs (in dependency order).
@@ -169,7 +175,9 @@ def _pick(view: str, order: str, desc: bool) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from reposcope.plans.oracle_more import more
     q: dict[str, str] = {}
+    q.update(more())
     ev_cut = P.EVENTS_CUTOFF
     q["trending_growth"] = sql(_growth("f_stats", ev_cut, "event_time DESC"), "f_stats")
     q["trending_growth_30d"] = sql(_growth("f_stats_long", P.ORDERS_CUTOFF, "event_time DESC, tie DESC"),

@@ -164,3 +164,25 @@ def range_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").cast("bigint").alias("id"),
                     F.floor("o_totalprice").cast("bigint").alias("v"))
+
+
+def readme_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed README existence probes (repository_id, name, found):
+    ``README.md`` exists unless id % 4 = 0, ``README.txt`` when id % 3 = 0."""
+    p = table(spark, sf_dir, "part")
+    rid = F.col("p_partkey").cast("bigint")
+    md = p.select(rid.alias("repository_id"), F.lit("README.md").alias("name"),
+                  (F.col("p_partkey") % 4 != 0).alias("found"))
+    txt = p.select(rid.alias("repository_id"), F.lit("README.txt").alias("name"),
+                   (F.col("p_partkey") % 3 == 0).alias("found"))
+    return md.unionByName(txt)
+
+
+def facet_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw facet request strings (id, request) built from part names."""
+    p = table(spark, sf_dir, "part")
+    words = F.concat_ws(",", F.regexp_replace("p_name", " ", ","), F.col("p_type"))
+    req = (F.when(F.col("p_partkey") % 5 == 0, F.lit(""))
+           .when(F.col("p_partkey") % 7 == 0, F.concat(words, F.lit(",")))
+           .otherwise(words))
+    return p.select(F.col("p_partkey").cast("bigint").alias("id"), req.alias("request"))
