@@ -144,3 +144,79 @@ def q_session_seen(spark, sf):
 def q_feed_trending(spark, sf):
     return FD.feed_trending(trending_orders(spark, sf), FX.views(spark, sf), sessions(spark, sf),
                             page=0, page_size=P.PAGE_SIZE)
+
+
+# -- similarity ---------------------------------------------------------------------------
+
+from reposcope.operators import similarity as SI  # noqa: E402
+
+
+def topk_all(spark, sf):
+    return SI.similar_topk(FX.vectors(spark, sf), P.SIMILARITY_K)
+
+
+def hybrid_all(spark, sf):
+    return SI.similarity_hybrid(topk_all(spark, sf), enriched(spark, sf))
+
+
+def recent_events(spark, sf):
+    return S.recently_pushed(FX.stats(spark, sf), P.EVENTS_SINCE)
+
+
+HY_OUT = ["source_id", "candidate_id", F.round("cosine", 6).alias("cosine"),
+          F.round("topic_score", 6).alias("topic_score"),
+          F.round("language_score", 6).alias("language_score"), F.round("score", 6).alias("score"), "rank"]
+
+
+@register("similar_topk")
+def q_similar_topk(spark, sf):
+    return topk_all(spark, sf).select("source_id", "candidate_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@register("similarity_hybrid")
+def q_similarity_hybrid(spark, sf):
+    """The periodic job: sources = recently pushed repositories."""
+    src = recent_events(spark, sf)
+    topk = SI.similar_topk(FX.vectors(spark, sf), P.SIMILARITY_K, sources=src)
+    return SI.similarity_hybrid(topk, enriched(spark, sf)).select(*HY_OUT)
+
+
+@register("jaccard_pairs")
+def q_jaccard_pairs(spark, sf):
+    j = SI.jaccard_pairs(topk_all(spark, sf), enriched(spark, sf))
+    return j.select("source_id", "candidate_id", F.round("topic_jaccard", 6).alias("topic_jaccard"),
+                    F.round("language_jaccard", 6).alias("language_jaccard"))
+
+
+@register("similarity_json")
+def q_similarity_json(spark, sf):
+    return SI.similarity_json(hybrid_all(spark, sf))
+
+
+@register("upsert_similarity")
+def q_upsert_similarity(spark, sf):
+    js = SI.similarity_json(hybrid_all(spark, sf))
+    cur = js.join(recent_events(spark, sf).select(F.col("repository_id").alias("id")), "id", "left_semi")
+    return SI.upsert_similarity(cur, js)
+
+
+@register("embed_requests")
+def q_embed_requests(spark, sf):
+    recent = S.recently_pushed(FX.stats_long(spark, sf), P.ORDERS_SINCE, order_cols=ORDERS_ORDER)
+    rc = IN.readme_candidates(FX.repos(spark, sf), FX.readme_probes(spark, sf), P.README_BASE)
+    return SI.embed_requests(recent, FX.vectors(spark, sf), rc.withColumnRenamed("repository_id", "id"))
+
+
+@register("feed_personalized")
+def q_feed_personalized(spark, sf):
+    f = FD.feed_personalized(FX.views(spark, sf), hybrid_all(spark, sf), page=0, page_size=P.PAGE_SIZE,
+                             history_limit=P.HISTORY_LIMIT)
+    return f.withColumn("score", F.round("score", 6))
+
+
+@register("feed_page")
+def q_feed_page(spark, sf):
+    """Second page of the combined feed (personalised where history exists)."""
+    f = FD.feed(trending_orders(spark, sf), FX.views(spark, sf), hybrid_all(spark, sf),
+                sessions(spark, sf), page=1, page_size=P.PAGE_SIZE, history_limit=P.HISTORY_LIMIT)
+    return f.withColumn("score", F.round("score", 6))

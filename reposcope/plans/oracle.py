@@ -90,7 +90,8 @@ FIXTURE_SQL: dict[str, str] = {
         SELECT r.id, r.name, r.full_name, r.description, r.html_url, r.default_branch,
                r.created_at, r.last_crawled_at, o.login AS owner_login, li.name AS license_name,
                COALESCE(tg.tags, []) AS tags, COALESCE(tp.topics, []) AS topics,
-               COALESCE(lg.langs, []) AS langs, COALESCE(pl.language, 'Unknown') AS language
+               COALESCE(lg.langs, []) AS langs, COALESCE(lg.lang_names, []) AS lang_names,
+               COALESCE(pl.language, 'Unknown') AS language
         FROM f_repos r
         JOIN f_owners o ON r.owner_id = o.id
         LEFT JOIN f_licenses li ON r.license_key = li.key
@@ -98,7 +99,8 @@ FIXTURE_SQL: dict[str, str] = {
                ON r.id = tg.repository_id
         LEFT JOIN (SELECT repository_id, list(topic ORDER BY topic) AS topics FROM f_topics GROUP BY 1) tp
                ON r.id = tp.repository_id
-        LEFT JOIN (SELECT repository_id, list(language || ':' || CAST(size AS VARCHAR) ORDER BY language) AS langs
+        LEFT JOIN (SELECT repository_id, list(language || ':' || CAST(size AS VARCHAR) ORDER BY language) AS langs,
+                          list(language ORDER BY language) AS lang_names
                    FROM f_langs GROUP BY 1) lg
                ON r.id = lg.repository_id
         LEFT JOIN (SELECT repository_id, language FROM (
@@ -108,8 +110,38 @@ FIXTURE_SQL: dict[str, str] = {
                ON r.id = pl.repository_id""",
 }
 
+# Exact cosine top-k over all vectors (self excluded), written as a plain
+# dimension-wise join + sum, independent of the blocked numpy plan.
+FIXTURE_SQL["f_unit"] = """
+        SELECT id, i, x / n AS x FROM (
+            SELECT id, i, x, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM (
+                SELECT CAST(vec_id AS BIGINT) AS id, CAST(unnest(embedding) AS DOUBLE) AS x,
+                       unnest(range(len(embedding))) AS i
+                FROM embeddings)) WHERE n > 0"""
+FIXTURE_SQL["f_topk"] = f"""
+        SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY cosine DESC, candidate_id) AS rank
+            FROM (SELECT a.id AS source_id, b.id AS candidate_id, sum(a.x * b.x) AS cosine
+                  FROM f_unit a JOIN f_unit b ON a.i = b.i AND a.id <> b.id GROUP BY 1, 2))
+        WHERE rank <= {P.SIMILARITY_K}"""
+FIXTURE_SQL["f_hybrid"] = """
+        SELECT source_id, candidate_id, cosine, topic_score, language_score,
+               0.6 * cosine + 0.3 * topic_score + 0.1 * language_score AS score,
+               row_number() OVER (PARTITION BY source_id ORDER BY crank) AS rank
+        FROM (SELECT t.source_id, t.candidate_id, t.cosine, t.rank AS crank,
+                     CASE WHEN len(list_distinct(list_concat(s.topics, c.topics))) = 0 THEN 0.0
+                          ELSE len(list_intersect(s.topics, c.topics))
+                               / len(list_distinct(list_concat(s.topics, c.topics))) END AS topic_score,
+                     CASE WHEN len(list_distinct(list_concat(s.lang_names, c.lang_names))) = 0 THEN 0.0
+                          ELSE len(list_intersect(s.lang_names, c.lang_names))
+                               / len(list_distinct(list_concat(s.lang_names, c.lang_names))) END AS language_score
+              FROM f_topk t JOIN f_enriched s ON s.id = t.source_id
+                            JOIN f_enriched c ON c.id = t.candidate_id)"""
+
 # Which fixture views each view needs (in dependency order).
 _DEPS = {
+    "f_topk": ["f_unit"],
+    "f_hybrid": ["f_topk", "f_enriched"],
     "f_enriched": ["f_repos", "f_owners", "f_licenses", "f_tags", "f_topics", "f_langs"],
 }
 

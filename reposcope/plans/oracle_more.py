@@ -123,6 +123,82 @@ def more() -> dict[str, str]:
         r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY trank) AS rank FROM c)
         SELECT session_id, rank, repository_id, growth FROM r
         WHERE rank > 0 AND rank <= {P.PAGE_SIZE}""", "f_stats_long", "f_views")
+    q.update(similarity())
+    return q
+
+
+def similarity() -> dict[str, str]:
+    q: dict[str, str] = {}
+    recent = f"""SELECT DISTINCT repository_id FROM f_stats
+        WHERE (repository_id, event_time) IN (
+            SELECT repository_id, max(event_time) FROM f_stats GROUP BY repository_id)
+          AND pushed_at > {_ts(P.EVENTS_SINCE)}"""
+    q["similar_topk"] = sql("""
+        SELECT source_id, candidate_id, round(cosine, 6) AS cosine, rank FROM f_topk""", "f_topk")
+    hy_out = """source_id, candidate_id, round(cosine, 6) AS cosine, round(topic_score, 6) AS topic_score,
+               round(language_score, 6) AS language_score, round(score, 6) AS score, rank"""
+    q["similarity_hybrid"] = sql(f"""
+        SELECT {hy_out} FROM f_hybrid WHERE source_id IN ({recent})""", "f_hybrid", "f_stats")
+    q["jaccard_pairs"] = sql("""
+        SELECT t.source_id, t.candidate_id,
+               round(CASE WHEN len(list_distinct(list_concat(COALESCE(s.topics, []), COALESCE(c.topics, [])))) = 0 THEN 0.0
+                    ELSE len(list_intersect(COALESCE(s.topics, []), COALESCE(c.topics, [])))
+                         / len(list_distinct(list_concat(COALESCE(s.topics, []), COALESCE(c.topics, [])))) END, 6)
+                    AS topic_jaccard,
+               round(CASE WHEN len(list_distinct(list_concat(COALESCE(s.lang_names, []), COALESCE(c.lang_names, [])))) = 0 THEN 0.0
+                    ELSE len(list_intersect(COALESCE(s.lang_names, []), COALESCE(c.lang_names, [])))
+                         / len(list_distinct(list_concat(COALESCE(s.lang_names, []), COALESCE(c.lang_names, [])))) END, 6)
+                    AS language_jaccard
+        FROM f_topk t LEFT JOIN f_enriched s ON s.id = t.source_id
+                      LEFT JOIN f_enriched c ON c.id = t.candidate_id""", "f_topk", "f_enriched")
+    q["similarity_json"] = sql("""
+        SELECT source_id AS id,
+               '[' || string_agg(printf('{"Score":%.6f,"Member":%d}', score, candidate_id), ',' ORDER BY rank) || ']'
+               AS data
+        FROM f_hybrid GROUP BY source_id""", "f_hybrid")
+    q["upsert_similarity"] = sql(f"""
+        WITH js AS (SELECT source_id AS id,
+                           '[' || string_agg(printf('{{"Score":%.6f,"Member":%d}}', score, candidate_id), ','
+                                             ORDER BY rank) || ']' AS data
+                    FROM f_hybrid GROUP BY source_id),
+        cur AS (SELECT * FROM js WHERE id IN ({recent})),
+        inc AS (SELECT * FROM js)
+        SELECT COALESCE(inc.id, cur.id) AS id, COALESCE(inc.data, cur.data) AS data,
+               (inc.data IS NOT NULL AND inc.data IS DISTINCT FROM cur.data) AS updated
+        FROM cur FULL OUTER JOIN inc ON cur.id = inc.id""", "f_hybrid", "f_stats")
+    q["embed_requests"] = sql(f"""
+        WITH recent AS (SELECT DISTINCT repository_id FROM f_stats_long
+            WHERE (repository_id, event_time) IN (
+                SELECT repository_id, max(event_time) FROM f_stats_long GROUP BY repository_id)
+              AND pushed_at > {_ts(P.ORDERS_SINCE)}),
+        rc AS (SELECT id AS repository_id,
+               CASE WHEN id % 4 <> 0 THEN '{P.README_BASE}/' || full_name || '/' || default_branch || '/README.md'
+                    WHEN id % 3 = 0 THEN '{P.README_BASE}/' || full_name || '/' || default_branch || '/README.txt'
+               END AS readme_url FROM f_repos)
+        SELECT r.repository_id, printf('readmes/%d.md', r.repository_id) AS object_key,
+               COALESCE(rc.readme_url, '') AS download_url
+        FROM recent r LEFT JOIN rc ON rc.repository_id = r.repository_id
+        WHERE r.repository_id NOT IN (SELECT CAST(vec_id AS BIGINT) FROM embeddings)""",
+                                "f_stats_long", "f_repos")
+    personal = f"""
+        hist AS (SELECT * FROM (SELECT session_id, repository_id,
+                     row_number() OVER (PARTITION BY session_id ORDER BY viewed_at DESC, repository_id DESC) AS rn
+                 FROM f_views) WHERE rn <= {P.HISTORY_LIMIT}),
+        cand AS (SELECT h.session_id, s.candidate_id AS repository_id, sum(s.score) AS score
+                 FROM hist h JOIN f_hybrid s ON s.source_id = h.repository_id GROUP BY 1, 2),
+        seen AS (SELECT DISTINCT session_id, repository_id FROM f_views),
+        f AS (SELECT * FROM cand c WHERE NOT EXISTS (
+                 SELECT 1 FROM seen x WHERE x.session_id = c.session_id AND x.repository_id = c.repository_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, repository_id) AS rank
+              FROM f)"""
+    q["feed_personalized"] = sql(f"""
+        WITH {personal}
+        SELECT session_id, rank, repository_id, round(score, 6) AS score FROM r
+        WHERE rank <= {P.PAGE_SIZE}""", "f_hybrid", "f_views")
+    q["feed_page"] = sql(f"""
+        WITH {personal}
+        SELECT session_id, rank, repository_id, round(score, 6) AS score, 'personalized' AS source FROM r
+        WHERE rank > {P.PAGE_SIZE} AND rank <= {2 * P.PAGE_SIZE}""", "f_hybrid", "f_views")
     return q
 
 
