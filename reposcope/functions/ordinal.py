@@ -1,10 +1,14 @@
 """Distributed global ordinals.
 
 ``row_number()`` over an un-partitioned window moves a whole table into one
-task. ``global_rank`` instead range-partitions by the order, numbers rows
-inside each range and adds the row count of all earlier ranges (a table
-with one row per range, so its prefix sum is tiny). Exact and total when
-``order`` ends in a unique column.
+task. ``global_rank`` instead range-partitions by the order, sorts inside
+each range and numbers rows with ``monotonically_increasing_id`` (range
+index in the high bits, position in the low bits) — all in one stage. The
+range partitioner samples its bounds on every evaluation, so the numbered
+frame is pinned with ``checkpoint()`` (in the shared checkpoint folder)
+before it is read twice: once for the per-range sizes (one row per range;
+their prefix sum is tiny) and once for the rows. Exact and total when the
+order ends in a unique column.
 """
 
 from __future__ import annotations
@@ -14,19 +18,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reposcope.session import checkpoint_root
+
+_LOW_BITS = 33
+
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
                 num_ranges: int | None = None) -> DataFrame:
     spark = df.sparkSession
+    checkpoint_root(spark)
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    x = x.withColumn("_local", local)
-    sizes = x.groupBy("_range").agg(F.max("_local").alias("_n"))
+    mid = F.monotonically_increasing_id()
+    x = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_mid", mid)
+         .withColumn("_range", F.shiftright("_mid", _LOW_BITS))
+         .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1))
+         .drop("_mid")
+         .checkpoint(eager=True))
+    sizes = x.groupBy("_range").agg((F.max("_local") + 1).alias("_n"))
     # One row per range: bounded by the range count, safe in one partition.
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_range", before.alias("_offset"))
     return (x.join(F.broadcast(offsets), "_range")
-            .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
+            .withColumn(name, (F.col("_offset") + F.col("_local") + 1).cast("bigint"))
             .drop("_range", "_local", "_offset"))

@@ -220,3 +220,80 @@ def q_feed_page(spark, sf):
     f = FD.feed(trending_orders(spark, sf), FX.views(spark, sf), hybrid_all(spark, sf),
                 sessions(spark, sf), page=1, page_size=P.PAGE_SIZE, history_limit=P.HISTORY_LIMIT)
     return f.withColumn("score", F.round("score", 6))
+
+
+# -- publishing, text, README, embeddings, ranges ---------------------------------------
+
+from reposcope.operators import embed as EM  # noqa: E402
+from reposcope.operators import publish as PB  # noqa: E402
+from reposcope.operators import ranges as RG  # noqa: E402
+
+
+def next_post(spark, sf):
+    e = enriched(spark, sf)
+    return PB.next_to_post(trending_events(spark, sf), e, FX.posted(spark, sf), n=1)
+
+
+@register("next_to_post")
+def q_next_to_post(spark, sf):
+    return next_post(spark, sf)
+
+
+@register("post_text")
+def q_post_text(spark, sf):
+    return PB.post_text(enriched(spark, sf), P.BASE_URL, P.POST_LIMIT_BYTES)
+
+
+@register("mark_posted")
+def q_mark_posted(spark, sf):
+    return PB.mark_posted(FX.posted(spark, sf), next_post(spark, sf), P.EVENTS_AS_OF)
+
+
+@register("html_snippet")
+def q_html_snippet(spark, sf):
+    pages = FX.table(spark, sf, "pages")
+    return pages.select("page_id", PB.html_snippet(F.col("html"), P.SNIPPET_CHARS).alias("snippet"))
+
+
+@register("page_meta")
+def q_page_meta(spark, sf):
+    return PB.page_meta(FX.repos(spark, sf), "reposcope", P.BASE_URL)
+
+
+@register("bot_flag")
+def q_bot_flag(spark, sf):
+    docs = FX.table(spark, sf, "documents")
+    return docs.select("doc_id", PB.bot_flag(F.col("text")).alias("is_bot"))
+
+
+@register("readme_text")
+def q_readme_text(spark, sf):
+    store = FX.readme_store(spark, sf)
+    return store.select(IN.key_to_id(F.col("object_key")).alias("repository_id"), "object_key",
+                        F.length("body").cast("bigint").alias("n_chars"),
+                        F.octet_length("body").cast("bigint").alias("n_bytes"),
+                        F.sha2("body", 256).alias("body_sha256"))
+
+
+@register("embed_texts")
+def q_embed_texts(spark, sf):
+    docs = FX.table(spark, sf, "documents").withColumnRenamed("doc_id", "repository_id")
+    v = EM.embed_texts(docs, "text", "repository_id", dim=384)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return v.select("repository_id", F.size("embedding").cast("bigint").alias("n_dims"),
+                    F.round(norm, 6).alias("norm"))
+
+
+def leaves(spark, sf):
+    return RG.adaptive_ranges(FX.range_input(spark, sf), "v", P.RANGE_LO, P.RANGE_HI, P.RANGE_CAP)
+
+
+@register("adaptive_ranges")
+def q_adaptive_ranges(spark, sf):
+    return leaves(spark, sf)
+
+
+@register("range_pages")
+def q_range_pages(spark, sf):
+    return RG.range_pages(FX.range_input(spark, sf), leaves(spark, sf), "v", "id",
+                          P.RANGE_LO, P.RANGE_HI, P.RANGE_PAGE)

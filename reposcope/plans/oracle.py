@@ -162,6 +162,8 @@ def sql(body: str, *views: str) -> str:
         return body
     ctes = ",\n".join(f"{v} AS ({FIXTURE_SQL[v]})" for v in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

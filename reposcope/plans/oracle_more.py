@@ -124,6 +124,7 @@ def more() -> dict[str, str]:
         SELECT session_id, rank, repository_id, growth FROM r
         WHERE rank > 0 AND rank <= {P.PAGE_SIZE}""", "f_stats_long", "f_views")
     q.update(similarity())
+    q.update(publishing())
     return q
 
 
@@ -202,6 +203,86 @@ def similarity() -> dict[str, str]:
     return q
 
 
+RE2_SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _leaves() -> str:
+    return f"""
+        WITH RECURSIVE r(lo, hi) AS (
+            SELECT CAST({P.RANGE_LO} AS BIGINT), CAST({P.RANGE_HI} AS BIGINT)
+            UNION ALL
+            SELECT c.lo, c.hi FROM r,
+                LATERAL (SELECT (SELECT count(*) FROM f_range WHERE v BETWEEN r.lo AND r.hi) AS n) q,
+                LATERAL (VALUES (r.lo, r.lo + (r.hi - r.lo) // 2), (r.lo + (r.hi - r.lo) // 2 + 1, r.hi)) c(lo, hi)
+            WHERE q.n > {P.RANGE_CAP} AND r.lo < r.hi),
+        counted AS (SELECT lo, hi, (SELECT count(*) FROM f_range WHERE v BETWEEN r.lo AND r.hi) AS n FROM r)
+        SELECT lo, hi, n FROM counted WHERE (n <= {P.RANGE_CAP} OR lo = hi) AND n > 0"""
+
+
+def publishing() -> dict[str, str]:
+    from reposcope.operators.publish import BOT_AGENTS
+    q: dict[str, str] = {}
+    nxt = f"""
+        WITH tr AS ({TREND_EV})
+        SELECT repository_id, rank FROM tr
+        WHERE repository_id NOT IN (SELECT repository_id FROM f_posted)
+          AND repository_id IN (SELECT id FROM f_enriched)
+        ORDER BY rank LIMIT 1"""
+    q["next_to_post"] = sql(nxt, "f_stats", "f_posted", "f_enriched")
+    q["mark_posted"] = sql(f"""
+        WITH nxt AS ({nxt.replace("WITH tr AS", "SELECT * FROM (WITH tr AS")}))
+        SELECT repository_id, posted_at FROM f_posted
+        UNION ALL
+        SELECT repository_id, TIMESTAMP '2024-01-31 00:00:00' AS posted_at FROM nxt""",
+                           "f_stats", "f_posted", "f_enriched")
+    nl = "chr(10)"
+    q["post_text"] = sql(f"""
+        WITH b AS (SELECT id, full_name, COALESCE(description, '') AS summary,
+                          list_transform(lang_names, lambda x: '#' || replace(x, ' ', '')) AS lt,
+                          list_transform(list_filter(topics, lambda t: strlen(t) <= 15),
+                                         lambda t: '#' || replace(t, '-', '')) AS tt
+                   FROM f_enriched),
+        c AS (SELECT *, '🚀 Trending on GitHub: ' || full_name || {nl} || {nl} AS head,
+                     {nl} || {nl} || '🔗 {P.BASE_URL}/repository/' || CAST(id AS VARCHAR) || {nl} || {nl}
+                     || array_to_string(list_concat(lt, tt[1:greatest(0, 4 - len(lt))]), ' ') AS tail
+              FROM b),
+        d AS (SELECT *, {P.POST_LIMIT_BYTES} - strlen(head) - strlen(tail) AS remaining FROM c)
+        SELECT id AS repository_id,
+               head || CASE WHEN strlen(summary) > remaining
+                            THEN left(summary, greatest(0, remaining - 3)) || '...'
+                            ELSE summary END || tail AS text
+        FROM d""", "f_enriched")
+    sp = RE2_SPACE
+    q["html_snippet"] = f"""
+        SELECT page_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                   regexp_replace(html, '(?s)<style[^>]*>.*</style>', '', 'g'),
+                   '(?s)<script[^>]*>.*</script>', '', 'g'),
+                   '<[^>]+>', ' ', 'g'),
+                   '{sp}{{2,}}', ' ', 'g'),
+                   '^{sp}+|{sp}+$', '', 'g'), 1, {P.SNIPPET_CHARS}) AS snippet
+        FROM pages"""
+    q["page_meta"] = sql(f"""
+        SELECT id AS repository_id, full_name || ' - reposcope' AS title,
+               COALESCE(description, '') AS description,
+               '{P.BASE_URL}/api/og?id=' || CAST(id AS VARCHAR) AS og_image
+        FROM f_repos""", "f_repos")
+    cond = " OR ".join(f"contains(lower(COALESCE(text, '')), '{b}')" for b in BOT_AGENTS)
+    q["bot_flag"] = f"SELECT doc_id, ({cond}) AS is_bot FROM documents"
+    q["readme_text"] = """
+        SELECT CAST(doc_id AS BIGINT) AS repository_id, printf('readmes/%d.md', doc_id) AS object_key,
+               CAST(length(text) AS BIGINT) AS n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes,
+               sha256(text) AS body_sha256
+        FROM documents"""
+    q["adaptive_ranges"] = sql(_leaves(), "f_range")
+    q["range_pages"] = sql(f"""
+        WITH lv AS ({_leaves().replace("WITH RECURSIVE", "SELECT * FROM (WITH RECURSIVE")})),
+        x AS (SELECT lv.lo, lv.hi, f.id, f.v FROM f_range f JOIN lv ON f.v BETWEEN lv.lo AND lv.hi)
+        SELECT lo, hi, CAST((row_number() OVER (PARTITION BY lo, hi ORDER BY v, id) - 1) // {P.RANGE_PAGE} + 1
+                            AS BIGINT) AS page, id
+        FROM x""", "f_range")
+    return q
+
+
 def _colors() -> dict[str, str]:
     from reposcope.functions.languages import LANGUAGE_COLORS
     return LANGUAGE_COLORS

@@ -186,3 +186,10 @@ def facet_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("p_partkey") % 7 == 0, F.concat(words, F.lit(",")))
            .otherwise(words))
     return p.select(F.col("p_partkey").cast("bigint").alias("id"), req.alias("request"))
+
+
+def readme_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """README object store rows (object_key, body) from ``documents``."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.format_string("readmes/%d.md", F.col("doc_id")).alias("object_key"),
+                    F.col("text").alias("body"))
