@@ -297,3 +297,52 @@ def q_adaptive_ranges(spark, sf):
 def q_range_pages(spark, sf):
     return RG.range_pages(FX.range_input(spark, sf), leaves(spark, sf), "v", "id",
                           P.RANGE_LO, P.RANGE_HI, P.RANGE_PAGE)
+
+
+# -- upserts ------------------------------------------------------------------------------
+
+from reposcope.operators import upsert as UP  # noqa: E402
+
+
+@register("upsert_owners")
+def q_upsert_owners(spark, sf):
+    return UP.upsert_owners(FX.owners(spark, sf), FX.owner_messages(spark, sf)).select("id", "login", "type")
+
+
+@register("upsert_licenses")
+def q_upsert_licenses(spark, sf):
+    return UP.upsert_licenses(FX.licenses(spark, sf), FX.license_messages(spark, sf))
+
+
+@register("upsert_repositories")
+def q_upsert_repositories(spark, sf):
+    nxt = UP.upsert_repositories(FX.repos(spark, sf), FX.repo_messages(spark, sf))
+    return nxt.select("id", "name", "description", "license_key", "is_archived", "last_crawled_at", "created_at")
+
+
+@register("upsert_bridges")
+def q_upsert_bridges(spark, sf):
+    return UP.upsert_bridges(FX.bridge_rows(spark, sf), FX.bridge_messages(spark, sf))
+
+
+@register("upsert_vectors")
+def q_upsert_vectors(spark, sf):
+    v = UP.upsert_vectors(FX.vectors(spark, sf), FX.vector_messages(spark, sf))
+    return v.select("repository_id", F.size("embedding").cast("bigint").alias("n_dims"),
+                    F.round(F.element_at("embedding", 1).cast("double"), 6).alias("e_first"),
+                    F.round(F.element_at("embedding", -1).cast("double"), 6).alias("e_last"))
+
+
+@register("needs_crawl")
+def q_needs_crawl(spark, sf):
+    disc = FX.stats(spark, sf).select("repository_id", "event_time", "pushed_at")
+    return IN.needs_crawl(disc, FX.repos(spark, sf))
+
+
+@register("refresh_candidates")
+def q_refresh_candidates(spark, sf):
+    """Re-crawl candidates: recently pushed ∪ latest discovery needing a crawl."""
+    st = FX.stats(spark, sf)
+    latest = S.latest_stat(st).select("repository_id", "event_time", "pushed_at")
+    gate = IN.needs_crawl(latest, FX.repos(spark, sf)).where("needs_crawl").select("repository_id")
+    return S.recently_pushed(st, P.EVENTS_SINCE).unionByName(gate).distinct()

@@ -10,6 +10,8 @@ repeating them. DuckDB 2.0 lambdas are written ``lambda x: …``.
 
 from __future__ import annotations
 
+import re
+
 from reposcope.plans import params as P
 
 # Model views over the test tables, mirroring reposcope.sources.fixtures.
@@ -162,8 +164,9 @@ def sql(body: str, *views: str) -> str:
         return body
     ctes = ",\n".join(f"{v} AS ({FIXTURE_SQL[v]})" for v in order)
     body = body.strip()
-    if body.upper().startswith("WITH RECURSIVE "):
-        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
+    m = re.match(r"(?is)^with\s+recursive\s+", body)
+    if m:
+        return f"WITH RECURSIVE {ctes},\n{body[m.end():]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

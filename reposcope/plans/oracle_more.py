@@ -125,6 +125,7 @@ def more() -> dict[str, str]:
         WHERE rank > 0 AND rank <= {P.PAGE_SIZE}""", "f_stats_long", "f_views")
     q.update(similarity())
     q.update(publishing())
+    q.update(upserts())
     return q
 
 
@@ -283,6 +284,126 @@ def publishing() -> dict[str, str]:
     return q
 
 
+def upserts() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["upsert_owners"] = """
+        WITH cur AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS login, 'Organization' AS type FROM nation),
+        msg AS (SELECT CAST(p_partkey % 30 AS BIGINT) AS id,
+                       'owner' || CAST(p_partkey % 30 AS VARCHAR) || '-' || CAST(p_partkey AS VARCHAR) AS login,
+                       'User' AS type, p_partkey AS seq FROM part),
+        first_msg AS (SELECT id, login, type FROM (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM msg) WHERE rn = 1)
+        SELECT * FROM cur
+        UNION ALL SELECT * FROM first_msg WHERE id NOT IN (SELECT id FROM cur)"""
+    q["upsert_licenses"] = """
+        WITH RECURSIVE
+        cur AS (SELECT CAST(r_regionkey AS VARCHAR) AS key, r_name AS name, lower(r_name) AS spdx_id,
+                       CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS node_id FROM region),
+        raw AS (SELECT CASE WHEN p_partkey % 13 <> 0 THEN CAST(p_partkey % 7 AS VARCHAR) END AS key,
+                       CASE WHEN p_partkey % 50 = 0 THEN 'LIC-' || CAST(p_partkey % 7 AS VARCHAR) || '-B'
+                            ELSE 'LIC-' || CAST(p_partkey % 7 AS VARCHAR) END AS name,
+                       CAST(NULL AS VARCHAR) AS url, 'n' || CAST(p_partkey AS VARCHAR) AS node_id,
+                       p_partkey AS seq FROM part),
+        msg AS (SELECT key, name, lower(name) AS spdx_id, url, node_id,
+                       row_number() OVER (PARTITION BY key ORDER BY seq) AS rn
+                FROM raw WHERE key IS NOT NULL),
+        keys AS (SELECT key FROM cur UNION SELECT key FROM msg),
+        st(key, rn, present, name, spdx_id, url, node_id) AS (
+            SELECT k.key, 0, c.key IS NOT NULL, c.name, c.spdx_id, c.url, c.node_id
+            FROM keys k LEFT JOIN cur c ON c.key = k.key
+            UNION ALL
+            SELECT m.key, m.rn, true,
+                   m.name, m.spdx_id, m.url,
+                   CASE WHEN NOT st.present OR st.name IS DISTINCT FROM m.name
+                             OR st.spdx_id IS DISTINCT FROM m.spdx_id OR st.url IS DISTINCT FROM m.url
+                        THEN m.node_id ELSE st.node_id END
+            FROM st JOIN msg m ON m.key = st.key AND m.rn = st.rn + 1)
+        SELECT key, name, spdx_id, url, node_id FROM st
+        WHERE present AND (key, rn) IN (SELECT key, max(rn) FROM st GROUP BY key)"""
+    q["upsert_repositories"] = sql("""
+        WITH RECURSIVE
+        cur AS (SELECT id, name, description, CAST(NULL AS VARCHAR) AS homepage, license_key,
+                       false AS is_archived, false AS is_disabled, last_crawled_at, created_at FROM f_repos),
+        msg AS (SELECT CAST(o_custkey + 1000 AS BIGINT) AS id, 'n' || CAST(o_orderkey AS VARCHAR) AS name,
+                       'd' || CAST(o_orderkey % 3 AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS homepage,
+                       CASE WHEN o_orderkey % 5 <> 0 THEN '1' END AS license_key,
+                       o_orderstatus = 'F' AS is_archived, false AS is_disabled,
+                       o_orderdate AS last_crawled_at, o_orderdate AS created_at,
+                       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
+                FROM orders),
+        keys AS (SELECT id FROM cur UNION SELECT id FROM msg),
+        st(id, rn, present, name, description, homepage, license_key, is_archived, is_disabled,
+           last_crawled_at, created_at) AS (
+            SELECT k.id, 0, c.id IS NOT NULL, c.name, c.description, c.homepage, c.license_key,
+                   c.is_archived, c.is_disabled, c.last_crawled_at, c.created_at
+            FROM keys k LEFT JOIN cur c ON c.id = k.id
+            UNION ALL
+            SELECT m.id, m.rn, true,
+                   CASE WHEN u.upd THEN m.name ELSE st.name END,
+                   CASE WHEN u.upd THEN m.description ELSE st.description END,
+                   CASE WHEN u.upd THEN m.homepage ELSE st.homepage END,
+                   CASE WHEN u.upd THEN m.license_key ELSE st.license_key END,
+                   CASE WHEN u.upd THEN m.is_archived ELSE st.is_archived END,
+                   CASE WHEN u.upd THEN m.is_disabled ELSE st.is_disabled END,
+                   CASE WHEN u.upd THEN m.last_crawled_at ELSE st.last_crawled_at END,
+                   CASE WHEN st.present THEN st.created_at ELSE m.created_at END
+            FROM st JOIN msg m ON m.id = st.id AND m.rn = st.rn + 1,
+                 LATERAL (SELECT COALESCE(NOT st.present
+                      OR st.description IS DISTINCT FROM m.description
+                      OR st.homepage IS DISTINCT FROM m.homepage
+                      OR st.license_key IS DISTINCT FROM m.license_key
+                      OR st.is_archived IS DISTINCT FROM m.is_archived
+                      OR st.is_disabled IS DISTINCT FROM m.is_disabled
+                      OR st.last_crawled_at < m.last_crawled_at, false) AS upd) u)
+        SELECT id, name, description, license_key, is_archived, last_crawled_at, created_at FROM st
+        WHERE present AND (id, rn) IN (SELECT id, max(rn) FROM st GROUP BY id)""", "f_repos")
+    q["upsert_bridges"] = sql("""
+        WITH cur AS (
+            SELECT repository_id, 'tag' AS kind, tag AS name, CAST(NULL AS BIGINT) AS size FROM f_tags
+            UNION ALL SELECT repository_id, 'topic', topic, CAST(NULL AS BIGINT) FROM f_topics
+            UNION ALL SELECT repository_id, 'lang', language, size FROM f_langs),
+        msg AS (
+            SELECT CAST(o_custkey AS BIGINT) AS repository_id, 'tag' AS kind, o_orderstatus AS name,
+                   CAST(NULL AS BIGINT) AS size, o_orderkey AS seq FROM orders
+            UNION ALL
+            SELECT CAST(o_custkey AS BIGINT), 'lang', o_orderpriority, CAST(floor(o_totalprice) AS BIGINT),
+                   o_orderkey FROM orders),
+        allrows AS (SELECT *, 0 AS src, CAST(NULL AS BIGINT) AS seq FROM cur
+                    UNION ALL SELECT repository_id, kind, name, size, 1, seq FROM msg)
+        SELECT repository_id, kind, name, size FROM (
+            SELECT *, row_number() OVER (PARTITION BY repository_id, kind, name
+                                         ORDER BY src DESC, seq DESC NULLS LAST) AS rn FROM allrows)
+        WHERE rn = 1""", "f_tags", "f_topics", "f_langs")
+    q["upsert_vectors"] = """
+        WITH allv AS (
+            SELECT CAST(vec_id AS BIGINT) AS repository_id, embedding, 0 AS src FROM embeddings
+            UNION ALL
+            SELECT CAST(vec_id AS BIGINT), list_transform(embedding, lambda x: -x), 1 FROM embeddings WHERE label = 0
+            UNION ALL
+            SELECT CAST(vec_id + 100000 AS BIGINT), embedding, 1 FROM embeddings WHERE label = 1),
+        pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY src DESC) AS rn
+                                FROM allv) WHERE rn = 1)
+        SELECT repository_id, CAST(len(embedding) AS BIGINT) AS n_dims,
+               round(CAST(embedding[1] AS DOUBLE), 6) AS e_first,
+               round(CAST(embedding[-1] AS DOUBLE), 6) AS e_last
+        FROM pick"""
+    q["needs_crawl"] = sql("""
+        SELECT s.repository_id, s.event_time, s.pushed_at, r.last_crawled_at,
+               COALESCE(s.pushed_at >= r.last_crawled_at, true) AS needs_crawl
+        FROM f_stats s LEFT JOIN f_repos r ON r.id = s.repository_id""", "f_stats", "f_repos")
+    q["refresh_candidates"] = sql(f"""
+        WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id
+                                                                   ORDER BY event_time DESC) AS rn
+                                       FROM f_stats) WHERE rn = 1)
+        SELECT DISTINCT repository_id FROM f_stats
+        WHERE (repository_id, event_time) IN (SELECT repository_id, max(event_time) FROM f_stats GROUP BY 1)
+          AND pushed_at > {_ts(P.EVENTS_SINCE)}
+        UNION
+        SELECT l.repository_id FROM latest l LEFT JOIN f_repos r ON r.id = l.repository_id
+        WHERE COALESCE(l.pushed_at >= r.last_crawled_at, true)""", "f_stats", "f_repos")
+    return q
+
+
 def _colors() -> dict[str, str]:
     from reposcope.functions.languages import LANGUAGE_COLORS
     return LANGUAGE_COLORS

@@ -193,3 +193,87 @@ def readme_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.format_string("readmes/%d.md", F.col("doc_id")).alias("object_key"),
                     F.col("text").alias("body"))
+
+
+# -- incoming messages for the upsert operators ------------------------------------------
+
+def owner_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner records as they arrive with crawl messages (ids 0..29)."""
+    p = table(spark, sf_dir, "part")
+    oid = (F.col("p_partkey") % 30).cast("bigint")
+    return p.select(oid.alias("id"),
+                    F.concat(F.lit("owner"), oid.cast("string"), F.lit("-"), F.col("p_partkey").cast("string"))
+                    .alias("login"),
+                    F.lit(None).cast("string").alias("avatar_url"),
+                    F.lit(None).cast("string").alias("html_url"),
+                    F.lit("User").alias("type"),
+                    F.col("p_partkey").cast("bigint").alias("seq"))
+
+
+def license_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = (F.col("p_partkey") % 7).cast("string")
+    name = F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("LIC-"), k, F.lit("-B"))) \
+        .otherwise(F.concat(F.lit("LIC-"), k))
+    return p.select(F.when(F.col("p_partkey") % 13 != 0, k).alias("key"), name.alias("name"),
+                    F.lower(name).alias("spdx_id"), F.lit(None).cast("string").alias("url"),
+                    F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("node_id"),
+                    F.col("p_partkey").cast("bigint").alias("seq"))
+
+
+def repo_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl results from ``orders``: arrival order = order key, crawl time =
+    order date, so stale messages (older crawl time, later arrival) occur."""
+    o = table(spark, sf_dir, "orders")
+    rid = (F.col("o_custkey") + 1000).cast("bigint")
+    return o.select(
+        rid.alias("id"), F.lit(None).cast("string").alias("node_id"),
+        F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"),
+        F.concat(F.lit("o/"), rid.cast("string")).alias("full_name"),
+        (F.col("o_custkey") % 25).cast("bigint").alias("owner_id"),
+        F.concat(F.lit("d"), (F.col("o_orderkey") % 3).cast("string")).alias("description"),
+        F.concat(F.lit("https://github.com/o/"), rid.cast("string")).alias("html_url"),
+        F.lit(None).cast("string").alias("homepage"),
+        F.lit("main").alias("default_branch"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.lit("1")).alias("license_key"),
+        F.lit(None).cast("string").alias("readme_url"),
+        F.col("o_orderdate").alias("created_at"),
+        F.lit(False).alias("is_fork"), F.lit(False).alias("is_template"),
+        (F.col("o_orderstatus") == "F").alias("is_archived"), F.lit(False).alias("is_disabled"),
+        F.col("o_orderdate").alias("last_crawled_at"),
+        F.col("o_orderkey").cast("bigint").alias("seq"),
+    )
+
+
+def bridge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current bridges in one long form (repository_id, kind, name, size)."""
+    t = tags(spark, sf_dir).select("repository_id", F.lit("tag").alias("kind"), F.col("tag").alias("name"),
+                                   F.lit(None).cast("bigint").alias("size"))
+    tp = topics(spark, sf_dir).select("repository_id", F.lit("topic").alias("kind"),
+                                      F.col("topic").alias("name"), F.lit(None).cast("bigint").alias("size"))
+    lg = langs(spark, sf_dir).select("repository_id", F.lit("lang").alias("kind"),
+                                     F.col("language").alias("name"), "size")
+    return t.unionByName(tp).unionByName(lg)
+
+
+def bridge_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    rid = F.col("o_custkey").cast("bigint")
+    seq = F.col("o_orderkey").cast("bigint")
+    tg = o.select(rid.alias("repository_id"), F.lit("tag").alias("kind"), F.col("o_orderstatus").alias("name"),
+                  F.lit(None).cast("bigint").alias("size"), seq.alias("seq"))
+    lg = o.select(rid.alias("repository_id"), F.lit("lang").alias("kind"), F.col("o_orderpriority").alias("name"),
+                  F.floor("o_totalprice").cast("bigint").alias("size"), seq.alias("seq"))
+    return tg.unionByName(lg)
+
+
+def vector_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector writes: label 0 → the id's vector negated; label 1 → a new id."""
+    v = table(spark, sf_dir, "embeddings")
+    neg = v.where(F.col("label") == 0).select(
+        F.col("vec_id").cast("bigint").alias("repository_id"),
+        F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(1).cast("bigint").alias("seq"))
+    new = v.where(F.col("label") == 1).select(
+        (F.col("vec_id") + 100000).cast("bigint").alias("repository_id"), "embedding",
+        F.lit(1).cast("bigint").alias("seq"))
+    return neg.unionByName(new)
