@@ -346,3 +346,30 @@ def q_refresh_candidates(spark, sf):
     latest = S.latest_stat(st).select("repository_id", "event_time", "pushed_at")
     gate = IN.needs_crawl(latest, FX.repos(spark, sf)).where("needs_crawl").select("repository_id")
     return S.recently_pushed(st, P.EVENTS_SINCE).unionByName(gate).distinct()
+
+
+# -- ingest of landed JSON ---------------------------------------------------------------
+
+@register("ingest_search_pages")
+def q_ingest_search_pages(spark, sf):
+    r = IN.ingest_search_pages(FX.search_pages(spark, sf))
+    return r.select("id", "full_name", "owner_id", "owner_login", "description", "license_key",
+                    "license_name", "language", "stargazers_count", "forks_count", "pushed_at",
+                    F.concat_ws(",", "topics").alias("topics"), "total_count")
+
+
+@register("ingest_tags")
+def q_ingest_tags(spark, sf):
+    t = IN.ingest_tags(FX.landed_tags(spark, sf))
+    return t.select("repository_id", F.concat_ws(",", "tags").alias("tags"),
+                    F.size("tags").cast("bigint").alias("n_tags"))
+
+
+@register("ingest_languages")
+def q_ingest_languages(spark, sf):
+    return IN.ingest_languages(FX.landed_languages(spark, sf))
+
+
+@register("ingest_readme_url")
+def q_ingest_readme_url(spark, sf):
+    return IN.ingest_readme_url(FX.landed_readme_locators(spark, sf, P.README_BASE))

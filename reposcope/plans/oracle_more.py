@@ -126,6 +126,7 @@ def more() -> dict[str, str]:
     q.update(similarity())
     q.update(publishing())
     q.update(upserts())
+    q.update(ingest())
     return q
 
 
@@ -404,6 +405,34 @@ def upserts() -> dict[str, str]:
     return q
 
 
+def ingest() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["ingest_search_pages"] = """
+        SELECT CAST(p_partkey AS BIGINT) AS id,
+               p_brand || '/' || p_name || '-' || CAST(p_partkey AS VARCHAR) AS full_name,
+               CAST(p_partkey % 27 AS BIGINT) AS owner_id, 'owner' || CAST(p_partkey % 27 AS VARCHAR) AS owner_login,
+               CASE WHEN p_partkey % 10 <> 0 THEN p_type || ' ' || p_name END AS description,
+               CASE WHEN p_partkey % 6 < 5 THEN CAST(p_partkey % 6 AS VARCHAR) END AS license_key,
+               CASE WHEN p_partkey % 6 < 5 THEN 'L' || CAST(p_partkey % 6 AS VARCHAR) END AS license_name,
+               CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS language,
+               CAST(p_size * 10 AS BIGINT) AS stargazers_count, CAST(p_size AS BIGINT) AS forks_count,
+               TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(p_partkey % 100 AS INTEGER)) AS pushed_at,
+               array_to_string(list_concat([p_type], string_split(p_name, ' ')), ',') AS topics,
+               count(*) OVER (PARTITION BY p_partkey // 100) AS total_count
+        FROM part"""
+    q["ingest_tags"] = sql("""
+        SELECT repository_id, string_agg(tag, ',' ORDER BY tag) AS tags, count(*) AS n_tags
+        FROM f_tags GROUP BY repository_id""", "f_tags")
+    q["ingest_languages"] = sql("SELECT repository_id, language, size FROM f_langs", "f_langs")
+    q["ingest_readme_url"] = sql(f"""
+        SELECT repository_id, readme_url AS download_url FROM (
+            SELECT id AS repository_id,
+                   CASE WHEN id % 4 <> 0 THEN '{P.README_BASE}/' || full_name || '/' || default_branch || '/README.md'
+                        WHEN id % 3 = 0 THEN '{P.README_BASE}/' || full_name || '/' || default_branch || '/README.txt'
+                   END AS readme_url FROM f_repos) WHERE readme_url IS NOT NULL""", "f_repos")
+    return q
+
+
 def _colors() -> dict[str, str]:
     from reposcope.functions.languages import LANGUAGE_COLORS
     return LANGUAGE_COLORS

@@ -277,3 +277,74 @@ def vector_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("vec_id") + 100000).cast("bigint").alias("repository_id"), "embedding",
         F.lit(1).cast("bigint").alias("seq"))
     return neg.unionByName(new)
+
+
+# -- landed JSON bodies (what the crawler would have fetched) ----------------------------
+
+def _iso(ts):
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def repository_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External repository records (one JSON object per part row).
+    Description: absent when id % 10 = 0, wrapper form when id % 10 = 1."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    full_name = F.concat_ws("", "p_brand", F.lit("/"), "p_name", F.lit("-"), k.cast("string"))
+    rec = F.struct(
+        k.cast("bigint").alias("id"), F.concat(F.lit("N"), k.cast("string")).alias("node_id"),
+        F.col("p_name").alias("name"), full_name.alias("full_name"),
+        F.struct(F.concat(F.lit("owner"), (k % 27).cast("string")).alias("login"),
+                 (k % 27).cast("bigint").alias("id")).alias("owner"),
+        F.concat(F.lit("https://github.com/"), full_name).alias("html_url"),
+        F.when(k % 10 != 0, F.concat_ws(" ", "p_type", "p_name")).alias("description"),
+        _iso(F.expr("TIMESTAMP_NTZ'2020-01-01 00:00:00'")).alias("created_at"),
+        _iso(F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(p_partkey % 100 AS INT))"))
+        .alias("pushed_at"),
+        (F.col("p_size") * 10).cast("bigint").alias("stargazers_count"),
+        (F.col("p_size") * 10).cast("bigint").alias("watchers_count"),
+        F.when(k % 4 != 0, F.col("p_type")).alias("language"),
+        F.col("p_size").cast("bigint").alias("forks_count"),
+        (k % 7).cast("bigint").alias("open_issues_count"),
+        F.lit("main").alias("default_branch"), F.lit(1.0).alias("score"),
+        F.concat(F.array("p_type"), F.split("p_name", " ")).alias("topics"),
+        F.when(k % 6 < 5, F.struct((k % 6).cast("string").alias("key"),
+                                   F.concat(F.lit("L"), (k % 6).cast("string")).alias("name"))).alias("license"),
+        F.lit(False).alias("archived"), F.lit(False).alias("disabled"),
+    )
+    body = F.to_json(rec)
+    wrapped = F.regexp_replace(body, r'"description":("(?:[^"\\]|\\.)*")', '"description":{"String":$1,"Valid":true}')
+    return p.select(k.cast("bigint").alias("id"), F.when(k % 10 == 1, wrapped).otherwise(body).alias("record"))
+
+
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed search result pages of up to 100 items (page = id div 100)."""
+    r = repository_records(spark, sf_dir).withColumn("page", F.floor(F.col("id") / 100))
+    g = r.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("id", "record"))).alias("_items"),
+                              F.count(F.lit(1)).alias("_n"))
+    body = F.concat(F.lit('{"total_count":'), F.col("_n").cast("string"),
+                    F.lit(',"incomplete_results":false,"items":['),
+                    F.array_join(F.transform("_items", lambda x: x["record"]), ","), F.lit("]}"))
+    return g.select("page", body.alias("body"))
+
+
+def landed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tags(spark, sf_dir)
+    g = t.groupBy("repository_id").agg(F.sort_array(F.collect_list(F.struct(F.col("tag").alias("name"))))
+                                       .alias("_a"))
+    return g.select("repository_id", F.to_json("_a").alias("body"))
+
+
+def landed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lg = langs(spark, sf_dir)
+    g = lg.groupBy("repository_id").agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("language", "size")))).alias("_m"))
+    return g.select("repository_id", F.to_json("_m").alias("body"))
+
+
+def landed_readme_locators(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
+    from reposcope.sources.ingest import readme_candidates
+    rc = readme_candidates(repos(spark, sf_dir), readme_probes(spark, sf_dir), base)
+    return (rc.where(F.col("readme_url").isNotNull())
+            .select("repository_id", F.to_json(F.struct(F.regexp_extract("readme_url", r"([^/]+)$", 1).alias("name"),
+                                                         F.col("readme_url").alias("download_url"))).alias("body")))

@@ -51,3 +51,96 @@ def object_key(repository_id: Column) -> Column:
 def key_to_id(key: Column) -> Column:
     """Inverse of ``object_key`` (null when the key does not match)."""
     return F.regexp_extract(key, r"readmes/(\d+)\.md$", 1).try_cast("bigint")
+
+
+# -- landed JSON bodies ---------------------------------------------------------------------
+
+OWNER_T = ("struct<login:string,id:bigint,node_id:string,avatar_url:string,html_url:string,"
+           "type:string,site_admin:boolean>")
+LICENSE_T = "struct<key:string,name:string,spdx_id:string,url:string,node_id:string>"
+REPO_T = (
+    "struct<id:bigint,node_id:string,name:string,full_name:string,owner:" + OWNER_T + ","
+    "private:boolean,html_url:string,description:string,fork:boolean,url:string,created_at:string,"
+    "updated_at:string,pushed_at:string,homepage:string,size:bigint,stargazers_count:bigint,"
+    "watchers_count:bigint,language:string,forks_count:bigint,open_issues_count:bigint,"
+    "default_branch:string,score:double,topics:array<string>,archived:boolean,disabled:boolean,"
+    "visibility:string,license:" + LICENSE_T + ",allow_forking:boolean,is_template:boolean,"
+    "readme_url:string,tags:array<string>,languages:map<string,bigint>>"
+)
+SEARCH_PAGE_T = f"struct<total_count:bigint,incomplete_results:boolean,items:array<{REPO_T}>>"
+TAGS_T = "array<struct<name:string>>"
+LANGUAGES_T = "map<string,bigint>"
+
+
+def nullable_text(c: Column) -> Column:
+    """A nullable string given either plainly (string / null) or in the
+    serialised wrapper form ``{"String": s, "Valid": b}`` (``from_json``
+    hands an object in a string field back as its JSON text)."""
+    valid = F.get_json_object(c, "$.Valid")
+    wrapped = c.startswith("{") & valid.isNotNull()
+    return F.when(wrapped, F.when(valid == "true", F.get_json_object(c, "$.String"))).otherwise(c)
+
+
+def parse_time(c: Column) -> Column:
+    """RFC 3339 text → UTC wall-clock ``timestamp_ntz`` (null if invalid)."""
+    return F.try_to_timestamp(c).cast("timestamp_ntz")
+
+
+def flatten_repository(r: Column) -> list[Column]:
+    """One select over a decoded repository record; optional fields are
+    unwrapped, times parsed."""
+    return [
+        r["id"].alias("id"),
+        nullable_text(r["node_id"]).alias("node_id"),
+        r["name"].alias("name"),
+        r["full_name"].alias("full_name"),
+        r["owner"]["id"].alias("owner_id"),
+        r["owner"]["login"].alias("owner_login"),
+        nullable_text(r["description"]).alias("description"),
+        r["html_url"].alias("html_url"),
+        nullable_text(r["homepage"]).alias("homepage"),
+        r["default_branch"].alias("default_branch"),
+        nullable_text(r["language"]).alias("language"),
+        nullable_text(r["license"]["key"]).alias("license_key"),
+        nullable_text(r["license"]["name"]).alias("license_name"),
+        r["stargazers_count"].alias("stargazers_count"),
+        r["watchers_count"].alias("watchers_count"),
+        r["forks_count"].alias("forks_count"),
+        r["open_issues_count"].alias("open_issues_count"),
+        parse_time(r["created_at"]).alias("created_at"),
+        parse_time(r["pushed_at"]).alias("pushed_at"),
+        r["score"].alias("score"),
+        F.coalesce(r["topics"], F.array().cast("array<string>")).alias("topics"),
+        F.coalesce(r["archived"], F.lit(False)).alias("is_archived"),
+        F.coalesce(r["disabled"], F.lit(False)).alias("is_disabled"),
+        nullable_text(r["readme_url"]).alias("readme_url"),
+    ]
+
+
+def ingest_search_pages(pages: DataFrame, body_col: str = "body") -> DataFrame:
+    """Landed search pages ``{total_count, incomplete_results, items[]}`` →
+    one flat row per repository item (+ total_count). Unparseable bodies
+    give no rows."""
+    p = pages.select(F.from_json(F.col(body_col), SEARCH_PAGE_T).alias("p"))
+    items = p.where(F.col("p.items").isNotNull()).select(
+        F.col("p.total_count").alias("total_count"), F.explode("p.items").alias("r"))
+    return items.select(*flatten_repository(F.col("r")), "total_count")
+
+
+def ingest_tags(landed: DataFrame, body_col: str = "body") -> DataFrame:
+    """``[{"name": …}, …]`` → repository_id, tags (array, order kept)."""
+    arr = F.from_json(F.col(body_col), TAGS_T)
+    return (landed.select("repository_id", arr.alias("_a")).where(F.col("_a").isNotNull())
+            .select("repository_id", F.transform("_a", lambda x: x["name"]).alias("tags")))
+
+
+def ingest_languages(landed: DataFrame, body_col: str = "body") -> DataFrame:
+    """``{"Go": bytes, …}`` → repository_id, language, size (one row each)."""
+    m = F.from_json(F.col(body_col), LANGUAGES_T)
+    return (landed.select("repository_id", F.explode(m).alias("language", "size")))
+
+
+def ingest_readme_url(landed: DataFrame, body_col: str = "body") -> DataFrame:
+    """README locator ``{"download_url": …}`` → repository_id, download_url."""
+    return landed.select("repository_id",
+                         F.get_json_object(F.col(body_col), "$.download_url").alias("download_url"))
