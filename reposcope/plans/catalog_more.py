@@ -373,3 +373,73 @@ def q_ingest_languages(spark, sf):
 @register("ingest_readme_url")
 def q_ingest_readme_url(spark, sf):
     return IN.ingest_readme_url(FX.landed_readme_locators(spark, sf, P.README_BASE))
+
+
+# -- streaming jobs (file sources, availableNow) ---------------------------------------------
+
+from reposcope.session import scratch_path  # noqa: E402
+from reposcope.streaming import jobs as ST  # noqa: E402
+
+
+def _land(df, path: str) -> str:
+    df.select("value").write.mode("overwrite").text(path)
+    return path
+
+
+def _run(q) -> None:
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
+@register("stream_views")
+def q_stream_views(spark, sf):
+    root = scratch_path(spark, "stream-views")
+    src = _land(FX.view_messages(spark, sf), f"{root}/src")
+    _run(ST.stream_views(spark, src, f"{root}/sink", f"{root}/ckpt"))
+    return spark.read.parquet(f"{root}/sink")
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    root = scratch_path(spark, "stream-ingest")
+    src = _land(FX.crawl_result_messages(spark, sf), f"{root}/src")
+    _run(ST.stream_ingest(spark, src, f"{root}/out", f"{root}/ckpt"))
+    r = spark.read.parquet(f"{root}/out/repositories")
+    return r.select("id", "full_name", "owner_id", "owner_login", "description", "license_key",
+                    "license_name", "language", "stargazers_count", "forks_count", "pushed_at",
+                    F.concat_ws(",", "topics").alias("topics"))
+
+
+@register("stream_crawl_gate")
+def q_stream_crawl_gate(spark, sf):
+    root = scratch_path(spark, "stream-gate")
+    src = _land(FX.discovery_messages(spark, sf), f"{root}/src")
+    _run(ST.stream_crawl_gate(spark, src, FX.repos(spark, sf), f"{root}/sink", f"{root}/ckpt"))
+    return spark.read.parquet(f"{root}/sink").select("repository_id", "pushed_at", "discovered_at",
+                                                      "last_crawled_at")
+
+
+@register("stream_write")
+def q_stream_write(spark, sf):
+    """Snapshots appended by the write path, one micro-batch per landed file
+    (one file per year, in time order): change detection across batches."""
+    root = scratch_path(spark, "stream-write")
+    msgs = FX.snapshot_messages(spark, sf)
+    years = [r["year"] for r in msgs.select("year").distinct().orderBy("year").collect()]
+    for y in years:  # one small driver loop over landed files, not over data
+        msgs.where(F.col("year") == y).select("value").coalesce(1).write.mode("append").text(f"{root}/src")
+    _run(ST.stream_snapshots(spark, f"{root}/src", f"{root}/sink", f"{root}/ckpt", max_files=1))
+    return spark.read.parquet(f"{root}/sink").select(
+        "repository_id", "event_time", "tie", "stargazers_count", "watchers_count", "forks_count",
+        "open_issues_count")
+
+
+@register("stream_embed")
+def q_stream_embed(spark, sf):
+    root = scratch_path(spark, "stream-embed")
+    src = _land(FX.embed_request_messages(spark, sf), f"{root}/src")
+    _run(ST.stream_embed(spark, src, FX.readme_store(spark, sf), FX.vectors(spark, sf),
+                         f"{root}/vectors", f"{root}/ckpt"))
+    v = ST.latest_version(spark, f"{root}/vectors")
+    return v.select("repository_id", F.size("embedding").cast("bigint").alias("n_dims"))

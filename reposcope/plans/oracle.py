@@ -211,6 +211,20 @@ def _pick(view: str, order: str, desc: bool) -> str:
           FROM {view}) WHERE rn = 1"""
 
 
+def changed_sql() -> str:
+    return sql("""
+        SELECT repository_id, event_time, tie, stargazers_count, watchers_count, forks_count,
+               open_issues_count
+        FROM (SELECT *,
+                     lag(stargazers_count) OVER w AS p_s, lag(watchers_count) OVER w AS p_w,
+                     lag(forks_count) OVER w AS p_f, lag(open_issues_count) OVER w AS p_i,
+                     row_number() OVER w AS rn
+              FROM f_stats_coarse WINDOW w AS (PARTITION BY repository_id ORDER BY event_time, tie))
+        WHERE rn = 1 OR stargazers_count IS DISTINCT FROM p_s OR watchers_count IS DISTINCT FROM p_w
+           OR forks_count IS DISTINCT FROM p_f OR open_issues_count IS DISTINCT FROM p_i""",
+                                 "f_stats_coarse")
+
+
 def oracle_sql() -> dict[str, str]:
     from reposcope.plans.oracle_more import more
     q: dict[str, str] = {}
@@ -246,17 +260,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT strftime(event_time, '%Y%m') AS event_month, count(*) AS n_snapshots,
                CAST(sum(stargazers_count) AS BIGINT) AS sum_stars
         FROM f_stats_long GROUP BY 1""", "f_stats_long")
-    q["snapshots_changed"] = sql("""
-        SELECT repository_id, event_time, tie, stargazers_count, watchers_count, forks_count,
-               open_issues_count
-        FROM (SELECT *,
-                     lag(stargazers_count) OVER w AS p_s, lag(watchers_count) OVER w AS p_w,
-                     lag(forks_count) OVER w AS p_f, lag(open_issues_count) OVER w AS p_i,
-                     row_number() OVER w AS rn
-              FROM f_stats_coarse WINDOW w AS (PARTITION BY repository_id ORDER BY event_time, tie))
-        WHERE rn = 1 OR stargazers_count IS DISTINCT FROM p_s OR watchers_count IS DISTINCT FROM p_w
-           OR forks_count IS DISTINCT FROM p_f OR open_issues_count IS DISTINCT FROM p_i""",
-                                 "f_stats_coarse")
+    q["snapshots_changed"] = changed_sql()
     q["dedupe_global"] = sql("""
         SELECT repository_id, event_time, tie, stargazers_count, watchers_count, forks_count,
                open_issues_count

@@ -127,6 +127,7 @@ def more() -> dict[str, str]:
     q.update(publishing())
     q.update(upserts())
     q.update(ingest())
+    q.update(streaming())
     return q
 
 
@@ -433,6 +434,25 @@ def ingest() -> dict[str, str]:
     return q
 
 
+def streaming() -> dict[str, str]:
+    from reposcope.plans.oracle import changed_sql
+    q: dict[str, str] = {}
+    q["stream_views"] = sql("SELECT session_id, repository_id, viewed_at FROM f_views", "f_views")
+    q["stream_ingest"] = ingest()["ingest_search_pages"].replace(
+        ",\n               count(*) OVER (PARTITION BY p_partkey // 100) AS total_count", "")
+    q["stream_crawl_gate"] = sql("""
+        SELECT s.repository_id, s.pushed_at, s.event_time AS discovered_at, r.last_crawled_at
+        FROM f_stats s LEFT JOIN f_repos r ON r.id = s.repository_id
+        WHERE COALESCE(s.pushed_at >= r.last_crawled_at, true)""", "f_stats", "f_repos")
+    q["stream_write"] = changed_sql()
+    q["stream_embed"] = """
+        SELECT CAST(doc_id AS BIGINT) AS repository_id, CAST(384 AS BIGINT) AS n_dims FROM documents
+        UNION ALL
+        SELECT CAST(vec_id AS BIGINT), CAST(len(embedding) AS BIGINT) FROM embeddings
+        WHERE vec_id NOT IN (SELECT doc_id FROM documents)"""
+    return q
+
+
 def _colors() -> dict[str, str]:
     from reposcope.functions.languages import LANGUAGE_COLORS
     return LANGUAGE_COLORS

@@ -311,6 +311,8 @@ def repository_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 6 < 5, F.struct((k % 6).cast("string").alias("key"),
                                    F.concat(F.lit("L"), (k % 6).cast("string")).alias("name"))).alias("license"),
         F.lit(False).alias("archived"), F.lit(False).alias("disabled"),
+        F.when(k % 4 != 0, F.concat(F.lit("https://raw.githubusercontent.com/"), full_name,
+                                    F.lit("/main/README.md"))).alias("readme_url"),
     )
     body = F.to_json(rec)
     wrapped = F.regexp_replace(body, r'"description":("(?:[^"\\]|\\.)*")', '"description":{"String":$1,"Valid":true}')
@@ -348,3 +350,66 @@ def landed_readme_locators(spark: SparkSession, sf_dir: str, base: str) -> DataF
     return (rc.where(F.col("readme_url").isNotNull())
             .select("repository_id", F.to_json(F.struct(F.regexp_extract("readme_url", r"([^/]+)$", 1).alias("name"),
                                                          F.col("readme_url").alias("download_url"))).alias("body")))
+
+
+# -- landed message streams (JSON lines) ----------------------------------------------------
+
+def view_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views(spark, sf_dir)
+    return v.select(F.to_json(F.struct(F.col("session_id").alias("sessionId"),
+                                       F.col("repository_id").alias("repositoryId"),
+                                       F.date_format("viewed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+                                       .alias("viewedAt"))).alias("value"))
+
+
+def crawl_result_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One crawl result per part row, plus a bare-URL line for every 50th
+    row (malformed: must go to the dead-letter table)."""
+    r = repository_records(spark, sf_dir)
+    good = r.select(F.concat(F.lit('{"repository":'), F.col("record"),
+                             F.lit(',"discovered_at":"2024-02-01T00:00:00Z","crawled_at":"2024-02-02T00:00:00Z","seq":'),
+                             F.col("id").cast("string"), F.lit("}")).alias("value"))
+    bad = r.where(F.col("id") % 50 == 0).select(
+        F.concat(F.lit("https://github.com/x/"), F.col("id").cast("string")).alias("value"))
+    return good.unionByName(bad)
+
+
+def discovery_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stats(spark, sf_dir)
+    iso6 = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+    rec = F.struct(F.struct(F.col("repository_id").alias("id"),
+                            F.concat(F.lit("r/"), F.col("repository_id").cast("string")).alias("full_name"),
+                            F.date_format("pushed_at", iso6).alias("pushed_at")).alias("repository"),
+                   F.date_format("event_time", iso6).alias("discovered_at"))
+    return s.select(F.to_json(rec).alias("value"))
+
+
+def snapshot_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl results carrying coarse counters, from ``orders`` (with the
+    order year, used to land one file per year in time order)."""
+    s = stats_long(spark, sf_dir, coarse=True)
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    rid = F.col("repository_id")
+    repo = F.struct(rid.alias("id"), F.concat(F.lit("c"), rid.cast("string")).alias("name"),
+                    F.concat(F.lit("c/"), rid.cast("string")).alias("full_name"),
+                    F.struct(F.lit("o").alias("login"), (rid % 25).alias("id")).alias("owner"),
+                    F.concat(F.lit("d"), (F.col("tie") % 3).cast("string")).alias("description"),
+                    F.lit("main").alias("default_branch"),
+                    "stargazers_count", "watchers_count", "forks_count", "open_issues_count",
+                    F.date_format("pushed_at", iso).alias("pushed_at"), "score")
+    msg = F.struct(repo.alias("repository"), F.date_format("event_time", iso).alias("crawled_at"),
+                   F.col("tie").alias("seq"))
+    return s.select(F.year("event_time").alias("year"), F.to_json(msg).alias("value"))
+
+
+def embed_request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per document, plus requests whose README is missing."""
+    d = table(spark, sf_dir, "documents")
+    ok = d.select(F.to_json(F.struct(F.col("doc_id").alias("repository_id"),
+                                     F.format_string("readmes/%d.md", F.col("doc_id")).alias("minio_path"),
+                                     F.lit("").alias("download_url"))).alias("value"))
+    missing = d.where(F.col("doc_id") % 10 == 0).select(F.to_json(F.struct(
+        (F.col("doc_id") + 1_000_000).alias("repository_id"),
+        F.format_string("readmes/%d.md", F.col("doc_id") + 1_000_000).alias("minio_path"),
+        F.lit("").alias("download_url"))).alias("value"))
+    return ok.unionByName(missing)
