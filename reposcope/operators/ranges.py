@@ -6,8 +6,9 @@ single value, then pages each leaf. Every value's chain of enclosing
 intervals is fixed by the midpoint rule, so the recursion becomes:
 
 1. a histogram of distinct values (map-side partial counts);
-2. each value expands to its ≤ depth+1 ancestor intervals (an array fold
-   over ``sequence`` + ``explode``), counts summed per interval;
+2. each distinct value expands to its ≤ depth+1 enclosing intervals (a
+   vectorised numpy walk over an Arrow batch in ``mapInPandas``), counts
+   summed per interval;
 3. a leaf is an interval with ``n ≤ cap`` or ``lo = hi`` whose parent has
    ``n > cap`` (counts shrink down a path, so that is the first such
    interval on every path);
@@ -19,33 +20,49 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reposcope.functions.ordinal import global_rank
 
-_PATH = "array<struct<d:int,lo:bigint,hi:bigint,plo:bigint,phi:bigint>>"
+_PATH_SCHEMA = "v long, n long, d int, lo long, hi long, plo long, phi long"
 
 
-def _paths(hist: DataFrame, col: str, lo: int, hi: int) -> DataFrame:
-    depth = max(1, math.ceil(math.log2(max(2, hi - lo + 1))) + 1)
-    start = F.array(F.struct(F.lit(0).alias("d"), F.lit(lo).cast("bigint").alias("lo"),
-                             F.lit(hi).cast("bigint").alias("hi"), F.lit(None).cast("bigint").alias("plo"),
-                             F.lit(None).cast("bigint").alias("phi"))).cast(_PATH)
-    v = F.col(col)
+def _path_rows(lo: int, hi: int, depth: int):
+    """Per Arrow batch of distinct values: every enclosing interval of each
+    value, level by level (vectorised over the batch)."""
+    def run(batches):
+        for pdf in batches:
+            v = pdf["v"].to_numpy(dtype=np.int64)
+            n = pdf["n"].to_numpy(dtype=np.int64)
+            cur_lo = np.full(len(v), lo, dtype=np.int64)
+            cur_hi = np.full(len(v), hi, dtype=np.int64)
+            par_lo = np.full(len(v), -1, dtype=np.int64)
+            par_hi = np.full(len(v), -1, dtype=np.int64)
+            live = np.ones(len(v), dtype=bool)
+            for d in range(depth + 1):
+                idx = np.nonzero(live)[0]
+                if not len(idx):
+                    break
+                yield pd.DataFrame({"v": v[idx], "n": n[idx], "d": np.full(len(idx), d, dtype=np.int32),
+                                    "lo": cur_lo[idx], "hi": cur_hi[idx],
+                                    "plo": par_lo[idx], "phi": par_hi[idx]})
+                live &= cur_lo != cur_hi
+                mid = cur_lo + (cur_hi - cur_lo) // 2
+                left = v <= mid
+                par_lo, par_hi = cur_lo.copy(), cur_hi.copy()
+                cur_lo = np.where(left, cur_lo, mid + 1)
+                cur_hi = np.where(left, mid, cur_hi)
+    return run
 
-    def step(acc, _i):
-        last = F.element_at(acc, -1)
-        mid = last["lo"] + F.floor((last["hi"] - last["lo"]) / 2).cast("bigint")
-        left = v <= mid
-        child = F.struct((last["d"] + 1).alias("d"),
-                         F.when(left, last["lo"]).otherwise(mid + 1).alias("lo"),
-                         F.when(left, mid).otherwise(last["hi"]).alias("hi"),
-                         last["lo"].alias("plo"), last["hi"].alias("phi"))
-        return F.when(last["lo"] == last["hi"], acc).otherwise(F.concat(acc, F.array(child)))
 
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step)
-    return hist.select(col, "n", F.explode(path).alias("p")).select(col, "n", "p.*")
+def _paths(hist: DataFrame, col: str, lo: int, hi: int) -> DataFrame:
+    depth = max(1, math.ceil(math.log2(max(2, hi - lo + 1))) + 1)
+    h = hist.select(F.col(col).cast("bigint").alias("v"), F.col("n").cast("bigint").alias("n"))
+    out = h.mapInPandas(_path_rows(lo, hi, depth), _PATH_SCHEMA)
+    return out.withColumnRenamed("v", col) if col != "v" else out
 
 
 def adaptive_ranges(df: DataFrame, col: str = "v", lo: int = 50, hi: int = 1_000_000,

@@ -42,3 +42,19 @@ def test_stream_ingest_dead_letters(spark):
     assert spark.read.parquet(f"{root}/out/repositories").count() == n_parts
     assert spark.read.parquet(f"{root}/out/dead_letter").count() == (n_parts + 49) // 50
     assert spark.read.parquet(f"{root}/out/embed_requests").count() > 0
+
+
+def test_sinks_round_trip(spark):
+    from reposcope.sources import sinks
+    root = scratch_path(spark, "t-sinks")
+    os.makedirs(f"{root}/files/readmes", exist_ok=True)
+    for i, text in [(7, "héllo\nworld"), (12, "x" * 5000)]:
+        with open(f"{root}/files/readmes/{i}.md", "w", encoding="utf-8") as fh:
+            fh.write(text)
+    got = {r.repository_id: len(r.body) for r in sinks.read_readmes(spark, f"{root}/files").collect()}
+    assert got == {7: 11, 12: 5000}  # whole texts
+    st = FX.stats(spark, SF001)
+    sinks.append_snapshots(st, f"{root}/stats")
+    back = spark.read.parquet(f"{root}/stats")
+    assert back.count() == st.count() and "row_hash" in back.columns
+    assert back.where("event_month = '202401'").count() == st.count()
