@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 
 from reposcope.functions.languages import primary_of_map
 
-_EMPTY_STR_ARRAY = F.array().cast("array<string>")
+
+def _empty_str_array() -> Column:
+    return F.array().cast("array<string>")
+
+
 _LANG_STRUCT = "array<struct<language:string,size:bigint>>"
 
 
@@ -69,8 +73,8 @@ def enrich(repos: DataFrame, owners: DataFrame, licenses: DataFrame, tags: DataF
     out = (r.join(o, "owner_id", "inner")
            .join(lic, "license_key", "left")
            .join(kids, "id", "left"))
-    return (out.withColumn("tags", F.coalesce("tags", _EMPTY_STR_ARRAY))
-            .withColumn("topics", F.coalesce("topics", _EMPTY_STR_ARRAY))
+    return (out.withColumn("tags", F.coalesce("tags", _empty_str_array()))
+            .withColumn("topics", F.coalesce("topics", _empty_str_array()))
             .withColumn("language_list", F.coalesce("language_list", F.array().cast(_LANG_STRUCT)))
             .withColumn("languages", F.coalesce("languages", F.map_from_entries(F.array().cast(_LANG_STRUCT))))
             .withColumn("language", primary_of_map(F.col("languages"))))

@@ -163,9 +163,10 @@ def recent_events(spark, sf):
     return S.recently_pushed(FX.stats(spark, sf), P.EVENTS_SINCE)
 
 
-HY_OUT = ["source_id", "candidate_id", F.round("cosine", 6).alias("cosine"),
-          F.round("topic_score", 6).alias("topic_score"),
-          F.round("language_score", 6).alias("language_score"), F.round("score", 6).alias("score"), "rank"]
+def hy_out():
+    return ["source_id", "candidate_id", F.round("cosine", 6).alias("cosine"),
+            F.round("topic_score", 6).alias("topic_score"),
+            F.round("language_score", 6).alias("language_score"), F.round("score", 6).alias("score"), "rank"]
 
 
 @register("similar_topk")
@@ -178,7 +179,7 @@ def q_similarity_hybrid(spark, sf):
     """The periodic job: sources = recently pushed repositories."""
     src = recent_events(spark, sf)
     topk = SI.similar_topk(FX.vectors(spark, sf), P.SIMILARITY_K, sources=src)
-    return SI.similarity_hybrid(topk, enriched(spark, sf)).select(*HY_OUT)
+    return SI.similarity_hybrid(topk, enriched(spark, sf)).select(*hy_out())
 
 
 @register("jaccard_pairs")
