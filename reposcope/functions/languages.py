@@ -69,13 +69,11 @@ def primary_of_map(languages: Column, stored: Column | None = None) -> Column:
 def language_share(langs: DataFrame) -> DataFrame:
     """Percentage of each language in its repository (only when the sum > 0).
 
-    The per-repository total is a window over the repository partition; the
-    bridge is already small per repository.
+    The per-repository total is a partial aggregate joined back, not a
+    window, so a repository with very many rows is never sorted in one task.
     → repository_id, language, size, share
     """
-    from pyspark.sql import Window
-    total = F.sum("size").over(Window.partitionBy("repository_id"))
-    return (langs.withColumn("_total", total)
-            .where(F.col("_total") > 0)
+    total = langs.groupBy("repository_id").agg(F.sum("size").alias("_total"))
+    return (langs.join(total.where(F.col("_total") > 0), "repository_id")
             .withColumn("share", F.col("size") / F.col("_total") * 100)
             .drop("_total"))

@@ -43,3 +43,27 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
     return (x.join(F.broadcast(offsets), "_range")
             .withColumn(name, (F.col("_offset") + F.col("_local") + 1).cast("bigint"))
             .drop("_range", "_local", "_offset"))
+
+
+def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], bucket: Column,
+                bucket_desc: bool = False, name: str = "rn") -> DataFrame:
+    """``row_number()`` per group, computed without sorting a whole group
+    in one task.
+
+    ``bucket`` must be monotone in ``order`` (e.g. the day of the time a
+    group is ordered by; descending buckets for a descending order). Rows
+    are numbered inside (group, bucket), and each bucket adds the row count
+    of the group's earlier buckets, from a per-(group, bucket) count table
+    whose aggregate is partial map-side. A group holding a third of all
+    rows is spread over its buckets.
+    """
+    x = df.withColumn("_b", bucket)
+    x = x.withColumn("_l", F.row_number().over(Window.partitionBy(*group_cols, "_b").orderBy(*order)))
+    sizes = x.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    border = F.desc("_b") if bucket_desc else F.asc("_b")
+    before = F.sum("_n").over(Window.partitionBy(*group_cols).orderBy(border)
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*group_cols, "_b", F.coalesce(before, F.lit(0)).alias("_off"))
+    return (x.join(offsets, [*group_cols, "_b"])
+            .withColumn(name, (F.col("_off") + F.col("_l")).cast("bigint"))
+            .drop("_b", "_l", "_off"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from reposcope.functions.ordinal import global_rank
 
+CHUNK = 100_000
+
 
 def parse_facets(text: Column) -> Column:
     """Request parameter → sorted list: split on ``,``; a lone empty string
@@ -54,9 +56,15 @@ def top_unseen(ranked: DataFrame, seen: DataFrame, sessions: DataFrame,
     k = (seen_d.join(ranked.select("repository_id"), "repository_id")
          .groupBy("session_id").agg(F.count(F.lit(1)).alias("_k")))
     s = sessions.select("session_id").distinct().join(k, "session_id", "left")
-    upper = F.lit(offset + n) + F.coalesce(F.col("_k"), F.lit(0))
-    cand = s.select("session_id", F.explode(F.sequence(F.lit(1).cast("bigint"), upper.cast("bigint")))
-                    .alias(rank_col))
+    upper = (F.lit(offset + n) + F.coalesce(F.col("_k"), F.lit(0))).cast("bigint")
+    # Candidate ranks are generated in chunks spread over tasks, so a
+    # session that has seen a huge part of the list is not expanded by one task.
+    chunk = F.lit(CHUNK).cast("bigint")
+    chunks = s.select("session_id", upper.alias("_u"),
+                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((upper - 1) / chunk).cast("bigint")))
+                      .alias("_c")).repartition("session_id", "_c")
+    cand = chunks.select("session_id", F.explode(F.sequence(
+        F.col("_c") * chunk + 1, F.least((F.col("_c") + 1) * chunk, F.col("_u")))).alias(rank_col))
     c = (cand.join(ranked, rank_col)
          .join(seen_d, ["session_id", "repository_id"], "left_anti"))
     from pyspark.sql import Window

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reposcope.functions.ordinal import rank_within
 from reposcope.functions.time import col_type, minus_days, month_key, ts_lit
 
 STAT_COLS = ("stargazers_count", "watchers_count", "forks_count", "open_issues_count", "pushed_at", "score")
@@ -125,16 +126,19 @@ def last_update(stats: DataFrame) -> DataFrame:
 
 
 def stats_history(stats: DataFrame, ids: DataFrame | None = None,
-                  order_cols: Sequence[str] = ("event_time",)) -> DataFrame:
+                  order_cols: Sequence[str] = ("event_time",), bucket: str = "day") -> DataFrame:
     """Every snapshot, newest first per repository, with its position ``rn``.
 
     ``ids`` (a DataFrame with ``repository_id``) restricts the repositories
     by a semi join; a literal id filter is simply ``where`` on the input.
+    Positions are computed per (repository, ``bucket`` of event_time) plus
+    the counts of newer buckets, so one busy repository is not sorted in a
+    single task.
     """
     if ids is not None:
         stats = stats.join(ids.select("repository_id").distinct(), "repository_id", "left_semi")
-    w = Window.partitionBy("repository_id").orderBy(*[F.desc(c) for c in order_cols])
-    return stats.withColumn("rn", F.row_number().over(w).cast("bigint"))
+    return rank_within(stats, ["repository_id"], [F.desc(c) for c in order_cols],
+                       F.date_trunc(bucket, "event_time"), bucket_desc=True, name="rn")
 
 
 def recently_pushed(stats: DataFrame, since, order_cols: Sequence[str] = ("event_time",)) -> DataFrame:
@@ -162,36 +166,40 @@ def state_hash(stats: DataFrame, state_cols: Sequence[str] = STATE_COLS) -> Data
 
 def snapshots_changed(incoming: DataFrame, latest: DataFrame | None = None,
                       state_cols: Sequence[str] = STATE_COLS,
-                      order_cols: Sequence[str] = ("event_time",)) -> DataFrame:
+                      order_cols: Sequence[str] = ("event_time",), bucket: str = "day") -> DataFrame:
     """Rows to append: a snapshot is kept only when its state differs from
     the previous one of the same repository (A→B→A keeps all three).
 
-    Within ``incoming`` the predecessor comes from ``lag``; the first row of
-    each repository is compared with ``latest`` (the stored newest state per
-    repository, e.g. ``latest_stat(stored)``) through a left join, so the
-    keyed state across batches is a table, not driver memory. Comparing
-    with the direct predecessor is exact: a skipped row equals the last
-    kept one.
+    Comparing with the direct predecessor is exact (a skipped row equals the
+    last kept one). The predecessor comes from ``lag`` inside (repository,
+    ``bucket`` of event_time); the first row of a bucket takes the last
+    state of the repository's previous non-empty bucket (a partial
+    aggregate per bucket, then a ``lag`` over the few buckets of a
+    repository), and the first row overall takes ``latest`` — the stored
+    newest state per repository, e.g. ``latest_stat(stored)`` — through a
+    left join. No task sorts a repository's whole history, and the keyed
+    state across batches is a table, not driver memory.
     """
-    state_cols = list(state_cols)
     keyless = [c for c in state_cols if c != "repository_id"]
-    w = Window.partitionBy("repository_id").orderBy(*[F.asc(c) for c in order_cols])
-    prev = [F.lag(c).over(w).alias(f"_prev_{c}") for c in keyless]
-    first = F.row_number().over(w) == 1
-    x = incoming.select("*", *prev, first.alias("_first"))
+    key = _order_key(order_cols)
+    x = incoming.withColumn("_b", F.date_trunc(bucket, "event_time"))
+    w = Window.partitionBy("repository_id", "_b").orderBy(*[F.asc(c) for c in order_cols])
+    x = x.select("*", F.struct(*[F.lag(c).over(w).alias(c) for c in keyless]).alias("_prev"),
+                 (F.row_number().over(w) == 1).alias("_first_in_bucket"))
+    last = x.groupBy("repository_id", "_b").agg(
+        F.max_by(F.struct(*[F.col(c) for c in keyless]), key).alias("_last"))
+    wb = Window.partitionBy("repository_id").orderBy("_b")
+    boundary = last.select("repository_id", "_b", F.lag("_last").over(wb).alias("_before"))
     if latest is not None:
-        stored = latest.select("repository_id", *[F.col(c).alias(f"_stored_{c}") for c in keyless])
-        x = x.join(stored, "repository_id", "left")
-        for c in keyless:
-            x = x.withColumn(f"_prev_{c}", F.when(F.col("_first"), F.col(f"_stored_{c}"))
-                             .otherwise(F.col(f"_prev_{c}")))
-        has_prev = ~F.col("_first") | F.col(f"_stored_{keyless[0]}").isNotNull() if keyless else F.lit(True)
-    else:
-        has_prev = ~F.col("_first")
+        stored = latest.select("repository_id", F.struct(*[F.col(c) for c in keyless]).alias("_stored"))
+        boundary = boundary.join(stored, "repository_id", "left").select(
+            "repository_id", "_b", F.coalesce("_before", "_stored").alias("_before"))
+    x = x.join(boundary, ["repository_id", "_b"], "left")
+    prev = F.when(F.col("_first_in_bucket"), F.col("_before")).otherwise(F.col("_prev"))
     same = F.lit(True)
     for c in keyless:
-        same = same & F.col(c).eqNullSafe(F.col(f"_prev_{c}"))
-    keep = ~has_prev | ~same
+        same = same & F.col(c).eqNullSafe(prev[c])
+    keep = prev.isNull() | ~same
     return x.where(keep).select(*incoming.columns)
 
 
