@@ -4,17 +4,20 @@ Exact top-k (``similar_topk``) is an all-pairs problem; it is planned so
 that no task ever holds more than two blocks of vectors and no step emits
 all pairs:
 
-1. vectors are normalised once (JVM-side array expressions) and hashed
-   into ``B`` blocks of about ``block_rows`` vectors;
+1. vectors are normalised once (JVM-side array expressions); the query
+   side is hashed into ``Bq`` blocks and the candidate side into ``Bc``
+   blocks of about ``block_rows`` vectors each;
 2. every query block meets every candidate block under the key
-   ``(qb, cb)`` — each side is replicated ``B`` times by a generator and
-   the two sides are co-grouped on that key (an equi-grouping, not a
-   cartesian product of rows);
+   ``(qb, cb)`` — query rows are copied ``Bc`` times and candidate rows
+   ``Bq`` times by a generator, and the two sides are co-grouped on that
+   key (an equi-grouping, not a cartesian product of rows);
 3. one numpy matrix product per block pair, from which only each query's
    local top-k (plus ties at the k-th score) is emitted;
 4. a per-source ``row_number`` merges the ``B`` local lists.
 
-Shuffle volume is ``2·N·B`` vectors, per-task memory two blocks. For very
+Shuffle volume is ``|Q|·Bc + N·Bq`` vectors (``2·N·B`` for all sources;
+small for the periodic job whose sources are the recently pushed ones),
+per-task memory two blocks. Exact all-pairs work grows with N²; for very
 large collections ``method="lsh"`` gives the approximate form (random
 projection buckets on unit vectors, Euclidean d² = 2 − 2·cos).
 """
@@ -82,15 +85,20 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
         pairs = _lsh_pairs(u, q, lsh_bucket_length, lsh_tables)
     elif method == "block":
         if blocks is None:
-            # One scalar from the Parquet footer-backed count sizes the blocks.
-            blocks = max(1, math.ceil(u.count() / block_rows))
-        b = int(blocks)
-        blk = F.pmod(F.xxhash64("repository_id"), F.lit(b)).cast("int")
-        all_b = F.sequence(F.lit(0), F.lit(b - 1))
+            # Two scalars (Parquet-backed counts) size the blocks of each side.
+            q_blocks = max(1, math.ceil(q.count() / block_rows))
+            c_blocks = max(1, math.ceil(u.count() / block_rows)) if sources is not None else q_blocks
+        else:
+            q_blocks = c_blocks = int(blocks)
+        qblk = F.pmod(F.xxhash64("repository_id"), F.lit(q_blocks)).cast("int")
+        cblk = F.pmod(F.xxhash64("repository_id"), F.lit(c_blocks)).cast("int")
+        # Each query block meets every candidate block: the query side is
+        # copied once per candidate block and vice versa. With few sources
+        # (the periodic job) the candidate side is copied only a few times.
         # Distinct names per side: both sides descend from the same scan.
-        qs = q.select(blk.alias("qb"), F.explode(all_b).alias("cb"),
+        qs = q.select(qblk.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"),
                       F.col("repository_id").alias("q_id"), F.col("unit").alias("q_unit"))
-        cs = u.select(F.explode(all_b).alias("qb"), blk.alias("cb"),
+        cs = u.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), cblk.alias("cb"),
                       F.col("repository_id").alias("c_id"), F.col("unit").alias("c_unit"))
         pairs = (qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb"))
                  .applyInPandas(_block_topk(k), TOPK_SCHEMA))

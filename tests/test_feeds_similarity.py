@@ -85,3 +85,21 @@ def test_similarity_json_round_trip(spark):
     assert js.first().data == '[{"Score":0.500000,"Member":8},{"Score":0.250000,"Member":9}]'
     back = [(r.candidate_id, r.rank) for r in SI.similarity_from_json(js).orderBy("rank").collect()]
     assert back == [(8, 1), (9, 2)]
+
+
+def test_blocked_topk_with_sources_uses_asymmetric_blocks(spark):
+    vec = FX.vectors(spark, SF001)
+    pdf = vec.toPandas()
+    m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = pdf["repository_id"].to_numpy()
+    src_ids = [int(x) for x in ids if x % 7 == 0]
+    sources = spark.createDataFrame([(x,) for x in src_ids], "repository_id long")
+    got = SI.similar_topk(vec, 4, sources=sources, block_rows=60).toPandas()  # Bq=2, Bc=9
+    assert set(got["source_id"]) == set(src_ids)
+    pos = {int(x): i for i, x in enumerate(ids)}
+    for sid, g in got.groupby("source_id"):
+        s = m @ m[pos[int(sid)]]
+        s[pos[int(sid)]] = -np.inf
+        order = sorted(range(len(ids)), key=lambda j: (-s[j], ids[j]))[:4]
+        assert list(g.sort_values("rank")["candidate_id"]) == [int(ids[j]) for j in order]
