@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reposcope.functions.ordinal import global_rank
 from reposcope.operators.facets import facet_filter, top_unseen
 from reposcope.operators.snapshots import first_stat, latest_stat
 
@@ -75,9 +76,8 @@ def feed_trending(trending: DataFrame, views: DataFrame, sessions: DataFrame,
     lst = trending.select("repository_id", F.col("rank").alias("_trank"), "growth")
     if languages or tag_names or topic_names:
         lst = facet_filter(lst, langs, tags, topics, languages, tag_names, topic_names)
-    # The list is bounded by the trending limit, so renumbering it in one
-    # partition is bounded too.
-    lst = lst.withColumn("rank", F.row_number().over(Window.orderBy("_trank")).cast("bigint"))
+    # Dense ranks after filtering, numbered in parallel (any list length).
+    lst = global_rank(lst, [F.asc("_trank")], name="rank")
     out = top_unseen(lst.select("repository_id", "rank", "growth"), session_seen(views), sessions,
                      page * page_size, page_size)
     return out.select("session_id", F.col("position").alias("rank"), "repository_id", "growth")
