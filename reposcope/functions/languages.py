@@ -77,3 +77,10 @@ def language_share(langs: DataFrame) -> DataFrame:
     return (langs.join(total.where(F.col("_total") > 0), "repository_id")
             .withColumn("share", F.col("size") / F.col("_total") * 100)
             .drop("_total"))
+
+
+def language_color(langs: DataFrame, palette: dict[str, str] | None = None) -> DataFrame:
+    """Colour per (repository, language); unknown languages are grey.
+    The palette is a literal map (fixed size), so no join is needed.
+    → repository_id, language, color"""
+    return langs.select("repository_id", "language", color_of(F.col("language"), palette).alias("color"))

@@ -216,3 +216,18 @@ def upsert_similarity(current: DataFrame, incoming: DataFrame) -> DataFrame:
     x = cur.join(inc, "id", "full")
     return x.select("id", F.coalesce("_new", "_old").alias("data"),
                     (F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old"))).alias("updated"))
+
+
+def similarity_job(vectors: DataFrame, enriched: DataFrame, stats: DataFrame, since, k: int = 200,
+                   weights: Sequence[float] = (0.6, 0.3, 0.1), **topk_options) -> tuple[DataFrame, DataFrame]:
+    """The periodic similarity job: sources are the repositories whose
+    latest snapshot was pushed after ``since``; each gets its top ``k``
+    neighbours among ALL vectors, re-scored. Sources without a vector are
+    returned as embedding requests instead.
+    → (lists: source_id, candidate_id, cosine, topic_score, language_score,
+       score, rank; requests: repository_id, object_key, download_url)"""
+    from reposcope.operators.snapshots import recently_pushed
+
+    sources = recently_pushed(stats, since)
+    topk = similar_topk(vectors, k, sources=sources, **topk_options)
+    return similarity_hybrid(topk, enriched, weights), embed_requests(sources, vectors)

@@ -116,8 +116,7 @@ def q_language_share(spark, sf):
 
 @register("language_color")
 def q_language_color(spark, sf):
-    return FX.langs(spark, sf).select("repository_id", "language",
-                                      L.color_of(F.col("language")).alias("color"))
+    return L.language_color(FX.langs(spark, sf))
 
 
 @register("readme_candidates")
@@ -177,9 +176,9 @@ def q_similar_topk(spark, sf):
 @register("similarity_hybrid")
 def q_similarity_hybrid(spark, sf):
     """The periodic job: sources = recently pushed repositories."""
-    src = recent_events(spark, sf)
-    topk = SI.similar_topk(FX.vectors(spark, sf), P.SIMILARITY_K, sources=src)
-    return SI.similarity_hybrid(topk, enriched(spark, sf)).select(*hy_out())
+    lists, _requests = SI.similarity_job(FX.vectors(spark, sf), enriched(spark, sf), FX.stats(spark, sf),
+                                         P.EVENTS_SINCE, P.SIMILARITY_K)
+    return lists.select(*hy_out())
 
 
 @register("jaccard_pairs")
