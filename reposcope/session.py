@@ -44,22 +44,27 @@ def ensure_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+_LOCAL_ROOTS: dict[int, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and job state.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system path and
     is used as is. Only when it is unset (local tests) is a scratch folder
-    chosen and recorded in the session so all later calls agree.
+    chosen, once per SparkContext (the setting itself cannot be changed at
+    run time), and registered as the context's checkpoint directory.
     """
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
+        root = _LOCAL_ROOTS.get(id(sc))
     if not root:
         base = os.environ.get("REPOSCOPE_SCRATCH") or tempfile.gettempdir()
         root = os.path.join(base, f"reposcope-ckpt-{uuid.uuid4().hex[:8]}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        _LOCAL_ROOTS[id(sc)] = root
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
