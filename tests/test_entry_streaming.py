@@ -14,7 +14,7 @@ def test_entry_and_contract(spark):
     assert df.count() >= 0 and "growth" in df.columns
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"state_hash", "embed_texts"}
+    assert set(qs) - set(sql) == {"state_hash"}
 
 
 def test_stream_views_in_batches_equals_batch(spark):
