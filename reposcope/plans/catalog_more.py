@@ -322,7 +322,10 @@ def q_upsert_repositories(spark, sf):
 
 @register("upsert_bridges")
 def q_upsert_bridges(spark, sf):
-    return UP.upsert_bridges(FX.bridge_rows(spark, sf), FX.bridge_messages(spark, sf))
+    """Sizes exist for languages only; reported as double so a missing size
+    is NaN in both engines' frames."""
+    b = UP.upsert_bridges(FX.bridge_rows(spark, sf), FX.bridge_messages(spark, sf))
+    return b.withColumn("size", F.col("size").cast("double"))
 
 
 @register("upsert_vectors")

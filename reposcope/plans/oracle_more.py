@@ -378,7 +378,7 @@ def upserts() -> dict[str, str]:
                    o_orderkey FROM orders),
         allrows AS (SELECT *, 0 AS src, CAST(NULL AS BIGINT) AS seq FROM cur
                     UNION ALL SELECT repository_id, kind, name, size, 1, seq FROM msg)
-        SELECT repository_id, kind, name, size FROM (
+        SELECT repository_id, kind, name, CAST(size AS DOUBLE) AS size FROM (
             SELECT *, row_number() OVER (PARTITION BY repository_id, kind, name
                                          ORDER BY src DESC, seq DESC NULLS LAST) AS rn FROM allrows)
         WHERE rn = 1""", "f_tags", "f_topics", "f_langs")
