@@ -48,11 +48,18 @@ def child_lists(tags: DataFrame, topics: DataFrame, langs: DataFrame,
     kind = F.col("_kind")
     lang = F.struct(F.col("_name").alias("language"), F.col("_size").alias("size"))
     agg = u.groupBy("repository_id").agg(
-        F.sort_array(F.collect_list(F.when(kind == "tag", F.col("_name")))).alias("tags"),
-        F.sort_array(F.collect_list(F.when(kind == "topic", F.col("_name")))).alias("topics"),
-        F.sort_array(F.collect_list(F.when(kind == "lang", lang))).alias("language_list"),
+        F.array_distinct(F.sort_array(F.collect_list(F.when(kind == "tag", F.col("_name"))))).alias("tags"),
+        F.array_distinct(F.sort_array(F.collect_list(F.when(kind == "topic", F.col("_name"))))).alias("topics"),
+        F.sort_array(F.collect_list(F.when(kind == "lang", lang))).alias("_langs"),
     )
-    return agg.withColumn("languages", F.map_from_entries("language_list"))
+    # A duplicated (repository, language) row would make map_from_entries
+    # fail; the list is sorted by (language, size), so keep each language's
+    # last (largest) entry.
+    n = F.size("_langs")
+    last_of_key = F.filter("_langs", lambda x, i: (i == n - 1) | (
+        F.element_at("_langs", (i + 2).cast("int"))["language"] != x["language"]))
+    return (agg.withColumn("language_list", last_of_key).drop("_langs")
+            .withColumn("languages", F.map_from_entries("language_list")))
 
 
 def enrich(repos: DataFrame, owners: DataFrame, licenses: DataFrame, tags: DataFrame,

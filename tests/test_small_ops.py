@@ -85,3 +85,18 @@ def test_bad_message_line_and_wrapped_strings(spark):
     ], "body string")
     out = {r.id: r.description for r in IN.ingest_search_pages(pages).collect()}
     assert out == {1: "d", 2: None}
+
+
+def test_enrich_tolerates_duplicate_bridge_keys(spark):
+    from reposcope.operators.enrich import enrich
+    repos = spark.createDataFrame([(1, 7, None)], "id long, owner_id long, license_key string")
+    owners = spark.createDataFrame([(7, "o", None, None, "User")],
+                                   "id long, login string, avatar_url string, html_url string, type string")
+    lic = spark.createDataFrame([], "key string, name string, spdx_id string, url string")
+    tags = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "repository_id long, tag string")
+    topics = spark.createDataFrame([], "repository_id long, topic string")
+    langs = spark.createDataFrame([(1, "Go", 5), (1, "Go", 9), (1, "C", 1)],
+                                  "repository_id long, language string, size long")
+    r = enrich(repos, owners, lic, tags, topics, langs).first()
+    assert r.tags == ["a", "b"] and r.topics == []
+    assert r.languages == {"C": 1, "Go": 9} and r.language == "Go"
