@@ -446,3 +446,18 @@ def q_stream_embed(spark, sf):
                          f"{root}/vectors", f"{root}/ckpt"))
     v = ST.latest_version(spark, f"{root}/vectors")
     return v.select("repository_id", F.size("embedding").cast("bigint").alias("n_dims"))
+
+
+@register("crawl_results")
+def q_crawl_results(spark, sf):
+    """Discovery → crawl gate → envelope with landed tags, languages and
+    README URL."""
+    gated = IN.needs_crawl(FX.discoveries(spark, sf), FX.repos(spark, sf)).where("needs_crawl")
+    res = IN.crawl_results(
+        gated, IN.ingest_tags(FX.landed_tags(spark, sf)), IN.ingest_languages(FX.landed_languages(spark, sf)),
+        IN.readme_candidates(FX.repos(spark, sf), FX.readme_probes(spark, sf), P.README_BASE),
+        "2024-02-02 00:00:00")
+    langs = F.array_join(F.transform(F.array_sort(F.map_entries("languages")),
+                                     lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return res.select("repository_id", "full_name", "readme_url", F.array_join("tags", ",").alias("tags"),
+                      langs.alias("languages"), F.col("crawled_at").cast("timestamp_ntz").alias("crawled_at"))

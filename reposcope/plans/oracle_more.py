@@ -431,6 +431,23 @@ def ingest() -> dict[str, str]:
         SELECT repository_id, string_agg(tag, ',' ORDER BY tag) AS tags, count(*) AS n_tags
         FROM f_tags GROUP BY repository_id""", "f_tags")
     q["ingest_languages"] = sql("SELECT repository_id, language, size FROM f_langs", "f_langs")
+    q["crawl_results"] = sql(f"""
+        WITH d AS (SELECT id, full_name, default_branch,
+                          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(id % 100 AS INTEGER)) AS pushed_at
+                   FROM f_repos),
+        gate AS (SELECT d.* FROM d LEFT JOIN f_repos r ON r.id = d.id
+                 WHERE COALESCE(d.pushed_at >= r.last_crawled_at, true)),
+        tg AS (SELECT repository_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM f_tags GROUP BY 1),
+        lg AS (SELECT repository_id, string_agg(language || ':' || CAST(size AS VARCHAR), ',' ORDER BY language)
+                      AS languages FROM f_langs GROUP BY 1),
+        rc AS (SELECT id AS repository_id,
+                   CASE WHEN id % 4 <> 0 THEN '{P.README_BASE}/' || full_name || '/' || default_branch || '/README.md'
+                        WHEN id % 3 = 0 THEN '{P.README_BASE}/' || full_name || '/' || default_branch || '/README.txt'
+                   END AS readme_url FROM f_repos)
+        SELECT g.id AS repository_id, g.full_name, rc.readme_url, tg.tags, lg.languages,
+               TIMESTAMP '2024-02-02 00:00:00' AS crawled_at
+        FROM gate g JOIN tg ON tg.repository_id = g.id JOIN lg ON lg.repository_id = g.id
+        LEFT JOIN rc ON rc.repository_id = g.id""", "f_repos", "f_tags", "f_langs")
     q["ingest_readme_url"] = sql(f"""
         SELECT repository_id, readme_url AS download_url FROM (
             SELECT id AS repository_id,

@@ -413,3 +413,12 @@ def embed_request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("readmes/%d.md", F.col("doc_id") + 1_000_000).alias("minio_path"),
         F.lit("").alias("download_url"))).alias("value"))
     return ok.unionByName(missing)
+
+
+def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovery rows as the range search would publish them (one per part)."""
+    r = repos(spark, sf_dir)
+    return r.select(F.col("id").alias("repository_id"), "full_name", "default_branch",
+                    F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id % 100 AS INT))")
+                    .alias("pushed_at"),
+                    F.expr("TIMESTAMP_NTZ'2024-02-01 00:00:00'").alias("discovered_at"))

@@ -144,3 +144,25 @@ def ingest_readme_url(landed: DataFrame, body_col: str = "body") -> DataFrame:
     """README locator ``{"download_url": …}`` → repository_id, download_url."""
     return landed.select("repository_id",
                          F.get_json_object(F.col(body_col), "$.download_url").alias("download_url"))
+
+
+def crawl_results(discovered: DataFrame, tags: DataFrame, languages: DataFrame,
+                  readme_urls: DataFrame, crawled_at) -> DataFrame:
+    """Crawl envelope: discovery rows (``repository_id`` …) plus README URL,
+    tags and language sizes, stamped with ``crawled_at``.
+
+    Tags and languages are required — the crawler requeues a message whose
+    tag or language fetch failed, so a repository without landed tags or
+    languages is not emitted yet (inner joins); the README URL is optional
+    (left join). ``tags``: (repository_id, tags array); ``languages``:
+    (repository_id, language, size) rows, folded to a map here;
+    ``readme_urls``: (repository_id, readme_url).
+    → discovered columns + readme_url, tags, languages, crawled_at"""
+    from reposcope.functions.time import ts_lit
+
+    lang_map = languages.groupBy("repository_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "size")))).alias("languages"))
+    return (discovered.join(tags.select("repository_id", "tags"), "repository_id")
+            .join(lang_map, "repository_id")
+            .join(readme_urls.select("repository_id", "readme_url"), "repository_id", "left")
+            .withColumn("crawled_at", ts_lit(crawled_at)))

@@ -100,3 +100,32 @@ def test_enrich_tolerates_duplicate_bridge_keys(spark):
     r = enrich(repos, owners, lic, tags, topics, langs).first()
     assert r.tags == ["a", "b"] and r.topics == []
     assert r.languages == {"C": 1, "Go": 9} and r.language == "Go"
+
+
+def test_crawl_envelope_like_the_reference_integration_test(spark):
+    """One discovery message through gate + envelope (FIXTURES.md §1 values)."""
+    from reposcope.streaming.jobs import DISCOVERY_T
+    msg = ('{"repository":{"id":13329152,"full_name":"eugeneware/gifencoder","default_branch":"master",'
+           '"pushed_at":"2025-06-06T07:09:34Z"},"discovered_at":"2025-07-09T02:00:15Z"}')
+    m = spark.createDataFrame([(msg,)], "value string").select(F.from_json("value", DISCOVERY_T).alias("m"))
+    disc = m.select(F.col("m.repository.id").alias("repository_id"),
+                    F.col("m.repository.full_name").alias("full_name"),
+                    F.col("m.repository.default_branch").alias("default_branch"),
+                    IN.parse_time(F.col("m.repository.pushed_at")).alias("pushed_at"),
+                    IN.parse_time(F.col("m.discovered_at")).alias("discovered_at"))
+    stored = spark.createDataFrame([(13329152, ts("2025-06-01"))], "id long, last_crawled_at timestamp_ntz")
+    gated = IN.needs_crawl(disc, stored).where("needs_crawl")
+    landed_tags = spark.createDataFrame([(13329152, '[{"name":"v1.0.0"},{"name":"v0.9.0"}]')],
+                                        "repository_id long, body string")
+    landed_langs = spark.createDataFrame([(13329152, '{"JavaScript":10000,"HTML":500}')],
+                                         "repository_id long, body string")
+    probes = spark.createDataFrame([(13329152, "README.md", True)], "repository_id long, name string, found boolean")
+    repo_rows = disc.select(F.col("repository_id").alias("id"), "full_name", "default_branch")
+    urls = IN.readme_candidates(repo_rows, probes, "https://raw.example.org")
+    r = IN.crawl_results(gated, IN.ingest_tags(landed_tags), IN.ingest_languages(landed_langs), urls,
+                         "2025-07-09 02:05:00").first()
+    assert r.repository_id == 13329152 and r.full_name == "eugeneware/gifencoder"
+    assert r.readme_url == "https://raw.example.org/eugeneware/gifencoder/master/README.md"
+    assert r.tags == ["v1.0.0", "v0.9.0"]
+    assert r.languages == {"JavaScript": 10000, "HTML": 500}
+    assert r.discovered_at == ts("2025-07-09 02:00:15") and r.crawled_at is not None
