@@ -21,6 +21,11 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Let AQE size shuffle partitions from the data instead of a fixed count.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # Keyed streaming state (last snapshot state per repository) off-heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
