@@ -11,8 +11,9 @@ all pairs:
    ``(qb, cb)`` — query rows are copied ``Bc`` times and candidate rows
    ``Bq`` times by a generator, and the two sides are co-grouped on that
    key (an equi-grouping, not a cartesian product of rows);
-3. one numpy matrix product per block pair, from which only each query's
-   local top-k (plus ties at the k-th score) is emitted;
+3. numpy matrix products per block pair (query rows in slices of 1024, so
+   a task holds two blocks plus one 1024 × block score matrix), from which
+   only each query's local top-k (plus ties at the k-th score) is emitted;
 4. a per-source ``row_number`` merges the ``B`` local lists.
 
 Shuffle volume is ``|Q|·Bc + N·Bq`` vectors (``2·N·B`` for all sources;
@@ -49,24 +50,32 @@ def unit_vectors(vectors: DataFrame, id_col: str = "repository_id",
             .select("repository_id", F.transform("_v", lambda x: x / F.col("_n")).alias("unit")))
 
 
-def _block_topk(k: int):
+def _block_topk(k: int, rows_per_slice: int = 1024):
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"source_id": pd.Series([], dtype="int64"),
+                              "candidate_id": pd.Series([], dtype="int64"),
+                              "cosine": pd.Series([], dtype="float64")})
         if q.empty or c.empty:
-            return pd.DataFrame({"source_id": [], "candidate_id": [], "cosine": []})
+            return empty
         qm = np.stack(q["q_unit"].to_numpy())
         cm = np.stack(c["c_unit"].to_numpy())
         qid = q["q_id"].to_numpy(dtype=np.int64)
         cid = c["c_id"].to_numpy(dtype=np.int64)
-        s = qm @ cm.T
-        s[qid[:, None] == cid[None, :]] = -np.inf  # self excluded
-        nc = s.shape[1]
-        if nc > k:
-            kth = np.partition(s, nc - k, axis=1)[:, nc - k]
-            keep = (s >= kth[:, None]) & np.isfinite(s)  # ties at the k-th kept
-        else:
-            keep = np.isfinite(s)
-        qi, ci = np.nonzero(keep)
-        return pd.DataFrame({"source_id": qid[qi], "candidate_id": cid[ci], "cosine": s[qi, ci]})
+        nc = len(cid)
+        out = []
+        # Query rows in slices: one slice × block score matrix at a time.
+        for lo in range(0, len(qid), rows_per_slice):
+            sq = qid[lo:lo + rows_per_slice]
+            s = qm[lo:lo + rows_per_slice] @ cm.T
+            s[sq[:, None] == cid[None, :]] = -np.inf  # self excluded
+            if nc > k:
+                kth = np.partition(s, nc - k, axis=1)[:, nc - k]
+                keep = (s >= kth[:, None]) & np.isfinite(s)  # ties at the k-th kept
+            else:
+                keep = np.isfinite(s)
+            qi, ci = np.nonzero(keep)
+            out.append(pd.DataFrame({"source_id": sq[qi], "candidate_id": cid[ci], "cosine": s[qi, ci]}))
+        return pd.concat(out, ignore_index=True) if out else empty
     return run
 
 

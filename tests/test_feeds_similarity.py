@@ -103,3 +103,19 @@ def test_blocked_topk_with_sources_uses_asymmetric_blocks(spark):
         s[pos[int(sid)]] = -np.inf
         order = sorted(range(len(ids)), key=lambda j: (-s[j], ids[j]))[:4]
         assert list(g.sort_values("rank")["candidate_id"]) == [int(ids[j]) for j in order]
+
+
+def test_block_kernel_slices_match_brute_force():
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    q = rng.normal(size=(23, 6)); q /= np.linalg.norm(q, axis=1, keepdims=True)
+    c = np.vstack([q[:10], rng.normal(size=(30, 6))]); c /= np.linalg.norm(c, axis=1, keepdims=True)
+    qid, cid = np.arange(23), np.concatenate([np.arange(10), np.arange(100, 130)])
+    qdf = pd.DataFrame({"q_id": qid, "q_unit": list(q)})
+    cdf = pd.DataFrame({"c_id": cid, "c_unit": list(c)})
+    got = SI._block_topk(3, rows_per_slice=7)(qdf, cdf)
+    for i in range(23):
+        s = c @ q[i]
+        s[cid == i] = -np.inf
+        want = set(cid[np.argsort(-s)[:3]])
+        assert set(got[got.source_id == i].candidate_id) == want
