@@ -15,9 +15,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reposcope.functions.ordinal import rank_within
-from reposcope.functions.time import col_type, minus_days, month_key, ts_lit
+from reposcope.functions.time import col_type, minus_days, month_key, to_datetime, ts_lit
 
 STAT_COLS = ("stargazers_count", "watchers_count", "forks_count", "open_issues_count", "pushed_at", "score")
 STATE_COLS = ("repository_id", "stargazers_count", "watchers_count", "forks_count", "open_issues_count")
@@ -47,7 +48,13 @@ def past_counters(stats: DataFrame, cutoff, order_cols: Sequence[str] = ("event_
     """
     key = _order_key(order_cols)
     cut = ts_lit(cutoff, col_type(stats, "event_time"))
-    return stats.where(F.col("event_time") <= cut).groupBy("repository_id").agg(
+    rows = stats.where(F.col("event_time") <= cut)
+    if "event_month" in stats.columns:
+        # Stored snapshots are partitioned by month: prune whole partitions.
+        month = to_datetime(cutoff).strftime("%Y%m")
+        numeric = not isinstance(col_type(stats, "event_month"), T.StringType)
+        rows = rows.where(F.col("event_month") <= F.lit(int(month) if numeric else month))
+    return rows.groupBy("repository_id").agg(
         F.max_by("stargazers_count", key).alias("past_stars"),
         F.max_by("forks_count", key).alias("past_forks"),
     )

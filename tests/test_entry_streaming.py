@@ -121,3 +121,17 @@ def test_rewrite_deduped_and_versions(spark):
     p = sinks.write_version(st.limit(5), f"{root}/tbl", 3)
     assert p.endswith("v=3") and spark.read.parquet(p).count() == 5
     assert ST.latest_version(spark, f"{root}/tbl").count() == 5
+
+
+def test_past_counters_prunes_month_partitions(spark):
+    from reposcope.operators.snapshots import past_counters
+    from reposcope.sources import sinks
+    root = scratch_path(spark, "t-months")
+    st = FX.stats_long(spark, SF001)
+    sinks.append_snapshots(st, f"{root}/stats")
+    stored = spark.read.parquet(f"{root}/stats")
+    q = past_counters(stored, "1996-01-01 00:00:00", order_cols=("event_time", "tie"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_month" in plan and "<= 199601" in plan
+    want = past_counters(st, "1996-01-01 00:00:00", order_cols=("event_time", "tie"))
+    assert sorted(map(tuple, q.collect())) == sorted(map(tuple, want.collect()))
