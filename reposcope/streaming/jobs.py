@@ -146,24 +146,68 @@ def stream_snapshots(spark: SparkSession, src: str, sink: str, checkpoint: str,
                   available_now).start(sink)
 
 
+def _dimension_messages(batch: DataFrame, repo_cols, repo_schema) -> dict[str, DataFrame]:
+    """Decode one micro-batch of crawl results into the incoming rows of
+    every dimension table (each with the arrival order ``seq``)."""
+    m = batch.select(F.from_json("value", CRAWL_RESULT_T).alias("m")).where(
+        F.col("m.repository.id").isNotNull())
+    r, seq = F.col("m.repository"), F.col("m.seq").alias("seq")
+    flat = m.select(*flatten_repository(r), parse_time(F.col("m.crawled_at")).alias("_crawled_at"), seq)
+    repos = flat.select(
+        *[F.col("_crawled_at").alias(c) if c == "last_crawled_at"
+          else (F.col(c) if c in flat.columns else F.lit(None).cast(repo_schema[c].dataType).alias(c))
+          for c in repo_cols], "seq")
+    owners = m.select(r["owner"]["id"].alias("id"), r["owner"]["login"].alias("login"),
+                      r["owner"]["avatar_url"].alias("avatar_url"), r["owner"]["html_url"].alias("html_url"),
+                      r["owner"]["type"].alias("type"), seq).where(F.col("id").isNotNull())
+    lic = r["license"]
+    licenses = m.select(lic["key"].alias("key"), lic["name"].alias("name"), lic["spdx_id"].alias("spdx_id"),
+                        lic["url"].alias("url"), lic["node_id"].alias("node_id"), seq)
+    rid = r["id"].alias("repository_id")
+    none = F.lit(None).cast("bigint").alias("size")
+    bridges = (m.select(rid, F.lit("tag").alias("kind"), F.explode(r["tags"]).alias("name"), none, seq)
+               .unionByName(m.select(rid, F.lit("topic").alias("kind"), F.explode(r["topics"]).alias("name"),
+                                     none, seq))
+               .unionByName(m.select(rid, F.lit("lang").alias("kind"),
+                                     F.explode(r["languages"]).alias("name", "size"), seq)))
+    return {"repositories": repos, "owners": owners, "licenses": licenses, "bridges": bridges}
+
+
+def stream_dimensions(spark: SparkSession, src: str, initial: dict[str, DataFrame], state_root: str,
+                      checkpoint: str, available_now: bool = True,
+                      max_files: int | None = None) -> StreamingQuery:
+    """Crawl results → upsert of every dimension table (repositories,
+    owners, licences, bridges), one version per micro-batch
+    (``<table>/v=<batch_id>``; batch 0 starts from ``initial``). Bridges
+    are in long form (repository_id, kind, name, size)."""
+    from reposcope.operators.upsert import upsert_bridges, upsert_licenses, upsert_owners
+
+    root = state_root.rstrip("/")
+    rules = {"repositories": upsert_repositories, "owners": upsert_owners,
+             "licenses": upsert_licenses, "bridges": upsert_bridges}
+    repo_cols, repo_schema = initial["repositories"].columns, initial["repositories"].schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        incoming = _dimension_messages(batch, repo_cols, repo_schema)
+        for table, rule in rules.items():
+            current = (initial[table] if batch_id == 0
+                       else spark.read.parquet(f"{root}/{table}/v={batch_id - 1}"))
+            rule(current, incoming[table]).write.mode("overwrite").parquet(f"{root}/{table}/v={batch_id}")
+
+    return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
+                  available_now).start()
+
+
 def stream_repositories(spark: SparkSession, src: str, initial: DataFrame, state_root: str,
                         checkpoint: str, available_now: bool = True,
                         max_files: int | None = None) -> StreamingQuery:
-    """Crawl results → repository dimension upsert, one table version per
-    micro-batch (``v=<batch_id>``; batch 0 starts from ``initial``)."""
+    """Crawl results → repository dimension upsert only, one table version
+    per micro-batch (``v=<batch_id>``; batch 0 starts from ``initial``)."""
     root = state_root.rstrip("/")
-    cols = initial.columns
+    cols, schema = initial.columns, initial.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        m = batch.select(F.from_json("value", CRAWL_RESULT_T).alias("m")).where(
-            F.col("m.repository.id").isNotNull())
-        flat = m.select(*flatten_repository(F.col("m.repository")),
-                        parse_time(F.col("m.crawled_at")).alias("last_crawled_at_msg"),
-                        F.col("m.seq").alias("seq"))
-        incoming = flat.select(
-            *[F.col("last_crawled_at_msg").alias(c) if c == "last_crawled_at"
-              else (F.col(c) if c in flat.columns else F.lit(None).cast(initial.schema[c].dataType).alias(c))
-              for c in cols], "seq")
+        incoming = _dimension_messages(batch, cols, schema)["repositories"]
         current = initial if batch_id == 0 else spark.read.parquet(f"{root}/v={batch_id - 1}")
         upsert_repositories(current, incoming).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
 

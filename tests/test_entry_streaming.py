@@ -135,3 +135,33 @@ def test_past_counters_prunes_month_partitions(spark):
     assert "PartitionFilters: [isnotnull(event_month" in plan and "<= 199601" in plan
     want = past_counters(st, "1996-01-01 00:00:00", order_cols=("event_time", "tie"))
     assert sorted(map(tuple, q.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_dimensions_in_batches_equals_one_upsert(spark):
+    from reposcope.operators import upsert as UP
+    root = scratch_path(spark, "t-dims")
+    repos = FX.repos(spark, SF001)
+    initial = {"repositories": repos, "owners": FX.owners(spark, SF001), "licenses": FX.licenses(spark, SF001),
+               "bridges": FX.bridge_rows(spark, SF001)}
+    records = FX.repository_records(spark, SF001)
+    lang_json = FX.landed_languages(spark, SF001).withColumnRenamed("repository_id", "id")
+    rec = records.join(lang_json, "id", "left").select(
+        "id", F.when(F.col("body").isNotNull(),
+                     F.regexp_replace("record", r"\}$", F.concat(F.lit(',"languages":'), F.col("body"), F.lit("}"))))
+        .otherwise(F.col("record")).alias("record"))
+    for part in range(3):
+        (rec.where(F.col("id") % 3 == part).select(F.concat(
+            F.lit('{"repository":'), F.col("record"), F.lit(',"crawled_at":"2023-0'), F.lit(str(part + 1)),
+            F.lit('-01T00:00:00Z","seq":'), (F.col("id") + part * 100000).cast("string"), F.lit("}")).alias("value"))
+         .coalesce(1).write.mode("append").text(f"{root}/src"))
+    ST.stream_dimensions(spark, f"{root}/src", initial, f"{root}/state", f"{root}/ckpt", max_files=1).awaitTermination()
+    allmsg = ST._dimension_messages(spark.read.text(f"{root}/src"), repos.columns, repos.schema)
+    rules = {"repositories": UP.upsert_repositories, "owners": UP.upsert_owners,
+             "licenses": UP.upsert_licenses, "bridges": UP.upsert_bridges}
+    for table, rule in rules.items():
+        got = ST.latest_version(spark, f"{root}/state/{table}")
+        want = rule(initial[table], allmsg[table])
+        cols = [c for c in want.columns if c not in ("created_at",)]
+        assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect())), table
+    n_lang = spark.read.parquet(f"{root}/state/bridges/v=2").where("kind = 'lang'").count()
+    assert n_lang == FX.langs(spark, SF001).count()
