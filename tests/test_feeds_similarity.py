@@ -119,3 +119,16 @@ def test_block_kernel_slices_match_brute_force():
         s[cid == i] = -np.inf
         want = set(cid[np.argsort(-s)[:3]])
         assert set(got[got.source_id == i].candidate_id) == want
+
+
+def test_combined_feed_cold_and_warm_sessions(spark):
+    views = spark.createDataFrame([("warm", 1, ts("2024-01-01")), ("warm", 21, ts("2024-01-02"))], VIEWS)
+    sim = spark.createDataFrame([(1, 7, 0.5)], SIM)
+    trending = spark.createDataFrame([(20 + i, i, 100 - i) for i in range(1, 6)],
+                                     "repository_id long, rank long, growth long")
+    sessions = spark.createDataFrame([("warm",), ("cold",)], "session_id string")
+    out = {(r.session_id, r.rank): (r.repository_id, r.source)
+           for r in FD.feed(trending, views, sim, sessions, page_size=3).collect()}
+    assert out[("warm", 1)] == (7, "personalized") and ("warm", 2) not in out
+    # a new session gets the growth list, page of 3, nothing seen yet
+    assert [out[("cold", i)] for i in (1, 2, 3)] == [(21, "trending"), (22, "trending"), (23, "trending")]
