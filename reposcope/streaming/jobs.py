@@ -130,9 +130,15 @@ def _changed_snapshots(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.
 
 
 def stream_snapshots(spark: SparkSession, src: str, sink: str, checkpoint: str,
-                     available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
+                     available_now: bool = True, max_files: int | None = None,
+                     state_partitions: int | None = None) -> StreamingQuery:
     """Crawl results → snapshot rows to append, skipping unchanged states
-    across micro-batches (keyed state = last state per repository)."""
+    across micro-batches (keyed state = last state per repository).
+
+    ``state_partitions`` sets the number of state-store partitions when the
+    query first starts (Spark records it in the checkpoint and keeps it for
+    the life of the query); by default the session's shuffle partitions.
+    """
     m = F.from_json("value", CRAWL_RESULT_T)
     r = F.col("m.repository")
     rows = (_lines(spark, src, max_files).select(m.alias("m")).where(r["id"].isNotNull())
@@ -142,8 +148,16 @@ def stream_snapshots(spark: SparkSession, src: str, sink: str, checkpoint: str,
                     parse_time(r["pushed_at"]).alias("pushed_at"), r["score"].alias("score")))
     out = rows.groupBy("repository_id").applyInPandasWithState(
         _changed_snapshots, SNAPSHOT_T, LAST_STATE_T, "append", GroupStateTimeout.NoTimeout)
-    return _start(out.writeStream.format("parquet").outputMode("append"), checkpoint,
-                  available_now).start(sink)
+    writer = _start(out.writeStream.format("parquet").outputMode("append"), checkpoint, available_now)
+    if state_partitions is None:
+        return writer.start(sink)
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start(sink)
+    finally:
+        spark.conf.set(key, previous)
 
 
 def _dimension_messages(batch: DataFrame, repo_cols, repo_schema) -> dict[str, DataFrame]:
