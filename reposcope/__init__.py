@@ -25,6 +25,7 @@ from reposcope.operators.snapshots import (dedupe_check, dedupe_global, first_st
                                            trending_growth)
 from reposcope.operators.upsert import (upsert_bridges, upsert_licenses, upsert_owners, upsert_repositories,
                                         upsert_vectors)
+from reposcope.plans.jobs import posting_job, refresh_candidates
 from reposcope.session import checkpoint_root, get_session
 from reposcope.sources.ingest import (crawl_results, ingest_languages, ingest_readme_url, ingest_search_pages,
                                       ingest_tags, needs_crawl, readme_candidates)

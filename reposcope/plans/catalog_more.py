@@ -345,10 +345,8 @@ def q_needs_crawl(spark, sf):
 @register("refresh_candidates")
 def q_refresh_candidates(spark, sf):
     """Re-crawl candidates: recently pushed ∪ latest discovery needing a crawl."""
-    st = FX.stats(spark, sf)
-    latest = S.latest_stat(st).select("repository_id", "event_time", "pushed_at")
-    gate = IN.needs_crawl(latest, FX.repos(spark, sf)).where("needs_crawl").select("repository_id")
-    return S.recently_pushed(st, P.EVENTS_SINCE).unionByName(gate).distinct()
+    from reposcope.plans.jobs import refresh_candidates
+    return refresh_candidates(FX.stats(spark, sf), FX.repos(spark, sf), P.EVENTS_SINCE)
 
 
 # -- ingest of landed JSON ---------------------------------------------------------------

@@ -129,3 +129,18 @@ def test_crawl_envelope_like_the_reference_integration_test(spark):
     assert r.tags == ["v1.0.0", "v0.9.0"]
     assert r.languages == {"JavaScript": 10000, "HTML": 500}
     assert r.discovered_at == ts("2025-07-09 02:00:15") and r.crawled_at is not None
+
+
+def test_posting_job(spark):
+    from reposcope.plans.jobs import posting_job
+    trending = spark.createDataFrame([(5, 1), (6, 2), (7, 3)], "repository_id long, rank long")
+    enriched = spark.createDataFrame([(6, "o/six", "d6", {"Go": 1}, ["cli"]), (7, "o/seven", None, {}, [])],
+                                     "id long, full_name string, description string, "
+                                     "languages map<string,bigint>, topics array<string>")
+    posted = spark.createDataFrame([(5, ts("2024-01-01"))], "repository_id long, posted_at timestamp_ntz")
+    posts, nxt = posting_job(trending, enriched, posted, ts("2024-02-01"), "https://example.org")
+    p = posts.collect()
+    assert [(r.repository_id, r.rank) for r in p] == [(6, 2)]  # 5 posted already, 6 is next
+    assert p[0].text.startswith("🚀 Trending on GitHub: o/six\n\nd6\n\n🔗 https://example.org/repository/6")
+    assert p[0].text.endswith("#Go #cli")
+    assert sorted((r.repository_id, r.posted_at) for r in nxt.collect()) == [(5, ts("2024-01-01")), (6, ts("2024-02-01"))]
