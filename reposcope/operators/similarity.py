@@ -38,6 +38,9 @@ from reposcope.sources.ingest import object_key
 
 TOPK_SCHEMA = "source_id long, candidate_id long, cosine double"
 
+# Blend weights of cosine, topic Jaccard and language Jaccard.
+HYBRID_WEIGHTS = (0.6, 0.3, 0.1)
+
 
 def unit_vectors(vectors: DataFrame, id_col: str = "repository_id",
                  vec_col: str = "embedding") -> DataFrame:
@@ -142,7 +145,7 @@ def _meta(enriched: DataFrame, prefix: str) -> DataFrame:
 
 
 def similarity_hybrid(topk: DataFrame, enriched: DataFrame,
-                      weights: Sequence[float] = (0.6, 0.3, 0.1)) -> DataFrame:
+                      weights: Sequence[float] = HYBRID_WEIGHTS) -> DataFrame:
     """Blend ``w0·cosine + w1·jaccard(topics) + w2·jaccard(languages)``.
 
     A source without a record gets no list at all; a candidate without a
@@ -228,7 +231,7 @@ def upsert_similarity(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def similarity_job(vectors: DataFrame, enriched: DataFrame, stats: DataFrame, since, k: int = 200,
-                   weights: Sequence[float] = (0.6, 0.3, 0.1), **topk_options) -> tuple[DataFrame, DataFrame]:
+                   weights: Sequence[float] = HYBRID_WEIGHTS, **topk_options) -> tuple[DataFrame, DataFrame]:
     """The periodic similarity job: sources are the repositories whose
     latest snapshot was pushed after ``since``; each gets its top ``k``
     neighbours among ALL vectors, re-scored. Sources without a vector are

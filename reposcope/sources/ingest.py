@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# README file names probed, in order; the first found wins.
 README_NAMES = ("README.md", "README.txt")
 
 
