@@ -3,10 +3,12 @@ change detection, de-duplication.
 
 Snapshots are ``(repository_id, event_time, <counters>, pushed_at, score)``
 rows, optionally with extra tie-break columns (``order_cols``) when
-``event_time`` is not unique per repository. All reads are one pass over
-the table with a single exchange on ``repository_id``; partial aggregation
-runs map-side, so a repository holding a third of all rows costs one
-partial aggregate per input partition, not one giant group.
+``event_time`` is not unique per repository. Aggregating reads (growth,
+latest/past counters, recently pushed) are one pass with a single exchange
+on ``repository_id`` and map-side partial aggregation; per-key top-1 reads
+are WindowGroupLimit; ordered per-repository work (history positions,
+change detection) runs per (repository, day) bucket. A repository holding
+a third of all rows is therefore never one giant group in one task.
 """
 
 from __future__ import annotations
