@@ -13,7 +13,9 @@ intervals is fixed by the midpoint rule, so the recursion becomes:
    ``n > cap`` (counts shrink down a path, so that is the first such
    interval on every path);
 4. values map to their leaf by an equi-join on the interval, rows to
-   values by an equi-join on the value — no range join.
+   values by an equi-join on the value — no range join;
+5. pages are positions in (value, id) order inside a leaf, numbered per
+   (value, id range) sub-bucket plus the counts of earlier sub-buckets.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposcope.functions.ordinal import global_rank
+from reposcope.functions.ordinal import rank_within
 
 _PATH_SCHEMA = "v long, n long, d int, lo long, hi long, plo long, phi long"
 
@@ -89,8 +91,10 @@ def range_pages(df: DataFrame, leaves: DataFrame, col: str = "v", id_col: str =
     paths = _paths(hist, col, lo, hi).select(col, "lo", "hi")
     value_leaf = paths.join(leaves.select("lo", "hi"), ["lo", "hi"], "inner")
     rows = df.select(F.col(id_col).alias("id"), col).join(value_leaf, col, "inner")
-    ranked = global_rank(rows, [F.asc("lo"), F.asc(col), F.asc("id")], name="_g")
-    first = ranked.groupBy("lo", "hi").agg(F.min("_g").alias("_first"))
-    pos = F.col("_g") - F.col("_first")
-    return (ranked.join(first, ["lo", "hi"])
-            .select("lo", "hi", (F.floor(pos / page_size) + 1).cast("bigint").alias("page"), "id"))
+    # Position inside a leaf in (value, id) order. Sub-buckets of (value,
+    # id >> 20) follow that order and hold at most 2^20 rows each, so even a
+    # single-valued leaf with a third of all rows is numbered in parallel.
+    bucket = F.struct(F.col(col), F.shiftright("id", 20))
+    ranked = rank_within(rows, ["lo", "hi"], [F.asc(col), F.asc("id")], bucket, name="_pos")
+    return ranked.select("lo", "hi", (F.floor((F.col("_pos") - 1) / page_size) + 1).cast("bigint").alias("page"),
+                         "id")
