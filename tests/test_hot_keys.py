@@ -64,3 +64,26 @@ def test_lsh_returns_true_cosines(spark):
     assert approx, "LSH found no pairs"
     hits = [r for r in approx if (r.source_id, r.candidate_id) in exact]
     assert all(abs(exact[(r.source_id, r.candidate_id)] - r.cosine) < 1e-9 for r in hits)
+
+
+def test_empty_inputs(spark):
+    from reposcope.functions.ordinal import global_rank
+    from reposcope.operators import ranges as RG
+    from reposcope.operators import upsert as UP
+    from reposcope.operators.facets import top_unseen
+
+    empty = spark.createDataFrame([], "k long, id long")
+    assert global_rank(empty, [F.asc("id")]).count() == 0
+    assert rank_within(empty, ["k"], [F.asc("id")], F.col("id")).count() == 0
+    vec = FX.vectors(spark, SF001)
+    none = spark.createDataFrame([], "repository_id long")
+    assert SI.similar_topk(vec, 3, sources=none).count() == 0
+    assert RG.adaptive_ranges(spark.createDataFrame([], "id long, v long")).count() == 0
+    repos = FX.repos(spark, SF001)
+    no_msgs = repos.limit(0).withColumn("seq", F.lit(0).cast("bigint"))
+    assert UP.upsert_repositories(repos, no_msgs).count() == repos.count()
+    ranked = spark.createDataFrame([(1, 1)], "repository_id long, rank long")
+    seen = spark.createDataFrame([], "session_id string, repository_id long")
+    sessions = spark.createDataFrame([("s",)], "session_id string")
+    assert [r.repository_id for r in top_unseen(ranked, seen, sessions, 0, 5).collect()] == [1]
+    assert S.snapshots_changed(spark.createDataFrame([], SCHEMA)).count() == 0
