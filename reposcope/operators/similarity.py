@@ -19,8 +19,9 @@ all pairs:
 Shuffle volume is ``|Q|·Bc + N·Bq`` vectors (``2·N·B`` for all sources;
 small for the periodic job whose sources are the recently pushed ones),
 per-task memory two blocks. Exact all-pairs work grows with N²; for very
-large collections ``method="lsh"`` gives the approximate form (random
-projection buckets on unit vectors, Euclidean d² = 2 − 2·cos).
+large collections ``method="lsh"`` gives the approximate form: random
+hyperplane buckets per hash table, the same blocked kernel inside each
+bucket, so work grows with the bucket sizes and never emits bucket pairs.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def _block_topk(k: int, rows_per_slice: int = 1024):
 
 def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = None,
                  method: str = "block", block_rows: int = 8192, blocks: int | None = None,
-                 lsh_bucket_length: float = 0.5, lsh_tables: int = 8) -> DataFrame:
+                 lsh_bits: int = 6, lsh_tables: int = 4, seed: int = 7) -> DataFrame:
     """Top ``k`` candidates by cosine for every source vector, against ALL
     vectors, self excluded; order cosine desc, candidate id asc.
     ``sources`` (column ``repository_id``) restricts the query side.
@@ -94,7 +95,7 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
     q = u if sources is None else u.join(sources.select("repository_id").distinct(),
                                          "repository_id", "left_semi")
     if method == "lsh":
-        pairs = _lsh_pairs(u, q, lsh_bucket_length, lsh_tables)
+        pairs = _lsh_pairs(u, q, k, lsh_bits, lsh_tables, block_rows, seed)
     elif method == "block":
         if blocks is None:
             # Two scalars (Parquet-backed counts) size the blocks of each side.
@@ -121,21 +122,53 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
             .where(F.col("rank") <= k))
 
 
-def _lsh_pairs(u: DataFrame, q: DataFrame, bucket_length: float, tables: int) -> DataFrame:
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    cand = u.select("repository_id", array_to_vector("unit").alias("features"))
-    qry = q.select("repository_id", array_to_vector("unit").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                        bucketLength=bucket_length, numHashTables=tables,
-                                        seed=7).fit(cand)
-    # Unit vectors: d <= 2 covers every pair that shares a bucket.
-    j = model.approxSimilarityJoin(qry, cand, 2.0, distCol="dist")
-    return (j.select(F.col("datasetA.repository_id").alias("source_id"),
-                     F.col("datasetB.repository_id").alias("candidate_id"),
-                     (1.0 - F.col("dist") * F.col("dist") / 2.0).alias("cosine"))
-            .where(F.col("source_id") != F.col("candidate_id")))
+_SIG_SCHEMA = "repository_id long, unit array<double>, lsh_table int, bucket int"
+
+
+def _signatures(dim: int, bits: int, tables: int, seed: int):
+    """Random-hyperplane buckets: one ``bits``-bit signature per table."""
+    planes = np.random.default_rng(seed).normal(size=(dim, bits * tables))
+    weights = 1 << np.arange(bits)
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            m = np.stack(pdf["unit"].to_numpy())
+            sign = (m @ planes > 0).reshape(len(pdf), tables, bits)
+            codes = (sign * weights).sum(axis=2)
+            for t in range(tables):
+                yield pd.DataFrame({"repository_id": pdf["repository_id"].to_numpy(), "unit": pdf["unit"],
+                                    "lsh_table": t, "bucket": codes[:, t].astype(np.int32)})
+    return run
+
+
+def _lsh_pairs(u: DataFrame, q: DataFrame, k: int, bits: int, tables: int, block_rows: int,
+               seed: int) -> DataFrame:
+    """Approximate candidates: vectors sharing a bucket in any table. Each
+    bucket is split into blocks sized from its count (a table of at most
+    ``tables · 2^bits`` rows, so it is broadcast), and the exact kernel
+    runs per (table, bucket, query block, candidate block), emitting only
+    each query's local top-k — a crowded bucket is split, never expanded
+    into all its pairs."""
+    dim = u.select(F.size("unit").alias("d")).first()["d"]  # one scalar
+    sig = _signatures(dim, bits, tables, seed)
+    us = u.mapInPandas(sig, _SIG_SCHEMA)
+    qs_ = q.mapInPandas(sig, _SIG_SCHEMA)
+    counts = us.groupBy("lsh_table", "bucket").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("_nb"))
+    counts = F.broadcast(counts)
+    blk = F.pmod(F.xxhash64("repository_id"), F.col("_nb")).cast("int")
+    seq = F.sequence(F.lit(0), F.col("_nb") - 1)
+    keys = ["lsh_table", "bucket"]
+    qs = qs_.join(counts, keys).select(*keys, blk.alias("qb"), F.explode(seq).alias("cb"),
+                                        F.col("repository_id").alias("q_id"), F.col("unit").alias("q_unit"))
+    cs = us.join(counts, keys).select(*keys, F.explode(seq).alias("qb"), blk.alias("cb"),
+                                       F.col("repository_id").alias("c_id"), F.col("unit").alias("c_unit"))
+    grp = [*keys, "qb", "cb"]
+    pairs = qs.groupBy(*grp).cogroup(cs.groupBy(*grp)).applyInPandas(_block_topk(k), TOPK_SCHEMA)
+    # A pair found in several tables counts once.
+    return pairs.groupBy("source_id", "candidate_id").agg(F.max("cosine").alias("cosine"))
 
 
 def _meta(enriched: DataFrame, prefix: str) -> DataFrame:

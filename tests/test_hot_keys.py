@@ -57,13 +57,15 @@ def test_bucketed_change_detection_equals_sequential(spark):
     assert (1, first_hot) not in got
 
 
-def test_lsh_returns_true_cosines(spark):
+def test_lsh_returns_true_cosines_and_reasonable_recall(spark):
     vec = FX.vectors(spark, SF001)
     exact = {(r.source_id, r.candidate_id): r.cosine for r in SI.similar_topk(vec, 5, blocks=2).collect()}
-    approx = SI.similar_topk(vec, 5, method="lsh", lsh_bucket_length=2.0, lsh_tables=4).collect()
+    approx = SI.similar_topk(vec, 5, method="lsh", lsh_bits=3, lsh_tables=6, block_rows=64).collect()
     assert approx, "LSH found no pairs"
     hits = [r for r in approx if (r.source_id, r.candidate_id) in exact]
     assert all(abs(exact[(r.source_id, r.candidate_id)] - r.cosine) < 1e-9 for r in hits)
+    assert len(hits) / len(exact) > 0.5
+    assert max(r.rank for r in approx) <= 5
 
 
 def test_empty_inputs(spark):
