@@ -252,11 +252,10 @@ def stream_embed(spark: SparkSession, src: str, readmes: DataFrame, initial: Dat
 
 
 def latest_version(spark: SparkSession, state_root: str) -> DataFrame:
-    """Read the newest ``v=<n>`` version of a versioned table."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(state_root)
-    fs = path.getFileSystem(conf)
-    versions = [int(s.getPath().getName().split("=", 1)[1]) for s in fs.listStatus(path)
-                if s.getPath().getName().startswith("v=")]
+    """Read the newest ``v=<n>`` version of a versioned table (the version
+    numbers come from the file listing, no data is scanned to find it)."""
+    import re
+
+    files = spark.read.parquet(state_root).inputFiles()
+    versions = {int(m.group(1)) for f in files for m in [re.search(r"/v=(\d+)/", f)] if m}
     return spark.read.parquet(f"{state_root.rstrip('/')}/v={max(versions)}")
