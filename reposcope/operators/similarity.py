@@ -98,9 +98,11 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
         pairs = _lsh_pairs(u, q, k, lsh_bits, lsh_tables, block_rows, seed)
     elif method == "block":
         if blocks is None:
-            # Two scalars (Parquet-backed counts) size the blocks of each side.
-            q_blocks = max(1, math.ceil(q.count() / block_rows))
-            c_blocks = max(1, math.ceil(u.count() / block_rows)) if sources is not None else q_blocks
+            # Block sizes from row counts: the raw vector table's count needs
+            # no column data (an upper bound: zero vectors are dropped later);
+            # the query side is counted only when sources are given.
+            c_blocks = max(1, math.ceil(vectors.count() / block_rows))
+            q_blocks = max(1, math.ceil(q.count() / block_rows)) if sources is not None else c_blocks
         else:
             q_blocks = c_blocks = int(blocks)
         qblk = F.pmod(F.xxhash64("repository_id"), F.lit(q_blocks)).cast("int")
