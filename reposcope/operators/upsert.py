@@ -98,11 +98,17 @@ def upsert_repositories(current: DataFrame, incoming: DataFrame,
     in_run = F.col("_ks").isNull() | (F.col("_k") > F.col("_ks"))
     lca = F.coalesce(F.unix_micros(F.col("last_crawled_at").cast("timestamp")), F.lit(-(2 ** 62)))
     pick_key = F.when(in_run, F.struct((-lca).alias("a"), F.col("_k").alias("b")))
+    run_order = F.when(in_run, F.col("_k"))
     rest = [c for c in cols if c not in ("id", "created_at")]
     out = y.groupBy("id").agg(
         F.min_by(F.struct(*rest), pick_key).alias("_r"),
+        # ``stored < incoming`` is never true once the stored time is NULL:
+        # then the run's first element stays.
+        F.min_by(F.struct(*rest), run_order).alias("_first"),
+        F.min_by(F.col("last_crawled_at").isNull(), run_order).alias("_first_null"),
         F.min_by("created_at", "_k").alias("created_at"))
-    return out.select("id", "_r.*", "created_at").select(*cols)
+    chosen = F.when(F.col("_first_null"), F.col("_first")).otherwise(F.col("_r"))
+    return out.select("id", chosen.alias("_c"), "created_at").select("id", "_c.*", "created_at").select(*cols)
 
 
 def upsert_bridges(current: DataFrame, incoming: DataFrame,

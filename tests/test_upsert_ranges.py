@@ -102,3 +102,14 @@ def test_adaptive_ranges_hot_value(spark):
     pages = RG.range_pages(df, leaves, "v", "id", 50, 1_000_000, 100)
     hot = pages.where((F.col("lo") == 500) & (F.col("hi") == 500))
     assert hot.agg(F.max("page")).first()[0] == 10 and hot.count() == 1000
+
+
+def test_repository_upsert_null_stored_crawl_time(spark):
+    cur = spark.createDataFrame([(1, "n", "d", None, "mit", False, False, None, ts("2020-01-01"))], REPO)
+    inc = spark.createDataFrame([
+        (1, "same-later", "d", None, "mit", False, False, ts("2024-01-05"), ts("2021-01-01"), 1),  # NULL < t: no update
+        (2, "new", "x", None, None, False, False, None, ts("2021-01-01"), 2),                     # insert
+        (2, "new-later", "x", None, None, False, False, ts("2024-01-05"), ts("2021-01-01"), 3),   # NULL < t: no update
+    ], REPO + ", seq long")
+    got = {r.id: (r.name, r.last_crawled_at) for r in UP.upsert_repositories(cur, inc).collect()}
+    assert got == {1: ("n", None), 2: ("new", None)}
