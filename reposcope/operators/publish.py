@@ -26,6 +26,23 @@ POST_LINK = "🔗 "
 MAX_HASHTAGS = 4
 MAX_TOPIC_BYTES = 15
 
+# The share-page meta block; the slots are title,
+# description, full name, description, image URL, full name, description,
+# image URL.
+META_TEMPLATE = (
+    "\n<title>%s</title>\n"
+    "<meta name=\"description\" content=\"%s\">\n"
+    "<meta property=\"og:title\" content=\"%s\">\n"
+    "<meta property=\"og:description\" content=\"%s\">\n"
+    "<meta property=\"og:image\" content=\"%s\">\n"
+    "<meta property=\"twitter:card\" content=\"summary_large_image\">\n"
+    "<meta property=\"twitter:title\" content=\"%s\">\n"
+    "<meta property=\"twitter:description\" content=\"%s\">\n"
+    "<meta property=\"twitter:image\" content=\"%s\">\n"
+)
+# The page's first title element on one line (``.`` stops at line ends).
+TITLE_PATTERN = r"<title>[^\n\r\u2028\u2029]*?</title>"
+
 # Whitespace as the browser's regex ``\s`` sees it (ASCII + Unicode spaces).
 JS_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
@@ -50,13 +67,26 @@ def html_snippet(html: Column, n: int = 400) -> Column:
 
 def page_meta(repos: DataFrame, site_name: str, base_url: str) -> DataFrame:
     """Share-page meta text per repository.
-    → repository_id, title, description, og_image"""
-    return repos.select(
-        F.col("id").alias("repository_id"),
+    → repository_id, title, description, og_image, meta_html"""
+    out = repos.select(
+        F.col("id").alias("repository_id"), F.col("full_name"),
         F.concat("full_name", F.lit(f" - {site_name}")).alias("title"),
         F.coalesce("description", F.lit("")).alias("description"),
         F.concat(F.lit(base_url.rstrip("/") + "/api/og?id="), F.col("id").cast("string")).alias("og_image"),
     )
+    d, img, name = F.col("description"), F.col("og_image"), F.col("full_name")
+    meta = F.format_string(META_TEMPLATE, F.col("title"), d, name, d, img, name, d, img)
+    return out.withColumn("meta_html", meta).drop("full_name")
+
+
+def inject_meta(html: Column, meta: Column) -> Column:
+    """Replace the page's first one-line ``<title>…</title>`` with ``meta``
+    (pages without one are returned unchanged)."""
+    found = F.regexp_extract(html, TITLE_PATTERN, 0)
+    at = F.instr(html, found)
+    spliced = F.concat(F.substring(html, F.lit(1), at - 1), meta,
+                       F.substring(html, at + F.length(found), F.lit(1 << 30)))
+    return F.when(found == "", html).otherwise(spliced)
 
 
 def _utf8_prefix(text: Column, max_bytes: Column) -> Column:

@@ -257,7 +257,18 @@ def q_html_snippet(spark, sf):
 
 @register("page_meta")
 def q_page_meta(spark, sf):
-    return PB.page_meta(FX.repos(spark, sf), "reposcope", P.BASE_URL)
+    return PB.page_meta(FX.repos(spark, sf), "reposcope", P.BASE_URL).drop("meta_html")
+
+
+@register("page_render")
+def q_page_render(spark, sf):
+    """Share pages served to crawlers: each landed page (page_id = repository
+    id) with its title element replaced by the repository's meta block."""
+    meta = PB.page_meta(FX.repos(spark, sf), "reposcope", P.BASE_URL)
+    pages = FX.table(spark, sf, "pages").join(meta.withColumnRenamed("repository_id", "page_id"), "page_id")
+    html = PB.inject_meta(F.col("html"), F.col("meta_html"))
+    return pages.select("page_id", F.length(html).cast("bigint").alias("n_chars"),
+                        F.sha2(html, 256).alias("html_sha256"))
 
 
 @register("bot_flag")

@@ -269,6 +269,22 @@ def publishing() -> dict[str, str]:
                COALESCE(description, '') AS description,
                '{P.BASE_URL}/api/og?id=' || CAST(id AS VARCHAR) AS og_image
         FROM f_repos""", "f_repos")
+    from reposcope.operators.publish import META_TEMPLATE
+    title_re = r"<title>[^\n\r\x{2028}\x{2029}]*?</title>"
+    og = f"'{P.BASE_URL}/api/og?id=' || CAST(id AS VARCHAR)"
+    q["page_render"] = sql(f"""
+        WITH m AS (
+            SELECT id AS page_id,
+                   printf('{META_TEMPLATE}', full_name || ' - reposcope', COALESCE(description, ''), full_name,
+                          COALESCE(description, ''), {og}, full_name, COALESCE(description, ''), {og}) AS meta
+            FROM f_repos),
+        x AS (SELECT p.page_id, p.html, m.meta, regexp_extract(p.html, '{title_re}', 0) AS found
+              FROM pages p JOIN m ON m.page_id = p.page_id),
+        y AS (SELECT page_id, CASE WHEN found = '' THEN html
+                                   ELSE substring(html, 1, instr(html, found) - 1) || meta
+                                        || substring(html, instr(html, found) + length(found)) END AS out
+              FROM x)
+        SELECT page_id, CAST(length(out) AS BIGINT) AS n_chars, sha256(out) AS html_sha256 FROM y""", "f_repos")
     cond = " OR ".join(f"contains(lower(COALESCE(text, '')), '{b}')" for b in BOT_AGENTS)
     q["bot_flag"] = f"SELECT doc_id, ({cond}) AS is_bot FROM documents"
     # Hashed bag-of-words vectors: one 384-d vector per text, unit norm when

@@ -144,3 +144,17 @@ def test_posting_job(spark):
     assert p[0].text.startswith("🚀 Trending on GitHub: o/six\n\nd6\n\n🔗 https://example.org/repository/6")
     assert p[0].text.endswith("#Go #cli")
     assert sorted((r.repository_id, r.posted_at) for r in nxt.collect()) == [(5, ts("2024-01-01")), (6, ts("2024-02-01"))]
+
+
+def test_inject_meta(spark):
+    pages = spark.createDataFrame([
+        ("<head><title>a</title><title>b</title></head>",),
+        ("<title>x\ny</title><title>one line</title>",),
+        ("<p>no title</p>",),
+    ], "html string")
+    got = [r.o for r in pages.select(PB.inject_meta(F.col("html"), F.lit("[M]")).alias("o")).collect()]
+    assert got == ["<head>[M]<title>b</title></head>", "<title>x\ny</title>[M]", "<p>no title</p>"]
+    repos = spark.createDataFrame([(3, "o/r", None)], "id long, full_name string, description string")
+    meta = PB.page_meta(repos, "site", "https://example.org").first()
+    assert meta.title == "o/r - site" and meta.og_image == "https://example.org/api/og?id=3"
+    assert meta.meta_html.startswith("\n<title>o/r - site</title>\n<meta name=\"description\" content=\"\">")
