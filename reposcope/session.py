@@ -24,6 +24,8 @@ _DEFAULTS = {
     # Let AQE size shuffle partitions from the data instead of a fixed count.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # Remove checkpointed frames (global ranks) once they are unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Keyed streaming state (last snapshot state per repository) off-heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
