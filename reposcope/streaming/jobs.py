@@ -71,7 +71,9 @@ def stream_ingest(spark: SparkSession, src: str, out_root: str, checkpoint: str,
     root = out_root.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        m = batch.select("value", F.from_json("value", CRAWL_RESULT_T).alias("m"))
+        # Decoded once, used by three writes (recomputed from the same files
+        # if an executor holding it is lost).
+        m = batch.select("value", F.from_json("value", CRAWL_RESULT_T).alias("m")).persist()
         ok = F.col("m.repository.id").isNotNull()
         good = m.where(ok).select(*flatten_repository(F.col("m.repository")),
                                   parse_time(F.col("m.crawled_at")).alias("crawled_at"))
@@ -82,6 +84,7 @@ def stream_ingest(spark: SparkSession, src: str, out_root: str, checkpoint: str,
          .write.mode("overwrite").parquet(_batch_path(f"{root}/embed_requests", batch_id)))
         (m.where(~ok).select(F.col("value").alias("raw"), F.lit(batch_id).cast("bigint").alias("batch_id"))
          .write.mode("overwrite").parquet(_batch_path(f"{root}/dead_letter", batch_id)))
+        m.unpersist()
 
     return _start(_lines(spark, src).writeStream.foreachBatch(write), checkpoint, available_now).start()
 
@@ -202,11 +205,13 @@ def stream_dimensions(spark: SparkSession, src: str, initial: dict[str, DataFram
     repo_cols, repo_schema = initial["repositories"].columns, initial["repositories"].schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        incoming = _dimension_messages(batch, repo_cols, repo_schema)
+        lines = batch.persist()  # one read of the batch for four tables
+        incoming = _dimension_messages(lines, repo_cols, repo_schema)
         for table, rule in rules.items():
             current = (initial[table] if batch_id == 0
                        else spark.read.parquet(f"{root}/{table}/v={batch_id - 1}"))
             rule(current, incoming[table]).write.mode("overwrite").parquet(f"{root}/{table}/v={batch_id}")
+        lines.unpersist()
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
                   available_now).start()
