@@ -207,9 +207,18 @@ def q_embed_requests(spark, sf):
     return SI.embed_requests(recent, FX.vectors(spark, sf), rc.withColumnRenamed("repository_id", "id"))
 
 
+def history_lists(spark, sf):
+    """Similarity lists for the repositories in the sessions' histories only:
+    a source's list does not depend on the other sources."""
+    views = FX.views(spark, sf)
+    srcs = FD.session_history(views, P.HISTORY_LIMIT).select("repository_id").distinct()
+    topk = SI.similar_topk(FX.vectors(spark, sf), P.SIMILARITY_K, sources=srcs)
+    return SI.similarity_hybrid(topk, enriched(spark, sf))
+
+
 @register("feed_personalized")
 def q_feed_personalized(spark, sf):
-    f = FD.feed_personalized(FX.views(spark, sf), hybrid_all(spark, sf), page=0, page_size=P.PAGE_SIZE,
+    f = FD.feed_personalized(FX.views(spark, sf), history_lists(spark, sf), page=0, page_size=P.PAGE_SIZE,
                              history_limit=P.HISTORY_LIMIT)
     return f.withColumn("score", F.round("score", 6))
 
@@ -217,7 +226,7 @@ def q_feed_personalized(spark, sf):
 @register("feed_page")
 def q_feed_page(spark, sf):
     """Second page of the combined feed (personalised where history exists)."""
-    f = FD.feed(trending_orders(spark, sf), FX.views(spark, sf), hybrid_all(spark, sf),
+    f = FD.feed(trending_orders(spark, sf), FX.views(spark, sf), history_lists(spark, sf),
                 sessions(spark, sf), page=1, page_size=P.PAGE_SIZE, history_limit=P.HISTORY_LIMIT)
     return f.withColumn("score", F.round("score", 6))
 
