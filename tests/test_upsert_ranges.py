@@ -113,3 +113,34 @@ def test_repository_upsert_null_stored_crawl_time(spark):
     ], REPO + ", seq long")
     got = {r.id: (r.name, r.last_crawled_at) for r in UP.upsert_repositories(cur, inc).collect()}
     assert got == {1: ("n", None), 2: ("new", None)}
+
+
+def test_licence_upsert_matches_sequential_rule(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    names = st.sampled_from(["A", "B", None])
+    msg = st.tuples(st.sampled_from(["k1", "k2", None]), names, st.sampled_from(["s", "t"]),
+                    st.sampled_from(["n1", "n2", "n3"]))
+
+    @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(msg, min_size=1, max_size=12), st.booleans())
+    def check(msgs, with_current):
+        current = [("k1", "A", "s", None, "n0")] if with_current else []
+        state = {c[0]: list(c[1:]) for c in current}
+        for key, name, spdx, node in msgs:  # the SQL rule, one message at a time
+            if key is None:
+                continue
+            s = state.get(key)
+            if s is None or s[0] != name or s[1] != spdx or s[2] is not None:
+                state[key] = [name, spdx, None, node]
+        want = sorted((k, *v) for k, v in state.items())
+        schema = "key string, name string, spdx_id string, url string, node_id string"
+        cur = spark.createDataFrame(current, schema)
+        inc = spark.createDataFrame([(k, n, s, None, nd, i) for i, (k, n, s, nd) in enumerate(msgs)],
+                                    schema + ", seq long")
+        got = sorted(tuple(r) for r in UP.upsert_licenses(cur, inc).select(
+            "key", "name", "spdx_id", "url", "node_id").collect())
+        assert got == want
+
+    check()
