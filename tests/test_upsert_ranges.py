@@ -144,3 +144,24 @@ def test_licence_upsert_matches_sequential_rule(spark):
         assert got == want
 
     check()
+
+
+def test_adaptive_ranges_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.integers(min_value=0, max_value=300), min_size=1, max_size=200),
+           st.integers(min_value=1, max_value=40))
+    def check(values, cap):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long")
+        got = sorted((r.lo, r.hi, r.n) for r in RG.adaptive_ranges(df, "v", 10, 256, cap).collect())
+        want = []
+        plain_recursion(values, 10, 256, cap, want)
+        assert got == sorted(want)
+        inside = [v for v in values if 10 <= v <= 256]
+        assert sum(n for _, _, n in got) == len(inside)  # cover
+        assert all(a[1] < b[0] for a, b in zip(got, got[1:]))  # disjoint
+        assert all(n <= cap or lo == hi for lo, hi, n in got)
+
+    check()
