@@ -89,3 +89,53 @@ def test_empty_inputs(spark):
     sessions = spark.createDataFrame([("s",)], "session_id string")
     assert [r.repository_id for r in top_unseen(ranked, seen, sessions, 0, 5).collect()] == [1]
     assert S.snapshots_changed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_post_text_byte_budget_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from reposcope.operators.publish import post_text
+
+    text = st.text(alphabet=st.characters(blacklist_categories=("Cs",), blacklist_characters="\x00"),
+                   min_size=0, max_size=400)
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(text, min_size=1, max_size=6))
+    def check(descs):
+        rows = [(i, f"o/r{i}", d, {"Go": 1}, ["t"]) for i, d in enumerate(descs)]
+        df = spark.createDataFrame(rows, "id long, full_name string, description string, "
+                                         "languages map<string,bigint>, topics array<string>")
+        for r in post_text(df, "https://example.org").collect():
+            d = descs[r.repository_id]
+            body = r.text.split("\n\n", 1)[1].rsplit("\n\n🔗 ", 1)[0]
+            assert "�" not in body or "�" in d
+            if body != d:  # cut: a prefix of the description plus "..."
+                assert len(r.text.encode()) <= 270 and body.endswith("...") and d.startswith(body[:-3])
+
+    check()
+
+
+def test_top_unseen_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from reposcope.operators.facets import top_unseen
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.integers(min_value=1, max_value=30),
+           st.lists(st.tuples(st.sampled_from("abc"), st.integers(min_value=0, max_value=35)), max_size=40),
+           st.integers(min_value=0, max_value=10), st.integers(min_value=1, max_value=8))
+    def check(n_list, seen_rows, offset, n):
+        ranked = spark.createDataFrame([(100 + r, r) for r in range(1, n_list + 1)], "repository_id long, rank long")
+        seen = spark.createDataFrame([(s, 100 + x) for s, x in seen_rows], "session_id string, repository_id long")
+        sessions = spark.createDataFrame([(s,) for s in "abc"], "session_id string")
+        got = {(r.session_id, r.position): r.repository_id
+               for r in top_unseen(ranked, seen, sessions, offset, n).collect()}
+        for s in "abc":
+            seen_s = {100 + x for t, x in seen_rows if t == s}
+            lst = [100 + r for r in range(1, n_list + 1) if 100 + r not in seen_s][offset:offset + n]
+            assert [got.get((s, offset + i + 1)) for i in range(len(lst))] == lst
+            assert not any(k[0] == s and k[1] > offset + len(lst) for k in got)
+
+    check()
