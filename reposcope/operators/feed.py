@@ -20,6 +20,13 @@ from reposcope.operators.facets import facet_filter, top_unseen
 from reposcope.operators.snapshots import first_stat, latest_stat
 
 
+def rfc3339(ts) -> "Column":
+    """UTC time as JSON serialises it: RFC 3339 with the fractional second
+    trimmed of trailing zeros (none when zero) and a ``Z`` suffix."""
+    full = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.regexp_replace(full, r"\.?0+Z$", "Z")
+
+
 def session_views(events: DataFrame) -> DataFrame:
     """View log rows (session_id, repository_id, viewed_at); duplicates kept."""
     return events.select("session_id", "repository_id", "viewed_at")
@@ -124,7 +131,7 @@ def feed_rows(ranked: DataFrame, enriched: DataFrame, stats: DataFrame, stat: st
         F.coalesce("forks_count", zero).alias("forks_count"),
         F.coalesce("watchers_count", zero).alias("watchers_count"),
         F.coalesce("open_issues_count", zero).alias("open_issues_count"),
-        F.coalesce(F.date_format("pushed_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("pushed_at"),
+        F.coalesce(rfc3339(F.col("pushed_at")), F.lit("")).alias("pushed_at"),
         F.concat("html_url", F.lit("/stargazers")).alias("stargazers_url"),
         F.concat("html_url", F.lit("/forks")).alias("forks_url"),
         F.concat_ws(",", F.slice("topics", 1, 5)).alias("topics"),
