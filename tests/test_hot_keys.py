@@ -139,3 +139,34 @@ def test_top_unseen_property(spark):
             assert not any(k[0] == s and k[1] > offset + len(lst) for k in got)
 
     check()
+
+
+def test_change_detection_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    row = st.tuples(st.integers(min_value=1, max_value=3), st.integers(min_value=0, max_value=300),
+                    st.integers(min_value=0, max_value=1), st.integers(min_value=0, max_value=1))
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, min_size=1, max_size=40, unique_by=lambda r: (r[0], r[1])),
+           st.dictionaries(st.integers(min_value=1, max_value=3),
+                           st.tuples(st.integers(min_value=0, max_value=1), st.integers(min_value=0, max_value=1)),
+                           max_size=3))
+    def check(rows, stored):
+        t0 = datetime(2024, 1, 1)
+        data = [(rid, t0 + timedelta(minutes=7 * m), s, 0, f, 0, t0, 1.0) for rid, m, s, f in rows]
+        df = spark.createDataFrame(data, SCHEMA)
+        latest = spark.createDataFrame([(rid, t0 - timedelta(days=1), s, 0, f, 0, t0, 1.0)
+                                        for rid, (s, f) in stored.items()], SCHEMA)
+        last = {rid: (s, 0, f, 0) for rid, (s, f) in stored.items()}
+        want = set()
+        for r in sorted(data, key=lambda x: (x[0], x[1])):
+            state = (r[2], r[3], r[4], r[5])
+            if last.get(r[0]) != state:
+                want.add((r[0], r[1]))
+            last[r[0]] = state
+        got = {(r.repository_id, r.event_time) for r in S.snapshots_changed(df, latest, bucket="hour").collect()}
+        assert got == want
+
+    check()
