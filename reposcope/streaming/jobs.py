@@ -29,7 +29,19 @@ CRAWL_RESULT_T = f"struct<repository:{REPO_T},discovered_at:string,crawled_at:st
 EMBED_REQUEST_T = "struct<repository_id:bigint,minio_path:string,download_url:string>"
 
 
-def _lines(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
+def _lines(spark: SparkSession, src, max_files: int | None = None) -> DataFrame:
+    """One JSON message per row in a ``value`` string column.
+
+    ``src`` is a folder of landed JSON-lines files, or a dict of reader
+    options with a ``format`` key, e.g. ``{"format": "kafka",
+    "kafka.bootstrap.servers": …, "subscribe": "repos_to_write"}`` (the
+    connector must be on the class path); message bytes become text."""
+    if isinstance(src, dict):
+        opts = dict(src)
+        fmt = opts.pop("format")
+        r = spark.readStream.format(fmt).options(**opts)
+        df = r.load()
+        return df.select(F.col("value").cast("string").alias("value"))
     r = spark.readStream.format("text")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)

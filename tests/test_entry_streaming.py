@@ -165,3 +165,11 @@ def test_stream_dimensions_in_batches_equals_one_upsert(spark):
         assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect())), table
     n_lang = spark.read.parquet(f"{root}/state/bridges/v=2").where("kind = 'lang'").count()
     assert n_lang == FX.langs(spark, SF001).count()
+
+
+def test_stream_source_as_reader_options(spark):
+    root = scratch_path(spark, "t-opts")
+    FX.view_messages(spark, SF001).write.text(f"{root}/src")
+    src = {"format": "text", "path": f"{root}/src", "maxFilesPerTrigger": "1"}
+    ST.stream_views(spark, src, f"{root}/sink", f"{root}/ckpt").awaitTermination()
+    assert spark.read.parquet(f"{root}/sink").count() == FX.views(spark, SF001).count()
