@@ -450,8 +450,8 @@ def q_stream_write(spark, sf):
     years = [r["year"] for r in msgs.select("year").distinct().orderBy("year").collect()]
     for y in years:  # one small driver loop over landed files, not over data
         msgs.where(F.col("year") == y).select("value").coalesce(1).write.mode("append").text(f"{root}/src")
-    _run(ST.stream_snapshots(spark, f"{root}/src", f"{root}/sink", f"{root}/ckpt", max_files=1,
-                             state_partitions=spark.sparkContext.defaultParallelism))
+    _run(ST.stream_snapshots_versioned(spark, f"{root}/src", f"{root}/sink", f"{root}/state",
+                                       f"{root}/ckpt", max_files=1))
     return spark.read.parquet(f"{root}/sink").select(
         "repository_id", "event_time", "tie", "stargazers_count", "watchers_count", "forks_count",
         "open_issues_count")

@@ -175,6 +175,42 @@ def stream_snapshots(spark: SparkSession, src: str, sink: str, checkpoint: str,
         spark.conf.set(key, previous)
 
 
+def _snapshot_rows(lines: DataFrame) -> DataFrame:
+    m = F.from_json("value", CRAWL_RESULT_T)
+    r = F.col("m.repository")
+    return (lines.select(m.alias("m")).where(r["id"].isNotNull())
+            .select(r["id"].alias("repository_id"), parse_time(F.col("m.crawled_at")).alias("event_time"),
+                    F.col("m.seq").alias("tie"), *[r[c].alias(c) for c in STATE_FIELDS],
+                    parse_time(r["pushed_at"]).alias("pushed_at"), r["score"].alias("score")))
+
+
+def stream_snapshots_versioned(spark: SparkSession, src, sink: str, state_root: str, checkpoint: str,
+                               available_now: bool = True, max_files: int | None = None,
+                               bucket: str = "day") -> StreamingQuery:
+    """JVM-only form of ``stream_snapshots``: each micro-batch runs the
+    set-based ``snapshots_changed`` against the previous version of a
+    latest-state table (one row per repository) and writes the next
+    version; kept rows go to ``sink/batch_id=<n>``. No per-key Python, at
+    the price of rewriting the latest-state table every batch."""
+    from reposcope.operators.snapshots import latest_stat, snapshots_changed
+
+    root = state_root.rstrip("/")
+    order = ("event_time", "tie")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = _snapshot_rows(batch).persist()
+        prev = None if batch_id == 0 else spark.read.parquet(f"{root}/v={batch_id - 1}")
+        kept = snapshots_changed(rows, prev, state_cols=("repository_id", *STATE_FIELDS),
+                                 order_cols=order, bucket=bucket)
+        kept.write.mode("overwrite").parquet(_batch_path(sink, batch_id))
+        both = rows if prev is None else prev.unionByName(rows)
+        latest_stat(both, order).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        rows.unpersist()
+
+    return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
+                  available_now).start()
+
+
 def _dimension_messages(batch: DataFrame, repo_cols, repo_schema) -> dict[str, DataFrame]:
     """Decode one micro-batch of crawl results into the incoming rows of
     every dimension table (each with the arrival order ``seq``)."""
