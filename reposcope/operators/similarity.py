@@ -102,7 +102,10 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
             # no column data (an upper bound: zero vectors are dropped later);
             # the query side is counted only when sources are given.
             c_blocks = max(1, math.ceil(vectors.count() / block_rows))
-            q_blocks = max(1, math.ceil(q.count() / block_rows)) if sources is not None else c_blocks
+            # Sources are a subset of the vectors, so one candidate block
+            # means one query block without counting them.
+            q_blocks = (max(1, math.ceil(q.count() / block_rows))
+                        if sources is not None and c_blocks > 1 else c_blocks)
         else:
             q_blocks = c_blocks = int(blocks)
         qblk = F.pmod(F.xxhash64("repository_id"), F.lit(q_blocks)).cast("int")
