@@ -80,7 +80,7 @@ def more() -> dict[str, str]:
                COALESCE(st.forks_count, 0) AS forks_count,
                COALESCE(st.watchers_count, 0) AS watchers_count,
                COALESCE(st.open_issues_count, 0) AS open_issues_count,
-               COALESCE(regexp_replace(strftime(st.pushed_at, '%Y-%m-%dT%H:%M:%S.%fZ'), '\.?0+Z$', 'Z'), '')
+               COALESCE(regexp_replace(strftime(st.pushed_at, '%Y-%m-%dT%H:%M:%S.%fZ'), '\\.?0+Z$', 'Z'), '')
                    AS pushed_at,
                e.html_url || '/stargazers' AS stargazers_url, e.html_url || '/forks' AS forks_url,
                array_to_string(e.topics[1:5], ',') AS topics, e.language, e.license_name,
