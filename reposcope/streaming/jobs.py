@@ -20,7 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from reposcope.operators.embed import embed_texts
-from reposcope.operators.upsert import upsert_repositories, upsert_vectors
+from reposcope.operators.snapshots import latest_stat, snapshots_changed
+from reposcope.operators.upsert import (upsert_bridges, upsert_licenses, upsert_owners,
+                                        upsert_repositories, upsert_vectors)
 from reposcope.sources.ingest import REPO_T, flatten_repository, object_key, parse_time
 
 VIEW_EVENT_T = "struct<sessionId:string,repositoryId:bigint,viewedAt:string>"
@@ -192,8 +194,6 @@ def stream_snapshots_versioned(spark: SparkSession, src, sink: str, state_root:
     latest-state table (one row per repository) and writes the next
     version; kept rows go to ``sink/batch_id=<n>``. No per-key Python, at
     the price of rewriting the latest-state table every batch."""
-    from reposcope.operators.snapshots import latest_stat, snapshots_changed
-
     root = state_root.rstrip("/")
     order = ("event_time", "tie")
 
@@ -245,8 +245,6 @@ def stream_dimensions(spark: SparkSession, src: str, initial: dict[str, DataFram
     owners, licences, bridges), one version per micro-batch
     (``<table>/v=<batch_id>``; batch 0 starts from ``initial``). Bridges
     are in long form (repository_id, kind, name, size)."""
-    from reposcope.operators.upsert import upsert_bridges, upsert_licenses, upsert_owners
-
     root = state_root.rstrip("/")
     rules = {"repositories": upsert_repositories, "owners": upsert_owners,
              "licenses": upsert_licenses, "bridges": upsert_bridges}
