@@ -6,6 +6,23 @@ from .common import table
 from .fingerprint import fingerprints
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix
+from .quality import learn_ranking, quality_scores
+from .token_counts import token_counts
+from .toxicity import learn_noisy_or, toxicity_scores
+
+
+def op1_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, learn_noisy_or(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, learn_ranking(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_fingerprints(spark, sf_dir):
@@ -17,6 +34,9 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op10_quality": op10_quality,
     "op6_fingerprints": op6_fingerprints,
     "op9_mixing": op9_mixing,
 }
