@@ -7,6 +7,8 @@ from .fingerprint import fingerprints
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix
 from .quality import learn_ranking, quality_scores
+from .suffix_dedup import ORACLE as REPEATS_SQL
+from .suffix_dedup import digest, remove_repeats
 from .token_counts import token_counts
 from .toxicity import learn_noisy_or, toxicity_scores
 
@@ -29,6 +31,10 @@ def op6_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,9 +44,11 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
     "op6_fingerprints": op6_fingerprints,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL = {
+    "op8_suffix_dedup": REPEATS_SQL,
     "op9_mixing": MIX_SQL,
 }
