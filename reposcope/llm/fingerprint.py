@@ -14,6 +14,8 @@ from .common import WORD
 
 K = 64
 WORDS = 5
+#: Stretches of documents up to which their heads are broadcast (16 bytes each).
+HEADS = 100_000
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -119,6 +121,8 @@ def next_texts(docs: DataFrame, rows: int = 2000) -> DataFrame:
     heads = heads.select("_head", F.lead("_b").over(up).alias("_up"), F.min("_b").over(up).alias("_low"), "_b")
     # The stretch above takes this head after its own rows; the top stretch's head goes to the lowest.
     heads = heads.select("_head", F.coalesce("_up", "_low").alias("_to"))
+    if (len(cuts) + 1) * parts <= HEADS:  # two longs per stretch; beyond, the join shuffles
+        heads = F.broadcast(heads)
     names = docs.columns
     lone = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 20))
     rows_ = (docs.join(heads, F.col("doc_id") == F.col("_head"), "left")

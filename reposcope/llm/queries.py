@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .common import table
 from .fingerprint import fingerprints
+from .jaccard_join import ORACLE as JACCARD_SQL
+from .jaccard_join import jaccard_join
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix
 from .quality import learn_ranking, quality_scores
@@ -17,6 +19,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, learn_noisy_or(docs, table(spark, sf_dir, "labels")))
@@ -41,6 +47,7 @@ def op9_mixing(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
     "op6_fingerprints": op6_fingerprints,
@@ -49,6 +56,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_jaccard_join": JACCARD_SQL,
     "op8_suffix_dedup": REPEATS_SQL,
     "op9_mixing": MIX_SQL,
 }
