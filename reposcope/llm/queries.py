@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .common import table
+from .exact_topk import ORACLE as TOPK_SQL
+from .exact_topk import exact_topk
 from .fingerprint import fingerprints
 from .jaccard_join import ORACLE as JACCARD_SQL
 from .jaccard_join import jaccard_join
@@ -19,6 +21,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark, sf_dir):
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op3_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,7 @@ def op9_mixing(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_exact_topk": op2_exact_topk,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
@@ -56,6 +63,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_exact_topk": TOPK_SQL,
     "op3_jaccard_join": JACCARD_SQL,
     "op8_suffix_dedup": REPEATS_SQL,
     "op9_mixing": MIX_SQL,
