@@ -10,6 +10,7 @@ from .jaccard_join import ORACLE as JACCARD_SQL
 from .jaccard_join import jaccard_join
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix
+from .packing import pack
 from .quality import learn_ranking, quality_scores
 from .suffix_dedup import ORACLE as REPEATS_SQL
 from .suffix_dedup import digest, remove_repeats
@@ -43,6 +44,10 @@ def op6_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark, sf_dir):
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
     "op6_fingerprints": op6_fingerprints,
+    "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
 }

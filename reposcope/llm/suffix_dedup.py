@@ -424,8 +424,10 @@ def _merge(length: int):
     return run
 
 
-def _cut(length: int):
-    """Step 5, a block: the texts without the intervals."""
+def _cut(length: int, as_text: bool):
+    """Step 5, a block: the texts without the intervals, as bytes, or as text without the characters that a cut splits."""
+    form = (lambda b: b.decode("utf-8", "ignore")) if as_text else bytes
+
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         block = _Block(table, length)
         raw, offsets = block.raw, block.offsets
@@ -444,28 +446,29 @@ def _cut(length: int):
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
                 starts.append(turn[0::2].tolist())
                 sizes.append(turn[1::2].tolist())
-                kept.append(raw[lo:hi][~own].tobytes())
+                kept.append(form(raw[lo:hi][~own].tobytes()))
             else:
                 starts.append([])
                 sizes.append([])
-                kept.append(raw[lo:hi].tobytes())
+                kept.append(form(raw[lo:hi].tobytes()))
         rows = block.row_doc  # for the ordered rows
         ids = table.column("doc_id").take(pa.array(block.order))
         hashes = table.column("_h").take(pa.array(block.order))
         take = lambda xs, kind: pa.array([xs[i] for i in rows], kind)
         lengths = np.diff(offsets)
         return pa.table({"doc_id": ids.cast(pa.int64()), "text_hash": hashes.cast(pa.int64()), "n_bytes": pa.array(lengths[rows], pa.int64()),
-                         "span_begin": take(starts, pa.list_(pa.int32())), "span_end": take(sizes, pa.list_(pa.int32())), "kept": take(kept, pa.binary())})
+                         "span_begin": take(starts, pa.list_(pa.int32())), "span_end": take(sizes, pa.list_(pa.int32())), "kept": take(kept, pa.string() if as_text else pa.binary())})
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts without the bytes that a smaller document has already.
 
     Returns doc_id, text_hash (xxhash64 of the text), n_bytes, span_begin and
     span_end (byte offsets of the removed runs, ends exclusive) and kept (the
-    remaining bytes), one row per input row. Strings are judged on the input;
+    remaining bytes; with ``as_text`` a string, without the characters of
+    which only a part remains), one row per input row. Strings are judged on the input;
     matches never cross documents and never join rows of the same id, so rows
     that repeat an id do not take from each other. A null text counts as
     empty. A row with a null id takes no part: it keeps its bytes and none
@@ -484,11 +487,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_rows: int = BLOC
     runs = dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
         _runs(length, parts), "_p long, _block long, common binary, rest binary, id binary, counts binary, docs binary, at binary")
     found = runs.groupBy("_p").applyInArrow(_merge(length), "_block long, docs binary, begin binary, end binary")
+    kind = "string" if as_text else "binary"
     cut = dealt.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(
-        _cut(length), "doc_id long, text_hash long, n_bytes long, span_begin array<int>, span_end array<int>, kept binary")
+        _cut(length, as_text), f"doc_id long, text_hash long, n_bytes long, span_begin array<int>, span_end array<int>, kept {kind}")
     none = F.array().cast("array<int>")
     return cut.unionByName(lone.select("doc_id", F.col("_h").alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"),
-                                       none.alias("span_begin"), none.alias("span_end"), F.col("text").cast("binary").alias("kept")))
+                                       none.alias("span_begin"), none.alias("span_end"), F.col("text").cast(kind).alias("kept")))
 
 
 def digest(cut: DataFrame) -> DataFrame:
