@@ -11,6 +11,7 @@ from .jaccard_join import jaccard_join
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix
 from .packing import pack
+from .pitman_yor import language_scores
 from .quality import learn_ranking, quality_scores
 from .suffix_dedup import ORACLE as REPEATS_SQL
 from .suffix_dedup import digest, remove_repeats
@@ -40,6 +41,10 @@ def op10_quality(spark, sf_dir):
     return quality_scores(docs, learn_ranking(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_pitman_yor(spark, sf_dir):
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
