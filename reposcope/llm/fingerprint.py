@@ -126,7 +126,7 @@ def next_texts(docs: DataFrame, rows: int = 2000) -> DataFrame:
     names = docs.columns
     lone = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 20))
     rows_ = (docs.join(heads, F.col("doc_id") == F.col("_head"), "left")
-             .withColumn("_own", F.coalesce(bucket, lone))
+             .withColumn("_own", F.when(F.col("doc_id").isNull(), lone).otherwise(bucket))
              .withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("g"))))
                                           .otherwise(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("g")),
                                                              F.struct(F.col("_to").alias("b"), F.lit(1).alias("g")))))))
