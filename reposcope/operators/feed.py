@@ -92,9 +92,10 @@ def feed_trending(trending: DataFrame, views: DataFrame, sessions: DataFrame,
 
 def feed(trending: DataFrame, views: DataFrame, similarity: DataFrame, sessions: DataFrame,
          page: int = 0, page_size: int = 50, history_limit: int = 15, **facets) -> DataFrame:
-    """The list endpoint for many sessions: personalised where a history
+    """The list endpoint for the given sessions: personalised where a history
     exists, cold trending where it does not. → session_id, rank,
     repository_id, score, source"""
+    views = views.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
     has_hist = views.select("session_id").distinct()
     warm = feed_personalized(views, similarity, page=page, page_size=page_size,
                              history_limit=history_limit, **facets)

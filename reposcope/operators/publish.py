@@ -87,15 +87,17 @@ def inject_meta(html: Column, meta: Column) -> Column:
     found = F.regexp_extract(html, TITLE_PATTERN, 0)
     at = F.instr(html, found)
     spliced = F.concat(F.substring(html, F.lit(1), at - 1), meta,
-                       F.substring(html, at + F.length(found), F.lit(1 << 30)))
+                       F.substring(html, at + F.length(found), F.length(html)))
     return F.when(found == "", html).otherwise(spliced)
 
 
 def _utf8_prefix(text: Column, max_bytes: Column) -> Column:
     """Longest prefix of ``text`` with at most ``max_bytes`` UTF-8 bytes,
-    cut on a character boundary."""
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, max_bytes), "UTF-8")
-    return F.regexp_replace(cut, r"\uFFFD+$", "")
+    cut on a character boundary: a character has at most four bytes, so one
+    of the last four cuts is one."""
+    raw = text.cast("binary")
+    cuts = [F.substring(raw, F.lit(1), F.greatest(F.lit(0), max_bytes - j)).cast("string") for j in range(4)]
+    return F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts])
 
 
 def post_text(enriched: DataFrame, base_url: str, limit: int = 270) -> DataFrame:

@@ -13,7 +13,7 @@ all pairs:
    key (an equi-grouping, not a cartesian product of rows);
 3. numpy matrix products per block pair (query rows in slices of 1024, so
    a task holds two blocks plus one 1024 × block score matrix), from which
-   only each query's local top-k (plus ties at the k-th score) is emitted;
+   exactly each query's local top-k by (cosine, id) is emitted;
 4. a per-source ``row_number`` merges the ``B`` local lists.
 
 Shuffle volume is ``|Q|·Bc + N·Bq`` vectors (``2·N·B`` for all sources;
@@ -75,10 +75,15 @@ def _block_topk(k: int, rows_per_slice: int = 1024):
             s[sq[:, None] == cid[None, :]] = -np.inf  # self excluded
             if nc > k:
                 kth = np.partition(s, nc - k, axis=1)[:, nc - k]
-                keep = (s >= kth[:, None]) & np.isfinite(s)  # ties at the k-th kept
+                keep = (s >= kth[:, None]) & np.isfinite(s)
             else:
                 keep = np.isfinite(s)
             qi, ci = np.nonzero(keep)
+            # Exactly k: ties at the k-th score go to the smaller id, as in the final order.
+            order = np.lexsort((cid[ci], -s[qi, ci], qi))
+            qi, ci = qi[order], ci[order]
+            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            qi, ci = qi[place < k], ci[place < k]
             out.append(pd.DataFrame({"source_id": sq[qi], "candidate_id": cid[ci], "cosine": s[qi, ci]}))
         return pd.concat(out, ignore_index=True) if out else empty
     return run
@@ -157,13 +162,17 @@ def _lsh_pairs(u: DataFrame, q: DataFrame, k: int, bits: int, tables: int, block
     runs per (table, bucket, query block, candidate block), emitting only
     each query's local top-k — a crowded bucket is split, never expanded
     into all its pairs."""
-    dim = u.select(F.size("unit").alias("d")).first()["d"]  # one scalar
+    some = u.select(F.size("unit").alias("d")).first()  # one scalar
+    if some is None:
+        return u.sparkSession.createDataFrame([], TOPK_SCHEMA)
+    dim = some["d"]
     sig = _signatures(dim, bits, tables, seed)
     us = u.mapInPandas(sig, _SIG_SCHEMA)
     qs_ = q.mapInPandas(sig, _SIG_SCHEMA)
     counts = us.groupBy("lsh_table", "bucket").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("_nb"))
-    counts = F.broadcast(counts)
+    if tables * 2 ** bits <= 1 << 20:  # rows at most; beyond, an ordinary join
+        counts = F.broadcast(counts)
     blk = F.pmod(F.xxhash64("repository_id"), F.col("_nb")).cast("int")
     seq = F.sequence(F.lit(0), F.col("_nb") - 1)
     keys = ["lsh_table", "bucket"]
@@ -183,6 +192,20 @@ def _meta(enriched: DataFrame, prefix: str) -> DataFrame:
                            F.map_keys("languages").alias(f"{prefix}_langs"))
 
 
+def narrow_metadata(repos: DataFrame, topics: DataFrame, langs: DataFrame) -> DataFrame:
+    """Topics and languages of repositories, all that re-scoring needs of a
+    record. → id, topics (sorted array), languages (map)"""
+    kids = (topics.select("repository_id", F.col("topic"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("bigint").alias("size"))
+            .unionByName(langs.select("repository_id", F.lit(None).cast("string").alias("topic"), "language", F.col("size").cast("bigint"))))
+    agg = kids.groupBy(F.col("repository_id").alias("id")).agg(
+        F.array_sort(F.collect_set("topic")).alias("_topics"),
+        F.collect_set(F.when(F.col("language").isNotNull(), F.col("language"))).alias("_langs"))
+    one = F.lit(1).cast("bigint")
+    return (repos.select("id").join(agg, "id", "left")
+            .select("id", F.coalesce("_topics", F.array().cast("array<string>")).alias("topics"),
+                    F.map_from_entries(F.transform(F.coalesce("_langs", F.array().cast("array<string>")), lambda x: F.struct(x, one))).alias("languages")))
+
+
 def similarity_hybrid(topk: DataFrame, enriched: DataFrame,
                       weights: Sequence[float] = HYBRID_WEIGHTS) -> DataFrame:
     """Blend ``w0·cosine + w1·jaccard(topics) + w2·jaccard(languages)``.
@@ -216,18 +239,13 @@ def jaccard_pairs(pairs: DataFrame, enriched: DataFrame) -> DataFrame:
                     jaccard(F.col("source_langs"), F.col("candidate_langs")).alias("language_jaccard"))
 
 
-def _z(score: Column, member: Column) -> Column:
-    return F.format_string('{"Score":%.6f,"Member":%d}', score, member)
-
-
 def similarity_json(lists: DataFrame) -> DataFrame:
     """Long form → one JSON list per source, ``[{"Score":s,"Member":id},…]``
-    in rank order (the stored form). Each list has at most k entries.
-    → id, data"""
+    in rank order (the stored form), scores in full. Each list has at most k
+    entries. → id, data"""
     items = F.sort_array(F.collect_list(F.struct("rank", "candidate_id", "score")))
     agg = lists.groupBy("source_id").agg(items.alias("_items"))
-    data = F.concat(F.lit("["), F.array_join(F.transform(
-        "_items", lambda z: _z(z["score"], z["candidate_id"])), ","), F.lit("]"))
+    data = F.to_json(F.transform("_items", lambda z: F.struct(z["score"].alias("Score"), z["candidate_id"].alias("Member"))))
     return agg.select(F.col("source_id").alias("id"), data.alias("data"))
 
 

@@ -229,10 +229,17 @@ def dedupe_global(stats: DataFrame, state_cols: Sequence[str] = STATE_COLS,
 
 def dedupe_check(stats: DataFrame, state_cols: Sequence[str] = STATE_COLS,
                  order_cols: Sequence[str] = ("event_time",)) -> DataFrame:
-    """→ n_before, n_after (one row), from one pass over the table."""
-    x = _first_of_state(stats, state_cols, order_cols)
-    return x.agg(F.count(F.lit(1)).alias("n_before"),
-                 F.count(F.when(F.col("_rn") == 1, 1)).alias("n_after"))
+    """→ n_before, n_after (one row): rows and distinct states, counted with
+    partial aggregation (a state that repeats is one row per task)."""
+    x = stats.groupBy(*state_cols).agg(F.count(F.lit(1)).alias("_n"))
+    return x.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_before"), F.count(F.lit(1)).alias("n_after"))
+
+
+def state_repeats(stats: DataFrame, state_cols: Sequence[str] = STATE_COLS) -> DataFrame:
+    """Add ``n_same``: how many rows have the row's ``row_hash``. The counts
+    are aggregated partially and joined back."""
+    x = state_hash(stats, state_cols)
+    return x.join(x.groupBy("row_hash").agg(F.count(F.lit(1)).alias("n_same")), "row_hash")
 
 
 def with_event_month(stats: DataFrame) -> DataFrame:

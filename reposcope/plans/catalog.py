@@ -123,4 +123,26 @@ def q_dedupe_check(spark, sf):
 
 @register("state_hash")
 def q_state_hash(spark, sf):
-    return S.state_hash(FX.stats_long(spark, sf)).select("repository_id", "event_time", "tie", "row_hash")
+    """Hash values differ between engines: rows that share one are counted."""
+    return S.state_repeats(FX.stats_long(spark, sf, coarse=True)).select("repository_id", "event_time", "tie", "n_same")
+
+
+@register("snapshot_sink")
+def q_snapshot_sink(spark, sf):
+    """Snapshots written by month and read back from one month on (partitions pruned)."""
+    from reposcope.session import scratch_path
+    from reposcope.sources.sinks import append_snapshots
+    path = scratch_path(spark, "snapshots")
+    append_snapshots(FX.stats_long(spark, sf), path)
+    back = spark.read.parquet(path).where(F.col("event_month") >= P.SINK_MONTH)
+    return back.select(F.col("event_month").cast("string").alias("event_month"), *COARSE_OUT)
+
+
+@register("snapshot_rewrite")
+def q_snapshot_rewrite(spark, sf):
+    """The whole table rewritten with the first row of every state."""
+    from reposcope.session import scratch_path
+    from reposcope.sources.sinks import rewrite_deduped
+    path = scratch_path(spark, "snapshots-deduped")
+    rewrite_deduped(FX.stats_long(spark, sf, coarse=True), path, order_cols=ORDERS_ORDER)
+    return spark.read.parquet(path).select(*COARSE_OUT)

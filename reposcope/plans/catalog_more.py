@@ -12,7 +12,9 @@ from reposcope.operators import snapshots as S
 from reposcope.plans import params as P
 from reposcope.plans.catalog import ORDERS_ORDER, register
 from reposcope.sources import fixtures as FX
+from reposcope.session import materialized, scratch_path
 from reposcope.sources import ingest as IN
+from reposcope.sources import sinks as SK
 
 
 def enriched(spark, sf, ids=None):
@@ -97,9 +99,19 @@ def q_parse_facets(spark, sf):
 
 @register("feed_rows")
 def q_feed_rows(spark, sf):
-    tr = trending_events(spark, sf)
+    return _feed_rows(spark, sf, "latest")
+
+
+def _feed_rows(spark, sf, stat):
+    tr = materialized(trending_events(spark, sf), "ranked")  # 200 rows that four branches read
     e = enriched(spark, sf, ids=tr.select(F.col("repository_id").alias("id")))
-    return FD.feed_rows(tr, e, FX.stats(spark, sf), stat="latest")
+    return FD.feed_rows(tr, e, FX.stats(spark, sf), stat=stat)
+
+
+@register("feed_rows_first")
+def q_feed_rows_first(spark, sf):
+    """Card rows with the oldest snapshot, as the list endpoint shows them."""
+    return _feed_rows(spark, sf, "first")
 
 
 @register("primary_language")
@@ -116,7 +128,7 @@ def q_language_share(spark, sf):
 
 @register("language_color")
 def q_language_color(spark, sf):
-    return L.language_color(FX.langs(spark, sf))
+    return L.language_color(FX.coloured_langs(spark, sf))
 
 
 @register("readme_candidates")
@@ -150,12 +162,20 @@ def q_feed_trending(spark, sf):
 from reposcope.operators import similarity as SI  # noqa: E402
 
 
+def metadata(spark, sf):
+    """What the re-scoring needs of a record, once for both sides: topics and
+    languages of the repositories whose owner is known."""
+    r = FX.repos(spark, sf).select("id", "owner_id")
+    r = r.join(FX.owners(spark, sf).select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
+    return materialized(SI.narrow_metadata(r, FX.topics(spark, sf), FX.langs(spark, sf)), "similarity-metadata")
+
+
 def topk_all(spark, sf):
     return SI.similar_topk(FX.vectors(spark, sf), P.SIMILARITY_K)
 
 
 def hybrid_all(spark, sf):
-    return SI.similarity_hybrid(topk_all(spark, sf), enriched(spark, sf))
+    return SI.similarity_hybrid(topk_all(spark, sf), metadata(spark, sf))
 
 
 def recent_events(spark, sf):
@@ -176,7 +196,7 @@ def q_similar_topk(spark, sf):
 @register("similarity_hybrid")
 def q_similarity_hybrid(spark, sf):
     """The periodic job: sources = recently pushed repositories."""
-    lists, _requests = SI.similarity_job(FX.vectors(spark, sf), enriched(spark, sf), FX.stats(spark, sf),
+    lists, _requests = SI.similarity_job(FX.vectors(spark, sf), metadata(spark, sf), FX.stats(spark, sf),
                                          P.EVENTS_SINCE, P.SIMILARITY_K)
     return lists.select(*hy_out())
 
@@ -190,14 +210,19 @@ def q_jaccard_pairs(spark, sf):
 
 @register("similarity_json")
 def q_similarity_json(spark, sf):
-    return SI.similarity_json(hybrid_all(spark, sf))
+    """Stored lists, written and read back (scores are rounded by this check only)."""
+    back = SI.similarity_from_json(SI.similarity_json(hybrid_all(spark, sf)))
+    return back.select("source_id", "candidate_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("upsert_similarity")
 def q_upsert_similarity(spark, sf):
-    js = SI.similarity_json(hybrid_all(spark, sf))
+    """Stored lists of some sources, a third of them shorter than the new ones."""
+    js = materialized(SI.similarity_json(hybrid_all(spark, sf)), "similarity-lists")
     cur = js.join(recent_events(spark, sf).select(F.col("repository_id").alias("id")), "id", "left_semi")
-    return SI.upsert_similarity(cur, js)
+    cur = cur.withColumn("data", F.when(F.col("id") % 3 == 0, F.lit("[]")).otherwise(F.col("data")))
+    out = SI.upsert_similarity(cur, js)
+    return out.select("id", "updated", F.size(F.from_json("data", SI.ZLIST)).cast("bigint").alias("n_items"))
 
 
 @register("embed_requests")
@@ -213,7 +238,7 @@ def history_lists(spark, sf):
     views = FX.views(spark, sf)
     srcs = FD.session_history(views, P.HISTORY_LIMIT).select("repository_id").distinct()
     topk = SI.similar_topk(FX.vectors(spark, sf), P.SIMILARITY_K, sources=srcs)
-    return SI.similarity_hybrid(topk, enriched(spark, sf))
+    return SI.similarity_hybrid(topk, metadata(spark, sf))
 
 
 @register("feed_personalized")
@@ -225,9 +250,31 @@ def q_feed_personalized(spark, sf):
 
 @register("feed_page")
 def q_feed_page(spark, sf):
-    """Second page of the combined feed (personalised where history exists)."""
+    """Second page of the combined feed: half of the sessions with a history
+    (personalised) and sessions without one (trending)."""
     f = FD.feed(trending_orders(spark, sf), FX.views(spark, sf), history_lists(spark, sf),
-                sessions(spark, sf), page=1, page_size=P.PAGE_SIZE, history_limit=P.HISTORY_LIMIT)
+                FX.feed_sessions(spark, sf), page=1, page_size=P.PAGE_SIZE, history_limit=P.HISTORY_LIMIT)
+    return f.withColumn("score", F.round("score", 6))
+
+
+def feed_facets(spark, sf):
+    return facets_kw(spark, sf) | {"tag_names": (), "topic_names": P.FEED_FACET_TOPICS}
+
+
+@register("feed_trending_facets")
+def q_feed_trending_facets(spark, sf):
+    """Cold feed end to end: growth list, facets, unseen, page, records, latest stat."""
+    f = FD.feed_trending(trending_orders(spark, sf), FX.views(spark, sf), FX.feed_sessions(spark, sf),
+                         page=0, page_size=P.PAGE_SIZE, **feed_facets(spark, sf))
+    f = materialized(f, "feed-page")
+    cards = FD.feed_rows(f.select("repository_id", F.lit(0).cast("bigint").alias("rank")).distinct(), enriched(spark, sf), FX.stats(spark, sf))
+    return f.join(cards.select(F.col("id").alias("repository_id"), "full_name", "stargazers_count", "language", "topics"), "repository_id")
+
+
+@register("feed_personalized_facets")
+def q_feed_personalized_facets(spark, sf):
+    f = FD.feed_personalized(FX.views(spark, sf), history_lists(spark, sf), page=0, page_size=P.PAGE_SIZE,
+                             history_limit=P.HISTORY_LIMIT, **feed_facets(spark, sf))
     return f.withColumn("score", F.round("score", 6))
 
 
@@ -253,6 +300,35 @@ def q_post_text(spark, sf):
     return PB.post_text(enriched(spark, sf), P.BASE_URL, P.POST_LIMIT_BYTES)
 
 
+@register("post_text_documents")
+def q_post_text_documents(spark, sf):
+    """Post texts whose summaries are whole documents, in several scripts and longer than a post."""
+    docs = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    e = enriched(spark, sf).drop("description").join(docs, "id")
+    return PB.post_text(e, P.BASE_URL, P.POST_LIMIT_BYTES)
+
+
+@register("posting_job")
+def q_posting_job(spark, sf):
+    """One posting run: what is posted, with its text, and the markers after it."""
+    from reposcope.plans.jobs import posting_job
+    posts, marked = posting_job(trending_events(spark, sf), enriched(spark, sf), FX.posted(spark, sf),
+                                P.EVENTS_AS_OF, P.BASE_URL, n=3, limit_bytes=P.POST_LIMIT_BYTES)
+    return (marked.join(posts, "repository_id", "left")
+            .select("repository_id", "posted_at", F.col("rank").cast("double").alias("rank"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+@register("publish_messages")
+def q_publish_messages(spark, sf):
+    """Crawl requests published as JSON messages and consumed again."""
+    path = scratch_path(spark, "messages")
+    recent = S.recently_pushed(FX.stats(spark, sf), P.EVENTS_SINCE)
+    out = recent.select("repository_id", IN.object_key(F.col("repository_id")).alias("object_key"))
+    SK.publish_messages(out, "text", path=path)
+    m = F.from_json("value", "struct<repository_id:bigint,object_key:string>")
+    return spark.read.text(path).select(m.alias("m")).select("m.*")
+
+
 @register("mark_posted")
 def q_mark_posted(spark, sf):
     return PB.mark_posted(FX.posted(spark, sf), next_post(spark, sf), P.EVENTS_AS_OF)
@@ -282,8 +358,7 @@ def q_page_render(spark, sf):
 
 @register("bot_flag")
 def q_bot_flag(spark, sf):
-    docs = FX.table(spark, sf, "documents")
-    return docs.select("doc_id", PB.bot_flag(F.col("text")).alias("is_bot"))
+    return FX.user_agents(spark, sf).select("doc_id", PB.bot_flag(F.col("user_agent")).alias("is_bot"))
 
 
 @register("readme_text")
@@ -351,7 +426,9 @@ def q_upsert_bridges(spark, sf):
 @register("upsert_vectors")
 def q_upsert_vectors(spark, sf):
     v = UP.upsert_vectors(FX.vectors(spark, sf), FX.vector_messages(spark, sf))
-    return v.select("repository_id", F.size("embedding").cast("bigint").alias("n_dims"),
+    # Every element takes part: a sum of the elements by place.
+    whole = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select("repository_id", F.size("embedding").cast("bigint").alias("n_dims"), F.round(whole, 4).alias("by_place"),
                     F.round(F.element_at("embedding", 1).cast("double"), 6).alias("e_first"),
                     F.round(F.element_at("embedding", -1).cast("double"), 6).alias("e_last"))
 
@@ -398,7 +475,6 @@ def q_ingest_readme_url(spark, sf):
 
 # -- streaming jobs (file sources, availableNow) ---------------------------------------------
 
-from reposcope.session import scratch_path  # noqa: E402
 from reposcope.streaming import jobs as ST  # noqa: E402
 
 
@@ -432,6 +508,19 @@ def q_stream_ingest(spark, sf):
                     F.concat_ws(",", "topics").alias("topics"))
 
 
+@register("stream_readmes")
+def q_stream_readmes(spark, sf):
+    """README bodies that the ingest stores, and the embedding requests for them."""
+    root = scratch_path(spark, "stream-readmes")
+    src = _land(FX.crawl_result_messages(spark, sf), f"{root}/src")
+    _run(ST.stream_ingest(spark, src, f"{root}/out", f"{root}/ckpt", bodies=lambda: FX.readme_bodies(spark, sf)))
+    asked = spark.read.parquet(f"{root}/out/embed_requests").select("repository_id", "download_url")
+    stored = spark.read.parquet(f"{root}/out/readmes")
+    return (stored.join(asked, "repository_id", "full")
+            .select("repository_id", "object_key", F.length("body").cast("bigint").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"),
+                    "download_url"))
+
+
 @register("stream_crawl_gate")
 def q_stream_crawl_gate(spark, sf):
     root = scratch_path(spark, "stream-gate")
@@ -473,7 +562,8 @@ def q_crawl_results(spark, sf):
     README URL."""
     gated = IN.needs_crawl(FX.discoveries(spark, sf), FX.repos(spark, sf)).where("needs_crawl")
     res = IN.crawl_results(
-        gated, IN.ingest_tags(FX.landed_tags(spark, sf)), IN.ingest_languages(FX.landed_languages(spark, sf)),
+        gated, IN.ingest_tags(IN.latest_landed(FX.landed_tag_bodies(spark, sf))),
+        IN.ingest_language_maps(IN.latest_landed(FX.landed_language_bodies(spark, sf))),
         IN.readme_candidates(FX.repos(spark, sf), FX.readme_probes(spark, sf), P.README_BASE),
         "2024-02-02 00:00:00")
     langs = F.array_join(F.transform(F.array_sort(F.map_entries("languages")),

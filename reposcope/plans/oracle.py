@@ -269,6 +269,16 @@ def oracle_sql() -> dict[str, str]:
                                open_issues_count
                   ORDER BY event_time, tie) AS rn
               FROM f_stats_coarse) WHERE rn = 1""", "f_stats_coarse")
+    q["state_hash"] = sql("""
+        SELECT repository_id, event_time, tie,
+               count(*) OVER (PARTITION BY repository_id, stargazers_count, watchers_count, forks_count,
+                                           open_issues_count) AS n_same
+        FROM f_stats_coarse""", "f_stats_coarse")
+    q["snapshot_sink"] = sql(f"""
+        SELECT strftime(event_time, '%Y%m') AS event_month, repository_id, event_time, tie, stargazers_count,
+               watchers_count, forks_count, open_issues_count
+        FROM f_stats_long WHERE strftime(event_time, '%Y%m') >= '{P.SINK_MONTH}'""", "f_stats_long")
+    q["snapshot_rewrite"] = q["dedupe_global"]
     q["dedupe_check"] = sql("""
         SELECT (SELECT count(*) FROM f_stats_coarse) AS n_before,
                (SELECT count(*) FROM (SELECT DISTINCT repository_id, stargazers_count, watchers_count,

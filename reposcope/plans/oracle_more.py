@@ -12,6 +12,7 @@ def _in(values) -> str:
 
 
 FACET_WHERE = (f"id IN (SELECT repository_id FROM f_langs WHERE language IN {_in(P.FACET_LANGUAGES)}) "
+               f"AND id IN (SELECT repository_id FROM f_tags WHERE tag IN {_in(P.FACET_TAGS)}) "
                f"AND id IN (SELECT repository_id FROM f_topics WHERE topic IN {_in(P.FACET_TOPICS)})")
 
 ENRICHED_FLAT = """id, name, full_name, owner_login, license_name,
@@ -49,8 +50,9 @@ def more() -> dict[str, str]:
         WITH tr AS ({TREND_OR})
         SELECT repository_id, rank FROM tr
         WHERE repository_id IN (SELECT repository_id FROM f_langs WHERE language IN {_in(P.FACET_LANGUAGES)})
+          AND repository_id IN (SELECT repository_id FROM f_tags WHERE tag IN {_in(P.FACET_TAGS)})
           AND repository_id IN (SELECT repository_id FROM f_topics WHERE topic IN {_in(P.FACET_TOPICS)})""",
-                            "f_stats_long", "f_langs", "f_topics")
+                            "f_stats_long", "f_langs", "f_tags", "f_topics")
     q["recent_crawled_list"] = sql(f"""
         WITH base AS (SELECT id AS repository_id, last_crawled_at FROM f_repos WHERE {FACET_WHERE}),
         sess AS (SELECT DISTINCT session_id FROM f_views),
@@ -61,7 +63,7 @@ def more() -> dict[str, str]:
         r AS (SELECT *, row_number() OVER (PARTITION BY session_id
                                            ORDER BY last_crawled_at DESC, repository_id) AS position FROM c)
         SELECT session_id, position, repository_id, last_crawled_at FROM r
-        WHERE position <= {P.RECENT_LIST_LIMIT}""", "f_repos", "f_langs", "f_topics", "f_views")
+        WHERE position <= {P.RECENT_LIST_LIMIT}""", "f_repos", "f_langs", "f_tags", "f_topics", "f_views")
     q["parse_facets"] = sql("""
         WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS id,
                           CASE WHEN p_partkey % 5 = 0 THEN ''
@@ -87,6 +89,8 @@ def more() -> dict[str, str]:
                concat_ws(' | ', e.license_name, strftime(st.pushed_at, '%Y-%m-%d')) AS footer
         FROM tr JOIN f_enriched e ON e.id = tr.repository_id
         LEFT JOIN st ON st.repository_id = e.id""", "f_enriched", "f_stats")
+    q["feed_rows_first"] = q["feed_rows"].replace("ORDER BY event_time DESC) AS rn\n                              FROM f_stats) WHERE rn = 1)",
+                                                  "ORDER BY event_time) AS rn\n                              FROM f_stats) WHERE rn = 1)")
     q["primary_language"] = sql("""
         SELECT r.id, COALESCE(pl.language, 'Unknown') AS language FROM f_repos r
         LEFT JOIN (SELECT repository_id, language FROM (
@@ -97,9 +101,11 @@ def more() -> dict[str, str]:
         SELECT repository_id, language, size,
                round(size / sum(size) OVER (PARTITION BY repository_id) * 100, 6) AS share
         FROM f_langs QUALIFY sum(size) OVER (PARTITION BY repository_id) > 0""", "f_langs")
-    colors = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(_colors().items()))
-    q["language_color"] = sql(f"""
-        SELECT repository_id, language, CASE language {colors} ELSE '#808080' END AS color
+    q["language_color"] = sql("""
+        SELECT repository_id,
+               CASE language WHEN 'AF' THEN 'Go' WHEN 'NO' THEN 'C#' WHEN 'RF' THEN 'TypeScript' ELSE language END AS language,
+               CASE language WHEN 'AF' THEN '#00ADD8' WHEN 'NO' THEN '#178600' WHEN 'RF' THEN '#3178c6'
+                             ELSE '#808080' END AS color
         FROM f_langs""", "f_langs")
     q["readme_candidates"] = sql(f"""
         SELECT id AS repository_id,
@@ -157,20 +163,12 @@ def similarity() -> dict[str, str]:
         FROM f_topk t LEFT JOIN f_enriched s ON s.id = t.source_id
                       LEFT JOIN f_enriched c ON c.id = t.candidate_id""", "f_topk", "f_enriched")
     q["similarity_json"] = sql("""
-        SELECT source_id AS id,
-               '[' || string_agg(printf('{"Score":%.6f,"Member":%d}', score, candidate_id), ',' ORDER BY rank) || ']'
-               AS data
-        FROM f_hybrid GROUP BY source_id""", "f_hybrid")
+        SELECT source_id, candidate_id, round(score, 6) AS score, rank FROM f_hybrid""", "f_hybrid")
     q["upsert_similarity"] = sql(f"""
-        WITH js AS (SELECT source_id AS id,
-                           '[' || string_agg(printf('{{"Score":%.6f,"Member":%d}}', score, candidate_id), ','
-                                             ORDER BY rank) || ']' AS data
-                    FROM f_hybrid GROUP BY source_id),
-        cur AS (SELECT * FROM js WHERE id IN ({recent})),
-        inc AS (SELECT * FROM js)
-        SELECT COALESCE(inc.id, cur.id) AS id, COALESCE(inc.data, cur.data) AS data,
-               (inc.data IS NOT NULL AND inc.data IS DISTINCT FROM cur.data) AS updated
-        FROM cur FULL OUTER JOIN inc ON cur.id = inc.id""", "f_hybrid", "f_stats")
+        WITH n AS (SELECT source_id AS id, count(*) AS n_items FROM f_hybrid GROUP BY source_id),
+        cur AS (SELECT DISTINCT source_id AS id FROM f_hybrid WHERE source_id IN ({recent}))
+        SELECT n.id, n.n_items, (cur.id IS NULL OR n.id % 3 = 0) AS updated
+        FROM n LEFT JOIN cur ON cur.id = n.id""", "f_hybrid", "f_stats")
     q["embed_requests"] = sql(f"""
         WITH recent AS (SELECT DISTINCT repository_id FROM f_stats_long
             WHERE (repository_id, event_time) IN (
@@ -201,9 +199,37 @@ def similarity() -> dict[str, str]:
         SELECT session_id, rank, repository_id, round(score, 6) AS score FROM r
         WHERE rank <= {P.PAGE_SIZE}""", "f_hybrid", "f_views")
     q["feed_page"] = sql(f"""
-        WITH {personal}
+        WITH {personal},
+        tr AS ({TREND_OR}),
+        cold AS (SELECT 'new' || CAST(n_nationkey AS VARCHAR) AS session_id FROM nation)
         SELECT session_id, rank, repository_id, round(score, 6) AS score, 'personalized' AS source FROM r
-        WHERE rank > {P.PAGE_SIZE} AND rank <= {2 * P.PAGE_SIZE}""", "f_hybrid", "f_views")
+        WHERE rank > {P.PAGE_SIZE} AND rank <= {2 * P.PAGE_SIZE} AND CAST(substr(session_id, 2) AS BIGINT) % 2 = 0
+        UNION ALL
+        SELECT session_id, rank, repository_id, CAST(growth AS DOUBLE), 'trending' FROM cold CROSS JOIN tr
+        WHERE rank > {P.PAGE_SIZE} AND rank <= {2 * P.PAGE_SIZE}""", "f_hybrid", "f_views", "f_stats_long")
+    wanted = f"""repository_id IN (SELECT repository_id FROM f_langs WHERE language IN {_in(P.FACET_LANGUAGES)})
+          AND repository_id IN (SELECT repository_id FROM f_topics WHERE topic IN {_in(P.FEED_FACET_TOPICS)})"""
+    q["feed_personalized_facets"] = sql(f"""
+        WITH {personal.replace("FROM cand c WHERE", f"FROM cand c WHERE {wanted} AND")}
+        SELECT session_id, rank, repository_id, round(score, 6) AS score FROM r
+        WHERE rank <= {P.PAGE_SIZE}""", "f_hybrid", "f_views", "f_langs", "f_topics")
+    q["feed_trending_facets"] = sql(f"""
+        WITH tr AS ({TREND_OR}),
+        kept AS (SELECT * FROM tr WHERE {wanted}),
+        sess AS (SELECT DISTINCT session_id FROM f_views WHERE CAST(substr(session_id, 2) AS BIGINT) % 2 = 0
+                 UNION ALL SELECT 'new' || CAST(n_nationkey AS VARCHAR) FROM nation),
+        r AS (SELECT s.session_id, k.repository_id, k.growth,
+                     row_number() OVER (PARTITION BY s.session_id ORDER BY k.rank) AS rank
+              FROM sess s CROSS JOIN kept k
+              WHERE NOT EXISTS (SELECT 1 FROM f_views v WHERE v.session_id = s.session_id
+                                                          AND v.repository_id = k.repository_id)),
+        st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY event_time DESC) AS rn
+                              FROM f_stats) WHERE rn = 1)
+        SELECT r.session_id, r.rank, r.repository_id, r.growth, e.full_name,
+               COALESCE(st.stargazers_count, 0) AS stargazers_count, e.language,
+               array_to_string(e.topics[1:5], ',') AS topics
+        FROM r JOIN f_enriched e ON e.id = r.repository_id LEFT JOIN st ON st.repository_id = r.repository_id
+        WHERE r.rank <= {P.PAGE_SIZE}""", "f_stats_long", "f_stats", "f_views", "f_enriched", "f_langs", "f_topics")
     return q
 
 
@@ -224,7 +250,6 @@ def _leaves() -> str:
 
 
 def publishing() -> dict[str, str]:
-    from reposcope.operators.publish import BOT_AGENTS
     q: dict[str, str] = {}
     nxt = f"""
         WITH tr AS ({TREND_EV})
@@ -253,9 +278,27 @@ def publishing() -> dict[str, str]:
         d AS (SELECT *, {P.POST_LIMIT_BYTES} - strlen(head) - strlen(tail) AS remaining FROM c)
         SELECT id AS repository_id,
                head || CASE WHEN strlen(summary) > remaining
-                            THEN left(summary, greatest(0, remaining - 3)) || '...'
+                            THEN left(summary, list_max(list_filter(range(0, greatest(0, remaining - 3) + 1),
+                                      lambda k: strlen(left(summary, k)) <= greatest(0, remaining - 3)))) || '...'
                             ELSE summary END || tail AS text
         FROM d""", "f_enriched")
+    q["post_text_documents"] = q["post_text"].replace(
+        "COALESCE(description, '') AS summary", "x.text AS summary").replace(
+        "FROM f_enriched),\n        c AS", "FROM f_enriched JOIN documents x ON x.doc_id = id),\n        c AS")
+    q["posting_job"] = q["post_text"].replace("SELECT id AS repository_id,", f"""
+        , nxt AS (SELECT repository_id, rank FROM ({TREND_EV}) tr
+                  WHERE repository_id NOT IN (SELECT repository_id FROM f_posted)
+                    AND repository_id IN (SELECT id FROM f_enriched) ORDER BY rank LIMIT 3),
+        marked AS (SELECT repository_id, posted_at FROM f_posted
+                   UNION ALL SELECT repository_id, TIMESTAMP '2024-01-31 00:00:00' FROM nxt)
+        SELECT marked.repository_id, marked.posted_at, CAST(nxt.rank AS DOUBLE) AS rank,
+               CASE WHEN nxt.rank IS NULL THEN '' ELSE""", 1).replace(
+        "ELSE summary END || tail AS text\n        FROM d", "ELSE summary END || tail END AS text\n        FROM marked LEFT JOIN nxt USING (repository_id) LEFT JOIN d ON d.id = marked.repository_id")
+    q["posting_job"] = sql(q["posting_job"], "f_posted", "f_stats")
+    q["publish_messages"] = sql(f"""
+        SELECT DISTINCT repository_id, printf('readmes/%d.md', repository_id) AS object_key FROM f_stats
+        WHERE (repository_id, event_time) IN (SELECT repository_id, max(event_time) FROM f_stats GROUP BY repository_id)
+          AND pushed_at > {_ts(P.EVENTS_SINCE)}""", "f_stats")
     sp = RE2_SPACE
     q["html_snippet"] = f"""
         SELECT page_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -270,13 +313,23 @@ def publishing() -> dict[str, str]:
                COALESCE(description, '') AS description,
                '{P.BASE_URL}/api/og?id=' || CAST(id AS VARCHAR) AS og_image
         FROM f_repos""", "f_repos")
-    from reposcope.operators.publish import META_TEMPLATE
+    # The share-page meta block.
+    meta_block = (
+        "\n<title>%s</title>\n"
+        "<meta name=\"description\" content=\"%s\">\n"
+        "<meta property=\"og:title\" content=\"%s\">\n"
+        "<meta property=\"og:description\" content=\"%s\">\n"
+        "<meta property=\"og:image\" content=\"%s\">\n"
+        "<meta property=\"twitter:card\" content=\"summary_large_image\">\n"
+        "<meta property=\"twitter:title\" content=\"%s\">\n"
+        "<meta property=\"twitter:description\" content=\"%s\">\n"
+        "<meta property=\"twitter:image\" content=\"%s\">\n")
     title_re = r"<title>[^\n\r\x{2028}\x{2029}]*?</title>"
     og = f"'{P.BASE_URL}/api/og?id=' || CAST(id AS VARCHAR)"
     q["page_render"] = sql(f"""
         WITH m AS (
             SELECT id AS page_id,
-                   printf('{META_TEMPLATE}', full_name || ' - reposcope', COALESCE(description, ''), full_name,
+                   printf('{meta_block}', full_name || ' - reposcope', COALESCE(description, ''), full_name,
                           COALESCE(description, ''), {og}, full_name, COALESCE(description, ''), {og}) AS meta
             FROM f_repos),
         x AS (SELECT p.page_id, p.html, m.meta, regexp_extract(p.html, '{title_re}', 0) AS found
@@ -286,8 +339,19 @@ def publishing() -> dict[str, str]:
                                         || substring(html, instr(html, found) + length(found)) END AS out
               FROM x)
         SELECT page_id, CAST(length(out) AS BIGINT) AS n_chars, sha256(out) AS html_sha256 FROM y""", "f_repos")
-    cond = " OR ".join(f"contains(lower(COALESCE(text, '')), '{b}')" for b in BOT_AGENTS)
-    q["bot_flag"] = f"SELECT doc_id, ({cond}) AS is_bot FROM documents"
+    # What marks a crawler's user agent.
+    agents = ("googlebot,yahoo! slurp,bingbot,yandex,baiduspider,facebookexternalhit,twitterbot,rogerbot,linkedinbot,"
+              "embedly,quora link preview,showyoubot,outbrain,pinterest/0.,pinterestbot,slackbot,vkshare,w3c_validator,"
+              "redditbot,applebot,whatsapp,flipboard,tumblr,bitlybot,skypeuripreview,nuzzel,discordbot,"
+              "google page speed,qwantify").split(",")
+    cond = " OR ".join(f"contains(lower(ua), '{b}')" for b in agents)
+    q["bot_flag"] = f"""
+        SELECT doc_id, ({cond}) AS is_bot FROM (
+            SELECT doc_id, COALESCE(text, '') || CASE doc_id % 6
+                       WHEN 0 THEN ' Mozilla/5.0 (compatible; Googlebot/2.1)' WHEN 1 THEN ' W3C_Validator/1.3'
+                       WHEN 2 THEN ' WhatsApp/2.2' WHEN 3 THEN ' Google Page Speed Insights'
+                       WHEN 4 THEN ' google bot' ELSE '' END AS ua
+            FROM documents)"""
     # Hashed bag-of-words vectors: one 384-d vector per text, unit norm when
     # the text has a letter or digit token, else all zeros.
     q["embed_texts"] = r"""
@@ -409,6 +473,7 @@ def upserts() -> dict[str, str]:
         pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY src DESC) AS rn
                                 FROM allv) WHERE rn = 1)
         SELECT repository_id, CAST(len(embedding) AS BIGINT) AS n_dims,
+               round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 4) AS by_place,
                round(CAST(embedding[1] AS DOUBLE), 6) AS e_first,
                round(CAST(embedding[-1] AS DOUBLE), 6) AS e_last
         FROM pick"""
@@ -456,14 +521,14 @@ def ingest() -> dict[str, str]:
                  WHERE COALESCE(d.pushed_at >= r.last_crawled_at, true)),
         tg AS (SELECT repository_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM f_tags GROUP BY 1),
         lg AS (SELECT repository_id, string_agg(language || ':' || CAST(size AS VARCHAR), ',' ORDER BY language)
-                      AS languages FROM f_langs GROUP BY 1),
+                      AS languages FROM f_langs WHERE repository_id % 11 <> 0 GROUP BY 1),
         rc AS (SELECT id AS repository_id,
                    CASE WHEN id % 4 <> 0 THEN '{P.README_BASE}/' || full_name || '/' || default_branch || '/README.md'
                         WHEN id % 3 = 0 THEN '{P.README_BASE}/' || full_name || '/' || default_branch || '/README.txt'
                    END AS readme_url FROM f_repos)
-        SELECT g.id AS repository_id, g.full_name, rc.readme_url, tg.tags, lg.languages,
+        SELECT g.id AS repository_id, g.full_name, rc.readme_url, tg.tags, COALESCE(lg.languages, '') AS languages,
                TIMESTAMP '2024-02-02 00:00:00' AS crawled_at
-        FROM gate g JOIN tg ON tg.repository_id = g.id JOIN lg ON lg.repository_id = g.id
+        FROM gate g JOIN tg ON tg.repository_id = g.id LEFT JOIN lg ON lg.repository_id = g.id
         LEFT JOIN rc ON rc.repository_id = g.id""", "f_repos", "f_tags", "f_langs")
     q["ingest_readme_url"] = sql(f"""
         SELECT repository_id, readme_url AS download_url FROM (
@@ -480,6 +545,12 @@ def streaming() -> dict[str, str]:
     q["stream_views"] = sql("SELECT session_id, repository_id, viewed_at FROM f_views", "f_views")
     q["stream_ingest"] = ingest()["ingest_search_pages"].replace(
         ",\n               count(*) OVER (PARTITION BY p_partkey // 100) AS total_count", "")
+    q["stream_readmes"] = sql("""
+        SELECT r.id AS repository_id, printf('readmes/%d.md', r.id) AS object_key,
+               CAST(length(d.text) AS BIGINT) AS n_chars, sha256(d.text) AS body_sha256,
+               'https://raw.githubusercontent.com/' || r.full_name || '/main/README.md' AS download_url
+        FROM f_repos r JOIN documents d ON d.doc_id = r.id
+        WHERE r.id % 4 <> 0 AND d.doc_id % 13 <> 0""", "f_repos")
     q["stream_crawl_gate"] = sql("""
         SELECT s.repository_id, s.pushed_at, s.event_time AS discovered_at, r.last_crawled_at
         FROM f_stats s LEFT JOIN f_repos r ON r.id = s.repository_id
@@ -492,7 +563,3 @@ def streaming() -> dict[str, str]:
         WHERE vec_id NOT IN (SELECT doc_id FROM documents)"""
     return q
 
-
-def _colors() -> dict[str, str]:
-    from reposcope.functions.languages import LANGUAGE_COLORS
-    return LANGUAGE_COLORS

@@ -17,12 +17,14 @@ ORDERS_DAYS = 30
 ORDERS_CUTOFF = "2001-07-03 00:00:00"
 ORDERS_SINCE = "2001-01-01 00:00:00"
 
+SINK_MONTH = 200001
 TRENDING_LIMIT = 200
 CRAWLED_SINCE = "2024-02-15 00:00:00"
 PAGE_SIZE = 50
 HISTORY_LIMIT = 15
 RECENT_LIST_LIMIT = 100
 SIMILARITY_K = 10
+FEED_FACET_TOPICS = ("ECONOMY", "STANDARD", "PROMO", "red", "blue", "green")
 RANGE_LO, RANGE_HI, RANGE_CAP, RANGE_PAGE = 50, 1_000_000, 1000, 100
 ID_PAGE_LIMIT, ID_PAGE_OFFSET = 50, 100
 SNIPPET_CHARS = 400
@@ -32,5 +34,5 @@ README_BASE = "https://raw.githubusercontent.com"
 
 # Facet request used by the facet queries (OR within a facet, AND across).
 FACET_LANGUAGES = ("AF", "NO")
-FACET_TAGS = ()
+FACET_TAGS = ("Brand#13", "Brand#22", "v10", "v20", "v30")
 FACET_TOPICS = ("ECONOMY", "STANDARD", "red", "blue")

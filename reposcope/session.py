@@ -10,7 +10,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that matter for every operator in the package.
 _DEFAULTS = {
@@ -38,8 +39,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    active = SparkSession.getActiveSession()
+    settled = SparkConf()
+    known = {k for k, _ in settled.getAll()}
+    if active is not None:
+        known |= {k for k, _ in active.sparkContext.getConf().getAll()} | set(active.conf.getAll)
     for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
+        if key not in known:
+            builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -59,15 +66,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and job state.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system path and
-    is used as is. Only when it is unset (local tests) is a scratch folder
-    chosen, once per SparkContext (the setting itself cannot be changed at
-    run time), and registered as the context's checkpoint directory.
+    is used as is. Only when it is unset and the master is local (tests) is a
+    scratch folder chosen, once per SparkContext (the setting itself cannot
+    be changed at run time), and registered as the context's checkpoint
+    directory. On any other master the setting is required.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = _LOCAL_ROOTS.get(id(sc))
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.environ.get("REPOSCOPE_SCRATCH") or tempfile.gettempdir()
         root = os.path.join(base, f"reposcope-ckpt-{uuid.uuid4().hex[:8]}")
         _LOCAL_ROOTS[id(sc)] = root
@@ -80,3 +90,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path under the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several branches of a plan read to shared scratch
+    storage, and read it back: computed once, and nothing to recompute after
+    a lost executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -344,6 +344,61 @@ def landed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("repository_id", F.to_json("_m").alias("body"))
 
 
+def landed_language_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language bodies of several crawls (repository_id, seq, body): every
+    repository has one of seq 2, ``{}`` for those without languages and for
+    every 11th; every 5th has an older one of seq 1."""
+    ids = repos(spark, sf_dir).select(F.col("id").alias("repository_id"))
+    known = landed_languages(spark, sf_dir)
+    body = F.when(F.col("repository_id") % 11 == 0, F.lit("{}")).otherwise(F.coalesce("body", F.lit("{}")))
+    new = ids.join(known, "repository_id", "left").select("repository_id", F.lit(2).alias("seq"), body.alias("body"))
+    old = ids.where("repository_id % 5 = 0").select("repository_id", F.lit(1).alias("seq"), F.lit('{"Old":1}').alias("body"))
+    return new.unionByName(old)
+
+
+def landed_tag_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag bodies of several crawls (repository_id, seq, body): every 7th
+    repository has an older one."""
+    new = landed_tags(spark, sf_dir).select("repository_id", F.lit(2).alias("seq"), "body")
+    old = new.where("repository_id % 7 = 0").select("repository_id", F.lit(1).alias("seq"),
+                                                     F.lit('[{"name":"old"},{"name":"older"}]').alias("body"))
+    return new.unionByName(old)
+
+
+def readme_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed README texts (repository_id, body) from ``documents``; every
+    13th is missing."""
+    d = table(spark, sf_dir, "documents")
+    return d.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("repository_id"), F.col("text").alias("body"))
+
+
+def user_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request log (doc_id, user_agent): document texts, some of them with a
+    crawler's name in one spelling or another."""
+    d = table(spark, sf_dir, "documents")
+    extra = (F.when(F.col("doc_id") % 6 == 0, F.lit(" Mozilla/5.0 (compatible; Googlebot/2.1)"))
+             .when(F.col("doc_id") % 6 == 1, F.lit(" W3C_Validator/1.3")).when(F.col("doc_id") % 6 == 2, F.lit(" WhatsApp/2.2"))
+             .when(F.col("doc_id") % 6 == 3, F.lit(" Google Page Speed Insights")).when(F.col("doc_id") % 6 == 4, F.lit(" google bot"))
+             .otherwise(F.lit("")))
+    return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), extra).alias("user_agent"))
+
+
+def coloured_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language bridge under names of which most have a colour."""
+    name = (F.when(F.col("language") == "AF", F.lit("Go")).when(F.col("language") == "NO", F.lit("C#"))
+            .when(F.col("language") == "RF", F.lit("TypeScript")).otherwise(F.col("language")))
+    return langs(spark, sf_dir).withColumn("language", name)
+
+
+def feed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that ask for a feed: those of even users, with views, and one
+    per nation without any."""
+    v = views(spark, sf_dir).select("session_id").distinct()
+    warm = v.where(F.substring("session_id", 2, 20).cast("bigint") % 2 == 0)
+    cold = table(spark, sf_dir, "nation").select(F.concat(F.lit("new"), F.col("n_nationkey").cast("string")).alias("session_id"))
+    return warm.unionByName(cold)
+
+
 def landed_readme_locators(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
     from reposcope.sources.ingest import readme_candidates
     rc = readme_candidates(repos(spark, sf_dir), readme_probes(spark, sf_dir), base)

@@ -130,6 +130,14 @@ def ingest_search_pages(pages: DataFrame, body_col: str = "body") -> DataFrame:
     return items.select(*flatten_repository(F.col("r")), "total_count")
 
 
+def latest_landed(landed: DataFrame, body_col: str = "body") -> DataFrame:
+    """One landed body per repository: the one of highest ``seq`` (crawl
+    order), ties by the body itself; without a ``seq`` column the highest
+    body. → repository_id, body column"""
+    order = F.struct(*[F.col(c) for c in ("seq", body_col) if c in landed.columns])
+    return landed.groupBy("repository_id").agg(F.max_by(body_col, order).alias(body_col))
+
+
 def ingest_tags(landed: DataFrame, body_col: str = "body") -> DataFrame:
     """``[{"name": …}, …]`` → repository_id, tags (array, order kept)."""
     arr = F.from_json(F.col(body_col), TAGS_T)
@@ -137,6 +145,13 @@ def ingest_tags(landed: DataFrame, body_col: str = "body") -> DataFrame:
             .select("repository_id", F.transform("_a", lambda x: x["name"]).alias("tags")))
 
 
+def ingest_language_maps(landed: DataFrame, body_col: str = "body") -> DataFrame:
+    """``{"Go": bytes, …}`` → repository_id, languages (map; ``{}`` is a
+    repository without languages, not a missing body)."""
+    m = F.from_json(F.col(body_col), LANGUAGES_T)
+    return landed.select("repository_id", m.alias("languages")).where(F.col("languages").isNotNull())
+
+
 def ingest_languages(landed: DataFrame, body_col: str = "body") -> DataFrame:
     """``{"Go": bytes, …}`` → repository_id, language, size (one row each)."""
     m = F.from_json(F.col(body_col), LANGUAGES_T)
@@ -155,15 +170,14 @@ def crawl_results(discovered: DataFrame, tags: DataFrame, languages: DataFrame,
     tags and language sizes, stamped with ``crawled_at``.
 
     Tags and languages are required — the crawler requeues a message whose
-    tag or language fetch failed, so a repository without landed tags or
-    languages is not emitted yet (inner joins); the README URL is optional
-    (left join). ``tags``: (repository_id, tags array); ``languages``:
-    (repository_id, language, size) rows, folded to a map here;
-    ``readme_urls``: (repository_id, readme_url).
+    tag or language fetch failed, so a repository without landed bodies is
+    not emitted yet (inner joins); an empty tag list or language map is a
+    body like any other. The README URL is optional (left join). ``tags``:
+    (repository_id, tags array); ``languages``: (repository_id, languages
+    map); one row per repository each (``latest_landed`` picks the newest of
+    several crawls); ``readme_urls``: (repository_id, readme_url).
     → discovered columns + readme_url, tags, languages, crawled_at"""
-    lang_map = languages.groupBy("repository_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "size")))).alias("languages"))
     return (discovered.join(tags.select("repository_id", "tags"), "repository_id")
-            .join(lang_map, "repository_id")
+            .join(languages.select("repository_id", "languages"), "repository_id")
             .join(readme_urls.select("repository_id", "readme_url"), "repository_id", "left")
             .withColumn("crawled_at", ts_lit(crawled_at)))

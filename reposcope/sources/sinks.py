@@ -17,9 +17,13 @@ from reposcope.sources.ingest import key_to_id
 
 
 def append_snapshots(stats: DataFrame, path: str) -> None:
-    """Append snapshot rows (with ``row_hash``) partitioned by ``event_month``."""
+    """Append snapshot rows (with ``row_hash``) partitioned by ``event_month``.
+
+    Rows are dealt by ranges of (month, repository), sized from the data: the
+    current month is spread over as many tasks as its share of the rows."""
     out = with_event_month(state_hash(stats))
-    (out.repartition("event_month").sortWithinPartitions("repository_id", "event_time")
+    (out.repartitionByRange("event_month", "repository_id")
+     .sortWithinPartitions("event_month", "repository_id", "event_time")
      .write.mode("append").partitionBy("event_month").parquet(path))
 
 
@@ -39,9 +43,17 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
 
 def read_readmes(spark: SparkSession, path: str) -> DataFrame:
     """README bodies stored one file per repository as ``readmes/<id>.md``
-    under ``path``. → repository_id, object_key, body (whole text)"""
+    under ``path``. Bytes that are not UTF-8 become U+FFFD.
+    → repository_id, object_key, body (whole text)"""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
              .option("recursiveFileLookup", "true").load(path))
     key = F.regexp_extract("path", r"(readmes/\d+\.md)$", 1)
     return files.select(key_to_id(key).alias("repository_id"), key.alias("object_key"),
-                        F.decode("content", "UTF-8").alias("body"))
+                        F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
+
+
+def publish_messages(df: DataFrame, writer_format: str = "text", **options) -> None:
+    """Rows as JSON messages, one per row, appended to a message sink:
+    JSON-lines files (``path=…``) or a broker (its connector's options)."""
+    messages = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    messages.write.format(writer_format).mode("append").options(**options).save()

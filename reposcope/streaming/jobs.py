@@ -11,7 +11,7 @@ rewrites the same output instead of duplicating it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ from reposcope.operators.embed import embed_texts
 from reposcope.operators.snapshots import latest_stat, snapshots_changed
 from reposcope.operators.upsert import (upsert_bridges, upsert_licenses, upsert_owners,
                                         upsert_repositories, upsert_vectors)
-from reposcope.sources.ingest import REPO_T, flatten_repository, object_key, parse_time
+from reposcope.sources.ingest import REPO_T, flatten_repository, needs_crawl, object_key, parse_time
 
 VIEW_EVENT_T = "struct<sessionId:string,repositoryId:bigint,viewedAt:string>"
 DISCOVERY_T = f"struct<repository:{REPO_T},discovered_at:string>"
@@ -76,12 +76,18 @@ def stream_views(spark: SparkSession, src: str, sink: str, checkpoint: str,
 
 # -- T1/T3/T5: typed consume, dead letters, README fan-out ------------------------------------
 
-def stream_ingest(spark: SparkSession, src: str, out_root: str, checkpoint: str,
-                  available_now: bool = True) -> StreamingQuery:
-    """Crawl results → flat repository rows, embedding requests for rows
-    with a README, and a dead-letter table for lines that do not parse
+def stream_ingest(spark: SparkSession, src: str, out_root: str, checkpoint: str, available_now: bool = True,
+                  bodies: DataFrame | Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Crawl results → flat repository rows, README bodies, embedding
+    requests, and a dead-letter table for lines that do not parse
     (``from_json`` yields a struct of nulls, so validity is tested on the
-    repository id)."""
+    repository id).
+
+    ``bodies`` are the landed README texts (repository_id, body): those of
+    the batch's repositories with a README are stored as ``readmes``
+    (repository_id, object_key, body), and only stored ones are asked to be
+    embedded. Without ``bodies`` the texts are stored elsewhere, and every
+    repository with a README is asked for."""
     root = out_root.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -92,9 +98,15 @@ def stream_ingest(spark: SparkSession, src: str, out_root: str, checkpoint: str,
         good = m.where(ok).select(*flatten_repository(F.col("m.repository")),
                                   parse_time(F.col("m.crawled_at")).alias("crawled_at"))
         good.write.mode("overwrite").parquet(_batch_path(f"{root}/repositories", batch_id))
-        (good.where(F.col("readme_url").isNotNull())
-         .select(F.col("id").alias("repository_id"), object_key(F.col("id")).alias("minio_path"),
-                 F.col("readme_url").alias("download_url"))
+        asked = (good.where(F.col("readme_url").isNotNull())
+                 .select(F.col("id").alias("repository_id"), object_key(F.col("id")).alias("minio_path"),
+                         F.col("readme_url").alias("download_url")))
+        if bodies is not None:
+            stored = _now(bodies).where(F.col("body").isNotNull()).select("repository_id", "body")
+            (asked.join(stored, "repository_id").select("repository_id", F.col("minio_path").alias("object_key"), "body")
+             .write.mode("overwrite").parquet(_batch_path(f"{root}/readmes", batch_id)))
+            asked = asked.join(stored, "repository_id", "left_semi")
+        (asked
          .write.mode("overwrite").parquet(_batch_path(f"{root}/embed_requests", batch_id)))
         (m.where(~ok).select(F.col("value").alias("raw"), F.lit(batch_id).cast("bigint").alias("batch_id"))
          .write.mode("overwrite").parquet(_batch_path(f"{root}/dead_letter", batch_id)))
@@ -105,20 +117,28 @@ def stream_ingest(spark: SparkSession, src: str, out_root: str, checkpoint: str,
 
 # -- T2: crawl gate ---------------------------------------------------------------------------
 
-def stream_crawl_gate(spark: SparkSession, src: str, repos: DataFrame, sink: str, checkpoint: str,
-                      available_now: bool = True) -> StreamingQuery:
+def _now(table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """A stored table as it is now: a callable reads it anew for each batch."""
+    return table() if callable(table) else table
+
+
+def stream_crawl_gate(spark: SparkSession, src: str, repos: DataFrame | Callable[[], DataFrame], sink: str,
+                      checkpoint: str, available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
     """Discovery messages → crawl requests for repositories that need a
-    crawl (stream–static left join with the stored crawl times)."""
+    crawl, in ``sink/batch_id=<n>``. ``repos`` is read in every batch: give a
+    callable to see crawls that are stored while the stream runs."""
     m = F.from_json("value", DISCOVERY_T)
-    d = (_lines(spark, src).select(m.alias("m")).where(F.col("m.repository.id").isNotNull())
-         .select(F.col("m.repository.id").alias("repository_id"),
-                 F.col("m.repository.full_name").alias("full_name"),
-                 parse_time(F.col("m.repository.pushed_at")).alias("pushed_at"),
-                 parse_time(F.col("m.discovered_at")).alias("discovered_at")))
-    stored = repos.select(F.col("id").alias("repository_id"), "last_crawled_at")
-    gated = (d.join(stored, "repository_id", "left")
-             .where(F.coalesce(F.col("pushed_at") >= F.col("last_crawled_at"), F.lit(True))))
-    return _start(gated.writeStream.format("parquet"), checkpoint, available_now).start(sink)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        d = (batch.select(m.alias("m")).where(F.col("m.repository.id").isNotNull())
+             .select(F.col("m.repository.id").alias("repository_id"),
+                     F.col("m.repository.full_name").alias("full_name"),
+                     parse_time(F.col("m.repository.pushed_at")).alias("pushed_at"),
+                     parse_time(F.col("m.discovered_at")).alias("discovered_at")))
+        gated = needs_crawl(d, _now(repos)).where("needs_crawl").drop("needs_crawl")
+        gated.write.mode("overwrite").parquet(_batch_path(sink, batch_id))
+
+    return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint, available_now).start()
 
 
 # -- T4: write path -------------------------------------------------------------------------
@@ -282,20 +302,25 @@ def stream_repositories(spark: SparkSession, src: str, initial: DataFrame, state
 
 # -- T6: embedding consumer -----------------------------------------------------------------
 
-def stream_embed(spark: SparkSession, src: str, readmes: DataFrame, initial: DataFrame,
+def stream_embed(spark: SparkSession, src: str, readmes: DataFrame | Callable[[], DataFrame], initial: DataFrame,
                  state_root: str, checkpoint: str, available_now: bool = True,
                  dim: int = 384) -> StreamingQuery:
     """Embedding requests → README text by object key → vector → upsert into
-    a versioned vector table. A request whose text is missing is skipped
-    (it is asked for again by the embed-request job)."""
+    a versioned vector table. ``readmes`` is read in every batch. A request
+    whose text is missing is skipped (it is asked for again by the
+    embed-request job); of several requests of a batch for one repository the
+    last one's vector stays."""
     root = state_root.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         req = (batch.select(F.from_json("value", EMBED_REQUEST_T).alias("m"))
                .where(F.col("m.repository_id").isNotNull())
-               .select(F.col("m.repository_id").alias("repository_id"), F.col("m.minio_path").alias("object_key")))
-        texts = req.join(readmes.select("object_key", "body"), "object_key", "inner")
-        vec = embed_texts(texts, "body", "repository_id", dim).withColumn("seq", F.lit(batch_id).cast("bigint"))
+               .select(F.col("m.repository_id").alias("repository_id"), F.col("m.minio_path").alias("object_key"),
+                       F.monotonically_increasing_id().alias("seq")))
+        texts = (req.groupBy("repository_id").agg(F.max_by("object_key", "seq").alias("object_key"), F.max("seq").alias("seq"))
+                 .join(_now(readmes).select("object_key", "body"), "object_key", "inner"))
+        order = texts.select("repository_id", "seq")
+        vec = embed_texts(texts, "body", "repository_id", dim).join(order, "repository_id")
         current = initial if batch_id == 0 else spark.read.parquet(f"{root}/v={batch_id - 1}")
         upsert_vectors(current, vec).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
 

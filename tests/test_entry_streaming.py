@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF001, ts
 from reposcope.session import scratch_path
 from reposcope.sources import fixtures as FX
 from reposcope.streaming import jobs as ST
@@ -14,7 +14,8 @@ def test_entry_and_contract(spark):
     assert df.count() >= 0 and "growth" in df.columns
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"state_hash"}
+    from reposcope.plans import catalog
+    assert set(catalog.queries()) <= set(sql)
 
 
 def test_stream_views_in_batches_equals_batch(spark):
@@ -44,6 +45,23 @@ def test_stream_ingest_dead_letters(spark):
     assert spark.read.parquet(f"{root}/out/embed_requests").count() > 0
 
 
+def test_crawl_gate_sees_crawls_stored_while_it_runs(spark):
+    root = scratch_path(spark, "t-gate")
+    line = '{"repository":{"id":%d,"full_name":"o/r","pushed_at":"2024-01-01T00:00:00Z"},"discovered_at":"2024-01-02T00:00:00Z"}'
+    reads = []
+
+    def stored():
+        reads.append(1)
+        rows = [(1, ts("2024-06-01"))] if len(reads) > 1 else [(1, None)]
+        return spark.createDataFrame(rows, "id long, last_crawled_at timestamp_ntz")
+
+    for _ in range(2):
+        spark.createDataFrame([(line % 1,)], "value string").coalesce(1).write.mode("append").text(f"{root}/src")
+    ST.stream_crawl_gate(spark, f"{root}/src", stored, f"{root}/out", f"{root}/ckpt", max_files=1).awaitTermination()
+    assert len(reads) == 2
+    assert [tuple(r) for r in spark.read.parquet(f"{root}/out").groupBy("batch_id").count().collect()] == [(0, 1)]
+
+
 def test_sinks_round_trip(spark):
     from reposcope.sources import sinks
     root = scratch_path(spark, "t-sinks")
@@ -53,11 +71,21 @@ def test_sinks_round_trip(spark):
             fh.write(text)
     got = {r.repository_id: len(r.body) for r in sinks.read_readmes(spark, f"{root}/files").collect()}
     assert got == {7: 11, 12: 5000}  # whole texts
+    with open(f"{root}/files/readmes/13.md", "wb") as fh:
+        fh.write(b"ok \xff\xfe end")
+    bad = sinks.read_readmes(spark, f"{root}/files").where("repository_id = 13").first().body
+    assert bad.startswith("ok \ufffd") and bad.endswith(" end")
     st = FX.stats(spark, SF001)
     sinks.append_snapshots(st, f"{root}/stats")
     back = spark.read.parquet(f"{root}/stats")
     assert back.count() == st.count() and "row_hash" in back.columns
     assert back.where("event_month = '202401'").count() == st.count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.append_snapshots(st, f"{root}/spread")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.parquet(f"{root}/spread").inputFiles()) > 2  # one month, several tasks
 
 
 def test_stream_repositories_in_batches_equals_one_upsert(spark):

@@ -82,7 +82,9 @@ def test_similarity_json_round_trip(spark):
     lists = spark.createDataFrame([(7, 9, 0.25, 2), (7, 8, 0.5, 1)],
                                   "source_id long, candidate_id long, score double, rank long")
     js = SI.similarity_json(lists)
-    assert js.first().data == '[{"Score":0.500000,"Member":8},{"Score":0.250000,"Member":9}]'
+    assert js.first().data == '[{"Score":0.5,"Member":8},{"Score":0.25,"Member":9}]'
+    odd = spark.createDataFrame([(7, 9, 0.1234567890123, 1)], lists.schema)
+    assert SI.similarity_from_json(SI.similarity_json(odd)).first().score == 0.1234567890123  # in full
     back = [(r.candidate_id, r.rank) for r in SI.similarity_from_json(js).orderBy("rank").collect()]
     assert back == [(8, 1), (9, 2)]
 
@@ -121,6 +123,22 @@ def test_block_kernel_slices_match_brute_force():
         assert set(got[got.source_id == i].candidate_id) == want
 
 
+def test_equal_vectors_give_k_rows_each(spark):
+    vec = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "repository_id long, embedding array<float>")
+    got = SI.similar_topk(vec, 3, blocks=2).collect()
+    assert len(got) == 900 and {r.candidate_id for r in got if r.source_id == 5} == {0, 1, 2}
+    nothing = vec.limit(0)
+    assert SI.similar_topk(nothing, 3, method="lsh").count() == 0 and SI.similar_topk(nothing, 3).count() == 0
+
+
+def test_feed_answers_the_given_sessions_only(spark):
+    views = spark.createDataFrame([("a", 1, ts("2024-01-01")), ("b", 1, ts("2024-01-01"))], VIEWS)
+    sim = spark.createDataFrame([(1, 7, 0.5)], SIM)
+    trending = spark.createDataFrame([(21, 1, 9)], "repository_id long, rank long, growth long")
+    one = spark.createDataFrame([("a",)], "session_id string")
+    assert {r.session_id for r in FD.feed(trending, views, sim, one, page_size=3).collect()} == {"a"}
+
+
 def test_combined_feed_cold_and_warm_sessions(spark):
     views = spark.createDataFrame([("warm", 1, ts("2024-01-01")), ("warm", 21, ts("2024-01-02"))], VIEWS)
     sim = spark.createDataFrame([(1, 7, 0.5)], SIM)

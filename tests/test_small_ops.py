@@ -102,33 +102,42 @@ def test_enrich_tolerates_duplicate_bridge_keys(spark):
     assert r.languages == {"C": 1, "Go": 9} and r.language == "Go"
 
 
-def test_crawl_envelope_like_the_reference_integration_test(spark):
-    """One discovery message through gate + envelope (FIXTURES.md §1 values)."""
+def test_crawl_envelope(spark):
+    """Discovery messages through gate and envelope: a second landed body per
+    repository, and one without languages."""
     from reposcope.streaming.jobs import DISCOVERY_T
-    msg = ('{"repository":{"id":13329152,"full_name":"eugeneware/gifencoder","default_branch":"master",'
-           '"pushed_at":"2025-06-06T07:09:34Z"},"discovered_at":"2025-07-09T02:00:15Z"}')
-    m = spark.createDataFrame([(msg,)], "value string").select(F.from_json("value", DISCOVERY_T).alias("m"))
+    msgs = [('{"repository":{"id":%d,"full_name":"%s","default_branch":"trunk","pushed_at":"2030-01-02T03:04:05Z"},'
+             '"discovered_at":"2030-02-01T00:00:01Z"}' % x,) for x in ((41, "ada/loom"), (42, "bo/empty"), (43, "cy/unfetched"))]
+    m = spark.createDataFrame(msgs, "value string").select(F.from_json("value", DISCOVERY_T).alias("m"))
     disc = m.select(F.col("m.repository.id").alias("repository_id"),
                     F.col("m.repository.full_name").alias("full_name"),
                     F.col("m.repository.default_branch").alias("default_branch"),
                     IN.parse_time(F.col("m.repository.pushed_at")).alias("pushed_at"),
                     IN.parse_time(F.col("m.discovered_at")).alias("discovered_at"))
-    stored = spark.createDataFrame([(13329152, ts("2025-06-01"))], "id long, last_crawled_at timestamp_ntz")
+    stored = spark.createDataFrame([(41, ts("2029-12-31"))], "id long, last_crawled_at timestamp_ntz")
     gated = IN.needs_crawl(disc, stored).where("needs_crawl")
-    landed_tags = spark.createDataFrame([(13329152, '[{"name":"v1.0.0"},{"name":"v0.9.0"}]')],
-                                        "repository_id long, body string")
-    landed_langs = spark.createDataFrame([(13329152, '{"JavaScript":10000,"HTML":500}')],
-                                         "repository_id long, body string")
-    probes = spark.createDataFrame([(13329152, "README.md", True)], "repository_id long, name string, found boolean")
+    landed = "repository_id long, seq int, body string"
+    tags = spark.createDataFrame([(41, 1, '[{"name":"old"}]'), (41, 2, '[{"name":"b2"},{"name":"a1"}]'), (42, 1, "[]")], landed)
+    langs = spark.createDataFrame([(41, 2, '{"Zig":7,"HTML":5}'), (41, 1, '{"Zig":1}'), (42, 1, "{}")], landed)
+    probes = spark.createDataFrame([(41, "README.md", True)], "repository_id long, name string, found boolean")
     repo_rows = disc.select(F.col("repository_id").alias("id"), "full_name", "default_branch")
     urls = IN.readme_candidates(repo_rows, probes, "https://raw.example.org")
-    r = IN.crawl_results(gated, IN.ingest_tags(landed_tags), IN.ingest_languages(landed_langs), urls,
-                         "2025-07-09 02:05:00").first()
-    assert r.repository_id == 13329152 and r.full_name == "eugeneware/gifencoder"
-    assert r.readme_url == "https://raw.example.org/eugeneware/gifencoder/master/README.md"
-    assert r.tags == ["v1.0.0", "v0.9.0"]
-    assert r.languages == {"JavaScript": 10000, "HTML": 500}
-    assert r.discovered_at == ts("2025-07-09 02:00:15") and r.crawled_at is not None
+    got = {r.repository_id: r for r in IN.crawl_results(
+        gated, IN.ingest_tags(IN.latest_landed(tags)), IN.ingest_language_maps(IN.latest_landed(langs)), urls,
+        "2030-02-01 00:05:00").collect()}
+    assert set(got) == {41, 42}  # 43 has no landed bodies yet
+    assert got[41].readme_url == "https://raw.example.org/ada/loom/trunk/README.md" and got[42].readme_url is None
+    assert got[41].tags == ["b2", "a1"] and got[42].tags == []
+    assert got[41].languages == {"Zig": 7, "HTML": 5} and got[42].languages == {}
+    assert got[41].discovered_at == ts("2030-02-01 00:00:01") and got[41].crawled_at is not None
+
+
+def test_post_text_cuts_on_characters(spark):
+    rows = [(k, "o/r" + "x" * k, unit * 300, {}, []) for k in range(4) for unit in ("漢", "é", "🚀", "a\ufffd")]
+    df = spark.createDataFrame(rows, "id long, full_name string, description string, languages map<string,bigint>, topics array<string>")
+    for r, (_, _, text, _, _) in zip(PB.post_text(df, "https://example.org").collect(), rows):
+        summary = r.text.split("\n\n")[1]
+        assert 267 <= len(r.text.encode()) <= 270 and summary.endswith("...") and text.startswith(summary[:-3])
 
 
 def test_posting_job(spark):
