@@ -15,7 +15,7 @@ from reposcope.operators.feed import (feed, feed_personalized, feed_rows, feed_t
                                       session_history, session_seen, session_views)
 from reposcope.operators.publish import (bot_flag, html_snippet, mark_posted, next_to_post, page_meta,
                                          post_text)
-from reposcope.operators.ranges import adaptive_ranges, range_pages
+from reposcope.operators.ranges import adaptive_ranges, range_pages, value_leaves
 from reposcope.operators.similarity import (embed_requests, jaccard_pairs, similar_topk, similarity_from_json,
                                             similarity_hybrid, similarity_job, similarity_json,
                                             upsert_similarity)

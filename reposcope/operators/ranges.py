@@ -5,7 +5,8 @@ right half from ``mid+1``) until a range holds at most ``cap`` rows or is a
 single value, then pages each leaf. Every value's chain of enclosing
 intervals is fixed by the midpoint rule, so the recursion becomes:
 
-1. a histogram of distinct values (map-side partial counts);
+1. a histogram of distinct values (map-side partial counts). A domain of
+   bounded size is then split in one task over the histogram; else
 2. each distinct value expands to its ≤ depth+1 enclosing intervals (a
    vectorised numpy walk over an Arrow batch in ``mapInPandas``), counts
    summed per interval;
@@ -29,6 +30,11 @@ from pyspark.sql import functions as F
 
 from reposcope.functions.ordinal import rank_within
 
+#: Values of a domain that one task splits (16 bytes each).
+DOMAIN = 1 << 22
+#: Rows of a single value that are numbered together, about.
+BUCKET_ROWS = 1 << 18
+
 _PATH_SCHEMA = "v long, n long, d int, lo long, hi long, plo long, phi long"
 
 
@@ -67,34 +73,71 @@ def _paths(hist: DataFrame, col: str, lo: int, hi: int) -> DataFrame:
     return out.withColumnRenamed("v", col) if col != "v" else out
 
 
-def adaptive_ranges(df: DataFrame, col: str = "v", lo: int = 50, hi: int = 1_000_000,
-                    cap: int = 1000) -> DataFrame:
-    """Leaf ranges of the recursive split, non-empty only. → lo, hi, n"""
-    hist = (df.where(F.col(col).between(lo, hi)).groupBy(col)
+def _split(lo: int, hi: int, cap: int):
+    """The recursion over the sorted distinct values of the whole domain."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v", kind="stable")
+        v, n = pdf["v"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum(n)])
+        los, his = np.empty_like(v), np.empty_like(v)
+        todo = [(lo, hi, 0, len(v))]
+        while todo:
+            a, b, i, j = todo.pop()
+            if i == j:
+                continue
+            if total[j] - total[i] <= cap or a == b:
+                los[i:j], his[i:j] = a, b
+                continue
+            mid = a + (b - a) // 2
+            k = i + int(np.searchsorted(v[i:j], mid, side="right"))
+            todo += [(a, mid, i, k), (mid + 1, b, k, j)]
+        return pd.DataFrame({"v": v, "n": n, "lo": los, "hi": his})
+    return run
+
+
+def value_leaves(df: DataFrame, col: str = "v", lo: int = 50, hi: int = 1_000_000, cap: int = 1000) -> DataFrame:
+    """Distinct values with their counts and leaf ranges. → v, n, lo, hi
+
+    A domain of at most ``DOMAIN`` values (a parameter of the split, not of
+    the data) is split by one task over its histogram; a larger one by
+    expanding every distinct value to its enclosing intervals.
+    """
+    hist = (df.where(F.col(col).between(lo, hi)).groupBy(F.col(col).cast("bigint").alias("v"))
             .agg(F.count(F.lit(1)).alias("n")))
-    paths = _paths(hist, col, lo, hi)
+    if hi - lo + 1 <= DOMAIN:
+        return hist.groupBy(F.lit(0).alias("_all")).applyInPandas(_split(lo, hi, cap), "v long, n long, lo long, hi long")
+    paths = _paths(hist, "v", lo, hi)
     iv = paths.groupBy("d", "lo", "hi", "plo", "phi").agg(F.sum("n").alias("n"))
     parents = iv.select(F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.col("n").alias("pn"),
                         (F.col("d") + 1).alias("d"))
     x = iv.join(parents, ["d", "plo", "phi"], "left")
     leaf = (((F.col("n") <= cap) | (F.col("lo") == F.col("hi")))
             & ((F.col("d") == 0) | (F.col("pn") > cap)))
-    return x.where(leaf).select("lo", "hi", F.col("n").cast("bigint").alias("n"))
+    return paths.select("v", "n", "lo", "hi").join(x.where(leaf).select("lo", "hi"), ["lo", "hi"]).select("v", "n", "lo", "hi")
+
 
+def adaptive_ranges(df: DataFrame, col: str = "v", lo: int = 50, hi: int = 1_000_000,
+                    cap: int = 1000, values: DataFrame | None = None) -> DataFrame:
+    """Leaf ranges of the recursive split, non-empty only (``values``: the
+    result of ``value_leaves``, if it is there already). → lo, hi, n"""
+    values = value_leaves(df, col, lo, hi, cap) if values is None else values
+    return values.groupBy("lo", "hi").agg(F.sum("n").cast("bigint").alias("n"))
 
-def range_pages(df: DataFrame, leaves: DataFrame, col: str = "v", id_col: str = "id",
-                lo: int = 50, hi: int = 1_000_000, page_size: int = 100) -> DataFrame:
+
+def range_pages(df: DataFrame, values: DataFrame, col: str = "v", id_col: str = "id",
+                page_size: int = 100) -> DataFrame:
     """Rows of every leaf in pages of ``page_size``, ordered by (value, id).
-    Page numbers start at 1. → lo, hi, page, id"""
-    hist = (df.where(F.col(col).between(lo, hi)).groupBy(col)
-            .agg(F.count(F.lit(1)).alias("n")))
-    paths = _paths(hist, col, lo, hi).select(col, "lo", "hi")
-    value_leaf = paths.join(leaves.select("lo", "hi"), ["lo", "hi"], "inner")
-    rows = df.select(F.col(id_col).alias("id"), col).join(value_leaf, col, "inner")
-    # Position inside a leaf in (value, id) order. Sub-buckets of (value,
-    # id >> 20) follow that order and hold at most 2^20 rows each, so even a
-    # single-valued leaf with a third of all rows is numbered in parallel.
-    bucket = F.struct(F.col(col), F.shiftright("id", 20))
-    ranked = rank_within(rows, ["lo", "hi"], [F.asc(col), F.asc("id")], bucket, name="_pos")
+    ``values`` comes from ``value_leaves``. Page numbers start at 1.
+    → lo, hi, page, id"""
+    base = df.select(F.col(id_col).alias("id"), F.col(col).cast("bigint").alias("v"))
+    rows = base.join(values.select("v", "lo", "hi"), "v")
+    # Position inside a leaf in (value, id) order. Sub-buckets of (value, id
+    # stretch) follow that order; the stretches are cut from the ids' own
+    # range into as many as the rows need, so even a single-valued leaf with
+    # a third of all rows is numbered in parallel.
+    low, high, n = base.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    width = max(1, ((high or 0) - (low or 0)) // max(1, (n or 0) // BUCKET_ROWS) + 1)
+    bucket = F.struct(F.col("v"), F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)))
+    ranked = rank_within(rows, ["lo", "hi"], [F.asc("v"), F.asc("id")], bucket, name="_pos")
     return ranked.select("lo", "hi", (F.floor((F.col("_pos") - 1) / page_size) + 1).cast("bigint").alias("page"),
                          "id")

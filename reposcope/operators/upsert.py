@@ -90,6 +90,10 @@ def upsert_repositories(current: DataFrame, incoming: DataFrame,
     fields; ``created_at`` is the first element's.
     """
     cols = current.columns
+    # Rows without a message stay as they are; only the others are folded.
+    touched = incoming.select("id").distinct()
+    untouched = current.join(touched, "id", "left_anti").select(*cols)
+    current = current.join(touched, "id", "left_semi").select(*cols)
     seq = _sequence(current, incoming.select(*cols, *order_cols), cols, order_cols)
     last = seq.groupBy("id").agg(F.max_by(F.struct(*compared), "_k").alias("_t"))
     x = seq.join(last, "id")
@@ -108,7 +112,8 @@ def upsert_repositories(current: DataFrame, incoming: DataFrame,
         F.min_by(F.col("last_crawled_at").isNull(), run_order).alias("_first_null"),
         F.min_by("created_at", "_k").alias("created_at"))
     chosen = F.when(F.col("_first_null"), F.col("_first")).otherwise(F.col("_r"))
-    return out.select("id", chosen.alias("_c"), "created_at").select("id", "_c.*", "created_at").select(*cols)
+    folded = out.select("id", chosen.alias("_c"), "created_at").select("id", "_c.*", "created_at").select(*cols)
+    return folded.unionByName(untouched)
 
 
 def upsert_bridges(current: DataFrame, incoming: DataFrame,

@@ -379,19 +379,18 @@ def q_embed_texts(spark, sf):
                     F.round(norm, 6).alias("norm"))
 
 
-def leaves(spark, sf):
-    return RG.adaptive_ranges(FX.range_input(spark, sf), "v", P.RANGE_LO, P.RANGE_HI, P.RANGE_CAP)
+def leaf_values(spark, sf):
+    return RG.value_leaves(FX.range_input(spark, sf), "v", P.RANGE_LO, P.RANGE_HI, P.RANGE_CAP)
 
 
 @register("adaptive_ranges")
 def q_adaptive_ranges(spark, sf):
-    return leaves(spark, sf)
+    return RG.adaptive_ranges(FX.range_input(spark, sf), values=leaf_values(spark, sf))
 
 
 @register("range_pages")
 def q_range_pages(spark, sf):
-    return RG.range_pages(FX.range_input(spark, sf), leaves(spark, sf), "v", "id",
-                          P.RANGE_LO, P.RANGE_HI, P.RANGE_PAGE)
+    return RG.range_pages(FX.range_input(spark, sf), leaf_values(spark, sf), "v", "id", P.RANGE_PAGE)
 
 
 # -- upserts ------------------------------------------------------------------------------
