@@ -4,14 +4,13 @@ Documents are sets of word shingles; two link if their Jaccard likeness
 reaches a threshold. The join loses no link:
 
 1. Equal sets become one node, represented by its least document.
-2. Nodes that can link meet. Sets of sizes a <= b that link differ in at most
-   (1 - t) / (1 + t) * (a + b) shingles. Shingles are dealt into more groups
-   than that by their hash, so two such sets agree on some whole group, and a
-   set sends a key for each of its groups. Small sets send their prefix
-   instead (the shingles of least hash, one more than a partner may lack). A
-   group may be empty in both sets; up to SPARE such groups are allowed for,
-   and a set with more sends its prefix as well. Sizes are cut into classes,
-   a key holds the class of the smaller set of a pair.
+2. Nodes that can link meet. Shingles are put in order of how many documents
+   hold them, rarest first (blocks of documents ask for the counts of their
+   shingles, packed, and get back a class of count for each; ties go by
+   hash). A set's prefix is its first n - ceil(t n) + 1 shingles in that
+   order: two sets that link share one in both their prefixes. A shingle that
+   no other document holds leads nowhere, so a set sends only the shared ones
+   of its prefix, and one with enough shingles of its own sends none.
 3. Nodes joined by keys form candidate families. A family's sets are indexed
    by count vectors (shingles dealt into groups, counted) in an R-tree. The
    sum of coordinate minima bounds the overlap of two sets, and of two nodes
@@ -36,14 +35,13 @@ from pyspark.sql import Window
 
 from .common import saved
 from .components import connected_components
-from .packed import text_buffer
-from .words import mix, shingles, words
+from .packed import pack, pack_sorted, text_buffer, unpack, unpack_sorted
+from .words import shingles, words
 
 SIZE = 3
 THRESHOLD = (90, 100)
 BLOCK = 512  # sets of a family that are indexed together
-SPARE = 2
-SMALL = 40  # largest set of the classes that send prefixes
+BLOCK_ROWS, PART_ROWS = 2048, 8192  # documents of a block, and those whose shingles a part counts, on average
 LEAF = 16
 #: Candidate ids up to which they are broadcast to the second reading of the texts (16 bytes each).
 BROADCAST = 500_000
@@ -55,56 +53,10 @@ def needed(a, b, threshold=THRESHOLD):
     return -(-num * (a + b) // (num + den))
 
 
-class Classes:
-    """Size classes of the smaller set of a pair, and how many groups each deals shingles into."""
-
-    def __init__(self, threshold=THRESHOLD):
-        self.num, self.den = threshold
-        self.least = next(n for n in range(1, 1 << 20) if self.den * n >= self.num * (n + 1))  # a set that a larger one can link to
-        self.starts = [self.least]
-
-    def _grow(self, n: int) -> None:
-        while self.starts[-1] <= n:
-            self.starts.append(self.starts[-1] * self.den // self.num + 1)
-
-    def of(self, n: int) -> list[int]:
-        """Classes in which a set of size n can be the smaller or the larger one."""
-        low = max(self.least, -(-self.num * n // self.den))
-        if n < self.least or low > n:
-            return []
-        self._grow(n)
-        first, last = np.searchsorted(self.starts, [low, n], side="right") - 1
-        return list(range(int(first), int(last) + 1))
-
-    def groups(self, c: int) -> int:
-        """0: the class sends prefixes."""
-        top = self.starts[c + 1] - 1
-        if top <= SMALL:
-            return 0
-        most = top + top * self.den // self.num
-        return (self.den - self.num) * most // (self.den + self.num) + 1 + SPARE
-
-
-def routing_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """Keys of a set (ascending hashes): two sets that link and differ share one."""
-    n = len(s)
-    out = []
-    for c in classes.of(n):
-        m = classes.groups(c)
-        salt = np.uint64((c + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        prefix = m == 0
-        if m:
-            g = (s >> np.uint64(33)) % np.uint64(m)
-            order = np.argsort(g.astype(np.uint16 if m < 1 << 16 else np.uint32), kind="stable")
-            gs = g[order]
-            first = np.flatnonzero(np.concatenate([[True], gs[1:] != gs[:-1]]))
-            total = np.add.reduceat(mix(s[order]), first)
-            count = np.diff(np.concatenate([first, [n]])).astype(np.uint64)
-            out.append(mix(mix(total + gs[first]) + count + salt))
-            prefix = m - len(first) > SPARE
-        if prefix:
-            out.append(mix(s[:n - -(-classes.num * n // classes.den) + 1] ^ salt))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def smallest(threshold=THRESHOLD) -> int:
+    """Size of the smallest set that another, different set can link to."""
+    num, den = threshold
+    return next(n for n in range(1, 1 << 20) if den * n >= num * (n + 1))
 
 
 def _node(s: np.ndarray) -> int | None:
@@ -120,15 +72,62 @@ def _batch_sets(batches, size: int):
             yield part, shingles(*words(raw, offsets), size)
 
 
-def _routed(size: int, threshold):
-    def run(batches):
-        classes = Classes(threshold)
-        for part, sets in _batch_sets(batches, size):
-            keys = [routing_keys(s, classes).view(np.int64) for s in sets]
-            at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column(part.schema.get_field_index("doc_id")), "n": pa.array([len(s) for s in sets], pa.int64()),
-                "node": pa.array([_node(s) for s in sets], pa.int64()), "keys": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))})
+def _block_sets(table: pa.Table, size: int, parts: int):
+    """A block's sets and their nodes; its distinct shingles, ascending, with the nodes that hold each and the part that counts them."""
+    raw, offsets = text_buffer(table.column("text"))
+    sets = shingles(*words(raw, offsets), size)
+    nodes = [_node(s) for s in sets]
+    once = list({n: s for n, s in zip(nodes, sets) if n is not None}.values())
+    known, count = np.unique(np.concatenate(once) if once else np.zeros(0, np.uint64), return_counts=True)
+    return sets, nodes, known, count, ((known >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
+def _ask(size: int, parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, _, known, count, part = _block_sets(table, size, parts)
+        asked = [(int(p), pack_sorted(known[part == p]), pack(count[part == p].astype(np.uint32))) for p in np.unique(part)]
+        number = table.column("_block")[0].as_py()
+        return pa.table({"_p": pa.array([a[0] for a in asked], pa.int64()), "_block": pa.array([number] * len(asked), pa.int64()),
+                         "hashes": pa.array([a[1] for a in asked], pa.binary()), "counts": pa.array([a[2] for a in asked], pa.binary())})
+    return run
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """A class of count for every shingle that a block asked for: 0 for one holder, then eight classes to each doubling."""
+    asked = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+    counts = [unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
+    known, place = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(counts).astype(float), minlength=len(known))
+    rank = np.minimum(255, np.rint(8 * np.log2(total))).astype(np.uint8)
+    p = table.column("_p")[0].as_py()
+    replies = [pack(rank[own]) for own in np.split(place, np.cumsum([len(a) for a in asked])[:-1])]
+    return pa.table({"_block": table.column("_block"), "_p": pa.array([p] * len(replies), pa.int64()), "ranks": pa.array(replies, pa.binary())})
+
+
+def prefix_keys(s: np.ndarray, rank: np.ndarray, threshold=THRESHOLD) -> np.ndarray:
+    """The shared shingles of a set's prefix; rank is each shingle's class of count, 0 if no other set has it."""
+    num, den = threshold
+    n = len(s)
+    if n < smallest(threshold):  # links with equal sets only
+        return s[:0]
+    length = n - -(-num * n // den) + 1
+    if int((rank == 0).sum()) >= length:
+        return s[:0]
+    first = np.lexsort((s, rank))[:length]
+    return s[first[rank[first] > 0]]
+
+
+def _routed(size: int, threshold, parts: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        sets, nodes, known, _, part = _block_sets(table, size, parts)
+        rank = np.zeros(len(known), dtype=np.uint8)
+        for p, ranks in zip(answers.column("_p").to_pylist(), answers.column("ranks").to_pylist()):
+            rank[part == p] = unpack(ranks, np.uint8)
+        keys = [prefix_keys(s, rank[np.searchsorted(known, s)], threshold).view(np.int64) for s in sets]
+        at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        return pa.table({"doc_id": table.column("doc_id").combine_chunks(), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()),
+                         "keys": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
     return run
 
 
@@ -267,7 +266,14 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold=THRESHOLD, block:
     64-bit hashes.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = saved(base.mapInArrow(_routed(size, threshold), "doc_id long, n long, node long, keys array<long>"), "jaccard-sets")
+    total = base.count()
+    blocks, parts = max(1, total // BLOCK_ROWS), max(1, total // PART_ROWS)
+    # One exchange, read by two steps: both need these columns as they are. Rows without an id are dealt by their text.
+    dealt = base.withColumn("_block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("long"))
+    counted = (dealt.groupBy("_block").applyInArrow(_ask(size, parts), "_p long, _block long, hashes binary, counts binary")
+               .groupBy("_p").applyInArrow(_count, "_block long, _p long, ranks binary"))
+    rows = saved(dealt.groupBy("_block").cogroup(counted.groupBy("_block")).applyInArrow(
+        _routed(size, threshold, parts), "doc_id long, n long, node long, keys array<long>"), "jaccard-sets")
     full = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = saved(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-nodes")
 

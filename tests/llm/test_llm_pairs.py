@@ -61,23 +61,24 @@ def test_jaccard_join_against_brute_force(spark):
     assert jaccard_join(empty(spark)).count() == 0
 
 
-def test_routing_loses_no_pair():
-    from reposcope.llm.jaccard_join import Classes, needed, routing_keys
+def test_prefixes_lose_no_pair():
+    from reposcope.llm.jaccard_join import needed, prefix_keys
 
     rng = np.random.default_rng(0)
     for num in (80, 90):
-        classes = Classes((num, 100))
-        for _ in range(400):
+        for _ in range(600):
             a = int(rng.integers(4, 400))
             b = int(rng.integers(a, a * 100 // num + 1))
             need = int(needed(a, b, (num, 100)))
-            if need > a:
+            if need > a or a == b == need:
                 continue
-            x = rng.integers(0, 2 ** 63, size=a + b - need, dtype=np.uint64)
+            x = rng.permutation(rng.integers(0, 2 ** 63, size=a + b - need, dtype=np.uint64))
             one, two = np.sort(x[:a]), np.sort(np.concatenate([x[:need], x[a:]]))
-            if a == b == need:
-                continue
-            assert len(np.intersect1d(routing_keys(one, classes), routing_keys(two, classes))), (a, b, need)
+            # What both hold has two holders at least; other shingles have any number.
+            rank = dict(zip(x.tolist(), rng.integers(0, 40, size=len(x)).tolist()))
+            rank.update({h: max(8, rank[h]) for h in x[:need].tolist()})
+            keys = [prefix_keys(s, np.array([rank[h] for h in s.tolist()], dtype=np.uint8), (num, 100)) for s in (one, two)]
+            assert len(np.intersect1d(*keys)), (a, b, need)
 
 
 def test_components_of_long_paths(spark):
