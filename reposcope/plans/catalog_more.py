@@ -545,6 +545,20 @@ def q_stream_write(spark, sf):
         "open_issues_count")
 
 
+@register("stream_dimensions")
+def q_stream_dimensions(spark, sf):
+    """Dimension tables after crawl results in four micro-batches; the repositories are returned."""
+    root = scratch_path(spark, "stream-dimensions")
+    msgs = FX.crawl_result_messages(spark, sf)
+    for part in range(4):
+        msgs.where(F.abs(F.hash("value")) % 4 == part).repartition(2).write.mode("append").text(f"{root}/src")
+    initial = {"repositories": FX.repos(spark, sf), "owners": FX.owners(spark, sf), "licenses": FX.licenses(spark, sf),
+               "bridges": FX.bridge_rows(spark, sf)}
+    _run(ST.stream_dimensions(spark, f"{root}/src", initial, f"{root}/state", f"{root}/ckpt", max_files=2))
+    return ST.latest_version(spark, f"{root}/state/repositories").select(
+        "id", "name", "description", "license_key", "last_crawled_at", "created_at")
+
+
 @register("stream_embed")
 def q_stream_embed(spark, sf):
     root = scratch_path(spark, "stream-embed")

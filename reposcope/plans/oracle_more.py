@@ -551,6 +551,11 @@ def streaming() -> dict[str, str]:
                'https://raw.githubusercontent.com/' || r.full_name || '/main/README.md' AS download_url
         FROM f_repos r JOIN documents d ON d.doc_id = r.id
         WHERE r.id % 4 <> 0 AND d.doc_id % 13 <> 0""", "f_repos")
+    q["stream_dimensions"] = sql("""
+        SELECT id, name, CASE WHEN id % 10 <> 0 THEN description END AS description, license_key,
+               CASE WHEN id % 10 = 0 OR last_crawled_at < TIMESTAMP '2024-02-02 00:00:00'
+                    THEN TIMESTAMP '2024-02-02 00:00:00' ELSE last_crawled_at END AS last_crawled_at, created_at
+        FROM f_repos""", "f_repos")
     q["stream_crawl_gate"] = sql("""
         SELECT s.repository_id, s.pushed_at, s.event_time AS discovered_at, r.last_crawled_at
         FROM f_stats s LEFT JOIN f_repos r ON r.id = s.repository_id

@@ -11,9 +11,11 @@ rewrites the same output instead of duplicating it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,6 +62,35 @@ def _batch_path(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch_id={batch_id}"
 
 
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions of a table, from the file listing; none if it is not there yet."""
+    try:
+        files = spark.read.parquet(root).inputFiles()
+    except AnalysisException:
+        return []
+    return sorted({int(m.group(1)) for f in files for m in [re.search(r"/v=(\d+)/", f)] if m})
+
+
+def _first_version(spark: SparkSession, checkpoint: str, root: str) -> int:
+    """The version that batch 0 of this checkpoint writes: the one after the
+    table's newest when the checkpoint is new. It is kept in the checkpoint,
+    so that a restarted stream, or a batch that runs again, writes the same
+    versions."""
+    kept = f"{checkpoint.rstrip('/')}/first_version"
+    try:
+        return int(spark.read.schema("value string").text(kept).first()["value"])
+    except AnalysisException:
+        first = max(_versions(spark, root), default=-1) + 1
+        spark.createDataFrame([(str(first),)], "value string").coalesce(1).write.text(kept)
+        return first
+
+
+def _previous(spark: SparkSession, root: str, first: int, batch_id: int, initial: DataFrame | None) -> DataFrame | None:
+    """The table before a batch; ``initial`` if there was none before the stream."""
+    before = first + batch_id - 1
+    return initial if before < 0 else spark.read.parquet(f"{root}/v={before}")
+
+
 # -- T7: view events ------------------------------------------------------------------------
 
 def stream_views(spark: SparkSession, src: str, sink: str, checkpoint: str,
@@ -216,15 +247,16 @@ def stream_snapshots_versioned(spark: SparkSession, src, sink: str, state_root:
     the price of rewriting the latest-state table every batch."""
     root = state_root.rstrip("/")
     order = ("event_time", "tie")
+    first = _first_version(spark, checkpoint, root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = _snapshot_rows(batch).persist()
-        prev = None if batch_id == 0 else spark.read.parquet(f"{root}/v={batch_id - 1}")
+        prev = _previous(spark, root, first, batch_id, None)
         kept = snapshots_changed(rows, prev, state_cols=("repository_id", *STATE_FIELDS),
                                  order_cols=order, bucket=bucket)
         kept.write.mode("overwrite").parquet(_batch_path(sink, batch_id))
         both = rows if prev is None else prev.unionByName(rows)
-        latest_stat(both, order).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        latest_stat(both, order).write.mode("overwrite").parquet(f"{root}/v={first + batch_id}")
         rows.unpersist()
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
@@ -263,9 +295,11 @@ def stream_dimensions(spark: SparkSession, src: str, initial: dict[str, DataFram
                       max_files: int | None = None) -> StreamingQuery:
     """Crawl results → upsert of every dimension table (repositories,
     owners, licences, bridges), one version per micro-batch
-    (``<table>/v=<batch_id>``; batch 0 starts from ``initial``). Bridges
-    are in long form (repository_id, kind, name, size)."""
+    (``<table>/v=<n>``). The first batch starts from the newest stored
+    version, from ``initial`` if there is none. Bridges are in long form
+    (repository_id, kind, name, size)."""
     root = state_root.rstrip("/")
+    first = _first_version(spark, checkpoint, f"{root}/repositories")
     rules = {"repositories": upsert_repositories, "owners": upsert_owners,
              "licenses": upsert_licenses, "bridges": upsert_bridges}
     repo_cols, repo_schema = initial["repositories"].columns, initial["repositories"].schema
@@ -274,9 +308,8 @@ def stream_dimensions(spark: SparkSession, src: str, initial: dict[str, DataFram
         lines = batch.persist()  # one read of the batch for four tables
         incoming = _dimension_messages(lines, repo_cols, repo_schema)
         for table, rule in rules.items():
-            current = (initial[table] if batch_id == 0
-                       else spark.read.parquet(f"{root}/{table}/v={batch_id - 1}"))
-            rule(current, incoming[table]).write.mode("overwrite").parquet(f"{root}/{table}/v={batch_id}")
+            current = _previous(spark, f"{root}/{table}", first, batch_id, initial[table])
+            rule(current, incoming[table]).write.mode("overwrite").parquet(f"{root}/{table}/v={first + batch_id}")
         lines.unpersist()
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
@@ -287,14 +320,15 @@ def stream_repositories(spark: SparkSession, src: str, initial: DataFrame, state
                         checkpoint: str, available_now: bool = True,
                         max_files: int | None = None) -> StreamingQuery:
     """Crawl results → repository dimension upsert only, one table version
-    per micro-batch (``v=<batch_id>``; batch 0 starts from ``initial``)."""
+    per micro-batch, as in ``stream_dimensions``."""
     root = state_root.rstrip("/")
+    first = _first_version(spark, checkpoint, root)
     cols, schema = initial.columns, initial.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
         incoming = _dimension_messages(batch, cols, schema)["repositories"]
-        current = initial if batch_id == 0 else spark.read.parquet(f"{root}/v={batch_id - 1}")
-        upsert_repositories(current, incoming).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        current = _previous(spark, root, first, batch_id, initial)
+        upsert_repositories(current, incoming).write.mode("overwrite").parquet(f"{root}/v={first + batch_id}")
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
                   available_now).start()
@@ -311,6 +345,7 @@ def stream_embed(spark: SparkSession, src: str, readmes: DataFrame | Callable[[]
     embed-request job); of several requests of a batch for one repository the
     last one's vector stays."""
     root = state_root.rstrip("/")
+    first = _first_version(spark, checkpoint, root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         req = (batch.select(F.from_json("value", EMBED_REQUEST_T).alias("m"))
@@ -321,8 +356,8 @@ def stream_embed(spark: SparkSession, src: str, readmes: DataFrame | Callable[[]
                  .join(_now(readmes).select("object_key", "body"), "object_key", "inner"))
         order = texts.select("repository_id", "seq")
         vec = embed_texts(texts, "body", "repository_id", dim).join(order, "repository_id")
-        current = initial if batch_id == 0 else spark.read.parquet(f"{root}/v={batch_id - 1}")
-        upsert_vectors(current, vec).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        current = _previous(spark, root, first, batch_id, initial)
+        upsert_vectors(current, vec).write.mode("overwrite").parquet(f"{root}/v={first + batch_id}")
 
     return _start(_lines(spark, src).writeStream.foreachBatch(write), checkpoint, available_now).start()
 
@@ -330,8 +365,4 @@ def stream_embed(spark: SparkSession, src: str, readmes: DataFrame | Callable[[]
 def latest_version(spark: SparkSession, state_root: str) -> DataFrame:
     """Read the newest ``v=<n>`` version of a versioned table (the version
     numbers come from the file listing, no data is scanned to find it)."""
-    import re
-
-    files = spark.read.parquet(state_root).inputFiles()
-    versions = {int(m.group(1)) for f in files for m in [re.search(r"/v=(\d+)/", f)] if m}
-    return spark.read.parquet(f"{state_root.rstrip('/')}/v={max(versions)}")
+    return spark.read.parquet(f"{state_root.rstrip('/')}/v={max(_versions(spark, state_root))}")

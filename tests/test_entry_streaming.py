@@ -115,6 +115,10 @@ def test_stream_repositories_in_batches_equals_one_upsert(spark):
     cols = ["id", "name", "description", "license_key", "last_crawled_at", "created_at"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     assert len([d for d in os.listdir(f"{root}/state") if d.startswith("v=")]) == 4
+    # With a new checkpoint the stream goes on from the stored table, not from what it began with.
+    ST.stream_repositories(spark, f"{root}/src", repos.limit(0), f"{root}/state", f"{root}/ckpt2", max_files=1).awaitTermination()
+    again = ST.latest_version(spark, f"{root}/state")
+    assert again.count() == got.count() and len([d for d in os.listdir(f"{root}/state") if d.startswith("v=")]) == 8
 
 
 def test_embed_texts_encoder_paths(spark):
