@@ -193,6 +193,20 @@ def q_similar_topk(spark, sf):
     return topk_all(spark, sf).select("source_id", "candidate_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+@register("similar_topk_lsh")
+def q_similar_topk_lsh(spark, sf):
+    """The approximate form against the exact one: true cosines, recall of at
+    least 0.9, and how many sources get a short list."""
+    exact = topk_all(spark, sf).select("source_id", "candidate_id", F.col("cosine").alias("true_cosine"))
+    near = SI.similar_topk(FX.vectors(spark, sf), P.SIMILARITY_K, method="lsh", lsh_bits=3, lsh_tables=12)
+    both = exact.join(near.select("source_id", "candidate_id", "cosine"), ["source_id", "candidate_id"], "full")
+    per = both.groupBy("source_id").agg(
+        F.count("cosine").alias("found"), F.count(F.when(F.col("cosine").isNotNull(), F.col("true_cosine"))).alias("hits"), F.count("true_cosine").alias("wanted"),
+        F.coalesce(F.max(F.abs(F.col("cosine") - F.col("true_cosine"))), F.lit(0.0)).alias("off"))
+    return per.agg(F.count(F.lit(1)).alias("n_sources"), F.count(F.when(F.col("found") < F.col("wanted"), 1)).alias("short_lists"),
+                   (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("recall_reached"), (F.max("off") < 1e-6).alias("cosines_true"))
+
+
 @register("similarity_hybrid")
 def q_similarity_hybrid(spark, sf):
     """The periodic job: sources = recently pushed repositories."""
