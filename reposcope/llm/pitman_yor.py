@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ from .common import crc_mod
 from .packed import pack, pack_sorted, text_buffer, unpack, unpack_sorted
 from .words import mix, words
 
-BLOCK_ROWS = 4096
-BLOCK_BYTES = 24 << 20
-PART_ROWS = 6144
+BLOCK_ROWS = 2048
+BLOCK_BYTES = 12 << 20
+PART_ROWS = 4096
 SAMPLE = 2000  # documents that the frequent words are looked up in
 FREQUENT = 0.002
 BURN, SAMPLES = 2, 3
@@ -49,7 +50,7 @@ STRENGTH = 1.0  # b1 and b2
 SINGLY = 48  # customers of a dish that are seated one by one; later ones in groups of an eighth of those seated
 END, START = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 _C = np.uint64(16)  # contexts go by the upper 48 bits of their hash
-_BITS = np.uint64(24)
+_BITS = np.uint64(26)  # distinct words of a block, twice, and a document of it: 64 bits
 _DOC = np.uint64(12)
 
 
@@ -90,13 +91,14 @@ def _block_rows(number: int, table: pa.Table, parts: int, frequent: np.ndarray)
     before[1:] = rank[:-1]
     before[at[:-1]] = len(known)
     key = (rank << (_BITS + _DOC)) | (before << _DOC) | np.repeat(np.arange(docs, dtype=np.uint64), np.diff(at))
-    del rank, before, stream
+    del rank, before, stream, raw
     key.sort()
     first = _runs_of(key >> _DOC)
-    count = np.diff(np.concatenate([first, [len(key)]]))
+    count = np.diff(np.append(first, len(key)))
     w = known[(key[first] >> (_BITS + _DOC)).astype(np.int64)]
-    u = (np.append(known, START) >> _C)[((key[first] >> _DOC) & np.uint64((1 << 24) - 1)).astype(np.int64)]
+    u = (np.append(known, START) >> _C)[((key[first] >> _DOC) & np.uint64((1 << 26) - 1)).astype(np.int64)]
     doc = (key & np.uint64((1 << 12) - 1)).astype(np.uint16)
+    del key
     part = (w >> np.uint64(40)) % np.uint64(parts)
     often = np.isin(w, frequent)
     part[often] = _pair(w[often], u[often]) % np.uint64(parts)
@@ -136,14 +138,22 @@ def _blocks(parts: int, frequent: np.ndarray, block_rows: int):
 
         number, waiting, rows, size = TaskContext.get().partitionId() << 24, [], 0, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                if waiting and (rows + part.num_rows > block_rows or size + part.nbytes > BLOCK_BYTES):
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
+            lo = 0
+            while lo < batch.num_rows:
+                room = np.searchsorted(np.cumsum(sizes[lo:lo + block_rows - rows], dtype=np.int64), BLOCK_BYTES - size, side="right")
+                if not room and waiting:
                     yield _block_rows(number, pa.Table.from_batches(waiting), parts, frequent)
                     number, waiting, rows, size = number + 1, [], 0, 0
+                    continue
+                part = batch.slice(lo, max(1, int(room)))  # a text larger than a block is one by itself
                 waiting.append(part)
                 rows += part.num_rows
-                size += part.nbytes
+                size += int(sizes[lo:lo + part.num_rows].sum())
+                lo += part.num_rows
+                if rows >= block_rows:
+                    yield _block_rows(number, pa.Table.from_batches(waiting), parts, frequent)
+                    number, waiting, rows, size = number + 1, [], 0, 0
         if waiting:
             yield _block_rows(number, pa.Table.from_batches(waiting), parts, frequent)
     return run
