@@ -35,13 +35,13 @@ from pyspark.sql import Window
 
 from .common import saved
 from .components import connected_components
-from .packed import pack, pack_sorted, text_buffer, unpack, unpack_sorted
+from .packed import frugal, frugal_pair, pack, pack_sorted, text_buffer, unpack, unpack_sorted
 from .words import shingles, words
 
 SIZE = 3
 THRESHOLD = (90, 100)
 BLOCK = 512  # sets of a family that are indexed together
-BLOCK_ROWS, PART_ROWS = 2048, 8192  # documents of a block, and those whose shingles a part counts, on average
+BLOCK_ROWS, PART_ROWS = 2048, 4096  # documents of a block, and those whose shingles a part counts, on average
 LEAF = 16
 #: Candidate ids up to which they are broadcast to the second reading of the texts (16 bytes each).
 BROADCAST = 500_000
@@ -249,7 +249,8 @@ def _verify(threshold):
                         parent[max(x, y, key=lambda z: node[z])] = min(x, y, key=lambda z: node[z])
         tops = np.array([node[root(i)] for i in range(len(node))], dtype=np.int64)
         hit = links > 0
-        return pa.table({"node": table.column("node").filter(pa.array(hit)), "rep": pa.array(node[hit], pa.int64()), "links": pa.array(links[hit], pa.int64()), "root": pa.array(tops[hit], pa.int64())})
+        return pa.table({"node": table.column("node").filter(pa.array(hit)), "rep": pa.array(node[hit], pa.int64()), "links": pa.array(links[hit], pa.int64()), "root": pa.array(tops[hit], pa.int64()),
+                         "large": pa.array(table.column("_big").to_numpy(zero_copy_only=False)[hit], pa.bool_())})
     return run
 
 
@@ -270,10 +271,10 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold=THRESHOLD, block:
     blocks, parts = max(1, total // BLOCK_ROWS), max(1, total // PART_ROWS)
     # One exchange, read by two steps: both need these columns as they are. Rows without an id are dealt by their text.
     dealt = base.withColumn("_block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("long"))
-    counted = (dealt.groupBy("_block").applyInArrow(_ask(size, parts), "_p long, _block long, hashes binary, counts binary")
-               .groupBy("_p").applyInArrow(_count, "_block long, _p long, ranks binary"))
+    counted = (dealt.groupBy("_block").applyInArrow(frugal(_ask(size, parts)), "_p long, _block long, hashes binary, counts binary")
+               .groupBy("_p").applyInArrow(frugal(_count), "_block long, _p long, ranks binary"))
     rows = saved(dealt.groupBy("_block").cogroup(counted.groupBy("_block")).applyInArrow(
-        _routed(size, threshold, parts), "doc_id long, n long, node long, keys array<long>"), "jaccard-sets")
+        frugal_pair(_routed(size, threshold, parts)), "doc_id long, n long, node long, keys array<long>"), "jaccard-sets")
     full = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = saved(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-nodes")
 
@@ -298,10 +299,19 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold=THRESHOLD, block:
               .withColumn("_one", F.least("_block", "_other")).withColumn("_two", F.greatest("_block", "_other"))
               # Families of one block share tasks; a larger family has one for each pair of its blocks.
               .withColumn("_task", F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", "_one", "_two")))
-              .withColumn("_big", F.when(F.col("_blocks") > 1, F.col("family")).otherwise(F.lit(0)))
+              .withColumn("_big", F.col("_blocks") > 1)
               .select("_task", "_big", "_one", "_two", "_block", "node", "rep", "copies", "family", "hashes"))
-    found = saved(spread.groupBy("_task", "_big", "_one", "_two").applyInArrow(_verify(threshold), "node long, rep long, links long, root long"), "jaccard-links")
-    joined = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    found = saved(spread.groupBy("_task", "_big", "_one", "_two").applyInArrow(frugal(_verify(threshold)), "node long, rep long, links long, root long, large boolean"), "jaccard-links")
+    # A family of one block was joined by its task; larger ones are joined over their tasks. An id that stands for
+    # several sets (rows that repeat it with other texts) may join families: then all are.
+    per_id = found.groupBy("rep").agg(F.min("root").alias("_a"), F.max("root").alias("_b"),
+                                      F.min("large").alias("_all_large"), F.max("large").alias("_any_large"))
+    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"), "large")
+    if per_id.filter("NOT _all_large AND (_a <> _b OR _any_large)").isEmpty():
+        joined = (edges.filter("NOT large").select(F.col("a").alias("node"), F.col("b").alias("component"))
+                  .unionByName(connected_components(edges.filter("large").drop("large"))).distinct())
+    else:
+        joined = connected_components(edges.drop("large"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     result = (nodes.join(links, "node", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
               .select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import zstandard
 
@@ -30,6 +32,34 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task, beside a full JVM heap."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run):
+    """A group function of one table that gives back its memory."""
+    def wrapped(table):
+        out = run(table)
+        give_back()
+        return out
+    return wrapped
+
+
+def frugal_pair(run):
+    """A group function of two tables that gives back its memory."""
+    def wrapped(left, right):
+        out = run(left, right)
+        give_back()
+        return out
+    return wrapped
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column without nulls, end to end, and the len + 1 offsets of its values."""
     import pyarrow as pa

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod
-from .packed import pack, pack_sorted, text_buffer, unpack, unpack_sorted
+from .packed import frugal, frugal_pair, pack, pack_sorted, text_buffer, unpack, unpack_sorted
 from .words import mix, words
 
 BLOCK_ROWS = 2048
@@ -468,9 +468,9 @@ def language_scores(docs: DataFrame, learn_modulo: int = 10, block_rows: int = B
     message = "_to long, _p long, contexts binary, sums binary, shared binary, shared_sums binary, meta binary, state binary"
     answer = "_p long, _to long, sums binary, shared_sums binary, meta binary, state binary"
     own = asked.groupBy("_p")
-    first = own.applyInArrow(_pass1(parts, frequent), message).groupBy("_to").applyInArrow(_add_up, answer)
-    second = own.cogroup(first.groupBy("_p")).applyInArrow(_pass2(parts, frequent), message).groupBy("_to").applyInArrow(_add_up, answer)
+    first = own.applyInArrow(frugal(_pass1(parts, frequent)), message).groupBy("_to").applyInArrow(_add_up, answer)
+    second = own.cogroup(first.groupBy("_p")).applyInArrow(frugal_pair(_pass2(parts, frequent)), message).groupBy("_to").applyInArrow(_add_up, answer)
     third = own.cogroup(second.groupBy("_p")).applyInArrow(
-        _pass3(parts, frequent), "_block long, _part long, train_tokens long, docs binary, score binary, base binary, tokens binary, known binary, held binary, ids binary")
+        frugal_pair(_pass3(parts, frequent)), "_block long, _part long, train_tokens long, docs binary, score binary, base binary, tokens binary, known binary, held binary, ids binary")
     return third.groupBy("_block").applyInArrow(
         _documents, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import pack, pack_sorted, text_buffer, unpack, unpack_sorted
+from .packed import frugal, frugal_pair, pack, pack_sorted, text_buffer, unpack, unpack_sorted
 
 LENGTH = 50
 BLOCK_ROWS = 2048
-PART_ROWS = 8192
+PART_ROWS = 4096
 _SEGMENT = 1 << 20  # bytes worked on at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -482,14 +482,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_rows: int = BLOC
     lone = base.filter(F.col("doc_id").isNull())
     # One exchange, read by three steps: all of them need these four columns as they are.
     dealt = base.filter(F.col("doc_id").isNotNull()).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
-    asked = dealt.groupBy("_block").applyInArrow(_ask(length, parts), "_p long, _block long, hashes binary, shared binary")
-    answers = asked.groupBy("_p").applyInArrow(_answer, "_block long, _p long, bits binary")
+    asked = dealt.groupBy("_block").applyInArrow(frugal(_ask(length, parts)), "_p long, _block long, hashes binary, shared binary")
+    answers = asked.groupBy("_p").applyInArrow(frugal(_answer), "_block long, _p long, bits binary")
     runs = dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        _runs(length, parts), "_p long, _block long, common binary, rest binary, id binary, counts binary, docs binary, at binary")
-    found = runs.groupBy("_p").applyInArrow(_merge(length), "_block long, docs binary, begin binary, end binary")
+        frugal_pair(_runs(length, parts)), "_p long, _block long, common binary, rest binary, id binary, counts binary, docs binary, at binary")
+    found = runs.groupBy("_p").applyInArrow(frugal(_merge(length)), "_block long, docs binary, begin binary, end binary")
     kind = "string" if as_text else "binary"
     cut = dealt.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(
-        _cut(length, as_text), f"doc_id long, text_hash long, n_bytes long, span_begin array<int>, span_end array<int>, kept {kind}")
+        frugal_pair(_cut(length, as_text)), f"doc_id long, text_hash long, n_bytes long, span_begin array<int>, span_end array<int>, kept {kind}")
     none = F.array().cast("array<int>")
     return cut.unionByName(lone.select("doc_id", F.col("_h").alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"),
                                        none.alias("span_begin"), none.alias("span_end"), F.col("text").cast(kind).alias("kept")))

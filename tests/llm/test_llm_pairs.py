@@ -61,6 +61,21 @@ def test_jaccard_join_against_brute_force(spark):
     assert jaccard_join(empty(spark)).count() == 0
 
 
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    """An id that stands for two texts joins the groups of both."""
+    from reposcope.llm.jaccard_join import jaccard_join
+
+    rng = random.Random(12)
+    a, b = prose(rng, 60).split(" "), prose(rng, 60).split(" ")
+    edit = lambda w, k: " ".join(w[:k] + [f"e{k}"] + w[k + 1:])
+    data = [(3, edit(a, 5)), (5, edit(a, 50)), (5, edit(b, 7)), (9, edit(b, 40)), (11, edit(b, 58)), (20, prose(rng, 40))]
+    rows_ = [(i, t, None, None, None, "", "", "") for i, t in data]
+    for block in (512, 2):
+        got = jaccard_join(frame(spark, rows_), 2, (80, 100), block).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(brute_components(data, 2, 80, 100), key=key)
+        assert {r["component_id"] for r in got} == {3, 20}
+
+
 def test_prefixes_lose_no_pair():
     from reposcope.llm.jaccard_join import needed, prefix_keys
 
