@@ -4,10 +4,14 @@ Every context (the word before) is a Chinese restaurant whose dishes are the
 words that follow it. A customer who opens a table there is a customer of the
 one parent that all context restaurants share, the unigram restaurant, whose
 own base is uniform over the known words and one unknown word. Seating is
-sampled by Gibbs steps: the customers of a dish are seated anew, one after
-the other, given all other tables, and the new seating is accepted by the
-Metropolis rule. Counts of tables are averaged over the samples and give the
-predictive probabilities
+sampled by BURN + SAMPLES Gibbs sweeps over all dishes. In a sweep the number
+of tables of each dish is drawn from its conditional distribution given the
+tables that the sweep before left in all restaurants, the parent among them,
+and then that of each word in the parent. The dishes of a restaurant are
+independent given a gamma variate of its number of tables; a word's dishes in
+different restaurants meet in the parent and are drawn at once, each with the
+others' customers there as the sweep before left them. Counts of tables are
+averaged over the samples and give the predictive probabilities
 
     p1(w)     = (t.w - d1 m_w + (b1 + d1 m.) / (V + 1)) / (b1 + t..)
     p(w | u)  = (c_uw - d2 t_uw + (b2 + d2 t_u.) p1(w)) / (b2 + c_u.)
@@ -19,10 +23,11 @@ the restaurants of a context need from other parts (customers and tables of
 the context) goes through one exchange of sums and back:
 
     pass 1  counts          -> customers and dishes of every context
-    pass 2  Gibbs sampling  -> tables of every context
+    pass 2  Gibbs sweep     -> tables of every context, once for each sweep
     pass 3  probabilities   -> sums for every document
 
-The three passes read the same exchange. Very frequent words (found in a
+Passes 1 and 3 read the same exchange; the
+sweeps read the dishes of several customers, which pass 1 packs for them. Very frequent words (found in a
 bounded sample, which decides nothing but the dealing) are dealt by word and
 context, so that no part is larger for them. The parts exchange a message for
 each pair of parts.
@@ -30,6 +35,9 @@ each pair of parts.
 
 from __future__ import annotations
 
+import pickle
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,11 +55,15 @@ SAMPLE = 2000  # documents that the frequent words are looked up in
 FREQUENT = 0.002
 BURN, SAMPLES = 2, 3
 STRENGTH = 1.0  # b1 and b2
-SINGLY = 48  # customers of a dish that are seated one by one; later ones in groups of an eighth of those seated
+EXACT = 512  # customers of a dish up to which all numbers of tables are weighed
+GRID = 65  # numbers of tables that are weighed for more customers
+NODES = 48  # of the integral for these
+CELLS = 1 << 18
 END, START = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 _C = np.uint64(16)  # contexts go by the upper 48 bits of their hash
 _BITS = np.uint64(26)  # distinct words of a block, twice, and a document of it: 64 bits
 _DOC = np.uint64(12)
+_PARENT = np.uint64(0x510E527FADE682D1)
 
 
 def _pair(w: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -159,7 +171,45 @@ def _blocks(parts: int, frequent: np.ndarray, block_rows: int):
     return run
 
 
-class _Part:
+class _Exchange:
+    """What a part sends to the parts that add up its contexts and frequent words, and what they answer."""
+
+    def messages(self, p: int, per_context: list[np.ndarray], per_word: list[np.ndarray], meta: np.ndarray, state: bytes | None = None, known: bool = False) -> pa.Table:
+        """A row for every part: sums of the contexts and frequent words that it adds up (``known``: from pass 1), and this part's totals."""
+        out: dict[str, list] = {c: [] for c in ("_to", "contexts", "sums", "shared", "shared_sums", "meta", "state")}
+        for to in range(self.parts):
+            a, b = self.cuts[to], self.cuts[to + 1]
+            own = self.shared[to]
+            out["_to"].append(to)
+            out["contexts"].append(None if known else pack_sorted(self.contexts[a:b]))
+            out["sums"].append(pack(np.concatenate([v[a:b] for v in per_context]).astype(np.uint64)))
+            out["shared"].append(None if known else self.words[own].tobytes())
+            out["shared_sums"].append(np.concatenate([v[own] for v in per_word]).astype(np.uint64).tobytes())
+            out["meta"].append(meta.astype(np.float64).tobytes())
+            out["state"].append(state if to == p else None)
+        n = self.parts
+        return pa.table({"_to": pa.array(out["_to"], pa.int64()), "_p": pa.array([p] * n, pa.int64()),
+                         **{c: pa.array(out[c], pa.binary()) for c in ("contexts", "sums", "shared", "shared_sums", "meta", "state")}})
+
+    def answers(self, table: pa.Table, columns: int, word_columns: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, bytes | None]:
+        """The sums over all parts, in this part's order, the totals, and what it sent itself."""
+        context = [np.zeros(self.cuts[-1]) for _ in range(columns)]
+        word = [np.zeros(len(self.words)) for _ in range(word_columns)]
+        meta, state = None, None
+        for to, sums, shared, total, kept in zip(*[table.column(c).to_pylist() for c in ("_to", "sums", "shared_sums", "meta", "state")]):
+            a, b = self.cuts[to], self.cuts[to + 1]
+            own = self.shared[to]
+            for v, got in zip(context, unpack(sums, np.uint64).reshape(columns, -1)):
+                v[a:b] = got
+            for v, got in zip(word, np.frombuffer(shared, np.uint64).reshape(word_columns, -1)):
+                v[own] = got
+            total = np.frombuffer(total, np.float64)
+            meta = total.copy() if meta is None else np.concatenate([total[:-1], [meta[-1] + total[-1]]])
+            state = kept if kept is not None else state
+        return context, word, meta, state
+
+
+class _Part(_Exchange):
     """A part's pairs of word and context, merged over the blocks."""
 
     def __init__(self, table: pa.Table, parts: int, frequent: np.ndarray):
@@ -206,6 +256,17 @@ class _Part:
         self.often = np.isin(self.words, frequent)
         shared = self.words[self.often]
         self.shared = [np.flatnonzero(self.often)[(shared >> np.uint64(40)) % np.uint64(parts) == p] for p in range(parts)]
+        # Dishes of several customers, by context and word.
+        many = np.flatnonzero(self.c > 1)
+        self.many = many[np.lexsort((self.word_of[many], self.context_of[many]))]
+
+    def dishes(self) -> bytes:
+        """What the sweeps need to know, packed: only dishes of several customers are ever seated anew."""
+        single = self.c == 1
+        held, place = np.unique(self.context_of[self.many], return_inverse=True)
+        return pickle.dumps((self.cuts, [pack(x.astype(np.uint64)) for x in (
+            self.words, self.often, self.contexts[held], held, place, self.word_of[self.many], self.c[self.many],
+            self.by_word(self.c), self.by_word(single), self.by_context(self.c), self.by_context(single))]))
 
     def by_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word_of, weights=values, minlength=len(self.words))
@@ -213,117 +274,215 @@ class _Part:
     def by_context(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.context_of, weights=values, minlength=len(self.contexts))
 
-    def messages(self, p: int, per_context: list[np.ndarray], per_word: list[np.ndarray], meta: np.ndarray, state: bytes | None = None) -> pa.Table:
-        """A row for every part: sums of the contexts and frequent words that it adds up, and this part's totals."""
-        out: dict[str, list] = {c: [] for c in ("_to", "contexts", "sums", "shared", "shared_sums", "meta", "state")}
-        for to in range(self.parts):
-            a, b = self.cuts[to], self.cuts[to + 1]
-            own = self.shared[to]
-            out["_to"].append(to)
-            out["contexts"].append(pack_sorted(self.contexts[a:b]))
-            out["sums"].append(pack(np.concatenate([v[a:b] for v in per_context]).astype(np.uint64)))
-            out["shared"].append(self.words[own].tobytes())
-            out["shared_sums"].append(np.concatenate([v[own] for v in per_word]).astype(np.uint64).tobytes())
-            out["meta"].append(meta.astype(np.float64).tobytes())
-            out["state"].append(state if to == p else None)
-        n = self.parts
-        return pa.table({"_to": pa.array(out["_to"], pa.int64()), "_p": pa.array([p] * n, pa.int64()),
-                         **{c: pa.array(out[c], pa.binary()) for c in ("contexts", "sums", "shared", "shared_sums", "meta", "state")}})
 
-    def answers(self, table: pa.Table, columns: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, bytes | None]:
-        """The sums over all parts, in this part's order, the totals, and what it sent itself."""
-        context = [np.zeros(len(self.contexts)) for _ in range(columns)]
-        word = [np.zeros(len(self.words)) for _ in range(columns)]
-        meta, state = None, None
-        for to, sums, shared, total, kept in zip(*[table.column(c).to_pylist() for c in ("_to", "sums", "shared_sums", "meta", "state")]):
-            a, b = self.cuts[to], self.cuts[to + 1]
-            own = self.shared[to]
-            for v, got in zip(context, unpack(sums, np.uint64).reshape(columns, -1)):
-                v[a:b] = got
-            for v, got in zip(word, np.frombuffer(shared, np.uint64).reshape(columns, -1)):
-                v[own] = got
-            total = np.frombuffer(total, np.float64)
-            meta = total.copy() if meta is None else np.concatenate([total[:-1], [meta[-1] + total[-1]]])
-            state = kept if kept is not None else state
-        return context, word, meta, state
+class _Dishes(_Exchange):
+    """A part's dishes of several customers, and the sums over those of one, as ``_Part.dishes`` packed them."""
+
+    def __init__(self, table: pa.Table, parts: int):
+        self.cuts, packed = pickle.loads(next(x for x in table.column("state").to_pylist() if x is not None))
+        (self.words, often, self.held, held, place, word_of, c, self.c_w, single_w, self.c_u, single_u) = [unpack(x, np.uint64) for x in packed]
+        self.parts, self.often = parts, often.astype(bool)
+        self.at, self.place, self.word_of, self.c = (x.astype(np.int64) for x in (held, place, word_of, c))
+        self.single_w, self.single_u = single_w.astype(float), single_u.astype(float)
+        shared = self.words[self.often]
+        self.shared = [np.flatnonzero(self.often)[(shared >> np.uint64(40)) % np.uint64(parts) == p] for p in range(parts)]
+
+    def by_word(self, tables: np.ndarray, times: int = 1) -> np.ndarray:
+        """``tables`` of these dishes, and one of the others ``times``."""
+        return np.bincount(self.word_of, weights=tables, minlength=len(self.words)) + times * self.single_w
+
+    def by_context(self, tables: np.ndarray, times: int = 1) -> np.ndarray:
+        out = times * self.single_u
+        out[self.at] += np.bincount(self.place, weights=tables, minlength=len(self.at))
+        return out
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """A part's answer to all parts: every context's sum over the parts."""
+def _add_up(table: pa.Table, first: pa.Table | None = None, sweep: int = 0) -> pa.Table:
+    """A part's answer to all parts: every context's and frequent word's sum over the parts.
+
+    ``first``: the messages of pass 1, which name the contexts and words of
+    later ones. The sums of a sweep also tell the tables that the frequent
+    words get in the unigram restaurant.
+    """
     table = table.sort_by("_p")
-    asked = [unpack_sorted(x) for x in table.column("contexts").to_pylist()]
+    named = table if first is None else first.sort_by("_p")
+    asked = [unpack_sorted(x) for x in named.column("contexts").to_pylist()]
     sums = [unpack(x, np.uint64) for x in table.column("sums").to_pylist()]
-    words_ = [np.frombuffer(x, np.uint64) for x in table.column("shared").to_pylist()]
+    words_ = [np.frombuffer(x, np.uint64) for x in named.column("shared").to_pylist()]
     word_sums = [np.frombuffer(x, np.uint64) for x in table.column("shared_sums").to_pylist()]
 
-    def total(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    def total(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The keys, their sums by column, and the places of each part's keys among them."""
         columns = next((len(v) // len(k) for k, v in zip(keys, values) if len(k)), 0)
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        known, place = np.unique(np.concatenate(keys), return_inverse=True)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         added = [np.bincount(place, weights=np.concatenate([v.reshape(columns, -1)[j] for k, v in zip(keys, values) if len(k)]).astype(float)).astype(np.uint64)
                  for j in range(columns)]
-        own = np.split(place, cuts)
-        return [np.concatenate([x[o] for x in added]) if added else np.zeros(0, np.uint64) for o in own], (added[0] if added else np.zeros(0, np.uint64))
+        return known, added, np.split(place, cuts)
 
-    contexts, _ = total(asked, sums)
-    shared, customers = total(words_, word_sums)
-    # The last total is of frequent words: those that were learnt are known words, counted by the part that adds them up.
+    def told(added: list[np.ndarray], own: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.concatenate([x[o] for x in added]) if added else np.zeros(0, np.uint64) for o in own]
+
+    _, contexts, own_contexts = total(asked, sums)
+    shared, customers, own_shared = total(words_, word_sums)
+    # The last total is of frequent words, by the part that adds them up: known words (those that were learnt), later their tables in the parent.
     meta = np.sum([np.frombuffer(x, np.float64) for x in table.column("meta").to_pylist()], axis=0)
-    meta = np.concatenate([meta, [float((customers > 0).sum())]])
+    more = customers[0] > 0 if len(shared) else np.zeros(0)
+    if first is not None and len(shared):
+        more = _parent_tables(customers[0], meta[6] / meta[-1], meta[4] / meta[-1], shared, sweep)
+        customers = [*customers, more.astype(np.uint64)]
+    meta = np.concatenate([meta, [float(more.sum())]])
     to = table.column("_to")[0].as_py()
     n = table.num_rows
-    return pa.table({"_p": table.column("_p"), "_to": pa.array([to] * n, pa.int64()), "sums": pa.array([pack(x) for x in contexts], pa.binary()),
-                     "shared_sums": pa.array([x.tobytes() for x in shared], pa.binary()), "meta": pa.array([meta.tobytes()] * n, pa.binary()),
+    return pa.table({"_p": table.column("_p"), "_to": pa.array([to] * n, pa.int64()), "sums": pa.array([pack(x) for x in told(contexts, own_contexts)], pa.binary()),
+                     "shared_sums": pa.array([x.tobytes() for x in told(customers, own_shared)], pa.binary()), "meta": pa.array([meta.tobytes()] * n, pa.binary()),
                      "state": table.column("state").combine_chunks()})
 
 
+def _add_up_again(sweep: int):
+    def run(first: pa.Table, table: pa.Table) -> pa.Table:
+        return _add_up(table, first, sweep)
+    return run
+
+
 def _uniform(key: np.ndarray, step: int) -> np.ndarray:
     """Numbers in [0, 1) that depend on the key and the step alone, so that a repeated task draws the same."""
     return (mix(key + np.uint64((step * 0x9E3779B97F4A7C15) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, key: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seat the customers of each dish one after the other, given the tables of other dishes in their restaurants.
-
-    ``base`` is the parent's probability of the dish. Returns the tables and
-    the log of the weights that the Metropolis rule compares: a seating was
-    drawn with chances whose denominators are not part of its probability.
+def draw_gamma(shape: np.ndarray, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Gamma variates of shapes over 1 (Marsaglia and Tsang), by key and sweep."""
+    out, left, step = np.zeros(len(shape)), np.arange(len(shape)), 4096 * sweep + 1024
+    while len(left):
+        a = shape[left] - 1 / 3
+        u = [1 - _uniform(key[left], step + j) for j in range(3)]
+        x = np.sqrt(-2 * np.log(u[0])) * np.cos(2 * np.pi * u[1])
+        v = np.maximum(0.0, 1 + x / np.sqrt(9 * a)) ** 3
+        ok = (v > 0) & (np.log(u[2]) < 0.5 * x * x + a - a * v + a * np.log(np.maximum(v, 1e-300)))
+        out[left[ok]] = (a * v)[ok]
+        left, step = left[~ok], step + 3
+    return out
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """log Gamma(n + 1) of real n > -1."""
+    y = n + 9.0
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y ** 3)
+    return series - sum(np.log(n + j) for j in range(1, 9))
+
+
+@lru_cache(maxsize=8)
+def _seatings(discount: float) -> np.ndarray:
+    """log S(c, t), the weight of all seatings of c customers at t tables, for c and t up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, EXACT):
+        t = np.arange(1, c + 1)
+        out[c + 1, 1:c + 1] = out[c, 1:c + 1] + np.log(c - discount * t)
+        out[c + 1, 1:c + 2] = np.logaddexp(out[c + 1, 1:c + 2], out[c, :c + 1])
+    return out
+
+
+def _stretch(want: np.ndarray, discount: float) -> np.ndarray:
+    """log x, for which 1 - x is the saddle point of (1 - (1 - z)^d)^t / z^c at c / t = ``want``."""
+    lo, hi = np.full(want.shape, -650.0), np.full(want.shape, -1e-12)
+    want = np.log(want)
+    for _ in range(52):
+        at = (lo + hi) / 2
+        over = np.log(discount * np.expm1(at) / np.expm1(discount * at)) + (discount - 1) * at > want
+        lo, hi = np.where(over, at, lo), np.where(over, hi, at)
+    return (lo + hi) / 2
+
+
+def log_seatings(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t) = log of c! / (t! d^t) [z^c] (1 - (1 - z)^d)^t, by a contour integral.
+
+    The contour is the parabola 1 - z = x (1 + i s)^2 through the saddle point,
+    around the cut from 1; no number of tables is too small or large for it.
+    """
+    x = np.maximum(np.exp(_stretch(np.maximum(c / t, 1 + 1e-9), discount)), 1 / c)
+    z, f = 1 - x, 1 - x ** discount
+    slope = discount * x ** (discount - 1) / f
+    bend = t * (discount * (1 - discount) * x ** (discount - 2) / f - slope ** 2) + (c + 1) / z ** 2
+    wide = np.minimum(1.0, 0.5 / (x * np.sqrt(np.maximum(bend, 1e-300))))
+    log_x, top, total = np.log(x), t * np.log(f) - (c + 1) * np.log(z), 0.0
+    for v in np.arange(NODES) * (7.0 / NODES):
+        way = 1 + 1j * wide * np.sinh(v)
+        turn = np.log(way)
+        rest = t * np.log(1 - np.exp(discount * (log_x + 2 * turn))) - (c + 1) * np.log(1 - x * way ** 2) - top
+        total = total + (np.exp(rest) * way).real * np.cosh(v) * (0.5 if v == 0 else 1.0)
+    got = np.log(np.maximum(total * 2 * x * wide * (7.0 / NODES) / np.pi, 1e-300)) + top
+    return np.where(c > t, got + _log_factorial(c) - _log_factorial(t) - t * np.log(discount), 0.0)
+
+
+def seat(customers: np.ndarray, rate: np.ndarray, above: np.ndarray, below: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Draw the tables t of each dish of c > 0 customers with chances in proportion to
+
+        S(c, t) rate^t  (above (above + 1) ...) / (below (below + 1) ...), t - 1 factors.
+
+    Up to EXACT customers all t are weighed. For more, up to GRID
+    numbers of tables around the most likely are weighed, each for its share of
+    the 16 standard deviations around.
     """
     tables = np.ones(len(customers))
-    weight = np.zeros(len(customers))
-    order = np.argsort(-customers, kind="stable")
-    count = customers[order]
-    t, o, b, k, lw = tables[order], others[order], base[order], key[order], weight[order]
-    i, step = 1, 0
-    while len(count) and count[0] > i:
-        group = 1 if i < SINGLY else max(1, i // 8)
-        live = int(np.searchsorted(-count, -i, side="left"))  # dishes with more than i customers
-        size = np.minimum(group, count[:live] - i)
-        new = (strength + discount * (o[:live] + t[:live])) * b[:live]
-        whole = new + i - discount * t[:live]
-        lw[:live] += size * np.log(whole)
-        t[:live] += np.minimum(size, np.floor(size * new / whole + _uniform(k[:live], 4096 * sweep + step)))
-        i += group
-        step += 1
-    tables[order], weight[order] = t, lw
-    return tables, weight
+    u = _uniform(key, 4096 * sweep)
+    weights = _seatings(discount)
+    log_rate = np.log(rate)
+    order = np.argsort(customers, kind="stable")
+    cuts = np.searchsorted(customers[order], np.arange(2, EXACT + 2))
+    for c in range(2, EXACT + 1):
+        for lo in range(cuts[c - 2], cuts[c - 1], max(1, CELLS // c)):
+            i = order[lo:min(lo + max(1, CELLS // c), cuts[c - 1])]
+            j = np.arange(c - 1)
+            w = np.zeros((len(i), c))
+            np.cumsum(log_rate[i, None] + np.log((above[i, None] + j) / (below[i, None] + j)), axis=1, out=w[:, 1:])
+            w += weights[c, 1:c + 1]
+            w -= w.max(axis=1, keepdims=True)
+            np.cumsum(np.exp(w, out=w), axis=1, out=w)
+            tables[i] = 1 + (w <= u[i, None] * w[:, -1:]).sum(axis=1).clip(max=c - 1)
+    for at in range(cuts[-1], len(order), CELLS // GRID):
+        i = order[at:at + CELLS // GRID]
+        tables[i] = _seat_many(customers[i].astype(float), log_rate[i], above[i], below[i], discount, u[i], _uniform(key[i], 4096 * sweep + 1))
+    return tables
+
+
+def _seat_many(c, log_rate, above, below, discount, u, within):
+    def tables(at):
+        return c * -np.expm1(discount * at) / (discount * -np.expm1(at)) * np.exp((1 - discount) * at)
+
+    def slope(at):
+        t = tables(at)
+        return np.log(-np.expm1(discount * at) / discount) - np.log(t + 0.5) + log_rate + np.log((above + t) / (below + t))
+
+    lo, hi = _stretch(c / 0.7, discount), np.full(len(c), -1e-9)
+    for _ in range(52):
+        at = (lo + hi) / 2
+        rises = slope(at) > 0
+        lo, hi = np.where(rises, at, lo), np.where(rises, hi, at)
+    at, step = (lo + hi) / 2, 1e-3
+    best = np.clip(tables(at), 1, c)
+    falls = (slope(at * (1 + step)) - slope(at * (1 - step))) / np.maximum(tables(at * (1 - step)) - tables(at * (1 + step)), 1e-9)
+    wide = 8 / np.sqrt(np.maximum(falls, 1 / c ** 2)) + 8
+    first, last = np.maximum(1, np.floor(best - wide)), np.minimum(c, np.ceil(best + wide))
+    share = np.maximum(1, np.ceil((last - first + 1) / GRID))
+    t = first[:, None] + share[:, None] * np.arange(GRID)
+    mid = np.minimum(t + (share[:, None] - 1) / 2, c[:, None])
+    rise = lambda a: _log_factorial(a[:, None] + mid - 2) - _log_factorial(a - 1)[:, None]
+    w = log_seatings(np.broadcast_to(c[:, None], mid.shape), mid, discount) + (mid - 1) * log_rate[:, None] + rise(above) - rise(below)
+    w = np.where(t > last[:, None], -np.inf, w)
+    w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+    place = (w <= u[:, None] * w[:, -1:]).sum(axis=1).clip(max=GRID - 1)
+    return np.minimum(t[np.arange(len(c)), place] + np.floor(within * share), c)
 
 
 def sample_tables(customers: np.ndarray, restaurant_tables: np.ndarray, base: np.ndarray, discount: float, strength: float, key: np.ndarray) -> np.ndarray:
-    """Sum over SAMPLES Gibbs samples of the tables of each dish (after BURN sweeps). A dish of one customer has one table, one of none has none."""
-    total = np.where(customers > 0, float(SAMPLES), 0.0)
-    many = np.flatnonzero(customers > 1)
-    if len(many):
-        c, base, key = customers[many], base[many], key[many]
-        rest = np.maximum(0.0, restaurant_tables[many] - 1)  # other dishes' tables
-        now, weight = seat(c, rest, base, discount, strength, key, 0)
-        total[many] = 0
-        for sweep in range(1, BURN + SAMPLES):
-            tried, new_weight = seat(c, rest, base, discount, strength, key, sweep)
-            take = np.log(np.maximum(_uniform(key, 4096 * sweep + 4095), 1e-300)) < new_weight - weight
-            now, weight = np.where(take, tried, now), np.where(take, new_weight, weight)
-            if sweep >= BURN:
-                total[many] += now
+    """Sum over SAMPLES draws of the tables of each dish in restaurants that stay as they are. A dish of no customers has none."""
+    total = np.zeros(len(customers))
+    some = np.flatnonzero(customers > 0)
+    c, key, ones = customers[some], key[some], np.ones(len(some))
+    for sweep in range(SAMPLES):
+        rate = discount * draw_gamma(strength / discount + restaurant_tables[some], key, sweep) * base[some]
+        total[some] += seat(c, rate, ones, ones, discount, key, sweep)
     return total
 
 
@@ -340,7 +499,7 @@ def _pass1(parts: int, frequent: np.ndarray):
         own = ~part.often
         # Tokens, known words, pairs, pairs seen once and twice, words of one and of two contexts.
         meta = np.array([part.c.sum(), (c_w[own] > 0).sum(), seen.sum(), (part.c == 1).sum(), (part.c == 2).sum(), (t_w[own] == 1).sum(), (t_w[own] == 2).sum()])
-        return part.messages(table.column("_p")[0].as_py(), [part.by_context(part.c), part.by_context(seen)], [c_w, t_w], meta)
+        return part.messages(table.column("_p")[0].as_py(), [part.by_context(part.c), part.by_context(seen)], [c_w, t_w], meta, part.dishes())
     return run
 
 
@@ -349,41 +508,89 @@ def _parent(t_w: np.ndarray, m_w: np.ndarray, m: float, t: float, known: float,
     return (np.maximum(0.0, t_w - discount * m_w) + (STRENGTH + discount * m) / (known + 1)) / (STRENGTH + t)
 
 
-def _pass2(parts: int, frequent: np.ndarray):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        part = _Part(table, parts, frequent)
-        (c_u, t_u), (c_all, t_all), meta, _ = part.answers(answers, 2)
-        tokens, own_known, pairs, once, twice, w_once, w_twice, shared_known = meta
-        known = own_known + shared_known
-        d2, d1 = _discount(once, twice), _discount(w_once, w_twice)
-        c_w = np.where(part.often, c_all, part.by_word(part.c))
-        t_w = np.where(part.often, t_all, part.by_word(part.c > 0))
-        p1 = _parent(t_w, np.minimum(1.0, t_w), known, pairs, known, d1)
-        key = _pair(part.words[part.word_of], part.contexts[part.context_of])
-        tables = sample_tables(part.c, t_u[part.context_of], p1[part.word_of], d2, STRENGTH, key)
-        own = ~part.often
-        mine = part.by_word(tables)
-        m_w = sample_tables(np.rint(mine[own] / SAMPLES).astype(np.int64), np.full(own.sum(), known), np.full(own.sum(), 1 / (known + 1)), d1, STRENGTH, part.words[own])
-        # Tables of all contexts, tables of the parent, and what pass 1 added up, from every part alike.
-        meta2 = np.array([tables.sum(), m_w.sum(), tokens, known, d1, d2, 1.0])
-        state = pack(np.concatenate([tables[part.c > 1], c_u, c_w]).astype(np.uint64))
-        return part.messages(table.column("_p")[0].as_py(), [part.by_context(tables)], [mine], meta2, state)
+def _parent_rate(m: float, known: float, discount: float, sweep: int) -> float:
+    return float(discount * draw_gamma(np.array([STRENGTH / discount + m]), np.array([_PARENT]), sweep)[0] / (known + 1))
+
+
+def _parent_tables(t_w: np.ndarray, rate: float, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of the unigram restaurant, drawn for words of t_w customers."""
+    m_w, some = np.zeros(len(t_w)), np.flatnonzero(t_w > 0)
+    ones = np.ones(len(some))
+    m_w[some] = seat(t_w[some].astype(np.int64), ones * rate, ones, ones, discount, key[some] ^ _PARENT, sweep)
+    return m_w
+
+
+class _Seating:
+    """The seating as a sweep finds it: one table a dish, or what the sweep before left and its sums."""
+
+    def __init__(self, part: _Dishes | _Part, answers: pa.Table, sweep: int):
+        if not sweep:
+            (_, self.t_u), (_, self.t_w), meta, _ = part.answers(answers, 2, 2)
+            self.tokens, own_known, self.t, once, twice, w_once, w_twice, shared_known = meta
+            self.known = self.m = own_known + shared_known
+            self.d2, self.d1 = _discount(once, twice), _discount(w_once, w_twice)
+            self.tables, self.total = np.ones(len(part.c)), np.zeros(len(part.c))
+            self.t_w = np.where(part.often, self.t_w, part.by_word(self.tables))
+            self.m_w, self.m_total, self.m_sum = np.minimum(1.0, self.t_w), np.zeros(len(part.words)), 0.0
+        else:
+            contexts, (self.shared_t, self.shared_total, self.shared_c, shared_m), meta, state = part.answers(answers, 1 if sweep < BURN + SAMPLES else 2, 4)
+            self.t_u, self.c_u = contexts[0], contexts[-1]
+            self.t, own_m = meta[:2]
+            self.tokens, self.known, self.d1, self.d2, _, self.m_sum = meta[2:8] / meta[8]
+            self.m = own_m
+            self.tables, self.total, m_w, m_total = [unpack(x, np.uint64).astype(float) for x in pickle.loads(state)]
+            self.m_w = np.where(part.often, shared_m, m_w)
+            kept = sweep > BURN  # the sweep before was one of the samples
+            self.m_total, self.m_sum = m_total + kept * self.m_w, self.m_sum + kept * self.m
+
+
+def _sweep(parts: int, sweep: int):
+    """Draw the tables of every dish given the others as the sweep before left them, then those of the unigram restaurant."""
+    def run(first: pa.Table, answers: pa.Table) -> pa.Table:
+        part = _Dishes(first, parts)
+        s = _Seating(part, answers, sweep)
+        own, w = ~part.often, part.word_of
+        t_w = np.where(part.often, s.shared_t, part.by_word(s.tables)) if sweep else s.t_w
+        # Given this variate of its restaurant, a dish's tables do not depend on those of the other dishes.
+        rate = s.d2 * draw_gamma(STRENGTH / s.d2 + s.t_u[part.at], part.held, sweep)
+        # The parent's customers without the dish, but for its first table, which it has anyway.
+        others = t_w[w] - s.tables + 1
+        above = others - s.d1 * np.minimum(others, s.m_w[w]) + (STRENGTH + s.d1 * s.m) / (s.known + 1)
+        below = STRENGTH + s.t - s.tables + 1
+        s.tables = seat(part.c, rate[part.place], above, below, s.d2, _pair(part.words[w], part.held[part.place]), sweep)
+        if sweep >= BURN:
+            s.total += s.tables
+        mine, total = part.by_word(s.tables), part.by_word(s.total, SAMPLES)
+        parent = _parent_rate(s.m, s.known, s.d1, sweep)
+        m_w = np.zeros(len(part.words))
+        m_w[own] = _parent_tables(mine[own], parent, s.d1, part.words[own], sweep)
+        last = sweep == BURN + SAMPLES - 1  # hands on the sums of the samples
+        # Tables of all contexts, tables of the parent, and what every part knows alike.
+        t = s.total.sum() + SAMPLES * part.single_u.sum() if last else s.tables.sum() + part.single_u.sum()
+        meta = np.array([t, m_w.sum(), s.tokens, s.known, s.d1, s.d2, parent, s.m_sum, 1.0])
+        state = pickle.dumps([pack(x.astype(np.uint64)) for x in (s.tables, s.total, m_w, s.m_total)])
+        contexts = [part.by_context(s.total, SAMPLES), part.c_u] if last else [part.by_context(s.tables)]
+        return part.messages(first.column("_p")[0].as_py(), contexts, [mine, total, part.c_w], meta, state, known=True)
+    return run
+
+
+def _alone(draw):
+    """The first sweep, which finds the dishes and the answers in one table."""
+    def run(table: pa.Table) -> pa.Table:
+        return draw(table, table)
     return run
 
 
 def _pass3(parts: int, frequent: np.ndarray):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         part = _Part(table, parts, frequent)
-        (t_u,), (t_all,), meta, state = part.answers(answers, 1)
-        t, m = meta[0] / SAMPLES, meta[1] / SAMPLES
-        tokens, known, d1, d2 = meta[2:6] / meta[6]
-        many = part.c > 1
-        own_tables, c_u, c_w = np.split(unpack(state, np.uint64).astype(float), np.cumsum([int(many.sum()), len(part.contexts)]))
+        s = _Seating(part, answers, BURN + SAMPLES)
+        tokens, known, d1, d2, c_u = s.tokens, s.known, s.d1, s.d2, s.c_u
         tables = np.where(part.c > 0, float(SAMPLES), 0.0)
-        tables[many] = own_tables
-        tables, t_u = tables / SAMPLES, t_u / SAMPLES
-        t_w = np.where(part.often, t_all / SAMPLES, part.by_word(tables))
-        m_w = sample_tables(np.rint(t_w).astype(np.int64), np.full(len(t_w), known), np.full(len(t_w), 1 / (known + 1)), d1, STRENGTH, part.words) / SAMPLES
+        tables[part.many] = s.total
+        c_w = np.where(part.often, s.shared_c, part.by_word(part.c))
+        t_w = np.where(part.often, s.shared_total, part.by_word(tables))
+        tables, t_u, t_w, m_w, m, t = [x / SAMPLES for x in (tables, s.t_u, t_w, s.m_total, s.m_sum, s.t)]
         p1 = _parent(t_w, m_w, m, t, known, d1)[part.word_of]
         u = part.context_of
         log_p = np.log10((np.maximum(0.0, part.c - d2 * tables) + (STRENGTH + d2 * t_u[u]) * p1) / (STRENGTH + c_u[u]))
@@ -468,9 +675,14 @@ def language_scores(docs: DataFrame, learn_modulo: int = 10, block_rows: int = B
     message = "_to long, _p long, contexts binary, sums binary, shared binary, shared_sums binary, meta binary, state binary"
     answer = "_p long, _to long, sums binary, shared_sums binary, meta binary, state binary"
     own = asked.groupBy("_p")
-    first = own.applyInArrow(frugal(_pass1(parts, frequent)), message).groupBy("_to").applyInArrow(_add_up, answer)
-    second = own.cogroup(first.groupBy("_p")).applyInArrow(frugal_pair(_pass2(parts, frequent)), message).groupBy("_to").applyInArrow(_add_up, answer)
-    third = own.cogroup(second.groupBy("_p")).applyInArrow(
+    sent = own.applyInArrow(frugal(_pass1(parts, frequent)), message)
+    answers = first = sent.groupBy("_to").applyInArrow(lambda table: _add_up(table), answer)
+    for sweep in range(BURN + SAMPLES):
+        draw = _sweep(parts, sweep)
+        drawn = (first.groupBy("_p").cogroup(answers.groupBy("_p")).applyInArrow(frugal_pair(draw), message) if sweep
+                 else first.groupBy("_p").applyInArrow(frugal(_alone(draw)), message))
+        answers = sent.groupBy("_to").cogroup(drawn.groupBy("_to")).applyInArrow(_add_up_again(sweep), answer)
+    third = own.cogroup(answers.groupBy("_p")).applyInArrow(
         frugal_pair(_pass3(parts, frequent)), "_block long, _part long, train_tokens long, docs binary, score binary, base binary, tokens binary, known binary, held binary, ids binary")
     return third.groupBy("_block").applyInArrow(
         _documents, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

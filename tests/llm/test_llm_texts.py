@@ -245,3 +245,26 @@ def test_seating_keeps_bounds():
     assert n[0] == 0 and n[1] == 1 and (n[1:] >= 1).all() and (n <= c).all()
     more = sample_tables(c, np.full(6, 50_000.0), np.full(6, 0.5), 0.7, 1.0, np.arange(6, dtype=np.uint64)) / SAMPLES
     assert (more[3:] > n[3:]).all()
+
+
+def test_tables_are_drawn_from_their_distribution():
+    """Against the chances of all numbers of tables by recursion, for dishes below and above EXACT customers."""
+    import numpy as np
+
+    from reposcope.llm.pitman_yor import EXACT, SAMPLES, sample_tables
+
+    d, n, others, base = 0.8, 3000, 1e6, 2e-5
+    weights = np.zeros(1)  # log S(1, 1)
+    for c in range(1, 2 * EXACT):
+        t = np.arange(1, c + 1)
+        grown = np.full(c + 1, -np.inf)
+        grown[:-1] = weights + np.log(c - d * t)
+        grown[1:] = np.logaddexp(grown[1:], weights)
+        weights = grown
+        if c + 1 in (6, 300, 2 * EXACT):
+            t = np.arange(1, c + 2)
+            chance = np.exp((w := weights + t * np.log((1 + d * others) * base)) - w.max())
+            chance /= chance.sum()
+            mean = (chance * t).sum()
+            got = sample_tables(np.full(n, c + 1), np.full(n, others), np.full(n, base), d, 1.0, np.arange(n, dtype=np.uint64) * np.uint64(977)) / SAMPLES
+            assert abs(got.mean() - mean) < 6 * math.sqrt((chance * (t - mean) ** 2).sum() / (n * SAMPLES)) + 1e-3 * mean
