@@ -537,7 +537,7 @@ class _Seating:
             self.t_u, self.c_u = contexts[0], contexts[-1]
             self.t, own_m = meta[:2]
             self.tokens, self.known, self.d1, self.d2, _, self.m_sum = meta[2:8] / meta[8]
-            self.m = own_m
+            self.m = own_m + meta[9]
             self.tables, self.total, m_w, m_total = [unpack(x, np.uint64).astype(float) for x in pickle.loads(state)]
             self.m_w = np.where(part.often, shared_m, m_w)
             kept = sweep > BURN  # the sweep before was one of the samples

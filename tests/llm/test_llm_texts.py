@@ -247,6 +247,23 @@ def test_seating_keeps_bounds():
     assert (more[3:] > n[3:]).all()
 
 
+def test_all_texts_add_up_to_one(spark):
+    """The chances of all texts of any length, found from those of texts of none, one and two words, words of all parts frequent."""
+    import numpy as np
+
+    from reposcope.llm.pitman_yor import language_scores
+
+    train = [(i, t, *[None] * 3, "", "", "") for i, t in enumerate(["a b a c", "a a b " * 30, "b c a b a d", "a c c " * 9, "d a b", "a b b a"] * 3) if zlib.crc32(str(i).encode()) % 10]
+    held = iter(i for i in range(100, 100_000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    known = ["a", "b", "c", "d", "zzz"]  # the last is the unknown word
+    probes = {t: next(held) for t in ["", *known, *[f"{u} {w}" for u in known for w in known]]}
+    data = train + [(i, t, *[None] * 3, "", "", "") for t, i in probes.items()]
+    r = {x["doc_id"]: 10 ** x["score"] for x in language_scores(frame(spark, data)).collect()}
+    p = {t: r[i] for t, i in probes.items()}
+    step = np.array([[p[f"{u} {w}"] / p[u] for w in known] for u in known])
+    assert math.isclose(p[""] + np.array([p[w] for w in known]) @ np.linalg.solve(np.eye(len(known)) - step, np.ones(len(known))), 1, rel_tol=1e-9)
+
+
 def test_tables_are_drawn_from_their_distribution():
     """Against the chances of all numbers of tables by recursion, for dishes below and above EXACT customers."""
     import numpy as np
