@@ -264,7 +264,7 @@ def q_feed_personalized(spark, sf):
 
 @register("feed_page")
 def q_feed_page(spark, sf):
-    """Second page of the combined feed: half of the sessions with a history
+    """Second page of the combined feed: all sessions with a history
     (personalised) and sessions without one (trending)."""
     f = FD.feed(trending_orders(spark, sf), FX.views(spark, sf), history_lists(spark, sf),
                 FX.feed_sessions(spark, sf), page=1, page_size=P.PAGE_SIZE, history_limit=P.HISTORY_LIMIT)

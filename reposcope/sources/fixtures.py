@@ -391,10 +391,9 @@ def coloured_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that ask for a feed: those of even users, with views, and one
-    per nation without any."""
-    v = views(spark, sf_dir).select("session_id").distinct()
-    warm = v.where(F.substring("session_id", 2, 20).cast("bigint") % 2 == 0)
+    """Sessions that ask for a feed: all with views, and one per nation
+    without any."""
+    warm = views(spark, sf_dir).select("session_id").distinct()
     cold = table(spark, sf_dir, "nation").select(F.concat(F.lit("new"), F.col("n_nationkey").cast("string")).alias("session_id"))
     return warm.unionByName(cold)
 

@@ -150,3 +150,19 @@ def test_combined_feed_cold_and_warm_sessions(spark):
     assert out[("warm", 1)] == (7, "personalized") and ("warm", 2) not in out
     # a new session gets the growth list, page of 3, nothing seen yet
     assert [out[("cold", i)] for i in (1, 2, 3)] == [(21, "trending"), (22, "trending"), (23, "trending")]
+
+
+def test_feed_sessions_are_all_with_views_and_the_cold_ones(spark, tmp_path):
+    from reposcope.sources import fixtures as FX
+
+    events = [(1, "view", '{"k": 1}'), (2, "click", '{"k": 2}'), (3, "view", '{"k": 1}'), (4, "purchase", '{"k": 1}')]
+    (spark.createDataFrame([(u, t, ts("2024-01-01"), p) for u, t, p in events], "user_id long, event_type string, ts timestamp, props string")
+     .write.parquet(str(tmp_path / "events.parquet")))
+    spark.createDataFrame([(0,)], "n_nationkey long").write.parquet(str(tmp_path / "nation.parquet"))
+    sessions = FX.feed_sessions(spark, str(tmp_path))
+    assert sorted(r.session_id for r in sessions.collect()) == ["new0", "u1", "u2", "u3"]
+    sim = spark.createDataFrame([(1, 7, 0.5), (2, 8, 0.4)], SIM)
+    trending = spark.createDataFrame([(21, 1, 9)], "repository_id long, rank long, growth long")
+    feed = lambda s: sorted((r.session_id, r.repository_id) for r in FD.feed(trending, FX.views(spark, str(tmp_path)), sim, s, page_size=3).collect())
+    assert feed(sessions) == [("new0", 21), ("u1", 7), ("u2", 8), ("u3", 7)]
+    assert feed(sessions.where("session_id IN ('new0', 'u3')")) == [("new0", 21), ("u3", 7)]
