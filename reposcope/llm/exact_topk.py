@@ -88,7 +88,7 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) of each query so far, and its bound."""
+    """The k best (score, id) of each query so far, an id once with its best score, and its bound."""
 
     def __init__(self, ids: np.ndarray, k: int):
         self.ids, self.k = ids, k
@@ -99,10 +99,15 @@ class _Best:
         ok = (scores >= self.bound[query]) & (ids != self.ids[query])
         scores, ids = scores[ok], ids[ok]
         if len(scores) > self.k:
-            top = np.lexsort((ids, ~scores))[:self.k]
+            top = np.lexsort((ids, ~scores))
+            _, once = np.unique(ids[top], return_index=True)
+            top = top[np.sort(once)[:self.k]]
             scores, ids = scores[top], ids[top]
         if len(scores):
-            merged = sorted(self.found[query] + [(-int(s), int(i)) for s, i in zip(scores, ids)])[:self.k]
+            once = {}
+            for s, i in sorted(self.found[query] + [(-int(s), int(i)) for s, i in zip(scores, ids)]):
+                once.setdefault(i, s)
+            merged = [(s, i) for i, s in once.items()][:self.k]
             self.found[query] = merged
             if len(merged) == self.k:
                 self.bound[query] = max(self.bound[query], -merged[-1][0])

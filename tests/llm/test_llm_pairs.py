@@ -133,6 +133,17 @@ def test_exact_topk_against_brute_force(spark):
     assert exact_topk(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_exact_topk_counts_an_id_once(spark):
+    """One id on twelve vectors that are all nearer than the others fills one place of ten."""
+    from reposcope.llm.exact_topk import exact_topk
+
+    data = [(0, [1.0, 0.0])] + [(7, [20.0 + i, 1.0]) for i in range(12)] + [(10 + i, [5.0 + i / 4, 2.0]) for i in range(15)]
+    expected = [(0, 1, 7, 31 * 1024 * 1024)] + [(0, r + 2, 24 - r, int(1024 * (8.5 - r / 4)) * 1024) for r in range(9)]
+    for sample, pivots in ((2048, 1), (2, 1)):
+        got = exact_topk(spark.createDataFrame(data, "vec_id long, embedding array<double>"), sample=sample, pivots=pivots).collect()
+        assert sorted(map(tuple, got)) == expected
+
+
 def test_cover_tree_covers_and_prunes():
     from reposcope.llm.exact_topk import CoverTree, exact_scores
 
