@@ -27,14 +27,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, a likeness of 0.8): the one of least id.
 
-    Documents without words, and rows with a null id, are groups of their
-    own. Of rows that repeat an id one stays, the one whose text has the
-    least hash.
+    Rows that repeat an id with another text are documents of their own; of
+    equal rows one stays. Documents without words, and rows with a null id,
+    are groups of their own. A document is known by a 64-bit hash of its id
+    and text.
     """
-    groups = jaccard_join(docs, size=5, threshold=(80, 100)).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    some = docs.filter(F.col("doc_id").isNotNull())
-    kept = some.join(groups, some["doc_id"] == groups["_stays"], "left_semi")
-    own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    some = docs.filter(F.col("doc_id").isNotNull()).withColumn("_row", F.xxhash64("doc_id", "text"))
+    groups = jaccard_join(some, size=5, threshold=(80, 100), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = (some.select("_row", "doc_id").distinct().join(groups, "_row")
+             .groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_least")).select(F.col("_least._row").alias("_stays")))
+    kept = some.join(least, some["_row"] == least["_stays"], "left_semi")
+    own = Window.partitionBy("_row").orderBy("doc_id")
     kept = kept.withColumn("_nth", F.row_number().over(own)).filter("_nth = 1").select(*docs.columns)
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
@@ -60,13 +63,17 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them.
 
-    Rows that repeat an id within a source and have as many words are taken
-    equally often: as often as the one that the mix takes least.
+    Of rows that repeat an id within a source and have as many words, each is
+    taken as often as one of the places that the mix gives them, in order of
+    their texts' hashes.
     """
-    copies = mix(docs).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("_copies")).filter("_copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
+    copies = mix(docs).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies")))
+    copies = copies.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+                                                F.col("_nth").alias("_place"), F.col("copies").alias("_copies"))
     sized = docs.withColumn("_words", word_count(F.col("text")))
-    joined = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))))
+    joined = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+                        & (F.col("_words") == F.col("_size")) & (F.col("_nth") == F.col("_place")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 

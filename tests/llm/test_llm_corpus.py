@@ -234,3 +234,24 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     for _, stage in P.STAGES:
         assert stage(spark, nothing, sf).count() == 0
     assert key_of(docs.limit(0).collect()) == []
+
+
+def test_stages_decide_per_row(spark):
+    """Rows that repeat an id, or have none, are kept, dropped and taken each by itself."""
+    import corpus_pipeline as P
+    from reposcope.llm.mixing import mix
+
+    text = lambda name, n=20: " ".join(f"{name}{i}" for i in range(n))
+    row = lambda i, t, source="s": (i, t, "en", source, len(t), "", "", "")
+    docs = frame(spark, [row(1, text("common")), row(5, text("common")), row(5, text("only")), row(5, text("other")), row(5, text("other")), row(9, text("only"))])
+    assert sorted((r["doc_id"], r["text"][:4]) for r in P.near_duplicates_stage(spark, docs, "").collect()) == [(1, "comm"), (5, "only"), (5, "othe")]
+
+    docs = frame(spark, [row(None, text(f"n{i}")) for i in range(40)] + [row(3, text(f"i{i}")) for i in range(40)]
+                 + [row(100 + i, text(f"t{i}"), "t") for i in range(20)] + [row(200 + i, text(f"u{i}"), "u") for i in range(400)])
+    want = Counter((r["doc_id"], r["source"]) for r in mix(docs).collect() for _ in range(r["copies"]))
+    mixed = P.mixing_stage(spark, docs, "").collect()
+    assert Counter((r["doc_id"], r["source"]) for r in mixed) == want
+    assert 400 < sum(n for (_, source), n in want.items() if source == "u") < 800  # rows have different counts
+    docs = frame(spark, [row(None, text(f"u{i}"), "u") for i in range(400)] + [row(100 + i, text(f"t{i}"), "s") for i in range(60)])
+    took = Counter(r["text"] for r in P.mixing_stage(spark, docs, "").collect() if r["doc_id"] is None)
+    assert sum(took.values()) == sum(r["copies"] for r in mix(docs).collect() if r["doc_id"] is None) > 0 and max(took.values()) <= 2
