@@ -206,7 +206,7 @@ def similarity() -> dict[str, str]:
         tr AS ({TREND_OR}),
         cold AS (SELECT 'new' || CAST(n_nationkey AS VARCHAR) AS session_id FROM nation)
         SELECT session_id, rank, repository_id, round(score, 6) AS score, 'personalized' AS source FROM r
-        WHERE rank > {P.PAGE_SIZE} AND rank <= {2 * P.PAGE_SIZE} AND CAST(substr(session_id, 2) AS BIGINT) % 2 = 0
+        WHERE rank > {P.PAGE_SIZE} AND rank <= {2 * P.PAGE_SIZE}
         UNION ALL
         SELECT session_id, rank, repository_id, CAST(growth AS DOUBLE), 'trending' FROM cold CROSS JOIN tr
         WHERE rank > {P.PAGE_SIZE} AND rank <= {2 * P.PAGE_SIZE}""", "f_hybrid", "f_views", "f_stats_long")
@@ -219,7 +219,7 @@ def similarity() -> dict[str, str]:
     q["feed_trending_facets"] = sql(f"""
         WITH tr AS ({TREND_OR}),
         kept AS (SELECT * FROM tr WHERE {wanted}),
-        sess AS (SELECT DISTINCT session_id FROM f_views WHERE CAST(substr(session_id, 2) AS BIGINT) % 2 = 0
+        sess AS (SELECT DISTINCT session_id FROM f_views
                  UNION ALL SELECT 'new' || CAST(n_nationkey AS VARCHAR) FROM nation),
         r AS (SELECT s.session_id, k.repository_id, k.growth,
                      row_number() OVER (PARTITION BY s.session_id ORDER BY k.rank) AS rank
