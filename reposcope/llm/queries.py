@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .align import alignment_digest
+from .chat_format import ORACLE as CHAT_SQL
+from .chat_format import chat_digest, with_probe
 from .common import table
 from .exact_topk import ORACLE as TOPK_SQL
 from .exact_topk import exact_topk
@@ -61,6 +64,14 @@ def op9_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_chat_format(spark, sf_dir):
+    return chat_digest(with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op13_align(spark, sf_dir):
+    return alignment_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
@@ -72,6 +83,8 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
+    "op12_chat_format": op12_chat_format,
+    "op13_align": op13_align,
 }
 
 ORACLE_SQL = {
@@ -79,4 +92,5 @@ ORACLE_SQL = {
     "op3_jaccard_join": JACCARD_SQL,
     "op8_suffix_dedup": REPEATS_SQL,
     "op9_mixing": MIX_SQL,
+    "op12_chat_format": CHAT_SQL,
 }
