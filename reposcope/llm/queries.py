@@ -15,6 +15,8 @@ from .mixing import ORACLE as MIX_SQL
 from .mixing import mix
 from .packing import pack
 from .pitman_yor import language_scores
+from .prefix_trie import ORACLE as TRIE_SQL
+from .prefix_trie import prefix_trie, rebuilt, turns_of
 from .quality import learn_ranking, quality_scores
 from .suffix_dedup import ORACLE as REPEATS_SQL
 from .suffix_dedup import digest, remove_repeats
@@ -64,6 +66,10 @@ def op9_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(rebuilt(turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def op12_chat_format(spark, sf_dir):
     return chat_digest(with_probe(table(spark, sf_dir, "conversations")))
 
@@ -83,6 +89,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_chat_format": op12_chat_format,
     "op13_align": op13_align,
 }
@@ -92,5 +99,6 @@ ORACLE_SQL = {
     "op3_jaccard_join": JACCARD_SQL,
     "op8_suffix_dedup": REPEATS_SQL,
     "op9_mixing": MIX_SQL,
+    "op11_prefix_trie": TRIE_SQL,
     "op12_chat_format": CHAT_SQL,
 }
