@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,21 @@ from .common import saved
 from .packed import frugal_pair, give_back, pack, unpack
 from .token_counts import PieceCounter, model_path
 
-#: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Characters of text in a block; a longer text is a block of its own.
+BLOCK_CHARS = 2 << 20
 #: Longer texts are encoded in pieces, cut where no token can cross.
 PIECE_CHARS = 1 << 16
-_BATCH = 1 << 20  # characters given to a library at once
-
-TOKENS = "block long, doc_id array<long>, n_a array<int>, n_b array<int>, a binary, b binary"
+#: Words whose tokens a worker keeps.
+KEPT = 200_000
+_BATCH = 1 << 18  # characters given to a library at once
+_LATIN = re.compile("[\x00-\u024f]*")
+#: Fixed value: the words of byte-level BPE.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+BLOCKS = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
+          "codes binary, n binary, links binary")
+_BLOCK = pa.schema([("block", pa.int64()), *((k, pa.list_(pa.int64())) for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")),
+                    ("groups_sha256", pa.list_(pa.string())), *((k, pa.binary()) for k in ("codes", "n", "links"))])
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>"
 DIGEST = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
@@ -62,33 +72,59 @@ class Pair:
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
         self.a_len = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
-        before = json.loads(self.a.to_str())["pre_tokenizer"] or {}
-        # A's words start at a lone space, and no piece of B joins a word to a following space.
+        na, nb = size, len(self.b_bytes)
+        # Every token with what follows it: a comma, or the end of its group's A or B tokens.
+        self.shown = [f"{i}," for i in range(na)] + [f"{i}|" for i in range(na)] + [f"{i}," for i in range(nb)] + [f"{i};" for i in range(nb)]
+        self.known: dict[str, tuple[int, ...]] = {}
+        # No token crosses a space between two characters that are neither white space nor B's mark:
+        # A's pre-tokens start there, and no piece of B joins a word to a following mark.
+        self.lone = re.compile("(?<=[^\\s▁]) (?=[^\\s▁])")
+        spec = json.loads(self.a.to_str())
+        before = spec["pre_tokenizer"] or {}
         self.cuts = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
                      and PieceCounter(model_path(b)).proved)
+        self.fast = _ranked(spec, self.a_bytes) if self.cuts else None
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut before lone spaces, which are left out: both tokenizers put one before every piece."""
+        """A long text cut at lone spaces, which are left out: both tokenizers put one before every piece."""
         if len(text) <= 2 * PIECE_CHARS or not self.cuts:
             return [text]
         out, lo = [], 0
         while len(text) - lo > 2 * PIECE_CHARS:
-            at = text.find(" ", lo + PIECE_CHARS)
-            while at >= 0 and (text[at - 1].isspace() or at + 1 >= len(text) or text[at + 1].isspace() or text[at + 1] == "▁" or text[at - 1] == "▁"):
-                at = text.find(" ", at + 1)
-            if at < 0:
+            found = self.lone.search(text, lo + PIECE_CHARS)
+            if found is None:
                 break
-            out.append(text[lo:at])
-            lo = at + 1
+            out.append(text[lo:found.start()])
+            lo = found.end()
         return [*out, text[lo:]]
 
+    def _by_a(self, pieces: list[str]) -> Iterator[list[int]]:
+        plain = [self.fast is not None and _LATIN.fullmatch(p) is not None for p in pieces]
+        rest = iter(self.a.encode_batch([" " + p for p, x in zip(pieces, plain) if not x], add_special_tokens=False))
+        for p, x in zip(pieces, plain):
+            yield self.fast(" " + p) if x else next(rest).ids
+
+    def _by_b(self, pieces: list[str]) -> Iterator[list[int]]:
+        """Pieces with lone spaces only go word by word, as no token of B crosses a space; a worker keeps the words' tokens."""
+        known = self.known
+        if len(known) > KEPT:
+            known.clear()
+        words = [p.split(" ") if self.cuts and "  " not in p and "▁" not in p and p[0] != " " else None for p in pieces]
+        new = [w for w in dict.fromkeys(chain.from_iterable(w for w in words if w)) if w not in known]
+        known.update(zip(new, map(tuple, self.b.encode(new, num_threads=1))))
+        if "" in known:  # a space at the end of a piece
+            known[""] = tuple(self.b.encode("a "))[1:]
+        rest = iter(self.b.encode([p for p, w in zip(pieces, words) if not w], num_threads=1))
+        for w in words:
+            yield list(chain.from_iterable(map(known.__getitem__, w))) if w else next(rest)
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each text by A (of a space and the text) and by B; empty where the bytes differ from space and text."""
         parts, owner = [], []
         for i, text in enumerate(texts):
-            for piece in self.pieces(text) if text else ():
-                parts.append(piece)
-                owner.append(i)
+            cut = self.pieces(text) if text else []
+            parts += cut
+            owner += [i] * len(cut)
         out_a: list[list[int]] = [[] for _ in texts]
         out_b: list[list[int]] = [[] for _ in texts]
         lo = 0
@@ -97,10 +133,10 @@ class Pair:
             while hi < len(parts) and (hi == lo or size + len(parts[hi]) <= _BATCH):
                 size += len(parts[hi])
                 hi += 1
-            for i, e in zip(owner[lo:hi], self.a.encode_batch([" " + p for p in parts[lo:hi]], add_special_tokens=False)):
-                out_a[i] += e.ids
-            for i, ids in zip(owner[lo:hi], self.b.encode(parts[lo:hi], num_threads=1)):
-                out_b[i] += ids
+            some = parts[lo:hi]
+            for i, a, b in zip(owner[lo:hi], self._by_a(some), self._by_b(some)):
+                out_a[i] += a
+                out_b[i] += b
             lo = hi
         for i, text in enumerate(texts):
             whole = (" " + text).encode() if text else b""
@@ -109,6 +145,23 @@ class Pair:
         return out_a, out_b
 
 
+def _ranked(spec: dict, entries: list[bytes]):
+    """A quicker encoder that merges by rank, as A does if its ids are in the order of its merges; else None.
+
+    Only for texts of letters that every version of Unicode classes alike.
+    """
+    model, merges = spec["model"], spec["model"].get("merges") or []
+    made = [model["vocab"].get(x + y) for x, y in (m.split(" ") if isinstance(m, str) else m for m in merges)]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in (
+        "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) and spec["normalizer"] is None
+    if not plain or made != list(range(256, 256 + len(merges))):
+        return None
+    import tiktoken
+
+    ranks = {entries[i]: i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("ranked", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def _byte_of_char() -> dict[str, int]:
     """Byte-level BPE writes printable bytes as themselves and the others, in order, from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -133,7 +186,7 @@ def coalesce(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
     """Group number of every A and of every B token, tokens of each kind given in order."""
     start = np.concatenate([a_start, b_start])
     end = np.concatenate([a_end, b_end])
-    order = np.lexsort((end, start))
+    order = np.lexsort((start,))
     reach = np.maximum.accumulate(end[order])
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = start[order][1:] >= reach[:-1]
@@ -156,12 +209,15 @@ def overlaps(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
 
 
 class Block:
-    """The alignment of a block of texts, laid end to end."""
-
-    def __init__(self, pair: Pair, a: np.ndarray, b: np.ndarray):
-        self.a, self.b, self.pair = a, b, pair
-        a_end, b_end = np.cumsum(pair.a_len[a]), np.cumsum(pair.b_len[b])
-        a_start, b_start = a_end - pair.a_len[a], b_end - pair.b_len[b]
+    """The alignment of the texts of a block, laid end to end."""
+
+    def __init__(self, pair: Pair, doc_id: list, a: list[np.ndarray], b: list[np.ndarray]):
+        self.pair, self.doc_id = pair, doc_id
+        self.n_a, self.n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (a, b))
+        self.a, self.b = np.concatenate(a), np.concatenate(b)
+        self.a_to, self.b_to = np.cumsum(self.n_a), np.cumsum(self.n_b)
+        a_end, b_end = np.cumsum(pair.a_len[self.a]), np.cumsum(pair.b_len[self.b])
+        a_start, b_start = a_end - pair.a_len[self.a], b_end - pair.b_len[self.b]
         self.a_group, self.b_group = coalesce(a_start, a_end, b_start, b_end)
         self.left, self.right = overlaps(a_start, a_end, b_start, b_end, self.a_group, self.b_group)
 
@@ -169,117 +225,123 @@ class Block:
         """A number for the id pair of every link."""
         return self.b[self.right].astype(np.int64) * len(self.pair.a_len) + self.a[self.left]
 
+    def links(self) -> np.ndarray:
+        """Links of every text."""
+        return np.searchsorted(self.left, self.a_to) - np.searchsorted(self.left, self.a_to - self.n_a)
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For every text, the number of its A and B tokens up to each group's end."""
+        last_a, last_b = np.flatnonzero(np.diff(self.a_group, append=-1)) + 1, np.flatnonzero(np.diff(self.b_group, append=-1)) + 1
+        for n_a, n_b, i, j in zip(self.n_a, self.n_b, self.a_to, self.b_to):
+            yield (last_a[np.searchsorted(last_a, i - n_a, side="right"):np.searchsorted(last_a, i, side="right")] - (i - n_a),
+                   last_b[np.searchsorted(last_b, j - n_b, side="right"):np.searchsorted(last_b, j, side="right")] - (j - n_b))
+
+    def lines(self) -> Iterator[str]:
+        """For every text its groups written out, ``a1,a2|b1;a3|b2,b3``."""
+        na, nb = len(self.pair.a_len), len(self.pair.b_len)
+        last_a, last_b = (np.diff(g, append=-1) != 0 for g in (self.a_group, self.b_group))
+        words = np.concatenate([self.a + na * last_a, 2 * na + self.b + nb * last_b])
+        # A tokens come before the B tokens of their group, as the sort is stable.
+        words = words[np.argsort(np.concatenate([self.a_group, self.b_group]), kind="stable")]
+        to = self.a_to + self.b_to
+        for i, j in zip(to - self.n_a - self.n_b, to):
+            yield "".join(map(self.pair.shown.__getitem__, words[i:j].tolist()))[:-1]
+
+
+def _blocks(pair: Pair, batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Texts (doc_id, text) by blocks."""
+    ids, all_a, all_b, size = [], [], [], 0
+    for batch in batches:
+        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        lo = 0
+        while lo < len(keys):
+            hi, chars = lo, 0
+            while hi < len(keys) and (hi == lo or chars < _BATCH):
+                chars += len(texts[hi] or "")
+                hi += 1
+            for key, text, x, y in zip(keys[lo:hi], texts[lo:hi], *pair.encode([t or "" for t in texts[lo:hi]])):
+                more = len(text or "")
+                if ids and size + more > BLOCK_CHARS:
+                    yield Block(pair, ids, all_a, all_b)
+                    ids, all_a, all_b, size = [], [], [], 0
+                size += more
+                ids.append(key)
+                all_a.append(np.array(x, dtype=np.uint32))
+                all_b.append(np.array(y, dtype=np.uint32))
+            lo = hi
+    if ids:
+        yield Block(pair, ids, all_a, all_b)
 
-def _tokens(a: str, b: str, id_col: str, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(a, b)
-        task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        ids, n_a, n_b, all_a, all_b, size, blocks = [], [], [], [], [], 0, 0
-
-        def block() -> pa.RecordBatch:
-            row = {"block": [(task << 32) + blocks], "doc_id": [list(ids)], "n_a": [list(n_a)], "n_b": [list(n_b)],
-                   "a": [pack(np.concatenate(all_a))], "b": [pack(np.concatenate(all_b))]}
-            for x in (ids, n_a, n_b, all_a, all_b):
-                x.clear()
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([
-                ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int32())), ("n_b", pa.list_(pa.int32())),
-                ("a", pa.binary()), ("b", pa.binary())]))
-
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(keys):
-                hi, chars = lo, 0
-                while hi < len(keys) and (hi == lo or chars < _BATCH):
-                    chars += len(texts[hi] or "")
-                    hi += 1
-                for key, text, x, y in zip(keys[lo:hi], texts[lo:hi], *pair.encode([t or "" for t in texts[lo:hi]])):
-                    more = len(text or "")
-                    if ids and size + more > BLOCK_BYTES:
-                        yield block()
-                        blocks, size = blocks + 1, 0
-                    size += more
-                    ids.append(key)
-                    n_a.append(len(x))
-                    n_b.append(len(y))
-                    all_a.append(np.array(x, dtype=np.uint32))
-                    all_b.append(np.array(y, dtype=np.uint32))
-                lo = hi
-        if ids:
-            yield block()
-        give_back()
-    return run
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-def tokens_of(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of all texts by both tokenizers, a row per block of texts, written to shared storage."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return saved(rows.mapInArrow(_tokens(a, b, id_col, text_col), TOKENS), "tokens")
 
+def aligned_blocks(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The alignment of all texts, a row per block of texts, written to shared storage.
 
-def _counted(a: str, b: str):
+    Arrays over the texts: doc_id, n_a, n_b, n_groups, n_links,
+    groups_sha256. Over the block: its distinct id pairs ascending (codes,
+    packed) with their links (n), and each link's place among them (links).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(a, b)
-        for batch in batches:
-            for row in batch.select(["block", "a", "b"]).to_pylist():
-                codes, n = np.unique(Block(pair, unpack(row["a"], np.uint32), unpack(row["b"], np.uint32)).codes(), return_counts=True)
-                for lo in range(0, len(codes), 1 << 18):
-                    part = codes[lo:lo + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(part), row["block"], np.int64)), pa.array(part),
-                        pa.array((part // len(pair.a_len)).astype(np.int32)), pa.array(n[lo:lo + (1 << 18)].astype(np.int64))],
-                        names=["block", "code", "b_id", "n"])
+        task = TaskContext.get().partitionId()
+        for i, x in enumerate(_blocks(pair_of(a, b), batches)):
+            codes, place, n = np.unique(x.codes(), return_inverse=True, return_counts=True)
+            row = {"block": (task << 32) + i, "doc_id": x.doc_id, "n_a": x.n_a, "n_b": x.n_b, "n_groups": [len(g) for g, _ in x.groups()],
+                   "n_links": x.links(), "groups_sha256": [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in x.lines()],
+                   "codes": pack(codes), "n": pack(n.astype(np.uint32)), "links": pack(place.astype(np.uint32))}
+            yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema=_BLOCK)
         give_back()
-    return run
+    return saved(_rows(docs, id_col, text_col).mapInArrow(run, BLOCKS), "aligned")
 
 
-def pair_counts(tokens: DataFrame, a: str, b: str) -> DataFrame:
-    """Links of every id pair of each block, with the pair's links in the whole corpus.
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            codes, n = unpack(row["codes"], np.int64), unpack(row["n"], np.uint32).astype(np.int64)
+            for lo in range(0, len(codes), 1 << 18):
+                part = codes[lo:lo + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["block"], np.int64)), pa.array(part), pa.array(n[lo:lo + (1 << 18)])],
+                                                 names=["block", "code", "n"])
 
-    (block, code, b_id, n, total, best): best where no pair of the B id has
-    more links in all. A pair has one row per block that holds it.
-    """
-    found = tokens.select("block", "a", "b").mapInArrow(_counted(a, b), "block long, code long, b_id int, n long")
-    found = saved(found.withColumn("total", F.sum("n").over(Window.partitionBy("code"))), "pairs")
-    most = found.groupBy("b_id").agg(F.max("total").alias("most"))  # at most as many rows as B has entries
-    return found.join(F.broadcast(most), "b_id").select("block", "code", "b_id", "n", "total", (F.col("total") == F.col("most")).alias("best"))
 
+def pair_counts(blocks: DataFrame, a: str) -> DataFrame:
+    """Every id pair of each block with its links in the whole corpus.
 
-def _digested(a: str, b: str):
-    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
-        pair = pair_of(a, b)
-        na, nb = len(pair.a_len), len(pair.b_len)
-        # Every token with what follows it: a comma, or the end of its group's A or B tokens.
-        shown = ([f"{i}," for i in range(na)] + [f"{i}|" for i in range(na)] + [f"{i}," for i in range(nb)] + [f"{i};" for i in range(nb)])
-        code = counts.column("code").to_numpy()
-        order = np.argsort(code)
-        code, total = code[order], counts.column("total").to_numpy()[order]
-        best = counts.column("best").to_numpy()[order]
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")}
-        for row in blocks.to_pylist():
-            x = Block(pair, unpack(row["a"], np.uint32), unpack(row["b"], np.uint32))
-            at = np.searchsorted(code, x.codes())
-            a_to, b_to = np.cumsum(row["n_a"]), np.cumsum(row["n_b"])
-            a_from, b_from = a_to - row["n_a"], b_to - row["n_b"]
-            link_from, link_to = np.searchsorted(x.left, a_from), np.searchsorted(x.left, a_to)
-            sums = np.concatenate([[0], np.cumsum(total[at])])
-            bests = np.concatenate([[0], np.cumsum(best[at].astype(np.int64))])
-            last_a = np.append(x.a_group[1:] != x.a_group[:-1], True)
-            last_b = np.append(x.b_group[1:] != x.b_group[:-1], True)
-            words = np.concatenate([x.a + na * last_a, 2 * na + x.b + nb * last_b])
-            group = np.concatenate([x.a_group, x.b_group])
-            # A tokens come before B tokens of their group, as the sort is stable.
-            line = words[np.argsort(group, kind="stable")]
-            for i, key in enumerate(row["doc_id"]):
-                n_a, n_b = row["n_a"][i], row["n_b"][i]
-                links = slice(int(link_from[i]), int(link_to[i]))
-                groups = int(x.a_group[a_to[i] - 1] - x.a_group[a_from[i]]) + 1 if n_a else 0
-                text = "".join(map(shown.__getitem__, line[a_from[i] + b_from[i]:a_to[i] + b_to[i]].tolist()))[:-1]
-                for k, v in zip(out, (key, n_a, n_b, groups, links.stop - links.start, int(bests[links.stop] - bests[links.start]),
-                                      int(sums[links.stop] - sums[links.start]), hashlib.sha256(text.encode()).hexdigest() if n_a else "")):
-                    out[k].append(v)
-        return pa.table({k: pa.array(v, pa.string() if k == "groups_sha256" else pa.int64()) for k, v in out.items()})
-    return run
+    (block, code, total, best): best where no pair of the B id has more links
+    in all. A pair has one row per block that holds it.
+    """
+    size = pair_size(a)
+    found = blocks.select("block", "codes", "n").mapInArrow(_unpacked, "block long, code long, n long")
+    found = saved(found.select("block", "code", F.sum("n").over(Window.partitionBy("code")).alias("total")), "pairs")
+    b_id = F.floor(F.col("code") / size)
+    most = found.groupBy(b_id.alias("b_id")).agg(F.max("total").alias("most"))  # at most as many rows as B has entries
+    return (found.withColumn("b_id", b_id).join(F.broadcast(most), "b_id")
+            .select("block", "code", "total", (F.col("total") == F.col("most")).alias("best")))
+
+
+def pair_size(a: str) -> int:
+    """Entries of A: a pair's code is B id x this + A id."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(model_path(a)).get_vocab_size(with_added_tokens=True)
+
+
+def _digested(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+    order = np.argsort(counts.column("code").to_numpy())
+    total, best = counts.column("total").to_numpy()[order], counts.column("best").to_numpy()[order].astype(np.int64)
+    out: dict[str, list] = {k: [] for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")}
+    for row in blocks.to_pylist():
+        place = unpack(row["links"], np.uint32)
+        to = np.cumsum(row["n_links"])
+        for k, v in (("count_sum", total), ("n_best", best)):
+            sums = np.concatenate([[0], np.cumsum(v[place])])
+            out[k] += (sums[to] - sums[to - row["n_links"]]).tolist()
+        for k in out:
+            if k in row:
+                out[k] += row[k]
+    return pa.table({k: pa.array(v, pa.string() if k == "groups_sha256" else pa.int64()) for k, v in out.items()})
 
 
 def alignment_digest(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model",
@@ -293,9 +355,10 @@ def alignment_digest(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "pi
     not give back byte for byte after a space, have no tokens: zeros and an
     empty digest. An empty table gives no rows; other columns are ignored.
     """
-    tokens = tokens_of(docs, a, b, id_col, text_col)
-    counts = pair_counts(tokens, a, b).select("block", "code", "total", "best")
-    return tokens.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(frugal_pair(_digested(a, b)), DIGEST)
+    blocks = aligned_blocks(docs, a, b, id_col, text_col)
+    counts = pair_counts(blocks, a)
+    held = blocks.drop("codes", "n")
+    return held.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(frugal_pair(_digested), DIGEST)
 
 
 def alignments(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model",
@@ -306,16 +369,10 @@ def alignments(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bp
     to its end (a_ends, b_ends). Texts without tokens have empty arrays.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(a, b)
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = Block(pair, unpack(row["a"], np.uint32), unpack(row["b"], np.uint32))
-                a_to, b_to = np.cumsum(row["n_a"]).tolist(), np.cumsum(row["n_b"]).tolist()
-                for key, n_a, n_b, i, j in zip(row["doc_id"], row["n_a"], row["n_b"], a_to, b_to):
-                    ga, gb = x.a_group[i - n_a:i], x.b_group[j - n_b:j]
-                    ends_a = (np.flatnonzero(np.append(ga[1:] != ga[:-1], True)) + 1).tolist() if n_a else []
-                    ends_b = (np.flatnonzero(np.append(gb[1:] != gb[:-1], True)) + 1).tolist() if n_b else []
-                    yield pa.RecordBatch.from_pydict(
-                        {"doc_id": [key], "a_ids": [x.a[i - n_a:i].tolist()], "b_ids": [x.b[j - n_b:j].tolist()], "a_ends": [ends_a], "b_ends": [ends_b]},
-                        schema=pa.schema([("doc_id", pa.int64()), *((k, pa.list_(pa.int32())) for k in ("a_ids", "b_ids", "a_ends", "b_ends"))]))
-    return tokens_of(docs, a, b, id_col, text_col).mapInArrow(run, ALIGNED)
+        for x in _blocks(pair_of(a, b), batches):
+            ends = list(x.groups())
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": x.doc_id, "a_ids": np.split(x.a, x.a_to[:-1]), "b_ids": np.split(x.b, x.b_to[:-1]),
+                 "a_ends": [e for e, _ in ends], "b_ends": [e for _, e in ends]},
+                schema=pa.schema([("doc_id", pa.int64()), *((k, pa.list_(pa.int32())) for k in ("a_ids", "b_ids", "a_ends", "b_ends"))]))
+    return _rows(docs, id_col, text_col).mapInArrow(run, ALIGNED)

@@ -160,20 +160,26 @@ def test_alignment_against_brute_force(spark):
     assert AL.alignment_digest(empty(spark)).collect() == []
 
 
-def test_alignment_of_long_texts_in_pieces(spark, monkeypatch):
-    """Cut texts encode as whole ones, and small blocks give the same counts."""
+def test_alignment_pieces(monkeypatch):
+    """The tokens of the pieces are the tokens of the whole text by the libraries, however short they are."""
     rng = random.Random(9)
-    texts = [prose(rng, 900).replace(",", rng.choice([",", "  ", " ▁", "\n "])) for _ in range(6)]
-    pair = AL.pair_of("byte_bpe_50k.json", "piece_bpe_32k.model")
-    assert pair.cuts
-    whole = pair.encode(texts)
-    monkeypatch.setattr(AL, "PIECE_CHARS", 40)
-    assert max(len(pair.pieces(t)) for t in texts) > 20
-    assert pair.encode(texts) == whole
-    assert " ".join(pair.pieces(texts[0])) == texts[0]
-
-
-def test_alignment_blocks(spark, monkeypatch):
+    texts = [prose(rng, 900).replace(",", rng.choice([",", "  ", " ▁", "\n ", "\x1c", " \x85 "])) for _ in range(6)] + ["", " ", "  ", " x ", "\n \n", "a" * 5000]
+    texts += ["".join(rng.choice("ab é漢\n🙂'1,▁\t\xa0\u3000’`~") for _ in range(300)) for _ in range(30)]
+    pair = AL.Pair("byte_bpe_50k.json", "piece_bpe_32k.model")
+    monkeypatch.setattr(AL, "PIECE_CHARS", 9)
+    assert pair.cuts and pair.fast and max(len(pair.pieces(t)) for t in texts) > 100
+    entries = [x.decode() for x in pair.a_bytes if x[:1] == b" " and x[1:2] not in (b"", b" ") and AL._LATIN.fullmatch(x.decode(errors="replace"))]
+    assert len(entries) > 20_000  # every entry encodes alone as itself, by ranks as by the library
+    assert [pair.fast(x) for x in entries] == [e.ids for e in pair.a.encode_batch(entries, add_special_tokens=False)]
+    for a, b, text in zip(*pair.encode(texts), texts):
+        whole = (" " + text).encode()
+        ids_a = pair.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = pair.b.encode(text)
+        same = bool(text) and b"".join(pair.a_bytes[i] for i in ids_a) == whole == b"".join(pair.b_bytes[i] for i in ids_b)
+        assert (a, b) == ((ids_a, ids_b) if same else ([], []))
+
+
+def test_alignment_blocks(spark):
     data = [(i, t, None, None, None, "s", "t", "u") for i, t in enumerate(["one two three", "two three", "three", "one two three four"] * 5)]
     want = sorted(tuple(r) for r in AL.alignment_digest(frame(spark, data, 1)).collect())
     got = sorted(tuple(r) for r in AL.alignment_digest(frame(spark, data, 7)).collect())
