@@ -8,6 +8,7 @@ from reposcope.functions import languages as L
 from reposcope.operators import enrich as EN
 from reposcope.operators import facets as FA
 from reposcope.operators import feed as FD
+from reposcope.operators import neighbour_index as NI
 from reposcope.operators import snapshots as S
 from reposcope.plans import params as P
 from reposcope.plans.catalog import ORDERS_ORDER, register
@@ -207,6 +208,14 @@ def q_similar_topk_lsh(spark, sf):
                    (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("recall_reached"), (F.max("off") < 1e-6).alias("cosines_true"))
 
 
+@register("similar_topk_indexed")
+def q_similar_topk_indexed(spark, sf):
+    """The stored index against the exact lists: recall and work of every source."""
+    vectors = FX.vectors(spark, sf)
+    index = NI.build_index(vectors, NI.fit_index(vectors, P.SIMILARITY_K))
+    return NI.search_report(index, vectors, vectors, topk_all(spark, sf), P.SIMILARITY_K)
+
+
 @register("similarity_hybrid")
 def q_similarity_hybrid(spark, sf):
     """The periodic job: sources = recently pushed repositories."""
