@@ -570,7 +570,7 @@ def q_stream_write(spark, sf):
 
 @register("stream_dimensions")
 def q_stream_dimensions(spark, sf):
-    """Dimension tables after crawl results in four micro-batches; the repositories are returned."""
+    """All four dimension tables after crawl results in four micro-batches."""
     root = scratch_path(spark, "stream-dimensions")
     msgs = FX.crawl_result_messages(spark, sf)
     for part in range(4):
@@ -578,8 +578,17 @@ def q_stream_dimensions(spark, sf):
     initial = {"repositories": FX.repos(spark, sf), "owners": FX.owners(spark, sf), "licenses": FX.licenses(spark, sf),
                "bridges": FX.bridge_rows(spark, sf)}
     _run(ST.stream_dimensions(spark, f"{root}/src", initial, f"{root}/state", f"{root}/ckpt", max_files=2))
-    return ST.latest_version(spark, f"{root}/state/repositories").select(
-        "id", "name", "description", "license_key", "last_crawled_at", "created_at")
+    t = {name: ST.latest_version(spark, f"{root}/state/{name}") for name in initial}
+    none = F.lit(None)
+
+    def rows(name, key, label, detail, extra, size=none, crawled=none, created=none):
+        return t[name].select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("id"), F.col(label).alias("name"), F.col(detail).alias("detail"),
+                              (extra if extra is none else F.col(extra)).cast("string").alias("extra"), size.cast("bigint").alias("size"),
+                              crawled.cast("timestamp_ntz").alias("last_crawled_at"), created.cast("timestamp_ntz").alias("created_at"))
+
+    return (rows("repositories", "id", "name", "description", "license_key", crawled=F.col("last_crawled_at"), created=F.col("created_at"))
+            .unionByName(rows("owners", "id", "login", "type", "html_url")).unionByName(rows("licenses", "key", "name", "spdx_id", "node_id"))
+            .unionByName(rows("bridges", "repository_id", "name", "kind", none, size=F.col("size"))))
 
 
 @register("stream_embed")

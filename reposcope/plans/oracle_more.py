@@ -555,10 +555,26 @@ def streaming() -> dict[str, str]:
         FROM f_repos r JOIN documents d ON d.doc_id = r.id
         WHERE r.id % 4 <> 0 AND d.doc_id % 13 <> 0""", "f_repos")
     q["stream_dimensions"] = sql("""
-        SELECT id, name, CASE WHEN id % 10 <> 0 THEN description END AS description, license_key,
+        SELECT 'repositories' AS tbl, CAST(id AS VARCHAR) AS id, name, CASE WHEN id % 10 <> 0 THEN description END AS detail,
+               license_key AS extra, CAST(NULL AS BIGINT) AS size,
                CASE WHEN id % 10 = 0 OR last_crawled_at < TIMESTAMP '2024-02-02 00:00:00'
                     THEN TIMESTAMP '2024-02-02 00:00:00' ELSE last_crawled_at END AS last_crawled_at, created_at
-        FROM f_repos""", "f_repos")
+        FROM f_repos
+        UNION ALL
+        SELECT 'owners', CAST(n_nationkey AS VARCHAR), n_name, 'Organization', 'https://github.com/' || n_name, NULL, NULL, NULL FROM nation
+        UNION ALL
+        SELECT DISTINCT 'owners', CAST(p_partkey % 27 AS VARCHAR), 'owner' || CAST(p_partkey % 27 AS VARCHAR), CAST(NULL AS VARCHAR),
+               CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP)
+        FROM part WHERE p_partkey % 27 NOT IN (SELECT n_nationkey FROM nation)
+        UNION ALL
+        SELECT 'licenses', CAST(r_regionkey AS VARCHAR), 'L' || CAST(r_regionkey AS VARCHAR), NULL, NULL, NULL, NULL, NULL FROM region
+        UNION ALL
+        SELECT 'bridges', CAST(repository_id AS VARCHAR), tag, 'tag', NULL, NULL, NULL, NULL FROM f_tags
+        UNION ALL
+        SELECT 'bridges', CAST(repository_id AS VARCHAR), topic, 'topic', NULL, NULL, NULL, NULL FROM f_topics
+        UNION ALL
+        SELECT 'bridges', CAST(repository_id AS VARCHAR), language, 'lang', NULL, size, NULL, NULL FROM f_langs""",
+                               "f_repos", "f_tags", "f_topics", "f_langs")
     q["stream_crawl_gate"] = sql("""
         SELECT s.repository_id, s.pushed_at, s.event_time AS discovered_at, r.last_crawled_at
         FROM f_stats s LEFT JOIN f_repos r ON r.id = s.repository_id

@@ -11,11 +11,9 @@ rewrites the same output instead of duplicating it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +23,8 @@ from reposcope.operators.embed import embed_texts
 from reposcope.operators.snapshots import latest_stat, snapshots_changed
 from reposcope.operators.upsert import (upsert_bridges, upsert_licenses, upsert_owners,
                                         upsert_repositories, upsert_vectors)
+from reposcope.sources import storage
+from reposcope.sources.delta_table import DeltaTable
 from reposcope.sources.ingest import REPO_T, flatten_repository, needs_crawl, object_key, parse_time
 
 VIEW_EVENT_T = "struct<sessionId:string,repositoryId:bigint,viewedAt:string>"
@@ -62,33 +62,25 @@ def _batch_path(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch_id={batch_id}"
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Versions of a table, from the file listing; none if it is not there yet."""
-    try:
-        files = spark.read.parquet(root).inputFiles()
-    except AnalysisException:
-        return []
-    return sorted({int(m.group(1)) for f in files for m in [re.search(r"/v=(\d+)/", f)] if m})
-
-
-def _first_version(spark: SparkSession, checkpoint: str, root: str) -> int:
-    """The version that batch 0 of this checkpoint writes: the one after the
-    table's newest when the checkpoint is new. It is kept in the checkpoint,
-    so that a restarted stream, or a batch that runs again, writes the same
-    versions."""
-    kept = f"{checkpoint.rstrip('/')}/first_version"
-    try:
-        return int(spark.read.schema("value string").text(kept).first()["value"])
-    except AnalysisException:
-        first = max(_versions(spark, root), default=-1) + 1
-        spark.createDataFrame([(str(first),)], "value string").coalesce(1).write.text(kept)
-        return first
-
+def _tables(spark: SparkSession, checkpoint: str, roots: dict[str, str], initial: dict[str, DataFrame], keys: dict[str, tuple[tuple[str, ...], tuple[str, ...]]],
+            buckets: int) -> tuple[int, dict[str, DeltaTable]]:
+    """The tables a stream keeps, made of ``initial`` where they are not there yet, and the number of its first batch.
 
-def _previous(spark: SparkSession, root: str, first: int, batch_id: int, initial: DataFrame | None) -> DataFrame | None:
-    """The table before a batch; ``initial`` if there was none before the stream."""
-    before = first + batch_id - 1
-    return initial if before < 0 else spark.read.parquet(f"{root}/v={before}")
+    A new stream goes on from the tables' newest batch. The number of its
+    first batch is kept in the checkpoint, so a restarted stream, or a batch
+    that runs again, writes the same batches."""
+    tables = {}
+    for name, root in roots.items():
+        key, by = keys[name]
+        tables[name] = DeltaTable(spark, root, key, by, buckets)
+        if tables[name].newest() is None:
+            tables[name].create(initial[name])
+    kept = f"{checkpoint.rstrip('/')}/first_batch"
+    text = storage.read_text(spark, kept)
+    if text is None:
+        text = str(1 + max(t.newest() for t in tables.values()))
+        storage.write_text(spark, kept, text)
+    return int(text), tables
 
 
 # -- T7: view events ------------------------------------------------------------------------
@@ -239,24 +231,23 @@ def _snapshot_rows(lines: DataFrame) -> DataFrame:
 
 def stream_snapshots_versioned(spark: SparkSession, src, sink: str, state_root: str, checkpoint: str,
                                available_now: bool = True, max_files: int | None = None,
-                               bucket: str = "day") -> StreamingQuery:
+                               bucket: str = "day", buckets: int = 32) -> StreamingQuery:
     """JVM-only form of ``stream_snapshots``: each micro-batch runs the
-    set-based ``snapshots_changed`` against the previous version of a
-    latest-state table (one row per repository) and writes the next
-    version; kept rows go to ``sink/batch_id=<n>``. No per-key Python, at
-    the price of rewriting the latest-state table every batch."""
-    root = state_root.rstrip("/")
+    set-based ``snapshots_changed`` against the batch's repositories in a
+    latest-state table (one row per repository, kept by deltas); kept rows go
+    to ``sink/batch_id=<n>``. No per-key Python, and a batch reads and writes
+    only the buckets its repositories fall into."""
     order = ("event_time", "tie")
-    first = _first_version(spark, checkpoint, root)
+    empty = spark.createDataFrame([], SNAPSHOT_T)
+    first, tables = _tables(spark, checkpoint, {"state": state_root.rstrip("/")}, {"state": empty}, {"state": (("repository_id",), ())}, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = _snapshot_rows(batch).persist()
-        prev = _previous(spark, root, first, batch_id, None)
-        kept = snapshots_changed(rows, prev, state_cols=("repository_id", *STATE_FIELDS),
+        state, seq = tables["state"], first + batch_id
+        kept = snapshots_changed(rows, state.current(rows, before=seq), state_cols=("repository_id", *STATE_FIELDS),
                                  order_cols=order, bucket=bucket)
         kept.write.mode("overwrite").parquet(_batch_path(sink, batch_id))
-        both = rows if prev is None else prev.unionByName(rows)
-        latest_stat(both, order).write.mode("overwrite").parquet(f"{root}/v={first + batch_id}")
+        state.apply(seq, rows, lambda now, new: latest_stat(now.unionByName(new), order))
         rows.unpersist()
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
@@ -290,26 +281,30 @@ def _dimension_messages(batch: DataFrame, repo_cols, repo_schema) -> dict[str, D
     return {"repositories": repos, "owners": owners, "licenses": licenses, "bridges": bridges}
 
 
+#: Rules of the dimension tables, the columns that identify a row, and those that choose its bucket.
+DIMENSIONS = {"repositories": (upsert_repositories, ("id",), ()), "owners": (upsert_owners, ("id",), ()), "licenses": (upsert_licenses, ("key",), ()),
+              "bridges": (upsert_bridges, ("repository_id", "kind", "name"), ("repository_id", "kind"))}
+
+
 def stream_dimensions(spark: SparkSession, src: str, initial: dict[str, DataFrame], state_root: str,
                       checkpoint: str, available_now: bool = True,
-                      max_files: int | None = None) -> StreamingQuery:
+                      max_files: int | None = None, buckets: int = 32) -> StreamingQuery:
     """Crawl results → upsert of every dimension table (repositories,
-    owners, licences, bridges), one version per micro-batch
-    (``<table>/v=<n>``). The first batch starts from the newest stored
-    version, from ``initial`` if there is none. Bridges are in long form
+    owners, licences, bridges), each kept by deltas in ``<root>/<table>``
+    (``latest_version`` reads it). The first batch starts from the stored
+    tables, from ``initial`` if there are none. A micro-batch reads and writes
+    only the buckets its keys fall into. Bridges are in long form
     (repository_id, kind, name, size)."""
     root = state_root.rstrip("/")
-    first = _first_version(spark, checkpoint, f"{root}/repositories")
-    rules = {"repositories": upsert_repositories, "owners": upsert_owners,
-             "licenses": upsert_licenses, "bridges": upsert_bridges}
+    first, tables = _tables(spark, checkpoint, {t: f"{root}/{t}" for t in DIMENSIONS}, initial, {t: d[1:] for t, d in DIMENSIONS.items()}, buckets)
     repo_cols, repo_schema = initial["repositories"].columns, initial["repositories"].schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
         lines = batch.persist()  # one read of the batch for four tables
         incoming = _dimension_messages(lines, repo_cols, repo_schema)
-        for table, rule in rules.items():
-            current = _previous(spark, f"{root}/{table}", first, batch_id, initial[table])
-            rule(current, incoming[table]).write.mode("overwrite").parquet(f"{root}/{table}/v={first + batch_id}")
+        for table, (rule, keys, _) in DIMENSIONS.items():
+            rows = incoming[table].dropna(subset=list(keys))
+            tables[table].apply(first + batch_id, rows, rule)
         lines.unpersist()
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
@@ -318,17 +313,16 @@ def stream_dimensions(spark: SparkSession, src: str, initial: dict[str, DataFram
 
 def stream_repositories(spark: SparkSession, src: str, initial: DataFrame, state_root: str,
                         checkpoint: str, available_now: bool = True,
-                        max_files: int | None = None) -> StreamingQuery:
-    """Crawl results → repository dimension upsert only, one table version
-    per micro-batch, as in ``stream_dimensions``."""
-    root = state_root.rstrip("/")
-    first = _first_version(spark, checkpoint, root)
+                        max_files: int | None = None, buckets: int = 32) -> StreamingQuery:
+    """Crawl results → repository dimension upsert only, kept by deltas as in
+    ``stream_dimensions``."""
+    first, tables = _tables(spark, checkpoint, {"repositories": state_root.rstrip("/")}, {"repositories": initial}, {"repositories": (("id",), ())}, buckets)
     cols, schema = initial.columns, initial.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        incoming = _dimension_messages(batch, cols, schema)["repositories"]
-        current = _previous(spark, root, first, batch_id, initial)
-        upsert_repositories(current, incoming).write.mode("overwrite").parquet(f"{root}/v={first + batch_id}")
+        incoming = _dimension_messages(batch, cols, schema)["repositories"].persist()
+        tables["repositories"].apply(first + batch_id, incoming, upsert_repositories)
+        incoming.unpersist()
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
                   available_now).start()
@@ -338,14 +332,13 @@ def stream_repositories(spark: SparkSession, src: str, initial: DataFrame, state
 
 def stream_embed(spark: SparkSession, src: str, readmes: DataFrame | Callable[[], DataFrame], initial: DataFrame,
                  state_root: str, checkpoint: str, available_now: bool = True,
-                 dim: int = 384) -> StreamingQuery:
+                 dim: int = 384, buckets: int = 32) -> StreamingQuery:
     """Embedding requests → README text by object key → vector → upsert into
-    a versioned vector table. ``readmes`` is read in every batch. A request
+    a vector table kept by deltas. ``readmes`` is read in every batch. A request
     whose text is missing is skipped (it is asked for again by the
     embed-request job); of several requests of a batch for one repository the
     last one's vector stays."""
-    root = state_root.rstrip("/")
-    first = _first_version(spark, checkpoint, root)
+    first, tables = _tables(spark, checkpoint, {"vectors": state_root.rstrip("/")}, {"vectors": initial}, {"vectors": (("repository_id",), ())}, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         req = (batch.select(F.from_json("value", EMBED_REQUEST_T).alias("m"))
@@ -355,14 +348,18 @@ def stream_embed(spark: SparkSession, src: str, readmes: DataFrame | Callable[[]
         texts = (req.groupBy("repository_id").agg(F.max_by("object_key", "seq").alias("object_key"), F.max("seq").alias("seq"))
                  .join(_now(readmes).select("object_key", "body"), "object_key", "inner"))
         order = texts.select("repository_id", "seq")
-        vec = embed_texts(texts, "body", "repository_id", dim).join(order, "repository_id")
-        current = _previous(spark, root, first, batch_id, initial)
-        upsert_vectors(current, vec).write.mode("overwrite").parquet(f"{root}/v={first + batch_id}")
+        vec = embed_texts(texts, "body", "repository_id", dim).join(order, "repository_id").persist()
+        tables["vectors"].apply(first + batch_id, vec, upsert_vectors)
+        vec.unpersist()
 
     return _start(_lines(spark, src).writeStream.foreachBatch(write), checkpoint, available_now).start()
 
 
 def latest_version(spark: SparkSession, state_root: str) -> DataFrame:
-    """Read the newest ``v=<n>`` version of a versioned table (the version
-    numbers come from the file listing, no data is scanned to find it)."""
-    return spark.read.parquet(f"{state_root.rstrip('/')}/v={max(_versions(spark, state_root))}")
+    """A stored table as it is now: one kept by deltas, or the newest
+    ``v=<n>`` folder of a versioned one. Lists one folder, no files below it."""
+    root = state_root.rstrip("/")
+    if storage.names(spark, f"{root}/log"):
+        return DeltaTable(spark, root).read()
+    versions = [int(n[2:]) for n in storage.names(spark, root) if n.startswith("v=")]
+    return spark.read.parquet(f"{root}/v={max(versions)}")
