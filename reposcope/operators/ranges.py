@@ -1,20 +1,21 @@
-"""Adaptive range splitting and paging, without a driver loop.
+"""Adaptive range splitting and paging by a frontier of ranges.
 
 The reference halves a value range recursively (``mid = lo + (hi-lo)/2``,
 right half from ``mid+1``) until a range holds at most ``cap`` rows or is a
 single value, then pages each leaf. Every value's chain of enclosing
 intervals is fixed by the midpoint rule, so the recursion becomes:
 
-1. a histogram of distinct values (map-side partial counts). A domain of
-   bounded size is then split in one task over the histogram; else
-2. each distinct value expands to its ≤ depth+1 enclosing intervals (a
-   vectorised numpy walk over an Arrow batch in ``mapInPandas``), counts
-   summed per interval;
-3. a leaf is an interval with ``n ≤ cap`` or ``lo = hi`` whose parent has
-   ``n > cap`` (counts shrink down a path, so that is the first such
-   interval on every path);
-4. values map to their leaf by an equi-join on the interval, rows to
-   values by an equi-join on the value — no range join;
+1. a histogram of distinct values (map-side partial counts) is the frontier,
+   all of it in the one range ``[lo, hi]``;
+2. each value of the frontier goes ``LEVELS`` halvings down; counts per
+   sub-range (partial aggregates again) give, added up along the halvings,
+   the count of every range in between;
+3. a leaf is the first range on a path with ``n ≤ cap`` or ``lo = hi``: the
+   values below it are done and leave the frontier, the others go on from
+   their sub-range. Rounds depend on the domain and the cap only;
+4. values meet their sub-range, rows their value, by equi-joins, not by a
+   range join. No step gathers a level, a range or the histogram in one
+   group;
 5. pages are positions in (value, id) order inside a leaf, numbered per
    (value, id range) sub-bucket plus the counts of earlier sub-buckets.
 """
@@ -23,97 +24,58 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposcope.functions.ordinal import rank_within
+from reposcope.session import materialized
 
-#: Values of a domain that one task splits (16 bytes each).
-DOMAIN = 1 << 22
+#: Halvings per round: the first round has at most 2 ** LEVELS sub-ranges.
+LEVELS = 8
 #: Rows of a single value that are numbered together, about.
 BUCKET_ROWS = 1 << 18
 
-_PATH_SCHEMA = "v long, n long, d int, lo long, hi long, plo long, phi long"
-
-
-def _path_rows(lo: int, hi: int, depth: int):
-    """Per Arrow batch of distinct values: every enclosing interval of each
-    value, level by level (vectorised over the batch)."""
-    def run(batches):
-        for pdf in batches:
-            v = pdf["v"].to_numpy(dtype=np.int64)
-            n = pdf["n"].to_numpy(dtype=np.int64)
-            cur_lo = np.full(len(v), lo, dtype=np.int64)
-            cur_hi = np.full(len(v), hi, dtype=np.int64)
-            par_lo = np.full(len(v), -1, dtype=np.int64)
-            par_hi = np.full(len(v), -1, dtype=np.int64)
-            live = np.ones(len(v), dtype=bool)
-            for d in range(depth + 1):
-                idx = np.nonzero(live)[0]
-                if not len(idx):
-                    break
-                yield pd.DataFrame({"v": v[idx], "n": n[idx], "d": np.full(len(idx), d, dtype=np.int32),
-                                    "lo": cur_lo[idx], "hi": cur_hi[idx],
-                                    "plo": par_lo[idx], "phi": par_hi[idx]})
-                live &= cur_lo != cur_hi
-                mid = cur_lo + (cur_hi - cur_lo) // 2
-                left = v <= mid
-                par_lo, par_hi = cur_lo.copy(), cur_hi.copy()
-                cur_lo = np.where(left, cur_lo, mid + 1)
-                cur_hi = np.where(left, mid, cur_hi)
-    return run
-
-
-def _paths(hist: DataFrame, col: str, lo: int, hi: int) -> DataFrame:
-    depth = max(1, math.ceil(math.log2(max(2, hi - lo + 1))) + 1)
-    h = hist.select(F.col(col).cast("bigint").alias("v"), F.col("n").cast("bigint").alias("n"))
-    out = h.mapInPandas(_path_rows(lo, hi, depth), _PATH_SCHEMA)
-    return out.withColumnRenamed("v", col) if col != "v" else out
-
-
-def _split(lo: int, hi: int, cap: int):
-    """The recursion over the sorted distinct values of the whole domain."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v", kind="stable")
-        v, n = pdf["v"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.int64)
-        total = np.concatenate([[0], np.cumsum(n)])
-        los, his = np.empty_like(v), np.empty_like(v)
-        todo = [(lo, hi, 0, len(v))]
-        while todo:
-            a, b, i, j = todo.pop()
-            if i == j:
-                continue
-            if total[j] - total[i] <= cap or a == b:
-                los[i:j], his[i:j] = a, b
-                continue
-            mid = a + (b - a) // 2
-            k = i + int(np.searchsorted(v[i:j], mid, side="right"))
-            todo += [(a, mid, i, k), (mid + 1, b, k, j)]
-        return pd.DataFrame({"v": v, "n": n, "lo": los, "hi": his})
-    return run
 
+def _halved(v: Column, lo: Column, hi: Column, steps: Column) -> Column:
+    """The range around ``v`` after so many halvings of ``[lo, hi]``; a single value stays."""
+    def half(r: Column, _: Column) -> Column:
+        mid = r["lo"] + F.shiftright(r["hi"] - r["lo"], 1)
+        left = v <= mid
+        return F.struct(F.when(left, r["lo"]).otherwise(mid + 1).alias("lo"), F.when(left, mid).otherwise(r["hi"]).alias("hi"))
+    return F.aggregate(F.array_repeat(F.lit(0), steps), F.struct(lo.alias("lo"), hi.alias("hi")), half)
 
-def value_leaves(df: DataFrame, col: str = "v", lo: int = 50, hi: int = 1_000_000, cap: int = 1000) -> DataFrame:
-    """Distinct values with their counts and leaf ranges. → v, n, lo, hi
 
-    A domain of at most ``DOMAIN`` values (a parameter of the split, not of
-    the data) is split by one task over its histogram; a larger one by
-    expanding every distinct value to its enclosing intervals.
-    """
+def _leaves_below(subs: DataFrame, cap: int) -> DataFrame:
+    """Sub-ranges (lo, hi, below, n) with the leaf each lies in; null where the sub-range itself still holds too much."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("d")
+    above = subs.select("lo", "hi", "below", "n", steps)
+    above = above.select("lo", "hi", "below", "n", "d", _halved(F.col("below.lo"), F.col("lo"), F.col("hi"), F.col("d")).alias("r"))
+    counts = above.groupBy("d", "r").agg(F.sum("n").alias("total"))
+    fits = above.join(counts, ["d", "r"]).where((F.col("total") <= cap) | (F.col("r.lo") == F.col("r.hi")))
+    first = fits.groupBy("lo", "hi", "below").agg(F.min_by("r", "d").alias("leaf"))
+    return subs.select("lo", "hi", "below").join(first, ["lo", "hi", "below"], "left").select("below", "leaf")
+
+
+def value_leaves(df: DataFrame, col: str = "v", lo: int = 50, hi: int = 1_000_000, cap: int = 1000) -> DataFrame:
+    """Distinct values of ``[lo, hi]`` with their counts and leaf ranges. → v, n, lo, hi"""
+    a, b = F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint")
     hist = (df.where(F.col(col).between(lo, hi)).groupBy(F.col(col).cast("bigint").alias("v"))
             .agg(F.count(F.lit(1)).alias("n")))
-    if hi - lo + 1 <= DOMAIN:
-        return hist.groupBy(F.lit(0).alias("_all")).applyInPandas(_split(lo, hi, cap), "v long, n long, lo long, hi long")
-    paths = _paths(hist, "v", lo, hi)
-    iv = paths.groupBy("d", "lo", "hi", "plo", "phi").agg(F.sum("n").alias("n"))
-    parents = iv.select(F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.col("n").alias("pn"),
-                        (F.col("d") + 1).alias("d"))
-    x = iv.join(parents, ["d", "plo", "phi"], "left")
-    leaf = (((F.col("n") <= cap) | (F.col("lo") == F.col("hi")))
-            & ((F.col("d") == 0) | (F.col("pn") > cap)))
-    return paths.select("v", "n", "lo", "hi").join(x.where(leaf).select("lo", "hi"), ["lo", "hi"]).select("v", "n", "lo", "hi")
+    open_, done = hist.select("v", "n", a.alias("lo"), b.alias("hi")), []
+    for round_ in range(math.ceil(max(1, (hi - lo).bit_length()) / LEVELS)):
+        x = materialized(open_.withColumn("below", _halved(F.col("v"), F.col("lo"), F.col("hi"), F.lit(LEVELS))), "frontier")
+        leaves = _leaves_below(x.groupBy("lo", "hi", "below").agg(F.sum("n").alias("n")), cap)
+        # The first round's sub-ranges are 2 ** LEVELS at most, each with a great part of the values.
+        placed = x.join(F.broadcast(leaves) if round_ == 0 else leaves, "below")
+        placed = materialized(placed.select("v", "n", "below", "leaf"), "placed")
+        done.append(placed.where(F.col("leaf").isNotNull()).select("v", "n", "leaf.lo", "leaf.hi"))
+        open_ = placed.where(F.col("leaf").isNull()).select("v", "n", "below.lo", "below.hi")
+        if open_.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def adaptive_ranges(df: DataFrame, col: str = "v", lo: int = 50, hi: int = 1_000_000,

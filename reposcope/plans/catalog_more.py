@@ -9,6 +9,7 @@ from reposcope.operators import enrich as EN
 from reposcope.operators import facets as FA
 from reposcope.operators import feed as FD
 from reposcope.operators import neighbour_index as NI
+from reposcope.operators import rollup as RU
 from reposcope.operators import snapshots as S
 from reposcope.plans import params as P
 from reposcope.plans.catalog import ORDERS_ORDER, register
@@ -562,7 +563,7 @@ def q_stream_write(spark, sf):
     for y in years:  # one small driver loop over landed files, not over data
         msgs.where(F.col("year") == y).select("value").coalesce(1).write.mode("append").text(f"{root}/src")
     _run(ST.stream_snapshots_versioned(spark, f"{root}/src", f"{root}/sink", f"{root}/state",
-                                       f"{root}/ckpt", max_files=1))
+                                       f"{root}/ckpt", max_files=1, buckets=8))
     return spark.read.parquet(f"{root}/sink").select(
         "repository_id", "event_time", "tie", "stargazers_count", "watchers_count", "forks_count",
         "open_issues_count")
@@ -577,7 +578,7 @@ def q_stream_dimensions(spark, sf):
         msgs.where(F.abs(F.hash("value")) % 4 == part).repartition(2).write.mode("append").text(f"{root}/src")
     initial = {"repositories": FX.repos(spark, sf), "owners": FX.owners(spark, sf), "licenses": FX.licenses(spark, sf),
                "bridges": FX.bridge_rows(spark, sf)}
-    _run(ST.stream_dimensions(spark, f"{root}/src", initial, f"{root}/state", f"{root}/ckpt", max_files=2))
+    _run(ST.stream_dimensions(spark, f"{root}/src", initial, f"{root}/state", f"{root}/ckpt", max_files=2, buckets=8))
     t = {name: ST.latest_version(spark, f"{root}/state/{name}") for name in initial}
     none = F.lit(None)
 
@@ -591,12 +592,32 @@ def q_stream_dimensions(spark, sf):
             .unionByName(rows("bridges", "repository_id", "name", "kind", none, size=F.col("size"))))
 
 
+def _rolled_up(spark, stats, order, split):
+    """A rollup folded together from three batches, none of them in order of time."""
+    table = RU.rollup_table(spark, scratch_path(spark, "rollup"), buckets=8)
+    for part in range(3):
+        RU.update_rollup(table, part, stats.where(F.pmod(F.xxhash64(*split), F.lit(3)) == part), order)
+    return table.read()
+
+
+@register("trending_rollup")
+def q_trending_rollup(spark, sf):
+    r = _rolled_up(spark, FX.stats(spark, sf), ("event_time",), ["repository_id", "event_time"])
+    return RU.trending_from_rollup(r, P.EVENTS_AS_OF, P.EVENTS_DAYS, P.TRENDING_LIMIT)
+
+
+@register("trending_rollup_30d")
+def q_trending_rollup_30d(spark, sf):
+    r = _rolled_up(spark, FX.stats_long(spark, sf), ORDERS_ORDER, ["tie"])
+    return RU.trending_from_rollup(r, P.ORDERS_AS_OF, P.ORDERS_DAYS, P.TRENDING_LIMIT, ORDERS_ORDER)
+
+
 @register("stream_embed")
 def q_stream_embed(spark, sf):
     root = scratch_path(spark, "stream-embed")
     src = _land(FX.embed_request_messages(spark, sf), f"{root}/src")
     _run(ST.stream_embed(spark, src, FX.readme_store(spark, sf), FX.vectors(spark, sf),
-                         f"{root}/vectors", f"{root}/ckpt"))
+                         f"{root}/vectors", f"{root}/ckpt", buckets=8))
     v = ST.latest_version(spark, f"{root}/vectors")
     return v.select("repository_id", F.size("embedding").cast("bigint").alias("n_dims"))
 

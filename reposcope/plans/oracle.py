@@ -233,6 +233,7 @@ def oracle_sql() -> dict[str, str]:
     q["trending_growth"] = sql(_growth("f_stats", ev_cut, "event_time DESC"), "f_stats")
     q["trending_growth_30d"] = sql(_growth("f_stats_long", P.ORDERS_CUTOFF, "event_time DESC, tie DESC"),
                                    "f_stats_long")
+    q["trending_rollup"], q["trending_rollup_30d"] = q["trending_growth"], q["trending_growth_30d"]
     q["latest_counters"] = sql("""
         SELECT repository_id, arg_max(stargazers_count, event_time) AS latest_stars,
                arg_max(forks_count, event_time) AS latest_forks

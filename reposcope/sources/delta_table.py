@@ -81,10 +81,16 @@ class DeltaTable:
         name = {"base": "gen", "delta": "seq"}[kind]
         if not places:
             return None
-        schema = T.StructType.fromJson(state["schema"]).add(f"_{name}", T.LongType())
-        folders = [f"{self.root}/{kind}/{name}={n}/bucket={b}" for n, b in places]
-        read = self.spark.read.schema(T.StructType([*schema.fields[:-1], T.StructField(name, T.LongType()), T.StructField("bucket", T.IntegerType())]))
-        return read.option("basePath", f"{self.root}/{kind}").parquet(*folders).withColumnRenamed(name, f"_{name}").drop("bucket")
+        fields = [*T.StructType.fromJson(state["schema"]).fields, T.StructField(name, T.LongType()), T.StructField("bucket", T.IntegerType())]
+        held: dict[int, list[int]] = {}
+        for n, b in places:
+            held.setdefault(n, []).append(b)
+        read = self.spark.read.schema(T.StructType(fields)).option("basePath", f"{self.root}/{kind}")
+        rows = read.parquet(*[f"{self.root}/{kind}/{name}={n}" for n in held])
+        wanted = F.lit(False)  # on partition columns: files of other buckets are not read
+        for n, own in held.items():
+            wanted = wanted | ((F.col(name) == n) & F.col("bucket").isin(own))
+        return rows.where(wanted).withColumnRenamed(name, f"_{name}").drop("bucket")
 
     # -- reading ----------------------------------------------------------------------------
 
@@ -141,14 +147,17 @@ class DeltaTable:
         """Batch ``seq``: ``rule(stored rows of the keys, incoming)`` gives the keys' next rows; those that differ are written.
 
         Returns the buckets written. Keys that the rule does not return stay
-        as they are; nothing is deleted. ``incoming`` should be persisted or
-        stored, it is read twice.
+        as they are; nothing is deleted.
         """
         state = self._state(self.newest(before=seq))
         schema = T.StructType.fromJson(state["schema"])
-        now = self._current(state, incoming).select(*schema.names)
+        # Rules read both sides several times. What a lost executor held is computed again from the same files.
+        incoming = incoming.persist()
+        now = self._current(state, incoming).select(*schema.names).persist()
         nxt = rule(now, incoming).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         held = self._write(nxt.exceptAll(now), f"delta/seq={seq}")
+        now.unpersist()
+        incoming.unpersist()
         state["deltas"] = [*state["deltas"], *([[seq, held]] if held else [])]
         if len(state["deltas"]) >= self.fold_after:
             state = self._folded(state, seq)

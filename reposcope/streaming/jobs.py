@@ -320,9 +320,7 @@ def stream_repositories(spark: SparkSession, src: str, initial: DataFrame, state
     cols, schema = initial.columns, initial.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        incoming = _dimension_messages(batch, cols, schema)["repositories"].persist()
-        tables["repositories"].apply(first + batch_id, incoming, upsert_repositories)
-        incoming.unpersist()
+        tables["repositories"].apply(first + batch_id, _dimension_messages(batch, cols, schema)["repositories"], upsert_repositories)
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
                   available_now).start()
@@ -348,9 +346,8 @@ def stream_embed(spark: SparkSession, src: str, readmes: DataFrame | Callable[[]
         texts = (req.groupBy("repository_id").agg(F.max_by("object_key", "seq").alias("object_key"), F.max("seq").alias("seq"))
                  .join(_now(readmes).select("object_key", "body"), "object_key", "inner"))
         order = texts.select("repository_id", "seq")
-        vec = embed_texts(texts, "body", "repository_id", dim).join(order, "repository_id").persist()
+        vec = embed_texts(texts, "body", "repository_id", dim).join(order, "repository_id")
         tables["vectors"].apply(first + batch_id, vec, upsert_vectors)
-        vec.unpersist()
 
     return _start(_lines(spark, src).writeStream.foreachBatch(write), checkpoint, available_now).start()
 

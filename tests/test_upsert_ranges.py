@@ -90,14 +90,23 @@ def test_adaptive_ranges_equal_recursion(spark):
         want = []
         plain_recursion(values, 50, 1_000_000, cap, want)
         got = sorted((r.lo, r.hi, r.n) for r in RG.adaptive_ranges(df, "v", 50, 1_000_000, cap).collect())
-        keep, RG.DOMAIN = RG.DOMAIN, 0  # the form for large domains
-        try:
-            assert got == sorted((r.lo, r.hi, r.n) for r in RG.adaptive_ranges(df, "v", 50, 1_000_000, cap).collect())
-        finally:
-            RG.DOMAIN = keep
         assert got == sorted(want)
 
 
+def test_adaptive_ranges_in_many_rounds(spark, monkeypatch):
+    """Any number of halvings a round gives the same leaves, and no plan gathers rows in one group or task."""
+    df = FX.range_input(spark, SF001)
+    want = sorted(map(tuple, RG.adaptive_ranges(df, "v", 50, 1_000_000, 40).collect()))
+    plans, write = [], RG.materialized
+    monkeypatch.setattr(RG, "materialized", lambda x, name: plans.append(x._jdf.queryExecution().toString()) or write(x, name))
+    for levels in (1, 3, 25):
+        monkeypatch.setattr(RG, "LEVELS", levels)
+        assert sorted(map(tuple, RG.adaptive_ranges(df, "v", 50, 1_000_000, 40).collect())) == want
+    assert len(plans) > 20
+    for plan in plans:
+        assert "SinglePartition" not in plan and "FlatMapGroups" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_adaptive_ranges_hot_value(spark):
     df = spark.createDataFrame([(i, 500 if i % 3 == 0 else 600 + i) for i in range(3000)], "id long, v long")
     leaves = RG.adaptive_ranges(df, "v", 50, 1_000_000, 100)
