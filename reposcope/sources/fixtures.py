@@ -367,9 +367,9 @@ def landed_tag_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readme_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed README texts (repository_id, body) from ``documents``; every
-    13th is missing."""
+    13th could not be fetched: its body is null."""
     d = table(spark, sf_dir, "documents")
-    return d.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("repository_id"), F.col("text").alias("body"))
+    return d.select(F.col("doc_id").alias("repository_id"), F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("body"))
 
 
 def user_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
