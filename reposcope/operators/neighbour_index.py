@@ -8,8 +8,8 @@ it learns has a size bounded by its parameters.
 
 ``build_index`` assigns every vector to its nearest centroid and stores it
 once, as its list, its code and its unit vector, in files ordered by list.
-``search_index`` sends each query to the lists it probes, scores their codes
-by table look-ups, and re-ranks the best ``rerank`` codes by exact cosine.
+``search_index`` sends each query to the lists it probes, scores their decoded
+codes in single precision, and re-ranks the best ``rerank`` codes by exact cosine.
 Entries travel once, as codes of dim / code_dims bytes; only queries are
 copied, once for every group of entries that holds lists they probe. Short
 lists share a group, and a list of any size is split into groups of
@@ -32,8 +32,8 @@ from reposcope.session import materialized, scratch_path
 
 #: Entries that one task scores at a time, about.
 BLOCK_ROWS = 1 << 16
-#: Queries scored together within a block (a slice of look-up tables and scores).
-_SLICE = 64
+#: Scores of queries and entries that a task holds at a time.
+_SCORES = 1 << 22
 CODES = 256
 
 
@@ -60,9 +60,10 @@ class IndexModel:
         rest = self.padded(x - self.centroids[lists])
         return np.stack([_nearest(rest[:, j], self.books[j]) for j in range(len(self.books))], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Dot products of each query's parts with every code: (queries, parts, 256)."""
-        return np.einsum("qjw,jcw->qjc", self.padded(q), self.books)
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        rest = np.concatenate([self.books[j][codes[:, j]] for j in range(len(self.books))], axis=1)
+        return np.ascontiguousarray(rest[:, :self.dim])
 
 
 def _matrix(column) -> np.ndarray:
@@ -230,7 +231,10 @@ def _probed(index: StoredIndex, need: int, first: np.ndarray, copies: np.ndarray
 
 
 def _scored(model: IndexModel, rerank: int):
-    """Look-up scores of a group's codes for the queries that probe its lists; each query's best ``rerank`` of the group."""
+    """Scores of a group's codes for the queries that probe their lists; each query's best ``rerank`` of the group.
+
+    A list's codes are decoded once; a score is the query's product with the centroid plus that with the residual.
+    """
     def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
         entries = entries.sort_by("list")
         ids, held = entries.column("repository_id").to_numpy(), entries.column("list").to_numpy()
@@ -239,22 +243,21 @@ def _scored(model: IndexModel, rerank: int):
         out: list[tuple] = []
         if len(ids) and len(q_ids):
             q = _matrix(queries.column("unit")).astype(np.float32)
+            rest = model.decode(codes)
+            size = max(16, _SCORES // len(ids))
             wanted, coarse = queries.column("lists").to_pylist(), queries.column("coarse").to_pylist()
-            for lo in range(0, len(q), _SLICE):
-                tables = model.tables(q[lo:lo + _SLICE])
-                s = np.full((len(tables), len(ids)), -np.inf, dtype=np.float32)
-                row = np.repeat(np.arange(len(tables)), [len(x) for x in wanted[lo:lo + _SLICE]])
-                lists, near = np.concatenate(wanted[lo:lo + _SLICE]), np.concatenate(coarse[lo:lo + _SLICE])
+            for lo in range(0, len(q), size):
+                some = q[lo:lo + size]
+                s = np.full((len(some), len(ids)), -np.inf, dtype=np.float32)
+                row = np.repeat(np.arange(len(some)), [len(x) for x in wanted[lo:lo + size]])
+                lists, near = np.concatenate(wanted[lo:lo + size]), np.concatenate(coarse[lo:lo + size])
                 turn = np.argsort(lists, kind="stable")
                 row, lists, near = row[turn], lists[turn], near[turn].astype(np.float32)
                 for one in np.unique(lists):
                     x, y = np.searchsorted(lists, [one, one + 1])
                     i, j = np.searchsorted(held, [one, one + 1])
-                    part = np.repeat(near[x:y, None], j - i, axis=1)
-                    for c in range(codes.shape[1]):
-                        part += tables[row[x:y], c][:, codes[i:j, c]]
-                    s[row[x:y], i:j] = part
-                s[q_ids[lo:lo + _SLICE, None] == ids[None, :]] = -np.inf
+                    s[row[x:y], i:j] = near[x:y, None] + some[row[x:y]] @ rest[i:j].T
+                s[q_ids[lo:lo + size, None] == ids[None, :]] = -np.inf
                 best = (np.argpartition(-s, rerank - 1, axis=1)[:, :rerank] if len(ids) > rerank
                         else np.repeat(np.arange(len(ids))[None, :], len(s), axis=0))
                 at = np.repeat(np.arange(len(s)), best.shape[1])
@@ -311,7 +314,7 @@ def search_work(index: StoredIndex, queries: DataFrame, k: int = 10, rerank: int
     """What a search costs each query, as shares of the dot products of an exact search.
 
     exact_share: dot products with centroids and re-ranked vectors;
-    scanned_share: codes scored by look-ups (a fraction of a dot product each).
+    scanned_share: codes scored, by products in single precision.
     → source_id, exact_share, scanned_share
     """
     rerank = rerank or 2 * k + 50
