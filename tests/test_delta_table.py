@@ -38,8 +38,12 @@ def test_a_batch_writes_touched_buckets_only(spark):
     now = files(root)
     assert t.apply(2, spark.createDataFrame([(5, [2.0], 1)], MSG), upsert_vectors) == [] and files(root) == now
     # Only the buckets of the keys are scanned for the next batch.
-    plan = t.current(spark.createDataFrame([(6, [0.0], 1)], MSG))
-    assert len({f.split("bucket=")[1].split("/")[0] for f in plan.inputFiles() if "bucket=" in f}) == 1
+    near = t.current(spark.createDataFrame([(6, [0.0], 1)], MSG))
+    assert content(near) == [(6, (0.0,))]
+    scans = [x for x in near._jdf.queryExecution().toString().split("PartitionFilters: ")[1:]]
+    assert scans and all("bucket" in x.split("]")[0] for x in scans)
+    read = t.read(buckets=[3]).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r["f"].split("bucket=")[1].split("/")[0] for r in read if "bucket=" in r["f"]} <= {"3"}
 
 
 def test_batches_equal_one_upsert_through_folds(spark):
