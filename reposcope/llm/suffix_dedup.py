@@ -36,8 +36,11 @@ from .packed import frugal, frugal_pair, pack, pack_sorted, text_buffer, unpack,
 
 LENGTH = 50
 BLOCK_ROWS = 2048
+BLOCK_BYTES = 48 << 20  # text of a block, on average
+SHORTEST, LONGEST = 8, 16384  # strings that can be looked for: a gram holds 8 bytes at least, two bytes count what a suffix shares
 PART_ROWS = 4096
 _SEGMENT = 1 << 20  # bytes worked on at once
+_BASE = 0x100000001B3
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -45,6 +48,17 @@ def gram_size(length: int) -> int:
     return max(8, length // 2 // 8 * 8)
 
 
+def key_size(length: int) -> int:
+    """Bytes of an anchored string: right of the anchor's start, left of it, and how far each side goes (two bytes each)."""
+    return 2 * length - gram_size(length) + 4
+
+
+def _ends(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far anchored strings go to the right and to the left."""
+    ends = np.ascontiguousarray(keys[:, -4:]).view(">u2").astype(np.int64)
+    return ends[:, 0], ends[:, 1]
+
+
 def _sliding(a: np.ndarray, width: int, best) -> np.ndarray:
     """best over a[i:i + width], for i up to len(a) - width."""
     n = 1
@@ -163,7 +177,7 @@ def _front_code(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Bytes that each of the sorted keys shares with the one before, and the bytes that follow these."""
     n, wide = keys.shape
     differ = keys[1:] != keys[:-1]
-    common = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), wide)]).astype(np.uint8)
+    common = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), wide)]).astype(np.uint16)
     rest = keys[np.arange(wide)[None, :] >= common[:, None]]
     return common, rest.tobytes()
 
@@ -182,7 +196,7 @@ def _runs(length: int, parts: int):
     """Step 3, a block's front-coded sorted runs."""
     k = gram_size(length)
     left = length - k
-    wide = length + left + 2
+    wide = key_size(length)
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         out = {"_p": [], "common": [], "rest": [], "id": [], "counts": [], "docs": [], "at": []}
@@ -204,7 +218,7 @@ def _runs(length: int, parts: int):
             for p in np.unique(part):
                 own = part == p
                 a, d = at[own], doc[own]
-                # Anchored strings stop at the edges of their document; the last two bytes say how far they go.
+                # Anchored strings stop at the edges of their document; the last four bytes say how far they go.
                 right_end = np.minimum(length, block.offsets[d + 1] - a)
                 left_end = np.minimum(left, a - block.offsets[d])
                 key = np.empty((len(a), wide), dtype=np.uint8)
@@ -212,7 +226,7 @@ def _runs(length: int, parts: int):
                 key[:, :length] = np.where(i < right_end[:, None], padded[left + a[:, None] + i], 0)
                 i = np.arange(left)[None, :]
                 key[:, length:length + left] = np.where(i < left_end[:, None], padded[left + a[:, None] - 1 - i], 0)
-                key[:, -2], key[:, -1] = right_end, left_end
+                key[:, -4:] = np.stack([right_end, left_end], axis=1).astype(">u2").view(np.uint8)
                 rank = np.argsort(_sortable(key), kind="stable")
                 key, a, d = key[rank], a[rank], d[rank]
                 new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
@@ -249,7 +263,7 @@ def merge_runs(runs: list[tuple[bytes, np.ndarray]], wide: int) -> tuple[np.ndar
     """
     count = len(runs)
     if count == 0:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint16)
     if count == 1:
         return np.zeros(len(runs[0][1]), np.int32), runs[0][1].copy()
     leaves = 1 << (count - 1).bit_length()
@@ -329,7 +343,7 @@ def merge_runs(runs: list[tuple[bytes, np.ndarray]], wide: int) -> tuple[np.ndar
                                 share[w] = both
                                 loser[node], w = w, other
             node >>= 1
-    return np.array(from_run, dtype=np.int32), np.array(shared, dtype=np.uint8)
+    return np.array(from_run, dtype=np.int32), np.array(shared, dtype=np.uint16)
 
 
 def _reach(keys: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,12 +354,15 @@ def _reach(keys: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int)
     left = length - gram_size(length)
     n = len(keys)
     most, least = np.full(n, -1, np.int64), np.full(n, 1 << 30, np.int64)
-    base = np.uint64(0x100000001B3)
-    rights = np.zeros((length + 1, n), dtype=np.uint64) if n else None
+    base = np.uint64(_BASE)
+    shrink = np.uint64(pow(_BASE, -1, 1 << 64))  # takes the last byte out of a hash again
     if n == 0:
         return most, least
+    right_end, left_end = _ends(keys)
+    letter = lambda j: (keys[:, j].astype(np.uint64) + np.uint64(1)) * _M2
+    rights = np.zeros(n, dtype=np.uint64)  # of the first length - o bytes
     for t in range(length):
-        rights[t + 1] = rights[t] * base + (keys[:, t].astype(np.uint64) + np.uint64(1)) * _M2
+        rights = rights * base + letter(t)
     salt = group.astype(np.uint64) * _M1
     power = [np.uint64(1)]
     with np.errstate(over="ignore"):
@@ -354,11 +371,12 @@ def _reach(keys: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int)
         lefts = np.zeros(n, dtype=np.uint64)
         for o in range(left + 1):
             if o:
-                lefts = lefts + (keys[:, length + o - 1].astype(np.uint64) + np.uint64(1)) * _M2 * power[o - 1]
-            ok = np.flatnonzero((keys[:, -1] >= o) & (keys[:, -2] >= length - o))
+                lefts = lefts + letter(length + o - 1) * power[o - 1]
+                rights = (rights - letter(length - o)) * shrink
+            ok = np.flatnonzero((left_end >= o) & (right_end >= length - o))
             if not len(ok):
                 continue
-            h = (lefts[ok] * power[length - o] + rights[length - o][ok]) ^ salt[ok]
+            h = (lefts[ok] * power[length - o] + rights[ok]) ^ salt[ok]
             h *= _M1
             h ^= h >> np.uint64(31)
             order = np.argsort(h)
@@ -375,11 +393,11 @@ def _merge(length: int):
     """Step 4, a part: merge its runs and find the intervals of every block."""
     k = gram_size(length)
     left = length - k
-    wide = length + left + 2
+    wide = key_size(length)
 
     def run(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_pylist() for c in ("_block", "common", "rest", "id", "counts", "docs", "at")}
-        common = [unpack(x, np.uint8) for x in cols["common"]]
+        common = [unpack(x, np.uint16) for x in cols["common"]]
         keys = [_front_decode(c, unpack(x, np.uint8), wide) for c, x in zip(common, cols["rest"])]
         from_run, shared = merge_runs([(m.tobytes(), c) for m, c in zip(keys, common)], wide)
         back = np.argsort(from_run, kind="stable")  # merged place of each key, run by run
@@ -401,7 +419,7 @@ def _merge(length: int):
         most = np.full(len(first), -1, np.int64)
         least = np.full(len(first), 1 << 30, np.int64)
         most[mixed], least[mixed] = _reach(merged[first][mixed], gram[mixed], owner[mixed], length)
-        ends = merged[first][:, -2:].astype(np.int64)
+        right_end, left_end = _ends(merged[first])
         rows: dict[str, list] = {"_block": [], "docs": [], "begin": [], "end": []}
         start = 0
         for b, c, d, a, i in zip(cols["_block"], cols["counts"], cols["docs"], cols["at"], cols["id"]):
@@ -412,8 +430,8 @@ def _merge(length: int):
             ids_of = unpack(i, np.int64)
             # All that stands around the anchor is in a smaller document: every string through the anchor goes.
             known = ids_of > owner[of]
-            o_most = np.where(known, np.minimum(left, ends[of, 1]), most[of])
-            o_least = np.where(known, np.maximum(0, length - ends[of, 0]), least[of])
+            o_most = np.where(known, np.minimum(left, left_end[of]), most[of])
+            o_least = np.where(known, np.maximum(0, length - right_end[of]), least[of])
             hit = (o_most >= 0) & (o_least <= o_most)
             if hit.any():
                 rows["_block"].append(b)
@@ -473,10 +491,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_rows: int = BLOC
     that repeat an id do not take from each other. A null text counts as
     empty. A row with a null id takes no part: it keeps its bytes and none
     are removed for its sake. Texts shorter than ``length`` keep all. Other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. ``length`` goes from 8
+    to 16,384 bytes; others raise a ValueError. Long texts make more blocks
+    and parts: ``BLOCK_BYTES`` of text count as much as ``block_rows`` rows.
     """
-    n = docs.count()
-    blocks, parts = max(1, n // block_rows), max(1, n // part_rows)
+    if not SHORTEST <= length <= LONGEST:
+        raise ValueError(f"length must be from {SHORTEST} to {LONGEST}, not {length}")
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()
+    blocks = max(1, n // block_rows, size // BLOCK_BYTES)
+    parts = max(1, n // part_rows, size // (2 * BLOCK_BYTES))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("_h", F.xxhash64("text"))
     lone = base.filter(F.col("doc_id").isNull())

@@ -155,6 +155,30 @@ def test_repeats_rows_of_one_id_and_empty(spark):
     assert remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("length", [8, 127, 170, 255, 256, 300, 700])
+def test_repeats_of_any_length(spark, length):
+    import random
+
+    from reposcope.llm.suffix_dedup import digest, remove_repeats
+
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh é") for _ in range(900))
+    own = lambda n: "".join(rng.choice("ijklmnop") for _ in range(n))
+    texts = [own(90) + passage, passage[:640] + own(40), own(300) + passage[100:] + own(300), passage[30:750], own(10) + passage + passage, own(2000), passage[:length]]
+    data = [(i * 7, t, *[None] * 3, "", "", "") for i, t in enumerate(texts)]
+    got = digest(remove_repeats(frame(spark, data), length, 3, 2)).collect()
+    want = removed([(r[0], r[1]) for r in data], length)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and sum(w[2] for w in want) >= length
+
+
+@pytest.mark.parametrize("length", [-1, 0, 6, 7, 16385])
+def test_repeats_of_unsupported_length(spark, length):
+    from reposcope.llm.suffix_dedup import remove_repeats
+
+    with pytest.raises(ValueError):
+        remove_repeats(frame(spark), length)
+
+
 def test_merge_runs_is_a_merge_with_shared_prefixes():
     import random
 
