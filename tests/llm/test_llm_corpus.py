@@ -255,3 +255,49 @@ def test_stages_decide_per_row(spark):
     docs = frame(spark, [row(None, text(f"u{i}"), "u") for i in range(400)] + [row(100 + i, text(f"t{i}"), "s") for i in range(60)])
     took = Counter(r["text"] for r in P.mixing_stage(spark, docs, "").collect() if r["doc_id"] is None)
     assert sum(took.values()) == sum(r["copies"] for r in mix(docs).collect() if r["doc_id"] is None) > 0 and max(took.values()) <= 2
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use themselves are the caller's here, with values of their own."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    names = ["_doc", "_key", "_row", "_nth", "_id", "_kept", "_hash", "_spans", "_h", "_null", "_copies", "_copy", "_source", "_words", "_place", "_size",
+             "_stays", "_least", "_text", "size", "copies", "component_id", "text_hash", "kept", "piece", "length", "label", "quality", "a.b"]
+    passage = "the very same words stand here in two of the documents, and they are over fifty bytes long"
+    texts = {1: "alpha beta gamma delta", 2: f"river {passage} stone", 3: f"cloud {passage} wind", 4: None, 5: " ".join(f"w{i}" for i in range(30))}
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in texts.items()] + [(None, "no id here", "en", None, 10)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    tag = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    docs = docs.select("*", *[F.concat(F.lit(n + " of "), tag).alias(n) for n in names])
+    for stage in (P.near_duplicates_stage, P.repeats_stage, P.mixing_stage):
+        out = stage(spark, docs, "")
+        assert out.schema.names == docs.columns
+        got = out.collect()
+        assert got
+        for r in got:
+            own = "none" if r["doc_id"] is None else r["doc_id"]
+            assert all(r[n] == f"{n} of {own}" for n in names) and r["lang"] == "en"
+    cut = {r["doc_id"]: r for r in P.repeats_stage(spark, docs, "").collect()}
+    assert cut[2]["text"] == texts[2] and cut[4]["text"] is None and cut[3]["text"] == "cloudwind" and cut[3]["n_chars"] == 9
+    assert len(P.near_duplicates_stage(spark, docs, "").collect()) == 6
+    packed = P.packing_stage(spark, docs, "").collect()
+    assert {r["doc_id"]: r["text"] for r in packed} == {i: t for i, t in texts.items() if t} | {None: "no id here"}
+
+
+def test_packed_pieces_hold_the_texts(spark):
+    import corpus_pipeline as P
+
+    top = 8192
+    texts = {n: "  " + " \n".join(f"w{i}" for i in range(n)) + "\t" for n in (1, top - 2, top - 1, top, top + 1, 2 * top, 20000)}
+    docs = spark.createDataFrame([(n, t) for n, t in texts.items()] * 2 + [(7, None), (8, "  ")], "doc_id long, text string")
+    got = P.packing_stage(spark, docs, "").collect()
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append((r["piece"], r["text"], r["length"]))
+    assert set(pieces) == set(texts)
+    for n, t in texts.items():
+        own = sorted(pieces[n])
+        assert len(own) == 2 * -(-(n + 1) // top) and own[0::2] == own[1::2]  # both copies alike
+        assert "".join(x for _, x, _ in own[0::2]) == t and sum(k for _, _, k in own[0::2]) == n + 1
+        assert all(len(words(x)) == k - (i == len(own[0::2]) - 1) for i, (_, x, k) in enumerate(own[0::2]))
