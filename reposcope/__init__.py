@@ -10,12 +10,15 @@ from reposcope.functions.sets import jaccard
 from reposcope.functions.time import parse_duration
 from reposcope.operators.embed import embed_texts
 from reposcope.operators.enrich import crawled_since, enrich, repositories_by_ids, repository_ids_page
+from reposcope.operators.facet_index import (add_to_index, facet_filter_indexed, facet_postings, index_table, matching_words,
+                                             remove_from_index)
 from reposcope.operators.facets import facet_filter, parse_facets, recent_crawled_list, top_unseen
 from reposcope.operators.feed import (feed, feed_personalized, feed_rows, feed_trending, repository_detail,
                                       session_history, session_seen, session_views)
 from reposcope.operators.publish import (bot_flag, html_snippet, mark_posted, next_to_post, page_meta,
                                          post_text)
 from reposcope.operators.ranges import adaptive_ranges, range_pages, value_leaves
+from reposcope.operators.seen_set import seen_rows, seen_table, seen_words, top_unseen_stored, update_seen
 from reposcope.operators.similarity import (embed_requests, jaccard_pairs, similar_topk, similarity_from_json,
                                             similarity_hybrid, similarity_job, similarity_json,
                                             upsert_similarity)

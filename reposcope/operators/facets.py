@@ -55,6 +55,14 @@ def top_unseen(ranked: DataFrame, seen: DataFrame, sessions: DataFrame,
     seen_d = seen.select("session_id", "repository_id").distinct()
     k = (seen_d.join(ranked.select("repository_id"), "repository_id")
          .groupBy("session_id").agg(F.count(F.lit(1)).alias("_k")))
+    c = (window_ranks(sessions, k, offset, n, rank_col).join(ranked, rank_col)
+         .join(seen_d, ["session_id", "repository_id"], "left_anti"))
+    return page_of(c, offset, n, rank_col)
+
+
+def window_ranks(sessions: DataFrame, k: DataFrame, offset: int, n: int, rank_col: str) -> DataFrame:
+    """Every session's candidate ranks 1 .. offset + n + k, where ``k``
+    (session_id, _k) counts the listed rows that it has seen."""
     s = sessions.select("session_id").distinct().join(k, "session_id", "left")
     upper = (F.lit(offset + n) + F.coalesce(F.col("_k"), F.lit(0))).cast("bigint")
     # Candidate ranks are generated in chunks spread over tasks, so a
@@ -63,12 +71,14 @@ def top_unseen(ranked: DataFrame, seen: DataFrame, sessions: DataFrame,
     chunks = s.select("session_id", upper.alias("_u"),
                       F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((upper - 1) / chunk).cast("bigint")))
                       .alias("_c")).repartition("session_id", "_c")
-    cand = chunks.select("session_id", F.explode(F.sequence(
+    return chunks.select("session_id", F.explode(F.sequence(
         F.col("_c") * chunk + 1, F.least((F.col("_c") + 1) * chunk, F.col("_u")))).alias(rank_col))
-    c = (cand.join(ranked, rank_col)
-         .join(seen_d, ["session_id", "repository_id"], "left_anti"))
+
+
+def page_of(candidates: DataFrame, offset: int, n: int, rank_col: str) -> DataFrame:
+    """Positions offset + 1 .. offset + n of each session's candidates by rank."""
     pos = F.row_number().over(Window.partitionBy("session_id").orderBy(rank_col))
-    c = c.withColumn("position", pos.cast("bigint"))
+    c = candidates.withColumn("position", pos.cast("bigint"))
     return c.where((F.col("position") > offset) & (F.col("position") <= offset + n))
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reposcope.functions import languages as L
+from reposcope.functions.ordinal import global_rank
 from reposcope.operators import enrich as EN
+from reposcope.operators import facet_index as FI
 from reposcope.operators import facets as FA
 from reposcope.operators import feed as FD
 from reposcope.operators import neighbour_index as NI
 from reposcope.operators import rollup as RU
+from reposcope.operators import seen_set as SE
 from reposcope.operators import snapshots as S
 from reposcope.plans import params as P
 from reposcope.plans.catalog import ORDERS_ORDER, register
@@ -92,6 +95,48 @@ def q_recent_crawled_list(spark, sf):
                                   **facets_kw(spark, sf))
 
 
+def _facet_index(spark, sf):
+    """The facet index folded together from two batches of bridge rows."""
+    table = FI.index_table(spark, scratch_path(spark, "facet-index"), buckets=8)
+    kw = facets_kw(spark, sf)
+    for part in range(2):
+        FI.add_to_index(table, part, *[kw[b].where(F.pmod(F.xxhash64(*kw[b].columns), F.lit(2)) == part) for b in ("langs", "tags", "topics")])
+    return table
+
+
+def _seen_table(spark, sf):
+    """The seen sets folded together from two batches of views."""
+    table = SE.seen_table(spark, scratch_path(spark, "seen"), buckets=8)
+    views = FX.views(spark, sf)
+    for part in range(2):
+        SE.update_seen(table, part, views.where(F.pmod(F.xxhash64(*views.columns), F.lit(2)) == part))
+    return table
+
+
+FACET_REQUEST = dict(languages=P.FACET_LANGUAGES, tag_names=P.FACET_TAGS, topic_names=P.FACET_TOPICS)
+
+
+@register("facet_filter_indexed")
+def q_facet_filter_indexed(spark, sf):
+    tr = trending_orders(spark, sf).select("repository_id", "rank")
+    return FI.facet_filter_indexed(tr, _facet_index(spark, sf), **FACET_REQUEST)
+
+
+@register("session_seen_stored")
+def q_session_seen_stored(spark, sf):
+    return SE.seen_rows(_seen_table(spark, sf).read())
+
+
+@register("recent_crawled_stored")
+def q_recent_crawled_stored(spark, sf):
+    """``recent_crawled_list`` from the stored facet index and the stored seen sets."""
+    crawled = FX.repos(spark, sf).select(F.col("id").alias("repository_id"), "last_crawled_at")
+    f = FI.facet_filter_indexed(crawled, _facet_index(spark, sf), **FACET_REQUEST)
+    ranked = global_rank(f, [F.desc("last_crawled_at"), F.asc("repository_id")])
+    return SE.top_unseen_stored(ranked, _seen_table(spark, sf).read(), sessions(spark, sf), 0, P.RECENT_LIST_LIMIT).select(
+        "session_id", "position", "repository_id", "last_crawled_at")
+
+
 @register("parse_facets")
 def q_parse_facets(spark, sf):
     r = FX.facet_requests(spark, sf)

@@ -64,6 +64,8 @@ def more() -> dict[str, str]:
                                            ORDER BY last_crawled_at DESC, repository_id) AS position FROM c)
         SELECT session_id, position, repository_id, last_crawled_at FROM r
         WHERE position <= {P.RECENT_LIST_LIMIT}""", "f_repos", "f_langs", "f_tags", "f_topics", "f_views")
+    q["facet_filter_indexed"] = q["facet_filter"]
+    q["recent_crawled_stored"] = q["recent_crawled_list"]
     q["parse_facets"] = sql("""
         WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS id,
                           CASE WHEN p_partkey % 5 = 0 THEN ''
@@ -120,6 +122,7 @@ def more() -> dict[str, str]:
                                                  ORDER BY viewed_at DESC, repository_id DESC) AS rn
                        FROM f_views) WHERE rn <= {P.HISTORY_LIMIT}""", "f_views")
     q["session_seen"] = sql("SELECT DISTINCT session_id, repository_id FROM f_views", "f_views")
+    q["session_seen_stored"] = q["session_seen"]
     q["feed_trending"] = sql(f"""
         WITH tr AS ({TREND_OR}),
         sess AS (SELECT DISTINCT session_id FROM f_views),

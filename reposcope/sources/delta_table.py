@@ -92,6 +92,10 @@ class DeltaTable:
             wanted = wanted | ((F.col(name) == n) & F.col("bucket").isin(own))
         return rows.where(wanted).withColumnRenamed(name, f"_{name}").drop("bucket")
 
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        """The buckets that rows fall into: ``buckets`` numbers at most."""
+        return [r["b"] for r in rows.select(self._bucket().alias("b")).distinct().collect()]
+
     # -- reading ----------------------------------------------------------------------------
 
     def read(self, seq: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
@@ -132,8 +136,7 @@ class DeltaTable:
 
     def _current(self, state: dict, incoming: DataFrame) -> DataFrame:
         keys = incoming.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)]).distinct()
-        touched = [r["b"] for r in incoming.select(self._bucket().alias("b")).distinct().collect()]  # ``buckets`` values at most
-        return self._merged(state, touched).join(keys, self._same(keys), "left_semi")
+        return self._merged(state, self.buckets_of(incoming)).join(keys, self._same(keys), "left_semi")
 
     # -- changing ---------------------------------------------------------------------------
 
