@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import saved
 from .components import connected_components
@@ -276,11 +275,14 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold=THRESHOLD, block:
     rows = saved(dealt.groupBy("_block").cogroup(counted.groupBy("_block")).applyInArrow(
         frugal_pair(_routed(size, threshold, parts)), "doc_id long, n long, node long, keys array<long>"), "jaccard-sets")
     full = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = saved(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-nodes")
-
-    keyed = full.select("node", F.explode("keys").alias("key"))
-    near = (keyed.withColumn("first", F.min("node").over(Window.partitionBy("key")))
-            .filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    # Equal sets have equal keys: they are taken once per node, however many copies it stands for.
+    nodes = saved(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "jaccard-nodes")
+
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    # A partial aggregate and a join back, so that a key of very many nodes is no single task.
+    least = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    near = keyed.join(least, "key").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    nodes = nodes.drop("keys")
     families = connected_components(near)
     members = saved(families.select("node", F.col("component").alias("family")).join(nodes, "node"), "jaccard-families")
     count = members.count()
