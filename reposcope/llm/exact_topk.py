@@ -7,11 +7,17 @@ of the id. Blocks of queries meet blocks of data; cell pairs whose bound is
 below every kth score that the queries already have against the sample are
 never sent. Inside a pair both sides are cover trees: a node's children are
 farthest-first centres, further apart than the radius that then covers its
-points. Node pairs are pruned if
+points. Node pairs are pruned if the smaller of two bounds is below the worst
+kth score under the query node: that of the centres,
 
-    <cq, cx> + rq |cx| + rx |cq| + rq rx  <  worst kth score under the query node.
+    <cq, cx> + rq |cx| + rx |cq| + rq rx,
 
-Scores are integers and exact; the sample only supplies first bounds, and
+and that of the distance, since 2 <q, x> = |q|^2 + |x|^2 - |q - x|^2:
+
+    (max |q|^2 + max |x|^2 - max(0, |cq - cx| - rq - rx)^2) / 2.
+
+Pairs of a query and a leaf are pruned by the same bounds with rq = 0. More
+vectors have more pivots, so that cells stay narrow. Scores are integers and exact; the sample only supplies first bounds, and
 every row is searched.
 """
 
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 SAMPLE = 2048  # rows that pivots and first bounds come from
-PIVOTS = 32
+PIVOTS, MOST_PIVOTS = 32, 512  # one for each data block, within these
 QUERY_BLOCK = 4096
 DATA_BLOCK = 8192
 LEAF, FAN = 32, 16
@@ -48,6 +54,8 @@ class CoverTree:
         self.centers = np.array(self.center).reshape(len(self.center), points.shape[1])
         self.norms = np.sqrt((self.centers ** 2).sum(axis=1))
         self.radii = np.array(self.radius)
+        norms = np.sqrt((points ** 2).sum(axis=1))
+        self.longest = np.array([norms[self.order[lo:hi]].max() for _, (lo, hi) in sorted(self.span.items())])
 
     def _build(self, rows: np.ndarray, center: int) -> int:
         c = self.points[rows[center]]
@@ -74,6 +82,18 @@ class CoverTree:
         return node
 
 
+def score_bound(dots, cq, rq, qmax, cx, rx, xmax, dim: int):
+    """Largest inner product of points within rq and rx of centres with norms cq and cx, of norms up to qmax and xmax.
+
+    Rounding of a dot product is relative to the norms, not to its value: the
+    slack is too. Arguments broadcast against each other.
+    """
+    slack = 1e-15 * (dim + 16) * (cq + rq + cx + rx) ** 2
+    far = np.sqrt(np.maximum(0, cq * cq + cx * cx - 2 * dots - slack))
+    by_distance = (qmax * qmax + xmax * xmax - np.maximum(0, far - rq - rx) ** 2) / 2
+    return np.minimum(dots + rq * cx + rx * cq + rq * rx, by_distance) + slack + 0.5  # scores are integers
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of integer rows, exact; beyond 64 bits they stop at the ends of the range."""
     if not len(q) or not len(x):
@@ -114,17 +134,18 @@ class _Best:
 
 
 def dual_tree(q_ids: np.ndarray, q: np.ndarray, x_ids: list[np.ndarray], x: np.ndarray, k: int, first_bound: np.ndarray) -> _Best:
-    """k best data ids of each query. ``x`` has distinct vectors, ``x_ids`` the ids of each."""
+    """k best data ids of each query. ``x`` has distinct vectors, ``x_ids`` the ids of each; ``scored`` of the result counts the pairs that no bound pruned."""
     best = _Best(q_ids, k)
     best.bound = first_bound.astype(float).copy()
+    best.scored = 0
     queries, data = CoverTree(q.astype(np.float64)), CoverTree(x.astype(np.float64))
     if not len(q) or not len(x):
         return best
+    queries_norms = np.sqrt((queries.points ** 2).sum(axis=1))
 
     def bounds(node: int, others: np.ndarray) -> np.ndarray:
-        c, r = queries.centers[node], queries.radii[node]
-        got = data.centers[others] @ c + r * data.norms[others] + data.radii[others] * queries.norms[node] + r * data.radii[others]
-        return got * (1 + 1e-12 * np.sign(got)) + 0.5  # scores are integers
+        return score_bound(data.centers[others] @ queries.centers[node], queries.norms[node], queries.radii[node], queries.longest[node],
+                           data.norms[others], data.radii[others], data.longest[others], q.shape[1])
 
     def search(node: int, others: np.ndarray) -> None:
         lo, hi = queries.span[node]
@@ -145,15 +166,21 @@ def dual_tree(q_ids: np.ndarray, q: np.ndarray, x_ids: list[np.ndarray], x: np.n
         if not len(others):
             return
         order = others[np.argsort(-bounds(node, others), kind="stable")]
-        step = 8
+        step, norms = 8, queries_norms[own][:, None]
         for i in range(0, len(order), step):
             some = order[i:i + step]
             some = some[bounds(node, some) >= best.bound[own].min()]
             if not len(some):
                 break
+            single = score_bound(queries.points[own] @ data.centers[some].T, norms, 0.0, norms, data.norms[some], data.radii[some], data.longest[some],
+                                 q.shape[1]) >= best.bound[own][:, None]
+            some, asking = some[single.any(axis=0)], np.array(own)[single.any(axis=1)]
+            if not len(some):
+                continue
             points = np.concatenate([data.order[slice(*data.span[o])] for o in some]).astype(np.int64)
-            scores = exact_scores(q[own], x[points])
-            for row, query in enumerate(own):
+            scores = exact_scores(q[asking], x[points])
+            best.scored += scores.size
+            for row, query in enumerate(asking):
                 near = np.flatnonzero(scores[row] >= best.bound[query])
                 if len(near):
                     ids = [x_ids[p] for p in points[near]]
@@ -227,7 +254,7 @@ def _least(ids: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ids)[:n]
 
 
-def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, sample: int = SAMPLE, pivots: int = PIVOTS,
+def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, sample: int = SAMPLE, pivots: int | None = None,
                id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k highest integer inner products of every query: query_id, rank (from 1), vec_id, score.
 
@@ -250,6 +277,7 @@ def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1
     if not n or not queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(1, dim)
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, n // DATA_BLOCK))
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     points, ids = _matrix(some.column("v"), dim), some.column("vec_id").to_numpy()
     _, once = np.unique(ids, return_index=True)  # a first bound needs k different ids
@@ -262,16 +290,17 @@ def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1
     coarse = min(len(top), -(-queries // QUERY_BLOCK))
     placed = saved(rows.mapInArrow(_assign(top, coarse, dim, points, ids, k, every),
                                    "vec_id long, v array<long>, cell int, gap double, query boolean, qcell int, qgap double, bound double"), "topk-cells")
-    # At most `pivots` rows each: sizes, radii and the worst bound of the cells.
-    data = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r")).collect()
-    asked = placed.filter("query").groupBy("qcell").agg(F.count(F.lit(1)).alias("n"), F.max("qgap").alias("r"), F.min("bound").alias("b")).collect()
+    # At most `pivots` rows each: sizes, radii, largest norms and the worst bound of the cells.
+    norm = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c))).alias("m")
+    data = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r"), norm).collect()
+    asked = placed.filter("query").groupBy("qcell").agg(F.count(F.lit(1)).alias("n"), F.max("qgap").alias("r"), F.min("bound").alias("b"), norm).collect()
     norms = np.sqrt((top.astype(float) ** 2).sum(axis=1))
+    cells, radii, longest = np.array([x["cell"] for x in data]), np.array([x["r"] for x in data]), np.array([x["m"] for x in data])
     pairs = []
     for q in asked:
-        for x in data:
-            bound = float(top[q["qcell"]].astype(float) @ top[x["cell"]].astype(float)) + q["r"] * norms[x["cell"]] + x["r"] * norms[q["qcell"]] + q["r"] * x["r"]
-            if bound * (1 + 1e-9 * np.sign(bound)) + 1 >= q["b"]:
-                pairs.append((q["qcell"], x["cell"], -(-q["n"] // QUERY_BLOCK), -(-x["n"] // DATA_BLOCK)))
+        own = q["qcell"]
+        bound = score_bound(top[cells].astype(float) @ top[own].astype(float), norms[own], q["r"], q["m"], norms[cells], radii, longest, dim)
+        pairs += [(own, x["cell"], -(-q["n"] // QUERY_BLOCK), -(-x["n"] // DATA_BLOCK)) for x, b in zip(data, bound) if b >= q["b"]]
     table = F.broadcast(spark.createDataFrame(pairs, "qcell int, cell int, _nq int, _nx int"))  # pivots squared at most
     spread = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))

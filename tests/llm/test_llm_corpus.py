@@ -91,6 +91,30 @@ def test_pack_lengths():
     assert pack_lengths([], (16, 32)) == ([], [], [])
 
 
+def test_pack_lengths_against_brute_force():
+    """Every piece goes to the tightest open bin, else opens the length that costs least for each place filled."""
+    from reposcope.llm.packing import cost, pack_lengths
+
+    for seed, capacities in enumerate([(16, 32, 64), (64,), (10, 64, 65, 130), (512, 1024, 2048, 4096, 8192)]):
+        rng = random.Random(seed)
+        lengths = sorted([min(capacities[-1], max(1, int(rng.lognormvariate(0.4, 1.1) * capacities[-1] / 8))) for _ in range(400)], reverse=True)
+        where, offset, size = pack_lengths(lengths, capacities)
+        opened, used = [], []
+        for i, (n, b, o) in enumerate(zip(lengths, where, offset)):
+            room = [c - u for c, u in zip(opened, used)]
+            fits = [r for r in room if r >= n]
+            if fits:
+                assert b < len(opened) and room[b] == min(fits)
+            else:
+                rest = sum(lengths[i:])
+                assert b == len(opened)
+                opened.append(min((c for c in capacities if c >= n), key=lambda c: (cost(c) / min(c, rest), c)))
+                used.append(0)
+            assert o == used[b]
+            used[b] += n
+        assert size == [min(c for c in capacities if c >= u) for u in used]
+
+
 def test_pack(spark):
     from reposcope.llm.packing import pack, sequences
 

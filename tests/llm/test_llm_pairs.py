@@ -161,6 +161,39 @@ def test_cover_tree_covers_and_prunes():
                                                 [5 * 2 ** 40 - 3 * 2 ** 45, min(2 ** 63 - 1, 25 + 2 ** 90)]], dtype=object).astype(np.int64)).all()
 
 
+def test_score_bounds_hold_and_prune():
+    """No pair is above its bound; on clustered vectors most pairs are never scored, and the answers stay exact."""
+    from reposcope.llm.exact_topk import CoverTree, dual_tree, exact_scores, score_bound
+
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(60, 16))
+    points = centers[rng.integers(0, 60, size=4000)] + 0.05 * rng.normal(size=(4000, 16))
+    points = np.unique(np.floor(1024 * points / np.sqrt((points ** 2).sum(axis=1))[:, None]).astype(np.int64), axis=0)
+    ids = np.arange(len(points))
+    asked = ids[::20]
+    scores = exact_scores(points[asked], points)
+    scores[np.arange(len(asked)), asked] = -2 ** 62
+    top = np.stack([np.lexsort((ids, -row))[:10] for row in scores])
+    kth = scores[np.arange(len(asked)), top[:, -1]].astype(float)
+    best = dual_tree(asked, points[asked], [np.array([i]) for i in ids], points, 10, np.full(len(asked), -np.inf))
+    assert [[i for _, i in f] for f in best.found] == top.tolist()
+    assert best.scored < 0.3 * len(asked) * len(points)
+    known = dual_tree(asked, points[asked], [np.array([i]) for i in ids], points, 10, kth)
+    assert [[i for _, i in f] for f in known.found] == top.tolist() and known.scored <= best.scored
+
+    for scale in (1.0, 1e6, 1e9):
+        rows_ = np.floor(points[:300] * scale)
+        tree = CoverTree(rows_)
+        for node in range(0, len(tree.radii), 3):
+            own = tree.order[slice(*tree.span[node])]
+            for other in range(0, len(tree.radii), 5):
+                theirs = tree.order[slice(*tree.span[other])]
+                bound = score_bound(tree.centers[node] @ tree.centers[other], tree.norms[node], tree.radii[node], tree.longest[node],
+                                    tree.norms[other], tree.radii[other], tree.longest[other], 16)
+                exact = max(sum(int(a) * int(b) for a, b in zip(rows_[i], rows_[j])) for i in own[:3] for j in theirs[:3])
+                assert exact <= bound
+
+
 def test_words_of_batches():
     from reposcope.llm.words import shingles, words as hashes
 
