@@ -11,6 +11,7 @@ from reposcope.operators import facet_index as FI
 from reposcope.operators import facets as FA
 from reposcope.operators import feed as FD
 from reposcope.operators import neighbour_index as NI
+from reposcope.operators import paging as PG
 from reposcope.operators import rollup as RU
 from reposcope.operators import seen_set as SE
 from reposcope.operators import snapshots as S
@@ -77,6 +78,23 @@ def q_repository_ids_page(spark, sf):
     return EN.repository_ids_page(FX.repos(spark, sf), P.ID_PAGE_LIMIT, P.ID_PAGE_OFFSET)
 
 
+def _deep_page(df, order, spark):
+    """The page that begins at nine tenths of a stored list."""
+    path = scratch_path(spark, "ranked-list")
+    PG.write_ranked(df, order, path, rows_per_range=P.RANGE_ROWS)
+    return PG.page(spark, path, PG.ranked_rows(spark, path) * 9 // 10, P.ID_PAGE_LIMIT, df.schema)
+
+
+@register("repository_ids_deep_page")
+def q_repository_ids_deep_page(spark, sf):
+    return _deep_page(FX.repos(spark, sf).select("id"), [F.asc("id")], spark)
+
+
+@register("recent_list_deep_page")
+def q_recent_list_deep_page(spark, sf):
+    return _deep_page(FX.repos(spark, sf).select("id", "last_crawled_at"), [F.desc("last_crawled_at"), F.asc("id")], spark)
+
+
 @register("crawled_since")
 def q_crawled_since(spark, sf):
     return EN.crawled_since(FX.repos(spark, sf), P.CRAWLED_SINCE)

@@ -44,6 +44,11 @@ def more() -> dict[str, str]:
     q["repository_ids_page"] = sql(f"""
         SELECT id FROM f_repos ORDER BY id LIMIT {P.ID_PAGE_LIMIT} OFFSET {P.ID_PAGE_OFFSET}""",
                                    "f_repos")
+    for name, cols, order in (("repository_ids_deep_page", "id", "id"),
+                              ("recent_list_deep_page", "id, last_crawled_at", "last_crawled_at DESC, id")):
+        q[name] = sql(f"""
+            SELECT {cols}, rank FROM (SELECT {cols}, row_number() OVER (ORDER BY {order}) AS rank, count(*) OVER () AS n FROM f_repos)
+            WHERE rank > n * 9 // 10 AND rank <= n * 9 // 10 + {P.ID_PAGE_LIMIT}""", "f_repos")
     q["crawled_since"] = sql(f"""
         SELECT id FROM f_repos WHERE last_crawled_at >= {_ts(P.CRAWLED_SINCE)}""", "f_repos")
     q["facet_filter"] = sql(f"""

@@ -27,6 +27,7 @@ SIMILARITY_K = 10
 FEED_FACET_TOPICS = ("ECONOMY", "STANDARD", "PROMO", "red", "blue", "green")
 RANGE_LO, RANGE_HI, RANGE_CAP, RANGE_PAGE = 50, 1_000_000, 1000, 100
 ID_PAGE_LIMIT, ID_PAGE_OFFSET = 50, 100
+RANGE_ROWS = 500  # rows of a stored range, small so that the test tables have several
 SNIPPET_CHARS = 400
 POST_LIMIT_BYTES = 270
 BASE_URL = "https://example.org"
