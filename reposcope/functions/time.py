@@ -64,6 +64,24 @@ def parse_duration(text: str) -> timedelta:
     return timedelta(seconds=-seconds if text.startswith("-") else seconds)
 
 
+#: Microseconds of each unit of a duration text.
+UNIT_MICROS = {"ns": 1e-3, "us": 1.0, "µs": 1.0, "ms": 1e3, "s": 1e6, "m": 60e6, "h": 3600e6, "months": 30 * 86400e6, "years": 365 * 86400e6}
+_PART = r"(\d+(?:\.\d+)?)(ns|us|µs|ms|h|m|s)"
+
+
+def duration_micros(text: Column) -> Column:
+    """``parse_duration`` of a column, in microseconds; null for null and invalid texts."""
+    t = F.trim(text)
+    calendar = t.rlike(r"^-?\d+ (months|years)$")
+    clock = t.rlike(f"^[-+]?(?:{_PART})+$")
+    micros = F.create_map(*[F.lit(x) for pair in UNIT_MICROS.items() for x in pair])
+    of_calendar = F.split_part(t, F.lit(" "), F.lit(1)).try_cast("double") * micros[F.split_part(t, F.lit(" "), F.lit(2))]
+    parts = F.zip_with(F.regexp_extract_all(t, F.lit(_PART), F.lit(1)), F.regexp_extract_all(t, F.lit(_PART), F.lit(2)),
+                       lambda n, unit: n.try_cast("double") * micros[unit])
+    of_clock = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) * F.when(t.startswith("-"), -1).otherwise(1)
+    return F.round(F.when(calendar, of_calendar).when(clock, of_clock)).cast("bigint")
+
+
 def month_key(ts: Column) -> Column:
     """``yyyyMM`` partition key of a timestamp or date."""
     return F.date_format(ts, "yyyyMM")

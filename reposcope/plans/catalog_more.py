@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import languages as L
 from reposcope.functions.ordinal import global_rank
+from reposcope.functions.time import duration_micros
 from reposcope.operators import enrich as EN
 from reposcope.operators import facet_index as FI
 from reposcope.operators import facets as FA
@@ -448,6 +449,11 @@ def q_bot_flag(spark, sf):
     return FX.user_agents(spark, sf).select("doc_id", PB.bot_flag(F.col("user_agent")).alias("is_bot"))
 
 
+@register("duration_texts")
+def q_duration_texts(spark, sf):
+    return FX.duration_texts(spark, sf).withColumn("micros", duration_micros(F.col("text")))
+
+
 @register("readme_text")
 def q_readme_text(spark, sf):
     store = FX.readme_store(spark, sf)

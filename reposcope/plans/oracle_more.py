@@ -71,6 +71,12 @@ def more() -> dict[str, str]:
         WHERE position <= {P.RECENT_LIST_LIMIT}""", "f_repos", "f_langs", "f_tags", "f_topics", "f_views")
     q["facet_filter_indexed"] = q["facet_filter"]
     q["recent_crawled_stored"] = q["recent_crawled_list"]
+    q["duration_texts"] = sql("""
+        WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS BIGINT) AS n, CAST(p_partkey % 60 AS BIGINT) AS m FROM part)
+        SELECT id, CASE id % 5 WHEN 0 THEN n || ' months' WHEN 1 THEN '-' || n || ' years' WHEN 2 THEN n || 'h' || m || 'm'
+                               WHEN 3 THEN ' -' || m || '.5s' || n || 'ms ' ELSE n || ' h' END AS text,
+               CASE id % 5 WHEN 0 THEN n * 30 * 86400000000 WHEN 1 THEN -n * 365 * 86400000000 WHEN 2 THEN (n * 60 + m) * 60000000
+                           WHEN 3 THEN -(m * 1000000 + 500000 + n * 1000) END AS micros FROM t""")
     q["parse_facets"] = sql("""
         WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS id,
                           CASE WHEN p_partkey % 5 = 0 THEN ''

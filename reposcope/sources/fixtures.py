@@ -188,6 +188,18 @@ def facet_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").cast("bigint").alias("id"), req.alias("request"))
 
 
+def duration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duration texts (id, text) of every form, from the parts' ids and sizes; every fifth is no duration."""
+    p = table(spark, sf_dir, "part")
+    size, minute, form = F.col("p_size").cast("string"), (F.col("p_partkey") % 60).cast("string"), F.col("p_partkey") % 5
+    text = (F.when(form == 0, F.concat(size, F.lit(" months")))
+            .when(form == 1, F.concat(F.lit("-"), size, F.lit(" years")))
+            .when(form == 2, F.concat(size, F.lit("h"), minute, F.lit("m")))
+            .when(form == 3, F.concat(F.lit(" -"), minute, F.lit(".5s"), size, F.lit("ms ")))
+            .otherwise(F.concat(size, F.lit(" h"))))
+    return p.select(F.col("p_partkey").cast("bigint").alias("id"), text.alias("text"))
+
+
 def readme_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """README object store rows (object_key, body) from ``documents``."""
     d = table(spark, sf_dir, "documents")

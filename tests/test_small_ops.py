@@ -71,6 +71,22 @@ def test_html_snippet_and_bot_flag(spark):
     assert got[1].s == "a b" and got[1].b is False
 
 
+def test_duration_column_equals_the_function(spark):
+    from datetime import timedelta
+
+    from reposcope.functions.time import duration_micros
+
+    texts = ["24 months", "-2 years", "1h30m", " 720h ", "-1.5h", "+2m3s", "15ms", "7us", "7µs", "2600ns", "0s",
+             "", "h", "3 days", "1h 30m", "5", "1 month", "h1", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in df.select("text", duration_micros(df["text"]).alias("micros")).collect():
+        try:
+            expected = round(parse_duration(row["text"]) / timedelta(microseconds=1))
+        except (ValueError, AttributeError):
+            expected = None
+        assert row["micros"] == expected, row
+
+
 def test_parse_duration():
     assert parse_duration("24 months").days == 720
     assert parse_duration("2 years").days == 730
