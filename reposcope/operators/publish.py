@@ -67,14 +67,15 @@ def html_snippet(html: Column, n: int = 400) -> Column:
     return F.substring(s, 1, n)
 
 
-def page_meta(repos: DataFrame, site_name: str, base_url: str) -> DataFrame:
-    """Share-page meta text per repository.
+def page_meta(repos: DataFrame, site_name: str, base_url: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Share-page meta text per repository; ``keep`` names columns that pass through.
     → repository_id, title, description, og_image, meta_html"""
     out = repos.select(
         F.col("id").alias("repository_id"), F.col("full_name"),
         F.concat("full_name", F.lit(f" - {site_name}")).alias("title"),
         F.coalesce("description", F.lit("")).alias("description"),
         F.concat(F.lit(base_url.rstrip("/") + "/api/og?id="), F.col("id").cast("string")).alias("og_image"),
+        *keep,
     )
     d, img, name = F.col("description"), F.col("og_image"), F.col("full_name")
     meta = F.format_string(META_TEMPLATE, F.col("title"), d, name, d, img, name, d, img)

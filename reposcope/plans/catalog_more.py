@@ -436,11 +436,14 @@ def q_page_meta(spark, sf):
 @register("page_render")
 def q_page_render(spark, sf):
     """Share pages served to crawlers: each landed page (page_id = repository
-    id) with its title element replaced by the repository's meta block."""
-    meta = PB.page_meta(FX.repos(spark, sf), "reposcope", P.BASE_URL)
-    pages = FX.table(spark, sf, "pages").join(meta.withColumnRenamed("repository_id", "page_id"), "page_id")
+    id) with its title element replaced by the repository's meta block.
+
+    Neither side is broadcast: files say little about the size of pages or
+    of meta blocks. The blocks are made of joined rows."""
+    pages = FX.table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html")
+    pages = PB.page_meta(pages.join(FX.repos(spark, sf).hint("merge"), "id"), "reposcope", P.BASE_URL, keep=("html",))
     html = PB.inject_meta(F.col("html"), F.col("meta_html"))
-    return pages.select("page_id", F.length(html).cast("bigint").alias("n_chars"),
+    return pages.select(F.col("repository_id").alias("page_id"), F.length(html).cast("bigint").alias("n_chars"),
                         F.sha2(html, 256).alias("html_sha256"))
 
 
