@@ -35,15 +35,15 @@ SAMPLE = 2048  # rows that pivots and first bounds come from
 PIVOTS, MOST_PIVOTS = 32, 512  # one for each data block, within these
 QUERY_BLOCK = 4096
 DATA_BLOCK = 8192
-LEAF, FAN = 32, 16
+LEAF, QUERY_LEAF, FAN = 512, 64, 16  # leaves are scored by matrix products: what a node costs is paid for by many points
 BASE = 1.3  # a node's children cover its points with this much less radius, if FAN of them can
 
 
 class CoverTree:
     """Nodes as arrays: centre, radius, children or (for leaves) points in order."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int | None = None):
+        self.points, self.leaf = points, leaf or LEAF
         self.order: list[int] = []
         self.center: list[np.ndarray] = []
         self.radius: list[float] = []
@@ -65,7 +65,7 @@ class CoverTree:
         self.radius.append(float(gap.max()) * (1 + 1e-9))
         self.children.append([])
         start = len(self.order)
-        if len(rows) <= LEAF or gap.max() == 0:
+        if len(rows) <= self.leaf or gap.max() == 0:
             self.order.extend(rows.tolist())
         else:
             chosen, nearest, target = [center], np.zeros(len(rows), dtype=np.int64), gap.max() / BASE
@@ -138,7 +138,7 @@ def dual_tree(q_ids: np.ndarray, q: np.ndarray, x_ids: list[np.ndarray], x: np.n
     best = _Best(q_ids, k)
     best.bound = first_bound.astype(float).copy()
     best.scored = 0
-    queries, data = CoverTree(q.astype(np.float64)), CoverTree(x.astype(np.float64))
+    queries, data = CoverTree(q.astype(np.float64), QUERY_LEAF), CoverTree(x.astype(np.float64))
     if not len(q) or not len(x):
         return best
     queries_norms = np.sqrt((queries.points ** 2).sum(axis=1))

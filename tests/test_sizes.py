@@ -19,3 +19,71 @@ def test_page_render_broadcasts_neither_pages_nor_meta(spark, tmp_path):
     assert [r[0] for r in rows] == [1, 2, 2] and rows[0][1] > 500
     assert {r[1] for r in rows[1:]} == {None, len("<p>no title</p>")}
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _copied(spark, n, block_rows=None):
+    """Vectors that the exact search shuffles to its kernel, for n of them."""
+    from reposcope.operators import similarity as SI
+
+    seen = []
+    kernel, SI._cogrouped = SI._cogrouped, lambda qs, cs, keys, k, groups: (seen.append(qs.count() + cs.count()), kernel(qs, cs, keys, k, groups))[1]
+    try:
+        vec = spark.range(n).select(F.col("id").alias("repository_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(i * F.col("id"))).alias("embedding"))
+        SI.similar_topk(vec, 3)
+    finally:
+        SI._cogrouped = kernel
+    return seen[0]
+
+
+def test_copies_of_vectors_grow_with_the_vectors(spark):
+    assert _copied(spark, 60_000) <= 6.1 * _copied(spark, 10_000)
+
+
+def test_kernel_keeps_ties_repeated_ids_and_odd_vectors():
+    import pandas as pd
+
+    from reposcope.operators import similarity as SI
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 5))
+    x = np.concatenate([x, np.tile(x[:3], (400, 1))])  # many copies, more than a list holds
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(len(x)) // 2 * 3  # every id twice
+    x[7] = np.nan
+    got = SI._block_topk(4, rows_per_slice=50)(pd.DataFrame({"q_id": ids, "q_unit": list(x)}), pd.DataFrame({"c_id": ids, "c_unit": list(x)}))
+    s = np.einsum("id,jd->ij", x, x)
+    want = []
+    for i in np.flatnonzero(np.isfinite(x[:, 0])):
+        able = np.flatnonzero((ids != ids[i]) & np.isfinite(s[i]))
+        best = able[np.lexsort((ids[able], -np.round(s[i][able], 9)))][:4]
+        want += [(int(ids[i]), int(ids[j]), round(float(s[i, j]), 9) + 0.0) for j in best]
+    assert sorted((a, b, round(c, 9) + 0.0) for a, b, c in zip(got.source_id, got.candidate_id, got.cosine)) == sorted(want)
+
+
+def test_kernel_holds_a_small_matrix_of_products():
+    import tracemalloc
+
+    from reposcope.operators import similarity as SI
+    x = np.random.default_rng(4).normal(size=(20_000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x))
+    import pyarrow as pa
+    side = lambda p, m: pa.table({f"{p}_id": ids[:m], f"{p}_unit": pa.FixedSizeListArray.from_arrays(pa.array(x[:m].ravel()), 8).cast(pa.list_(pa.float64()))})
+    q, c = side("q", 3000), side("c", 20_000)
+    tracemalloc.start()
+    SI._block_topk(5)(q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_dual_tree_scores_blocks_not_handfuls(monkeypatch):
+    from reposcope.llm import exact_topk as E
+    rng = np.random.default_rng(6)
+    x = rng.integers(-1000, 1000, size=(6000, 32))
+    q, calls, scores = x[:60], [], E.exact_scores
+    monkeypatch.setattr(E, "exact_scores", lambda a, b: (calls.append(len(b)), scores(a, b))[1])
+    found = E.dual_tree(np.arange(60), q, [np.array([i]) for i in range(len(x))], x, 5, np.full(60, -np.inf)).found
+    s = q @ x.T
+    s[np.arange(60), np.arange(60)] = -(1 << 60)
+    assert [[i for _, i in f] for f in found] == [list(np.lexsort((np.arange(len(x)), -row))[:5]) for row in s]
+    assert len(calls) <= 20
