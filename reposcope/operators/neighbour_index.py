@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reposcope.operators.similarity import unit_vectors
+from reposcope.operators.similarity import unit_vectors, vector_rows
 from reposcope.session import materialized, scratch_path
 
 #: Entries that one task scores at a time, about.
@@ -66,12 +66,6 @@ class IndexModel:
         return np.ascontiguousarray(rest[:, :self.dim])
 
 
-def _matrix(column) -> np.ndarray:
-    """Vectors of one length, as rows."""
-    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), dtype=np.int64)
     half = (c * c).sum(axis=1) / 2
@@ -96,7 +90,7 @@ def _books(parts: int, width: int, rounds: int, seed: int):
     """A task learns the code book of one part of the residuals."""
     def run(table: pa.Table) -> pa.Table:
         j = table.column("part")[0].as_py()
-        x = _matrix(table.column("x")).astype(np.float64)
+        x = vector_rows(table.column("x")).astype(np.float64)
         book = _means(x, CODES, rounds, seed + j)
         book = np.concatenate([book, np.repeat(book[:1], CODES - len(book), axis=0)])
         return pa.table({"part": pa.array([j], pa.int32()), "book": pa.array([book.ravel().tolist()], pa.list_(pa.float64()))})
@@ -118,7 +112,7 @@ def fit_index(vectors: DataFrame, k: int = 10, lists: int | None = None, sample_
     sample = u.orderBy(F.xxhash64("repository_id"), "repository_id").limit(sample_rows).select(F.col("unit").cast("array<float>").alias("unit")).toArrow()
     if not sample.num_rows:
         return None
-    x = _matrix(sample.column("unit")).astype(np.float64)
+    x = vector_rows(sample.column("unit")).astype(np.float64)
     n = vectors.count()
     most = max(1, min(sample_rows // 32, len(x) // 2))
     centroids = _means(x, min(most, lists or max(1, round(math.sqrt(n)))), rounds, seed)
@@ -158,7 +152,7 @@ def _coded(model: IndexModel):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("unit")).astype(np.float32)
+            x = vector_rows(batch.column("unit")).astype(np.float32)
             at = model.assign(x)
             codes = model.encode(x, at)
             yield pa.RecordBatch.from_arrays(
@@ -207,7 +201,7 @@ def _probed(index: StoredIndex, need: int, first: np.ndarray, copies: np.ndarray
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = _matrix(batch.column("unit")).astype(np.float32)
+            q = vector_rows(batch.column("unit")).astype(np.float32)
             coarse = q @ model.centroids.T
             order = np.argsort(-coarse, axis=1, kind="stable")
             held = np.cumsum(index.sizes[order], axis=1)
@@ -242,7 +236,7 @@ def _scored(model: IndexModel, rerank: int):
         q_ids = queries.column("q_id").to_numpy()
         out: list[tuple] = []
         if len(ids) and len(q_ids):
-            q = _matrix(queries.column("unit")).astype(np.float32)
+            q = vector_rows(queries.column("unit")).astype(np.float32)
             rest = model.decode(codes)
             size = max(16, _SCORES // len(ids))
             wanted, coarse = queries.column("lists").to_pylist(), queries.column("coarse").to_pylist()
@@ -273,7 +267,7 @@ def _scored(model: IndexModel, rerank: int):
 def _cosines(batches):
     for batch in batches:
         if batch.num_rows:
-            dots = np.einsum("ij,ij->i", _matrix(batch.column("unit")), _matrix(batch.column("c_unit")))
+            dots = np.einsum("ij,ij->i", vector_rows(batch.column("unit")), vector_rows(batch.column("c_unit")))
             yield pa.RecordBatch.from_arrays([batch.column("source_id"), batch.column("candidate_id"), pa.array(dots)],
                                              names=["source_id", "candidate_id", "cosine"])
 

@@ -6,14 +6,15 @@ all pairs:
 
 1. vectors are normalised once (JVM-side array expressions); the query
    side is hashed into ``Bq`` blocks and the candidate side into ``Bc``
-   blocks of about ``block_rows`` vectors each;
+   blocks of up to ``block_rows`` vectors each;
 2. every query block meets every candidate block under the key
    ``(qb, cb)`` — query rows are copied ``Bc`` times and candidate rows
    ``Bq`` times by a generator, and the two sides are co-grouped on that
    key (an equi-grouping, not a cartesian product of rows);
-3. numpy matrix products per block pair (query rows in slices of 1024, so
-   a task holds two blocks plus one 1024 × block score matrix), from which
-   exactly each query's local top-k by (cosine, id) is emitted;
+3. numpy matrix products per block pair in single precision, a slice of
+   queries by a slice of candidates at a time; what may be among a query's
+   best so far is scored in double precision, and exactly each query's local
+   top-k by (cosine, id) is emitted;
 4. a per-source ``row_number`` merges the ``B`` local lists.
 
 Shuffle volume is ``|Q|·Bc + N·Bq`` vectors (``2·N·B`` for all sources;
@@ -31,13 +32,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reposcope.functions.sets import jaccard
 from reposcope.operators.snapshots import recently_pushed
+from reposcope.session import materialized
 from reposcope.sources.ingest import object_key
 
+#: Components of a block's vectors at most, and blocks of a side while these are smaller.
+BLOCK_VALUES = 1 << 23
+SHARED_BLOCKS = 8
 TOPK_SCHEMA = "source_id long, candidate_id long, cosine double"
 
 # Blend weights of cosine, topic Jaccard and language Jaccard.
@@ -55,63 +61,157 @@ def unit_vectors(vectors: DataFrame, id_col: str = "repository_id",
             .select("repository_id", F.transform("_v", lambda x: x / F.col("_n")).alias("unit")))
 
 
-def _block_topk(k: int, rows_per_slice: int = 1024):
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"source_id": pd.Series([], dtype="int64"),
-                              "candidate_id": pd.Series([], dtype="int64"),
-                              "cosine": pd.Series([], dtype="float64")})
-        if q.empty or c.empty:
-            return empty
-        qm = np.stack(q["q_unit"].to_numpy())
-        cm = np.stack(c["c_unit"].to_numpy())
-        qid = q["q_id"].to_numpy(dtype=np.int64)
-        cid = c["c_id"].to_numpy(dtype=np.int64)
-        nc = len(cid)
-        out = []
-        # Query rows in slices: one slice × block score matrix at a time.
-        for lo in range(0, len(qid), rows_per_slice):
-            sq = qid[lo:lo + rows_per_slice]
-            s = qm[lo:lo + rows_per_slice] @ cm.T
-            s[sq[:, None] == cid[None, :]] = -np.inf  # self excluded
-            if nc > k:
-                kth = np.partition(s, nc - k, axis=1)[:, nc - k]
-                keep = (s >= kth[:, None]) & np.isfinite(s)
-            else:
-                keep = np.isfinite(s)
-            qi, ci = np.nonzero(keep)
-            # Exactly k: ties at the k-th score go to the smaller id, as in the final order.
-            order = np.lexsort((cid[ci], -s[qi, ci], qi))
-            qi, ci = qi[order], ci[order]
-            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            qi, ci = qi[place < k], ci[place < k]
-            out.append(pd.DataFrame({"source_id": sq[qi], "candidate_id": cid[ci], "cosine": s[qi, ci]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+def vector_rows(column) -> np.ndarray:
+    """Vectors of one length, as rows."""
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _single(unit: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(unit, dtype=np.float32)
+
+
+def _best_of(k: int, q: np.ndarray, cid: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """Places of each query's best ``k``, by query; ties at the k-th score go to the smaller id, as in the final order."""
+    order = np.lexsort((cid, -cosine, q))
+    q = q[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true cells of a mask whose rows are whole words of eight."""
+    cells = mask.reshape(-1, 8)
+    words = np.flatnonzero(cells.view(np.uint64))
+    i, j = np.nonzero(cells[words])
+    return np.divmod(words[i] * 8 + j, mask.shape[1])
+
+
+def _few_copies(ids: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
+    """Rows but those of equal vectors beyond the least ``k + 1`` ids: a list holds ``k`` of them, none the source's own."""
+    odd = np.random.default_rng(11).integers(1 << 62, size=m.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    # Zeros of either sign are equal; that they hash apart leaves a copy more.
+    hashed = np.concatenate([(m[i:i + 8192].view(np.uint64) * odd).sum(axis=1) for i in range(0, len(m), 8192)])
+    order = np.lexsort((ids, hashed))
+    same = np.append(False, hashed[order[1:]] == hashed[order[:-1]])
+    at = np.flatnonzero(same)
+    for i in range(0, len(at), 8192):
+        some = at[i:i + 8192]
+        same[some] = (m[order[some]] == m[order[some - 1]]).all(axis=1)
+    other = np.append(True, ids[order[1:]] != ids[order[:-1]])
+    number = np.cumsum(other)
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    return np.sort(order[number - number[first] <= k])
+
+
+def _top_pairs(qid: np.ndarray, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray, k: int, rows: int, columns: int = 2048):
+    """Each query's best ``k`` candidates of another id: query ids, candidate ids, cosines.
+
+    Products in single precision leave out what is below a query's k-th cosine
+    so far by more than their error; the rest is scored in double precision.
+    One ``rows`` x ``columns`` matrix of products is held at a time.
+    """
+    some = np.isfinite(cm).all(axis=1)  # no cosine without finite components
+    if not some.all():
+        cid, cm = cid[some], cm[some]
+    if not len(cid):
+        return
+    few = _few_copies(cid, cm, k)
+    if len(few) < len(cid):
+        cid, cm = cid[few], cm[few]
+    c32 = _single(cm)
+    slack = (cm.shape[1] + 16) * 2.0 ** -22  # twice the error of two products of unit vectors
+    columns = min(columns, -(-len(cid) // 8) * 8)
+    held = np.empty((min(rows, len(qid)), columns), dtype=np.float32)
+    for lo in range(0, len(qid), rows):
+        ids, unit = qid[lo:lo + rows], qm[lo:lo + rows]
+        q32 = _single(unit)
+        bound = np.full(len(ids), -np.inf, dtype=np.float32)
+        at, found, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        waiting: list[tuple] = []
+        for left in range(0, len(cid), columns):
+            some = c32[left:left + columns]
+            s = held[:len(ids)]
+            np.matmul(q32, some.T, out=s[:, :len(some)])
+            s[:, len(some):] = np.nan  # compares false
+            if not left:
+                s[:, :len(some)][ids[:, None] == cid[None, :columns]] = -np.inf
+                if len(some) > k:
+                    bound = np.partition(s[:, :len(some)], len(some) - k, axis=1)[:, len(some) - k] - np.float32(slack)
+            row, near = _places(s >= bound[:, None])
+            near += left
+            other = ids[row] != cid[near]
+            row, near = row[other], near[other]
+            exact = np.empty(len(row))
+            for i in range(0, len(row), 1 << 16):
+                exact[i:i + (1 << 16)] = np.einsum("ij,ij->i", unit[row[i:i + (1 << 16)]], cm[near[i:i + (1 << 16)]])
+            waiting.append((row, near, exact))
+            if sum(len(w[0]) for w in waiting) >= min(len(ids) * k, 1 << 16) or left + columns >= len(cid):
+                at, found, cosine = (np.concatenate(x) for x in zip((at, found, cosine), *waiting))
+                keep = np.isfinite(cosine)
+                at, found, cosine = at[keep], found[keep], cosine[keep]
+                best = _best_of(k, at, cid[found], cosine)
+                at, found, cosine, waiting = at[best], found[best], cosine[best], []
+                last = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == k - 1)
+                bound[at[last]] = np.maximum(bound[at[last]], (cosine[last] - slack).astype(np.float32))
+        yield ids[at], cid[found], cosine
+
+
+def _block_topk(k: int, rows_per_slice: int = 256):
+    def run(q, c):
+        """Two blocks (Arrow tables or pandas frames: id, unit vector) → source_id, candidate_id, cosine in the same form."""
+        frames = isinstance(q, pd.DataFrame)
+        if frames:
+            q, c = pa.Table.from_pandas(q, preserve_index=False), pa.Table.from_pandas(c, preserve_index=False)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(c):
+            out += _top_pairs(q.column("q_id").to_numpy(), vector_rows(q.column("q_unit")),
+                              c.column("c_id").to_numpy(), vector_rows(c.column("c_unit")), k, rows_per_slice)
+        found = pa.table(dict(zip(("source_id", "candidate_id", "cosine"), (np.concatenate(x) for x in zip(*out)))))
+        return found.to_pandas() if frames else found
     return run
 
 
+def _sizes(vectors: DataFrame, block_rows: int) -> tuple[int, int]:
+    """Number of vectors, and rows of a block: ``block_rows`` at most, and no more than ``BLOCK_VALUES`` components."""
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    return n, max(1, min(block_rows, BLOCK_VALUES // max(1, dim or 1)))
+
+
+def _block_count(rows: int, block_rows: int) -> int:
+    """Blocks for so many rows: as few as their size allows, but some for the tasks to share."""
+    return max(1, math.ceil(rows / block_rows), min(SHARED_BLOCKS, math.ceil(rows / 1024)))
+
+
+def _spread(vectors: DataFrame, n: int) -> DataFrame:
+    """Vectors over several tasks, however few files hold them."""
+    return vectors if n <= 1024 else vectors.select("repository_id", "embedding").repartition(4 * SHARED_BLOCKS)
+
+
 def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = None,
-                 method: str = "block", block_rows: int = 8192, blocks: int | None = None,
+                 method: str = "block", block_rows: int = 1 << 17, blocks: int | None = None,
                  lsh_bits: int = 6, lsh_tables: int = 4, seed: int = 7) -> DataFrame:
     """Top ``k`` candidates by cosine for every source vector, against ALL
     vectors, self excluded; order cosine desc, candidate id asc.
     ``sources`` (column ``repository_id``) restricts the query side.
     → source_id, candidate_id, cosine, rank
     """
-    u = unit_vectors(vectors)
-    q = u if sources is None else u.join(sources.select("repository_id").distinct(),
-                                         "repository_id", "left_semi")
+    n, block_rows = _sizes(vectors, block_rows)
+    u = unit_vectors(_spread(vectors, n)).where(F.col("repository_id").isNotNull())
+    some = None if sources is None else sources.select("repository_id").distinct()
     if method == "lsh":
-        pairs = _lsh_pairs(u, q, k, lsh_bits, lsh_tables, block_rows, seed)
+        pairs = _lsh_pairs(u, some, k, lsh_bits, lsh_tables, block_rows, seed)
     elif method == "block":
+        if n > 1024:  # both sides read them, and copy them
+            u = materialized(u, "unit-vectors")
+        q = u if some is None else u.join(some, "repository_id", "left_semi")
         if blocks is None:
-            # Block sizes from row counts: the raw vector table's count needs
-            # no column data (an upper bound: zero vectors are dropped later);
-            # the query side is counted only when sources are given.
-            c_blocks = max(1, math.ceil(vectors.count() / block_rows))
+            # Block counts from row counts: the vector table's is an upper
+            # bound (zero vectors are dropped later); the query side is
+            # counted only when sources are given.
+            c_blocks = _block_count(n, block_rows)
             # Sources are a subset of the vectors, so one candidate block
             # means one query block without counting them.
-            q_blocks = (max(1, math.ceil(q.count() / block_rows))
-                        if sources is not None and c_blocks > 1 else c_blocks)
+            q_blocks = _block_count(q.count(), block_rows) if some is not None and c_blocks > 1 else c_blocks
         else:
             q_blocks = c_blocks = int(blocks)
         qblk = F.pmod(F.xxhash64("repository_id"), F.lit(q_blocks)).cast("int")
@@ -124,8 +224,7 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
                       F.col("repository_id").alias("q_id"), F.col("unit").alias("q_unit"))
         cs = u.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), cblk.alias("cb"),
                       F.col("repository_id").alias("c_id"), F.col("unit").alias("c_unit"))
-        pairs = (qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb"))
-                 .applyInPandas(_block_topk(k), TOPK_SCHEMA))
+        pairs = _cogrouped(qs, cs, ["qb", "cb"], k, q_blocks * c_blocks)
     else:
         raise ValueError(f"unknown method {method!r}")
     w = Window.partitionBy("source_id").orderBy(F.desc("cosine"), F.asc("candidate_id"))
@@ -133,7 +232,11 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
             .where(F.col("rank") <= k))
 
 
-_SIG_SCHEMA = "repository_id long, unit array<double>, lsh_table int, bucket int"
+def _cogrouped(qs: DataFrame, cs: DataFrame, keys: list[str], k: int, groups: int) -> DataFrame:
+    """The kernel for every pair of blocks. A pair is long work on little data, so tasks are counted by pairs, not sized by bytes."""
+    n = 1 if groups == 1 else min(2 * groups, 4096)
+    qs, cs = qs.repartition(n, *keys), cs.repartition(n, *keys)
+    return qs.groupBy(*keys).cogroup(cs.groupBy(*keys)).applyInArrow(_block_topk(k), TOPK_SCHEMA)
 
 
 def _signatures(dim: int, bits: int, tables: int, seed: int):
@@ -142,48 +245,49 @@ def _signatures(dim: int, bits: int, tables: int, seed: int):
     weights = 1 << np.arange(bits)
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            m = np.stack(pdf["unit"].to_numpy())
-            sign = (m @ planes > 0).reshape(len(pdf), tables, bits)
-            codes = (sign * weights).sum(axis=2)
-            for t in range(tables):
-                yield pd.DataFrame({"repository_id": pdf["repository_id"].to_numpy(), "unit": pdf["unit"],
-                                    "lsh_table": t, "bucket": codes[:, t].astype(np.int32)})
+            sign = (vector_rows(batch.column("unit")) @ planes > 0).reshape(batch.num_rows, tables, bits)
+            codes = (sign * weights).sum(axis=2).astype(np.int32)
+            at = pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(codes.ravel()))],
+                                             names=["repository_id", "unit", "codes"])
     return run
 
 
-def _lsh_pairs(u: DataFrame, q: DataFrame, k: int, bits: int, tables: int, block_rows: int,
+def _lsh_pairs(u: DataFrame, sources: DataFrame | None, k: int, bits: int, tables: int, block_rows: int,
                seed: int) -> DataFrame:
     """Approximate candidates: vectors sharing a bucket in any table. Each
     bucket is split into blocks sized from its count (a table of at most
     ``tables · 2^bits`` rows, so it is broadcast), and the exact kernel
     runs per (table, bucket, query block, candidate block), emitting only
     each query's local top-k — a crowded bucket is split, never expanded
-    into all its pairs."""
+    into all its pairs. Signatures are computed once for both sides."""
     some = u.select(F.size("unit").alias("d")).first()  # one scalar
     if some is None:
         return u.sparkSession.createDataFrame([], TOPK_SCHEMA)
-    dim = some["d"]
-    sig = _signatures(dim, bits, tables, seed)
-    us = u.mapInPandas(sig, _SIG_SCHEMA)
-    qs_ = q.mapInPandas(sig, _SIG_SCHEMA)
-    counts = us.groupBy("lsh_table", "bucket").agg(
+    signed = materialized(u.mapInArrow(_signatures(some["d"], bits, tables, seed),
+                                       "repository_id long, unit array<double>, codes array<int>"), "signatures")
+    keys = ["lsh_table", "bucket"]
+
+    def bucketed(x: DataFrame) -> DataFrame:
+        return x.select("repository_id", "unit", F.posexplode("codes").alias(*keys))
+
+    us, qs_ = bucketed(signed), bucketed(signed if sources is None else signed.join(sources, "repository_id", "left_semi"))
+    counts = us.groupBy(*keys).agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("_nb"))
     if tables * 2 ** bits <= 1 << 20:  # rows at most; beyond, an ordinary join
         counts = F.broadcast(counts)
     blk = F.pmod(F.xxhash64("repository_id"), F.col("_nb")).cast("int")
     seq = F.sequence(F.lit(0), F.col("_nb") - 1)
-    keys = ["lsh_table", "bucket"]
     qs = qs_.join(counts, keys).select(*keys, blk.alias("qb"), F.explode(seq).alias("cb"),
                                         F.col("repository_id").alias("q_id"), F.col("unit").alias("q_unit"))
     cs = us.join(counts, keys).select(*keys, F.explode(seq).alias("qb"), blk.alias("cb"),
                                        F.col("repository_id").alias("c_id"), F.col("unit").alias("c_unit"))
-    grp = [*keys, "qb", "cb"]
-    pairs = qs.groupBy(*grp).cogroup(cs.groupBy(*grp)).applyInPandas(_block_topk(k), TOPK_SCHEMA)
-    # A pair found in several tables counts once.
-    return pairs.groupBy("source_id", "candidate_id").agg(F.max("cosine").alias("cosine"))
+    pairs = _cogrouped(qs, cs, [*keys, "qb", "cb"], k, tables * 2 ** min(bits, 12))
+    # A pair found in several tables counts once; the ranks need the same distribution.
+    return pairs.repartition("source_id").groupBy("source_id", "candidate_id").agg(F.max("cosine").alias("cosine"))
 
 
 def _meta(enriched: DataFrame, prefix: str) -> DataFrame:
