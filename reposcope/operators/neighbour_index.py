@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reposcope.operators.similarity import unit_vectors, vector_rows
+from reposcope.operators.similarity import BLOCK_VALUES, TOPK_SCHEMA, _best_of, _block_count, unit_vectors, vector_rows
 from reposcope.session import materialized, scratch_path
 
 #: Entries that one task scores at a time, about.
@@ -264,12 +264,30 @@ def _scored(model: IndexModel, rerank: int):
     return run
 
 
-def _cosines(batches):
-    for batch in batches:
-        if batch.num_rows:
-            dots = np.einsum("ij,ij->i", vector_rows(batch.column("unit")), vector_rows(batch.column("c_unit")))
-            yield pa.RecordBatch.from_arrays([batch.column("source_id"), batch.column("candidate_id"), pa.array(dots)],
-                                             names=["source_id", "candidate_id", "cosine"])
+def _reranked(k: int):
+    """Cosines of a block's queries with those of their candidates that lie in a block of vectors; each query's best ``k`` of them."""
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(queries) and len(vectors):
+            ids = vectors.column("repository_id").to_numpy()
+            turn = np.argsort(ids, kind="stable")
+            q_ids, q, x = queries.column("q_id").to_numpy(), vector_rows(queries.column("unit")), vector_rows(vectors.column("c_unit"))
+            near = queries.column("near").combine_chunks()
+            ends = np.cumsum(near.value_lengths().to_numpy())
+            wanted = near.flatten().to_numpy()
+            size = 1 << 12
+            for lo in range(0, len(q_ids), size):
+                start, last = (ends[lo - 1] if lo else 0), ends[min(lo + size, len(ends)) - 1]
+                some = wanted[start:last]
+                row = lo + np.searchsorted(ends[lo:lo + size], np.arange(start, last), side="right")
+                i, j = np.searchsorted(ids, some, sorter=turn), np.searchsorted(ids, some, side="right", sorter=turn)
+                row, first = np.repeat(row, j - i), np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)
+                at = turn[first + np.arange(len(row))]
+                cosine = np.concatenate([np.einsum("ij,ij->i", q[row[n:n + (1 << 16)]], x[at[n:n + (1 << 16)]]) for n in range(0, len(row), 1 << 16)] or [np.zeros(0)])
+                best = _best_of(k, row, ids[at], cosine)
+                out.append((q_ids[row[best]], ids[at[best]], cosine[best]))
+        return pa.table(dict(zip(("source_id", "candidate_id", "cosine"), (np.concatenate(c) for c in zip(*out)))))
+    return run
 
 
 def search_index(index: StoredIndex, queries: DataFrame, vectors: DataFrame, k: int = 10, rerank: int | None = None) -> DataFrame:
@@ -297,9 +315,15 @@ def search_index(index: StoredIndex, queries: DataFrame, vectors: DataFrame, k:
              .applyInArrow(_scored(index.model, rerank), "q_id long, repository_id long, approx float"))
     best = Window.partitionBy("q_id").orderBy(F.desc("approx"), F.asc("repository_id"))
     found = found.withColumn("_p", F.row_number().over(best)).where(F.col("_p") <= rerank).select("q_id", "repository_id")
-    pairs = found.join(unit_vectors(vectors).withColumnRenamed("unit", "c_unit"), "repository_id").join(q, "q_id")
-    ranked = pairs.select(F.col("q_id").alias("source_id"), F.col("repository_id").alias("candidate_id"), "unit", "c_unit").mapInArrow(
-        _cosines, "source_id long, candidate_id long, cosine double")
+    # Vectors travel by blocks, a few times each, not once for every pair.
+    rows = max(1, BLOCK_VALUES // index.model.dim)
+    q_blocks, c_blocks = _block_count(q.count(), rows), max(1, -(-total // rows))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    near = found.groupBy("q_id", block("repository_id", c_blocks).alias("cb")).agg(F.collect_list("repository_id").alias("near"))
+    near = near.join(q, "q_id").select(block("q_id", q_blocks).alias("qb"), "cb", "q_id", "unit", "near")
+    stored = unit_vectors(vectors).select(every(q_blocks).alias("qb"), block("repository_id", c_blocks).alias("cb"), "repository_id", F.col("unit").alias("c_unit"))
+    ranked = near.groupBy("qb", "cb").cogroup(stored.groupBy("qb", "cb")).applyInArrow(_reranked(k), TOPK_SCHEMA)
     w = Window.partitionBy("source_id").orderBy(F.desc("cosine"), F.asc("candidate_id"))
     return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 

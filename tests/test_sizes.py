@@ -87,3 +87,19 @@ def test_dual_tree_scores_blocks_not_handfuls(monkeypatch):
     s[np.arange(60), np.arange(60)] = -(1 << 60)
     assert [[i for _, i in f] for f in found] == [list(np.lexsort((np.arange(len(x)), -row))[:5]) for row in s]
     assert len(calls) <= 20
+
+
+def test_reranking_moves_no_vector_for_a_pair(spark):
+    """The shuffles that carry vectors come before the pairs are expanded."""
+    from reposcope.operators import neighbour_index as NI
+    x = np.random.default_rng(8).normal(size=(600, 6))
+    df = spark.createDataFrame([(i // 2 * 2, [float(v) for v in row]) for i, row in enumerate(x)], "repository_id long, embedding array<float>")
+    index = NI.build_index(df, NI.fit_index(df, k=4))
+    got = NI.search_index(index, df, df, k=4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().replace("Python", "")
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("c_unit"), plan  # what comes after the kernel has no vector
+    rows = got.collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert {r.source_id for r in rows} == set(range(0, 600, 2)) and all(r.source_id != r.candidate_id for r in rows)
+    for r in rows[:40]:  # an id stands for two vectors
+        assert np.abs(u[r.source_id:r.source_id + 2] @ u[r.candidate_id:r.candidate_id + 2].T - r.cosine).min() < 1e-6
