@@ -645,7 +645,7 @@ def q_stream_write(spark, sf):
 def q_stream_dimensions(spark, sf):
     """All four dimension tables after crawl results in four micro-batches."""
     root = scratch_path(spark, "stream-dimensions")
-    msgs = FX.crawl_result_messages(spark, sf)
+    msgs = materialized(FX.crawl_result_messages(spark, sf), "crawl-results")
     for part in range(4):
         msgs.where(F.abs(F.hash("value")) % 4 == part).repartition(2).write.mode("append").text(f"{root}/src")
     initial = {"repositories": FX.repos(spark, sf), "owners": FX.owners(spark, sf), "licenses": FX.licenses(spark, sf),

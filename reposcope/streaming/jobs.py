@@ -254,11 +254,19 @@ def stream_snapshots_versioned(spark: SparkSession, src, sink: str, state_root:
                   available_now).start()
 
 
+def _crawl_results(batch: DataFrame) -> DataFrame:
+    """One micro-batch of crawl results, decoded; lines that are none are left out."""
+    return batch.select(F.from_json("value", CRAWL_RESULT_T).alias("m")).where(F.col("m.repository.id").isNotNull())
+
+
 def _dimension_messages(batch: DataFrame, repo_cols, repo_schema) -> dict[str, DataFrame]:
-    """Decode one micro-batch of crawl results into the incoming rows of
-    every dimension table (each with the arrival order ``seq``)."""
-    m = batch.select(F.from_json("value", CRAWL_RESULT_T).alias("m")).where(
-        F.col("m.repository.id").isNotNull())
+    """Decode one micro-batch into the incoming rows of every dimension table."""
+    return _dimension_rows(_crawl_results(batch), repo_cols, repo_schema)
+
+
+def _dimension_rows(m: DataFrame, repo_cols, repo_schema) -> dict[str, DataFrame]:
+    """The incoming rows of every dimension table from decoded crawl results
+    (each with the arrival order ``seq``)."""
     r, seq = F.col("m.repository"), F.col("m.seq").alias("seq")
     flat = m.select(*flatten_repository(r), parse_time(F.col("m.crawled_at")).alias("_crawled_at"), seq)
     repos = flat.select(
@@ -300,12 +308,12 @@ def stream_dimensions(spark: SparkSession, src: str, initial: dict[str, DataFram
     repo_cols, repo_schema = initial["repositories"].columns, initial["repositories"].schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.persist()  # one read of the batch for four tables
-        incoming = _dimension_messages(lines, repo_cols, repo_schema)
+        results = _crawl_results(batch).persist()  # read and decoded once for four tables
+        incoming = _dimension_rows(results, repo_cols, repo_schema)
         for table, (rule, keys, _) in DIMENSIONS.items():
             rows = incoming[table].dropna(subset=list(keys))
             tables[table].apply(first + batch_id, rows, rule)
-        lines.unpersist()
+        results.unpersist()
 
     return _start(_lines(spark, src, max_files).writeStream.foreachBatch(write), checkpoint,
                   available_now).start()
