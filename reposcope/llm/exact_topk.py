@@ -35,7 +35,7 @@ SAMPLE = 2048  # rows that pivots and first bounds come from
 PIVOTS, MOST_PIVOTS = 32, 512  # one for each data block, within these
 QUERY_BLOCK = 4096
 DATA_BLOCK = 8192
-LEAF, QUERY_LEAF, FAN = 512, 64, 16  # leaves are scored by matrix products: what a node costs is paid for by many points
+LEAF, QUERY_LEAF, FAN = 256, 32, 16  # data leaves are scored by matrix products: a node's cost is paid for by many points
 BASE = 1.3  # a node's children cover its points with this much less radius, if FAN of them can
 
 
