@@ -10,10 +10,12 @@ it learns has a size bounded by its parameters.
 once, as its list, its code and its unit vector, in files ordered by list.
 ``search_index`` sends each query to the lists it probes, scores their decoded
 codes in single precision, and re-ranks the best ``rerank`` codes by exact cosine.
-Entries travel once, as codes of dim / code_dims bytes; only queries are
-copied, once for every group of entries that holds lists they probe. Short
-lists share a group, and a list of any size is split into groups of
-``BLOCK_ROWS`` entries.
+A task scores a block of queries against a group of entries. Entries travel as
+codes of dim / code_dims bytes, once for every block of queries; a query is
+copied for every group that holds lists it probes, with a bit for each list.
+Short lists share a group, and a list of any size is split into groups of
+``BLOCK_ROWS`` entries, so what a task holds depends neither on the number of
+vectors or queries nor on how many lists are probed.
 """
 
 from __future__ import annotations
@@ -27,13 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reposcope.operators.similarity import BLOCK_VALUES, TOPK_SCHEMA, _best_of, _block_count, unit_vectors, vector_rows
+from reposcope.operators.similarity import TOPK_SCHEMA, _best_of, _block_count, unit_vectors, vector_rows
 from reposcope.session import materialized, scratch_path
 
-#: Entries that one task scores at a time, about.
-BLOCK_ROWS = 1 << 16
-#: Scores of queries and entries that a task holds at a time.
-_SCORES = 1 << 22
+#: Entries of a group at most, about, and bytes of their codes and ids.
+BLOCK_ROWS = 1 << 20
+BLOCK_BYTES = 1 << 25
+#: Components of a block of queries, and of the entries that are decoded at a time.
+_QUERY_VALUES = 1 << 20
+_DECODED_VALUES = 1 << 22
+#: Components of a block of vectors, or of queries, that are compared exactly.
+_RERANKED_VALUES = 1 << 22
+#: Scores of queries and entries that a task holds at a time, about, and entries among them.
+_SCORES = 1 << 19
+_COLUMNS = 2048
 CODES = 256
 
 
@@ -189,78 +198,178 @@ def _groups(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return first, copies
 
 
-def _probed(index: StoredIndex, need: int, first: np.ndarray, copies: np.ndarray):
-    """Every query, once for each group that holds entries of lists it probes, with those lists.
+def _probes(index: StoredIndex, coarse: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists by nearness, entries up to each, and how many of them a query probes.
 
-    A query probes ``probes`` lists, more while they hold fewer than ``need`` entries.
+    That is ``probes`` lists, more while they hold fewer than ``need`` entries.
     """
+    order = np.argsort(-coarse, axis=1, kind="stable")
+    held = np.cumsum(index.sizes[order], axis=1)
+    return order, held, np.minimum(np.maximum(index.model.probes, 1 + (held < need).sum(axis=1)), order.shape[1])
+
+
+def _probed(index: StoredIndex, need: int, first: np.ndarray, copies: np.ndarray):
+    """Every query, once for each group that holds entries of lists it probes, with a bit for every list it probes."""
     model = index.model
-    many = int((first + copies).max(initial=1))
+    full = index.sizes > 0
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = vector_rows(batch.column("unit")).astype(np.float32)
-            coarse = q @ model.centroids.T
-            order = np.argsort(-coarse, axis=1, kind="stable")
-            held = np.cumsum(index.sizes[order], axis=1)
-            n = np.maximum(model.probes, 1 + (held < need).sum(axis=1))
-            row, at = np.nonzero(np.arange(order.shape[1])[None, :] < n[:, None])
-            lists = order[row, at]
-            lists, row = lists[index.sizes[lists] > 0], row[index.sizes[lists] > 0]
-            times = copies[lists]
-            group = np.repeat(first[lists], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, lists = np.repeat(row, times), np.repeat(lists, times)
-            key = row * many + group
-            turn = np.argsort(key, kind="stable")
-            key, lists, row, group = key[turn], lists[turn], row[turn], group[turn]
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            ends = pa.array(np.append(start, len(key)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group[start].astype(np.int32)), batch.column("q_id").take(pa.array(row[start])), batch.column("unit").take(pa.array(row[start])),
-                 pa.ListArray.from_arrays(ends, pa.array(lists.astype(np.int32))),
-                 pa.ListArray.from_arrays(ends, pa.array(coarse[row, lists].astype(np.float32)))], names=["grp", "q_id", "unit", "lists", "coarse"])
+            coarse = vector_rows(batch.column("unit")).astype(np.float32) @ model.centroids.T
+            size = max(1, (1 << 18) // len(full))
+            for lo in range(0, len(coarse), size):
+                order, _, n = _probes(index, coarse[lo:lo + size], need)
+                wanted = np.zeros(order.shape, dtype=bool)
+                np.put_along_axis(wanted, order, np.arange(order.shape[1])[None, :] < n[:, None], axis=1)
+                wanted &= full
+                bits = np.packbits(wanted, axis=1, bitorder="little")
+                row, lists = np.nonzero(wanted)
+                # Groups of the first entries of lists, and of the further ones of those that are split.
+                key = [row * (1 << 32) + first[lists]]
+                for one in np.flatnonzero(full & (copies > 1)):
+                    key.append((np.flatnonzero(wanted[:, one])[:, None] * (1 << 32) + np.arange(first[one] + 1, first[one] + copies[one])).ravel())
+                row, group = np.divmod(np.unique(np.concatenate(key)), 1 << 32)
+                at = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group.astype(np.int32)), batch.column("q_id").take(at), batch.column("unit").take(at),
+                     _packed(bits[row])], names=["grp", "q_id", "unit", "lists"])
     return run
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _byte_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Binary values of one length, as rows of bytes."""
+    each = [chunk for chunk in column.chunks if len(chunk)]
+    rows = []
+    for chunk in each:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        rows.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(len(chunk), -1))
+    return np.concatenate(rows)
+
+
+def _lists_probed(width: int):
+    """The lists that some query probes, a task at a time."""
+    def run(batches):
+        seen = np.zeros(width, dtype=np.uint8)
+        for batch in batches:
+            if batch.num_rows:
+                seen |= np.bitwise_or.reduce(_byte_rows(pa.chunked_array([batch.column("lists")])), axis=0)
+        lists = np.flatnonzero(np.unpackbits(seen, bitorder="little"))
+        yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32))], names=["l"])
+    return run
+
+
+class _Best:
+    """The best ``many`` entries so far of each of a few queries: by score, ties by the smaller id."""
+
+    def __init__(self, q_ids: np.ndarray, many: int):
+        self.q_ids, self.many = q_ids, many
+        self.bound = np.full(len(q_ids), -np.inf, dtype=np.float32)  # of the scores that may be among them
+        self.row, self.at, self.score = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        self.waiting: list[tuple] = []
+        self.held = 0
+
+    def add(self, row: np.ndarray, left: int, s: np.ndarray, ids: np.ndarray) -> None:
+        """Scores ``s`` of queries ``row`` and the entries from place ``left`` on; ``ids`` has all entries' ids."""
+        bound, here = self.bound[row], ids[left:left + s.shape[1]]
+        fresh = np.flatnonzero(np.isneginf(bound))
+        if len(fresh) and len(here) > self.many:
+            some = s[fresh]
+            some[(self.q_ids[row[fresh], None] == here[None, :]) | ~np.isfinite(some)] = -np.inf
+            bound[fresh] = np.partition(some, len(here) - self.many, axis=1)[:, len(here) - self.many]
+        i, j = np.divmod(np.flatnonzero(s >= bound[:, None]), s.shape[1])
+        score = s[i, j]
+        keep = (self.q_ids[row[i]] != here[j]) & np.isfinite(score)
+        self.waiting.append((row[i[keep]].astype(np.int32), (left + j[keep]).astype(np.int32), score[keep]))
+        self.held += len(self.waiting[-1][0])
+        if self.held >= len(self.q_ids) * self.many:
+            self.merge(ids)
+
+    def merge(self, ids: np.ndarray) -> None:
+        row, at, score = (np.concatenate(x) for x in zip((self.row, self.at, self.score), *self.waiting))
+        best = _best_of(self.many, row, ids[at], score)
+        self.row, self.at, self.score = row[best], at[best], score[best]
+        self.waiting, self.held = [], 0
+        last = np.flatnonzero(np.arange(len(best)) - np.searchsorted(self.row, self.row) == self.many - 1)
+        self.bound[self.row[last]] = np.maximum(self.bound[self.row[last]], self.score[last])
+
+
+def _few_codes(lists: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Order by list, without equal codes of a list beyond the least ``k + 1`` ids: a query takes ``k`` of them at most, none of its own id."""
+    odd = np.random.default_rng(11).integers(1 << 62, size=codes.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    hashed = np.concatenate([(codes[i:i + (1 << 16)] * odd).sum(axis=1) for i in range(0, len(codes), 1 << 16)])
+    order = np.lexsort((ids, hashed, lists))
+    before, after = order[:-1], order[1:]
+    same = np.append(False, (lists[after] == lists[before]) & (hashed[after] == hashed[before]))
+    at = np.flatnonzero(same)
+    same[at] = (codes[order[at]] == codes[order[at - 1]]).all(axis=1)
+    number = np.cumsum(np.append(True, ids[after] != ids[before]))
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    return order[number - number[first] <= k]
+
+
 def _scored(model: IndexModel, rerank: int):
-    """Scores of a group's codes for the queries that probe their lists; each query's best ``rerank`` of the group.
+    """Scores of a group's codes for a block of queries, where these probe their lists; each query's best ``rerank`` of the group.
 
-    A list's codes are decoded once; a score is the query's product with the centroid plus that with the residual.
+    A stretch of codes is decoded once, and scored for a slice of the queries at a time.
     """
     def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        entries = entries.sort_by("list")
-        ids, held = entries.column("repository_id").to_numpy(), entries.column("list").to_numpy()
-        codes = np.frombuffer(b"".join(entries.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        q_ids = queries.column("q_id").to_numpy()
-        out: list[tuple] = []
-        if len(ids) and len(q_ids):
-            q = vector_rows(queries.column("unit")).astype(np.float32)
-            rest = model.decode(codes)
-            size = max(16, _SCORES // len(ids))
-            wanted, coarse = queries.column("lists").to_pylist(), queries.column("coarse").to_pylist()
-            for lo in range(0, len(q), size):
-                some = q[lo:lo + size]
-                s = np.full((len(some), len(ids)), -np.inf, dtype=np.float32)
-                row = np.repeat(np.arange(len(some)), [len(x) for x in wanted[lo:lo + size]])
-                lists, near = np.concatenate(wanted[lo:lo + size]), np.concatenate(coarse[lo:lo + size])
-                turn = np.argsort(lists, kind="stable")
-                row, lists, near = row[turn], lists[turn], near[turn].astype(np.float32)
-                for one in np.unique(lists):
-                    x, y = np.searchsorted(lists, [one, one + 1])
-                    i, j = np.searchsorted(held, [one, one + 1])
-                    s[row[x:y], i:j] = near[x:y, None] + some[row[x:y]] @ rest[i:j].T
-                s[q_ids[lo:lo + size, None] == ids[None, :]] = -np.inf
-                best = (np.argpartition(-s, rerank - 1, axis=1)[:, :rerank] if len(ids) > rerank
-                        else np.repeat(np.arange(len(ids))[None, :], len(s), axis=0))
-                at = np.repeat(np.arange(len(s)), best.shape[1])
-                score = s[at, best.ravel()]
-                keep = np.isfinite(score)
-                out.append((q_ids[lo + at[keep]], ids[best.ravel()[keep]], score[keep]))
-        cols = [np.concatenate(c) if out else np.zeros(0) for c in (zip(*out) if out else ((),) * 3)]
-        return pa.table({"q_id": pa.array(cols[0].astype(np.int64)), "repository_id": pa.array(cols[1].astype(np.int64)),
-                         "approx": pa.array(cols[2].astype(np.float32))})
+        found: list[_Best] = []
+        ids = np.zeros(0, np.int64)
+        if len(queries) and len(entries):
+            held, ids, codes = entries.column("list").to_numpy(), entries.column("repository_id").to_numpy(), _byte_rows(entries.column("code"))
+            turn = _few_codes(held, codes, ids, rerank)
+            held, ids, codes = held[turn], ids[turn], codes[turn]
+            q_ids, q = queries.column("q_id").to_numpy(), vector_rows(queries.column("unit")).astype(np.float32, copy=False)
+            wanted = _byte_rows(queries.column("lists"))
+            starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+            size = max(256, _SCORES // min(_COLUMNS, int(np.diff(np.append(starts, len(held))).max())))
+            found = [_Best(q_ids[lo:lo + size], rerank) for lo in range(0, len(q), size)]
+            stretch = max(1, _DECODED_VALUES // model.dim)
+            for left in range(0, len(ids), stretch):
+                lists = held[left:left + stretch]
+                x = model.decode(codes[left:left + stretch])
+                x += model.centroids[lists]
+                cuts = np.append(np.flatnonzero(np.append(True, lists[1:] != lists[:-1])), len(lists))
+                pieces = [(i, min(i + _COLUMNS, b)) for a, b in zip(cuts[:-1], cuts[1:]) for i in range(a, b, _COLUMNS)]
+                for one, best in enumerate(found):
+                    some, mine = q[one * size:(one + 1) * size], wanted[one * size:(one + 1) * size]
+                    for i, j in pieces:
+                        row = np.flatnonzero(mine[:, lists[i] >> 3] & (1 << (lists[i] & 7)))
+                        if len(row):
+                            best.add(row, left + i, (some if len(row) == len(some) else some[row]) @ x[i:j].T, ids)
+                    best.merge(ids)
+        each = [(b.q_ids, np.bincount(b.row, minlength=len(b.q_ids)), ids[b.at], b.score) for b in found] or [(np.zeros(0, np.int64),) * 4]
+        q_ids, n, near, score = (np.concatenate(c) for c in zip(*each))
+        ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+        return pa.table({"q_id": pa.array(q_ids), "near": pa.ListArray.from_arrays(ends, pa.array(near)),
+                         "approx": pa.ListArray.from_arrays(ends, pa.array(score.astype(np.float32)))})
+    return run
+
+
+def _dealt(blocks: int):
+    """Queries with their candidates, once for every block of vectors that holds some of these."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
+                near, cb = some.column("near"), some.column("cbs").flatten().to_numpy()
+                key = np.repeat(np.arange(len(near)), near.value_lengths().to_numpy()) * blocks + cb
+                turn = np.argsort(key, kind="stable")
+                key = key[turn]
+                start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                row, block = np.divmod(key[start], blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.astype(np.int32)), some.column("q_id").take(pa.array(row)), some.column("unit").take(pa.array(row)),
+                     pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), near.flatten().take(pa.array(turn)))],
+                    names=["cb", "q_id", "unit", "near"])
     return run
 
 
@@ -275,7 +384,7 @@ def _reranked(k: int):
             near = queries.column("near").combine_chunks()
             ends = np.cumsum(near.value_lengths().to_numpy())
             wanted = near.flatten().to_numpy()
-            size = 1 << 12
+            size, pairs = 1 << 12, max(1, _QUERY_VALUES // x.shape[1])
             for lo in range(0, len(q_ids), size):
                 start, last = (ends[lo - 1] if lo else 0), ends[min(lo + size, len(ends)) - 1]
                 some = wanted[start:last]
@@ -283,7 +392,7 @@ def _reranked(k: int):
                 i, j = np.searchsorted(ids, some, sorter=turn), np.searchsorted(ids, some, side="right", sorter=turn)
                 row, first = np.repeat(row, j - i), np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)
                 at = turn[first + np.arange(len(row))]
-                cosine = np.concatenate([np.einsum("ij,ij->i", q[row[n:n + (1 << 16)]], x[at[n:n + (1 << 16)]]) for n in range(0, len(row), 1 << 16)] or [np.zeros(0)])
+                cosine = np.concatenate([np.einsum("ij,ij->i", q[row[n:n + pairs]], x[at[n:n + pairs]]) for n in range(0, len(row), pairs)] or [np.zeros(0)])
                 best = _best_of(k, row, ids[at], cosine)
                 out.append((q_ids[row[best]], ids[at[best]], cosine[best]))
         return pa.table(dict(zip(("source_id", "candidate_id", "cosine"), (np.concatenate(c) for c in zip(*out)))))
@@ -301,28 +410,40 @@ def search_index(index: StoredIndex, queries: DataFrame, vectors: DataFrame, k:
     """
     spark = queries.sparkSession
     rerank = rerank or 2 * k + 50
-    total = int(index.sizes.sum())
-    first, copies = _groups(index.sizes, min(BLOCK_ROWS, max(1024, -(-total // (2 * spark.sparkContext.defaultParallelism)))))
-    q = materialized(unit_vectors(queries).withColumnRenamed("repository_id", "q_id"), "queries")
+    dim, total = index.model.dim, int(index.sizes.sum())
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = F.col("repository_id").isNotNull()  # a neighbour, or a query with neighbours, has an id
+    q = materialized(unit_vectors(queries).where(known).withColumnRenamed("repository_id", "q_id"), "queries")
+    n_q = q.count()
+    # Blocks as small as memory wants; more of them, then more groups, for the tasks to share.
+    q_blocks = max(1, -(-n_q * dim // _QUERY_VALUES), min(-(-n_q // 1024), tasks))
+    most = min(BLOCK_ROWS, BLOCK_BYTES // (len(index.model.books) + 16))
+    first, copies = _groups(index.sizes, max(1, min(most, max(1024, -(-total // -(-tasks // q_blocks))))))
+    groups = int((first + copies).max(initial=1))
     probed = materialized(q.select("q_id", F.col("unit").cast("array<float>").alias("unit")).mapInArrow(
-        _probed(index, rerank + 1, first, copies), "grp int, q_id long, unit array<float>, lists array<int>, coarse array<float>"), "probed")
-    lists = [r["l"] for r in probed.select(F.explode("lists").alias("l")).distinct().collect()]  # so many at most as there are lists
+        _probed(index, rerank + 1, first, copies), "grp int, q_id long, unit array<float>, lists binary"), "probed")
+    seen = probed.select("lists").mapInArrow(_lists_probed(-(-len(index.sizes) // 8)), "l int").distinct()
+    lists = [r["l"] for r in seen.collect()]  # so many at most as there are lists
     place = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first, copies))], "list int, first int, copies int")
     # A filter on the column the files are ordered by: row groups of other lists are not read.
-    entries = index.entries(spark).where(F.col("list").isin(lists)).join(F.broadcast(place), "list").select(
-        (F.col("first") + F.pmod(F.xxhash64("repository_id"), F.col("copies"))).cast("int").alias("grp"), "list", "repository_id", "code")
-    found = (probed.groupBy("grp").cogroup(entries.groupBy("grp"))
-             .applyInArrow(_scored(index.model, rerank), "q_id long, repository_id long, approx float"))
-    best = Window.partitionBy("q_id").orderBy(F.desc("approx"), F.asc("repository_id"))
-    found = found.withColumn("_p", F.row_number().over(best)).where(F.col("_p") <= rerank).select("q_id", "repository_id")
+    entries = index.entries(spark).where(F.col("list").isin(lists) & known).join(F.broadcast(place), "list").select(
+        (F.col("first") + block("repository_id", F.col("copies"))).cast("int").alias("grp"), every(q_blocks).alias("qb"), "list", "repository_id", "code")
+    # A pair of blocks is long work on little data: tasks are counted by pairs, not sized by bytes.
+    n = min(2 * groups * q_blocks, 4096)
+    probed = probed.select("grp", block("q_id", q_blocks).alias("qb"), "q_id", "unit", "lists").repartition(n, "grp", "qb")
+    found = (probed.groupBy("grp", "qb").cogroup(entries.repartition(n, "grp", "qb").groupBy("grp", "qb"))
+             .applyInArrow(_scored(index.model, rerank), "q_id long, near array<long>, approx array<float>"))
+    pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("approx", "near"), lambda x: F.struct((-x["approx"]).alias("far"), x["near"].alias("id")))))
+    best = F.slice(F.sort_array(pairs), 1, rerank)
+    found = found.groupBy("q_id").agg(F.transform(best, lambda x: x["id"]).alias("near"))
     # Vectors travel by blocks, a few times each, not once for every pair.
-    rows = max(1, BLOCK_VALUES // index.model.dim)
-    q_blocks, c_blocks = _block_count(q.count(), rows), max(1, -(-total // rows))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    near = found.groupBy("q_id", block("repository_id", c_blocks).alias("cb")).agg(F.collect_list("repository_id").alias("near"))
-    near = near.join(q, "q_id").select(block("q_id", q_blocks).alias("qb"), "cb", "q_id", "unit", "near")
-    stored = unit_vectors(vectors).select(every(q_blocks).alias("qb"), block("repository_id", c_blocks).alias("cb"), "repository_id", F.col("unit").alias("c_unit"))
+    rows = max(1, _RERANKED_VALUES // dim)
+    r_blocks, c_blocks = _block_count(n_q, rows), max(1, -(-total // rows))
+    near = found.join(q, "q_id").select("q_id", "unit", "near", F.transform("near", lambda x: block(x, c_blocks)).alias("cbs"))
+    near = near.mapInArrow(_dealt(c_blocks), "cb int, q_id long, unit array<double>, near array<long>").withColumn("qb", block("q_id", r_blocks))
+    stored = unit_vectors(vectors).where(known).select(every(r_blocks).alias("qb"), block("repository_id", c_blocks).alias("cb"), "repository_id", F.col("unit").alias("c_unit"))
     ranked = near.groupBy("qb", "cb").cogroup(stored.groupBy("qb", "cb")).applyInArrow(_reranked(k), TOPK_SCHEMA)
     w = Window.partitionBy("source_id").orderBy(F.desc("cosine"), F.asc("candidate_id"))
     return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
@@ -340,11 +461,12 @@ def search_work(index: StoredIndex, queries: DataFrame, k: int = 10, rerank: int
 
     @F.pandas_udf("long")
     def scanned(units: pd.Series) -> pd.Series:
-        q = np.stack(units.to_numpy()).astype(np.float32)
-        order = np.argsort(-(q @ model.centroids.T), axis=1, kind="stable")
-        held = np.cumsum(index.sizes[order], axis=1)
-        n = np.maximum(model.probes, 1 + (held < rerank + 1).sum(axis=1))
-        return pd.Series(held[np.arange(len(q)), np.minimum(n, held.shape[1]) - 1])
+        coarse = np.stack(units.to_numpy()).astype(np.float32) @ model.centroids.T
+        seen = []
+        for lo in range(0, len(coarse), 1024):
+            _, held, n = _probes(index, coarse[lo:lo + 1024], rerank + 1)
+            seen.append(held[np.arange(len(n)), n - 1])
+        return pd.Series(np.concatenate(seen))
 
     u = unit_vectors(queries).select("repository_id", F.col("unit").cast("array<float>").alias("unit"))
     seen = scanned("unit")

@@ -1,6 +1,7 @@
 """The stored neighbour index against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,63 @@ def test_search_of_few_lists_filters_the_scan(spark):
     index = NI.build_index(df, NI.fit_index(df, k=3))
     plan = NI.search_index(index, df.where(F.col("repository_id") == 7), df, k=3)._jdf.queryExecution().toString()
     assert "In(list" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_tasks_score_bounded_blocks(spark, monkeypatch):
+    """However many queries and probes there are, a task gets a block of queries, a bit a list, and a group of entries."""
+    df = frame(spark, np.random.default_rng(4).normal(size=(1500, 20)))
+    model = NI.fit_index(df, k=3, target_recall=1.0)
+    assert model.probes > len(model.centroids) // 2  # most lists are probed
+    index = NI.build_index(df, model)
+    want = sorted(map(tuple, NI.search_index(index, df, df, k=3).collect()))
+    monkeypatch.setattr(NI, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(NI, "_QUERY_VALUES", 20 * 100, raising=False)
+    scored = NI._scored
+
+    def held(model, rerank):
+        run = scored(model, rerank)
+
+        def checked(queries, entries):
+            assert len(queries) <= 200 and len(entries) <= 600, (len(queries), len(entries))
+            assert queries.nbytes <= len(queries) * (20 * 4 + 40), queries.nbytes
+            return run(queries, entries)
+        return checked
+
+    monkeypatch.setattr(NI, "_scored", held)
+    got = sorted(map(tuple, NI.search_index(index, df, df, k=3).collect()))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want])
+
+
+def test_kernel_finds_the_best_codes_of_the_probed_lists(monkeypatch):
+    """Against brute force, with copies of a vector, one of them the query, ids that come twice and slices of all kinds."""
+    rng = np.random.default_rng(3)
+    n, dim = 700, 10
+    model = NI.IndexModel(rng.normal(size=(9, dim)).astype(np.float32), rng.normal(size=(3, 256, 4)).astype(np.float32), 4, n)
+    lists, codes = rng.integers(9, size=n).astype(np.int32), rng.integers(256, size=(n, 3)).astype(np.uint8)
+    ids = np.arange(n) * 7
+    lists[:200], codes[:200], ids[300:320] = 4, codes[0], ids[:20]
+    q_ids, q = np.arange(60) * 7, rng.normal(size=(60, dim)).astype(np.float32)
+    wanted = rng.random((60, 9)) < 0.6
+    wanted[0] = False
+    monkeypatch.setattr(NI, "_SCORES", 1)  # slices of 256 queries
+    monkeypatch.setattr(NI, "_COLUMNS", 64)
+    monkeypatch.setattr(NI, "_DECODED_VALUES", 150 * dim)
+    queries = pa.table({"q_id": q_ids, "unit": pa.array(q.tolist(), pa.list_(pa.float32())), "lists": NI._packed(np.packbits(wanted, axis=1, bitorder="little"))})
+    entries = pa.table({"list": lists, "repository_id": ids, "code": NI._packed(codes)})
+    got = NI._scored(model, 6)(queries, entries).to_pylist()
+    scores = q @ (model.decode(codes) + model.centroids[lists]).T
+    for r, s, mine, q_id in zip(got, scores, wanted, q_ids):
+        s = np.where(mine[lists] & (ids != q_id), s, -np.inf).round(4)
+        best = np.lexsort((ids, -s))[:6]
+        best = best[np.isfinite(s[best])]
+        assert r["q_id"] == q_id and r["near"] == ids[best].tolist() and np.allclose(r["approx"], s[best], atol=1e-3)
+
+
+def test_rows_without_an_id_have_no_lists_and_are_in_none(spark):
+    x = clustered(300)
+    df = frame(spark, x)
+    with_null = df.unionByName(df.where("repository_id < 5").withColumn("repository_id", F.lit(None).cast("long")))
+    index = NI.build_index(with_null, NI.fit_index(df, k=3))
+    got = NI.search_index(index, with_null, with_null, k=3).collect()
+    assert len(got) == 3 * len(x) and all(r["source_id"] is not None and r["candidate_id"] is not None for r in got)
