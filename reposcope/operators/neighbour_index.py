@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reposcope.operators.similarity import TOPK_SCHEMA, _best_of, _block_count, unit_vectors, vector_rows
+from reposcope.operators.similarity import TOPK_SCHEMA, _best_of, _block_count, normed_vectors, unit_column, unit_rows, unit_vectors, vector_rows
 from reposcope.session import materialized, scratch_path
 
 #: Entries of a group at most, about, and bytes of their codes and ids.
@@ -367,9 +367,9 @@ def _dealt(blocks: int):
                 start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
                 row, block = np.divmod(key[start], blocks)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.astype(np.int32)), some.column("q_id").take(pa.array(row)), some.column("unit").take(pa.array(row)),
+                    [pa.array(block.astype(np.int32)), *(some.column(c).take(pa.array(row)) for c in ("q_id", "vec", "norm")),
                      pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), near.flatten().take(pa.array(turn)))],
-                    names=["cb", "q_id", "unit", "near"])
+                    names=["cb", "q_id", "vec", "norm", "near"])
     return run
 
 
@@ -380,7 +380,8 @@ def _reranked(k: int):
         if len(queries) and len(vectors):
             ids = vectors.column("repository_id").to_numpy()
             turn = np.argsort(ids, kind="stable")
-            q_ids, q, x = queries.column("q_id").to_numpy(), vector_rows(queries.column("unit")), vector_rows(vectors.column("c_unit"))
+            q_ids, q, x = queries.column("q_id").to_numpy(), vector_rows(queries.column("vec")), vector_rows(vectors.column("c_unit"))
+            q_norm, x_norm = queries.column("norm").to_numpy(), vectors.column("c_norm").to_numpy()
             near = queries.column("near").combine_chunks()
             ends = np.cumsum(near.value_lengths().to_numpy())
             wanted = near.flatten().to_numpy()
@@ -392,7 +393,10 @@ def _reranked(k: int):
                 i, j = np.searchsorted(ids, some, sorter=turn), np.searchsorted(ids, some, side="right", sorter=turn)
                 row, first = np.repeat(row, j - i), np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)
                 at = turn[first + np.arange(len(row))]
-                cosine = np.concatenate([np.einsum("ij,ij->i", q[row[n:n + pairs]], x[at[n:n + pairs]]) for n in range(0, len(row), pairs)] or [np.zeros(0)])
+                cosine = np.zeros(len(row))
+                for n in range(0, len(row), pairs):
+                    i, j = row[n:n + pairs], at[n:n + pairs]
+                    cosine[n:n + pairs] = np.einsum("ij,ij->i", unit_rows(q[i], q_norm[i]), unit_rows(x[j], x_norm[j]))
                 best = _best_of(k, row, ids[at], cosine)
                 out.append((q_ids[row[best]], ids[at[best]], cosine[best]))
         return pa.table(dict(zip(("source_id", "candidate_id", "cosine"), (np.concatenate(c) for c in zip(*out)))))
@@ -415,14 +419,14 @@ def search_index(index: StoredIndex, queries: DataFrame, vectors: DataFrame, k:
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     known = F.col("repository_id").isNotNull()  # a neighbour, or a query with neighbours, has an id
-    q = materialized(unit_vectors(queries).where(known).withColumnRenamed("repository_id", "q_id"), "queries")
+    q = materialized(normed_vectors(queries).where(known).withColumnRenamed("repository_id", "q_id"), "queries")
     n_q = q.count()
     # Blocks as small as memory wants; more of them, then more groups, for the tasks to share.
     q_blocks = max(1, -(-n_q * dim // _QUERY_VALUES), min(-(-n_q // 1024), tasks))
     most = min(BLOCK_ROWS, BLOCK_BYTES // (len(index.model.books) + 16))
     first, copies = _groups(index.sizes, max(1, min(most, max(1024, -(-total // -(-tasks // q_blocks))))))
     groups = int((first + copies).max(initial=1))
-    probed = materialized(q.select("q_id", F.col("unit").cast("array<float>").alias("unit")).mapInArrow(
+    probed = materialized(q.select("q_id", unit_column().cast("array<float>").alias("unit")).mapInArrow(
         _probed(index, rerank + 1, first, copies), "grp int, q_id long, unit array<float>, lists binary"), "probed")
     seen = probed.select("lists").mapInArrow(_lists_probed(-(-len(index.sizes) // 8)), "l int").distinct()
     lists = [r["l"] for r in seen.collect()]  # so many at most as there are lists
@@ -441,9 +445,13 @@ def search_index(index: StoredIndex, queries: DataFrame, vectors: DataFrame, k:
     # Vectors travel by blocks, a few times each, not once for every pair.
     rows = max(1, _RERANKED_VALUES // dim)
     r_blocks, c_blocks = _block_count(n_q, rows), max(1, -(-total // rows))
-    near = found.join(q, "q_id").select("q_id", "unit", "near", F.transform("near", lambda x: block(x, c_blocks)).alias("cbs"))
-    near = near.mapInArrow(_dealt(c_blocks), "cb int, q_id long, unit array<double>, near array<long>").withColumn("qb", block("q_id", r_blocks))
-    stored = unit_vectors(vectors).where(known).select(every(r_blocks).alias("qb"), block("repository_id", c_blocks).alias("cb"), "repository_id", F.col("unit").alias("c_unit"))
+    near = found.join(q, "q_id").select("q_id", "vec", "norm", "near", F.transform("near", lambda x: block(x, c_blocks)).alias("cbs"))
+    near = near.mapInArrow(_dealt(c_blocks), f"cb int, q_id long, vec {q.schema['vec'].dataType.simpleString()}, norm double, near array<long>")
+    near = near.withColumn("qb", block("q_id", r_blocks))
+    stored = normed_vectors(vectors).where(known).select(every(r_blocks).alias("qb"), block("repository_id", c_blocks).alias("cb"), "repository_id",
+                                                         F.col("vec").alias("c_unit"), F.col("norm").alias("c_norm"))  # unit but for its norm
+    n = min(2 * r_blocks * c_blocks, 4096)
+    near, stored = near.repartition(n, "qb", "cb"), stored.repartition(n, "qb", "cb")
     ranked = near.groupBy("qb", "cb").cogroup(stored.groupBy("qb", "cb")).applyInArrow(_reranked(k), TOPK_SCHEMA)
     w = Window.partitionBy("source_id").orderBy(F.desc("cosine"), F.asc("candidate_id"))
     return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)

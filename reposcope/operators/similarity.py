@@ -4,7 +4,8 @@ Exact top-k (``similar_topk``) is an all-pairs problem; it is planned so
 that no task ever holds more than two blocks of vectors and no step emits
 all pairs:
 
-1. vectors are normalised once (JVM-side array expressions); the query
+1. norms are taken once (JVM-side array expressions), and vectors travel as
+   given with their norm; the query
    side is hashed into ``Bq`` blocks and the candidate side into ``Bc``
    blocks of up to ``block_rows`` vectors each;
 2. every query block meets every candidate block under the key
@@ -50,15 +51,34 @@ TOPK_SCHEMA = "source_id long, candidate_id long, cosine double"
 HYBRID_WEIGHTS = (0.6, 0.3, 0.1)
 
 
+def normed_vectors(vectors: DataFrame, id_col: str = "repository_id",
+                   vec_col: str = "embedding") -> DataFrame:
+    """(repository_id, vec, norm DOUBLE); null or zero vectors dropped (their
+    cosine is undefined). ``vec`` is as given, if of single precision: that
+    halves what travels, and ``vec / norm`` is the same unit vector anywhere."""
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    return (vectors.select(F.col(id_col).alias("repository_id"), (F.col(vec_col) if single else v).alias("vec"), norm.alias("norm"))
+            .where(F.col("vec").isNotNull() & (F.col("norm") > 0)))
+
+
+def unit_column(vec: str = "vec", norm: str = "norm") -> Column:
+    return F.transform(vec, lambda x: x.cast("double") / F.col(norm))
+
+
 def unit_vectors(vectors: DataFrame, id_col: str = "repository_id",
                  vec_col: str = "embedding") -> DataFrame:
     """(repository_id, unit ARRAY<DOUBLE>); null or zero vectors dropped
     (their cosine is undefined)."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return (vectors.select(F.col(id_col).alias("repository_id"), v.alias("_v"), norm.alias("_n"))
-            .where(F.col("_v").isNotNull() & (F.col("_n") > 0))
-            .select("repository_id", F.transform("_v", lambda x: x / F.col("_n")).alias("unit")))
+    return normed_vectors(vectors, id_col, vec_col).select("repository_id", unit_column().alias("unit"))
+
+
+def unit_rows(vec: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Unit vectors of rows of ``normed_vectors``, as ``unit_column`` has them."""
+    rows = vec.astype(np.float64)
+    rows /= norm[:, None]
+    return rows
 
 
 def vector_rows(column) -> np.ndarray:
@@ -103,9 +123,10 @@ def _few_copies(ids: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[number - number[first] <= k])
 
 
-def _top_pairs(qid: np.ndarray, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray, k: int, rows: int, columns: int = 2048):
+def _top_pairs(qid: np.ndarray, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray, k: int, rows: int, columns: int = 2048, qn: np.ndarray | None = None):
     """Each query's best ``k`` candidates of another id: query ids, candidate ids, cosines.
 
+    ``qm`` has unit vectors, or vectors whose norms are ``qn``.
     Products in single precision leave out what is below a query's k-th cosine
     so far by more than their error; the rest is scored in double precision.
     One ``rows`` x ``columns`` matrix of products is held at a time.
@@ -123,7 +144,7 @@ def _top_pairs(qid: np.ndarray, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray,
     columns = min(columns, -(-len(cid) // 8) * 8)
     held = np.empty((min(rows, len(qid)), columns), dtype=np.float32)
     for lo in range(0, len(qid), rows):
-        ids, unit = qid[lo:lo + rows], qm[lo:lo + rows]
+        ids, unit = qid[lo:lo + rows], qm[lo:lo + rows] if qn is None else unit_rows(qm[lo:lo + rows], qn[lo:lo + rows])
         q32 = _single(unit)
         bound = np.full(len(ids), -np.inf, dtype=np.float32)
         at, found, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -158,14 +179,18 @@ def _top_pairs(qid: np.ndarray, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray,
 
 def _block_topk(k: int, rows_per_slice: int = 256):
     def run(q, c):
-        """Two blocks (Arrow tables or pandas frames: id, unit vector) → source_id, candidate_id, cosine in the same form."""
+        """Two blocks (Arrow tables or pandas frames: id, and unit vector or vector and norm) → source_id, candidate_id, cosine in the same form."""
         frames = isinstance(q, pd.DataFrame)
         if frames:
             q, c = pa.Table.from_pandas(q, preserve_index=False), pa.Table.from_pandas(c, preserve_index=False)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(q) and len(c):
-            out += _top_pairs(q.column("q_id").to_numpy(), vector_rows(q.column("q_unit")),
-                              c.column("c_id").to_numpy(), vector_rows(c.column("c_unit")), k, rows_per_slice)
+            if "c_norm" in c.column_names:
+                qm, qn = vector_rows(q.column("q_vec")), q.column("q_norm").to_numpy()
+                cm = unit_rows(vector_rows(c.column("c_vec")), c.column("c_norm").to_numpy())
+            else:
+                qm, qn, cm = vector_rows(q.column("q_unit")), None, vector_rows(c.column("c_unit"))
+            out += _top_pairs(q.column("q_id").to_numpy(), qm, c.column("c_id").to_numpy(), cm, k, rows_per_slice, qn=qn)
         found = pa.table(dict(zip(("source_id", "candidate_id", "cosine"), (np.concatenate(x) for x in zip(*out)))))
         return found.to_pandas() if frames else found
     return run
@@ -196,11 +221,12 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
     → source_id, candidate_id, cosine, rank
     """
     n, block_rows = _sizes(vectors, block_rows)
-    u = unit_vectors(_spread(vectors, n)).where(F.col("repository_id").isNotNull())
+    known = F.col("repository_id").isNotNull()
     some = None if sources is None else sources.select("repository_id").distinct()
     if method == "lsh":
-        pairs = _lsh_pairs(u, some, k, lsh_bits, lsh_tables, block_rows, seed)
+        pairs = _lsh_pairs(unit_vectors(_spread(vectors, n)).where(known), some, k, lsh_bits, lsh_tables, block_rows, seed)
     elif method == "block":
+        u = normed_vectors(_spread(vectors, n)).where(known)
         if n > 1024:  # both sides read them, and copy them
             u = materialized(u, "unit-vectors")
         q = u if some is None else u.join(some, "repository_id", "left_semi")
@@ -221,9 +247,9 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
         # (the periodic job) the candidate side is copied only a few times.
         # Distinct names per side: both sides descend from the same scan.
         qs = q.select(qblk.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"),
-                      F.col("repository_id").alias("q_id"), F.col("unit").alias("q_unit"))
+                      F.col("repository_id").alias("q_id"), F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"))
         cs = u.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), cblk.alias("cb"),
-                      F.col("repository_id").alias("c_id"), F.col("unit").alias("c_unit"))
+                      F.col("repository_id").alias("c_id"), F.col("vec").alias("c_vec"), F.col("norm").alias("c_norm"))
         pairs = _cogrouped(qs, cs, ["qb", "cb"], k, q_blocks * c_blocks)
     else:
         raise ValueError(f"unknown method {method!r}")
