@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reposcope.operators.similarity import TOPK_SCHEMA, _best_of, _block_count, normed_vectors, unit_column, unit_rows, unit_vectors, vector_rows
+from reposcope.operators.similarity import TOPK_SCHEMA, _best_of, _block_count, by_source, normed_vectors, unit_column, unit_rows, unit_vectors, vector_rows
 from reposcope.session import materialized, scratch_path
 
 #: Entries of a group at most, about, and bytes of their codes and ids.
@@ -453,6 +453,7 @@ def search_index(index: StoredIndex, queries: DataFrame, vectors: DataFrame, k:
     n = min(2 * r_blocks * c_blocks, 4096)
     near, stored = near.repartition(n, "qb", "cb"), stored.repartition(n, "qb", "cb")
     ranked = near.groupBy("qb", "cb").cogroup(stored.groupBy("qb", "cb")).applyInArrow(_reranked(k), TOPK_SCHEMA)
+    ranked = by_source(ranked, n_q * min(k * c_blocks, rerank))
     w = Window.partitionBy("source_id").orderBy(F.desc("cosine"), F.asc("candidate_id"))
     return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 

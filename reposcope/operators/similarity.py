@@ -45,6 +45,8 @@ from reposcope.sources.ingest import object_key
 #: Components of a block's vectors at most, and blocks of a side while these are smaller.
 BLOCK_VALUES = 1 << 23
 SHARED_BLOCKS = 8
+#: Pairs that a task ranks, about.
+RANKED_PAIRS = 1 << 19
 TOPK_SCHEMA = "source_id long, candidate_id long, cosine double"
 
 # Blend weights of cosine, topic Jaccard and language Jaccard.
@@ -251,6 +253,7 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
         cs = u.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), cblk.alias("cb"),
                       F.col("repository_id").alias("c_id"), F.col("vec").alias("c_vec"), F.col("norm").alias("c_norm"))
         pairs = _cogrouped(qs, cs, ["qb", "cb"], k, q_blocks * c_blocks)
+        pairs = by_source(pairs, min(n, q_blocks * block_rows) * c_blocks * k)
     else:
         raise ValueError(f"unknown method {method!r}")
     w = Window.partitionBy("source_id").orderBy(F.desc("cosine"), F.asc("candidate_id"))
@@ -258,6 +261,12 @@ def similar_topk(vectors: DataFrame, k: int = 10, sources: DataFrame | None = No
             .where(F.col("rank") <= k))
 
 
+def by_source(pairs: DataFrame, most: int) -> DataFrame:
+    """So many pairs at most, dealt by source for their ranks: to more tasks than the session's if these would sort too much."""
+    n = min(-(-most // RANKED_PAIRS), 4096)
+    return pairs if n <= int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else pairs.repartition(n, "source_id")
+
+
 def _cogrouped(qs: DataFrame, cs: DataFrame, keys: list[str], k: int, groups: int) -> DataFrame:
     """The kernel for every pair of blocks. A pair is long work on little data, so tasks are counted by pairs, not sized by bytes."""
     n = 1 if groups == 1 else min(2 * groups, 4096)

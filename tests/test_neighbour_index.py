@@ -145,3 +145,29 @@ def test_rows_without_an_id_have_no_lists_and_are_in_none(spark):
     index = NI.build_index(with_null, NI.fit_index(df, k=3))
     got = NI.search_index(index, with_null, with_null, k=3).collect()
     assert len(got) == 3 * len(x) and all(r["source_id"] is not None and r["candidate_id"] is not None for r in got)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_and_norms_stand_for_the_same_units(spark, kind):
+    """To the last bit; vectors of single precision travel as they are."""
+    x = np.random.default_rng(12).normal(size=(300, 7))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(900, None), (901, [0.0] * 7), (902, [1.0] * 6 + [None])],
+                               f"repository_id long, embedding array<{kind}>")
+    normed = SI.normed_vectors(df)
+    assert normed.schema["vec"].dataType.simpleString() == f"array<{kind}>"
+    rows, units = normed.orderBy("repository_id").toArrow(), SI.unit_vectors(df).orderBy("repository_id").toArrow()
+    assert rows.column("repository_id").to_pylist() == units.column("repository_id").to_pylist() == list(range(300))
+    got = SI.unit_rows(SI.vector_rows(rows.column("vec")), rows.column("norm").to_numpy())
+    assert (got == SI.vector_rows(units.column("unit"))).all()
+
+
+def test_many_pairs_are_ranked_by_more_tasks(spark, monkeypatch):
+    df = frame(spark, clustered(400))
+    want = sorted(map(tuple, SI.similar_topk(df, 4).collect()))
+    monkeypatch.setattr(SI, "RANKED_PAIRS", 100, raising=False)
+    got = SI.similar_topk(df, 4, blocks=3)
+    assert "hashpartitioning(source_id" in (plan := got._jdf.queryExecution().toString()) and ", 48)" in plan, plan  # 400 x 3 blocks x 4 pairs at most
+    assert [r[:2] + r[3:] for r in sorted(map(tuple, got.collect()))] == [r[:2] + r[3:] for r in want]
+    index = NI.build_index(df, NI.fit_index(df, k=4))
+    ranked = NI.search_index(index, df, df, k=4)
+    assert ", 16)" in ranked._jdf.queryExecution().toString() and ranked.count() == 1600
